@@ -151,14 +151,18 @@ def segments(df: DataFrame, line_id: str, line: str = "line") -> DataFrame:
     return df.where(n >= 2).select(*rest, F.posexplode(with_start).alias("seg", "_s")).select(*rest, "seg", "_s.*")
 
 
-def points_along(segs: DataFrame, every: float, offset: float = 0.0) -> DataFrame:
+def points_along(segs: DataFrame, every, offset: float = 0.0, steps: str | None = None) -> DataFrame:
     """Points at arc offset, offset + every, ... of each line, from its segments: step (0-based), t, x, y, ux, uy.
-    Each segment makes its own points, so no join to positions is needed."""
+    Each segment makes its own points, so no join to positions is needed. `every` is metres or a column of the
+    line's own spacing; `steps` names a column with the number of points a line may have."""
+    every = col(every)
     first = F.ceil((F.col("start") - offset) / every)
     first = F.greatest(first, F.lit(0))
     last = F.ceil((F.col("start") + F.col("len") - offset) / every) - 1
+    if steps is not None:
+        last = F.least(last, F.col(steps) - 1)
     out = segs.where((F.col("len") > 0) & (last >= first)).withColumn("step", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-    t = F.col("step") * F.lit(every) + F.lit(offset)
+    t = F.col("step") * every + F.lit(offset)
     share = (t - F.col("start")) / F.col("len")
     return out.select("*", t.alias("t"), (F.col("ax") + share * (F.col("bx") - F.col("ax"))).alias("x"),
                       (F.col("ay") + share * (F.col("by") - F.col("ay"))).alias("y"),

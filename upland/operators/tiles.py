@@ -140,8 +140,7 @@ def row_text(columns: list[str]) -> Column:
 def manifest(df: DataFrame, tile: list[str], columns: list[str], lng: str = "lng", lat: str = "lat") -> DataFrame:
     """One row per tile: rows, bytes, bbox and a content hash that does not depend on row order or partitioning.
 
-    The hash is SHA-256 over per-bucket digests: rows are spread over 256 buckets by their own hash and each bucket's
-    sorted digests are hashed, so a tile's rows are never concatenated whole in one place."""
+    The hash is SHA-256 over 256 buckets' row counts and digest sums, so a tile's rows are never gathered in one place."""
     text = row_text(columns)
     digest = F.sha2(text, 256)
     rows = df.select(*tile, F.col(lng).alias("_lng"), F.col(lat).alias("_lat"), F.octet_length(text).cast("long").alias("_bytes"), digest.alias("_d"))
@@ -155,7 +154,7 @@ def manifest(df: DataFrame, tile: list[str], columns: list[str], lng: str = "lng
 
 
 def _digest_sums() -> list[Column]:
-    """Sums of four 13-digit slices of the row digests: order-free, and exact for up to 1,900 rows-trillions."""
+    """Sums of four 48-bit slices of the row digests: free of row order, and combined map-side."""
     piece = lambda i: F.conv(F.substring("_d", 3 + 12 * i, 12), 16, 10).cast("decimal(38,0)")
     return [F.sum(piece(i)).alias(f"_s{i}") for i in range(4)]
 

@@ -3,6 +3,8 @@ question in SQL."""
 
 from __future__ import annotations
 
+import re
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,7 +21,7 @@ def query(name: str, sql: str | None = None):
         run.__name__ = name
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = re.sub(r"(?<![\w\"'])by(?![\w\"'])", '"by"', sql)   # a column named by needs its quotes
         return fn
 
     return add

@@ -1 +1,543 @@
-"""To be filled."""
+"""Spatial joins, lines, rings, rasters, tiles and data checks."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from upland.functions import geo, ids
+from upland.operators import lines as L
+from upland.operators import quality as D
+from upland.operators import raster as R
+from upland.operators import rings as G
+from upland.operators import tiles as T
+from upland.operators.cells import box_join, nearest, within_pairs
+from upland.queries import query
+from upland.queries.tables import (BLD, DEST, GRID, K, PATH, PPATH, ROAD, SEG, STOP, VEN, bilinear_sql, hav_km, height_sql, lat, lng, pix_sql, px_sql, py_sql, r, rnd, with_)
+
+PVEN = VEN + f", pven AS (SELECT vid, {px_sql('vlng')} AS x, {py_sql('vlat')} AS y, vlng, vlat FROM ven)"
+PDEST = DEST + f", pdest AS (SELECT id, {px_sql('lng')} AS dx, {py_sql('lat')} AS dy FROM dest)"
+
+
+def pven(t):
+    x, y = geo.planar_xy("vlng", "vlat")
+    return t.ven.select("vid", x.alias("x"), y.alias("y"), "vlng", "vlat")
+
+
+def pdest(t):
+    x, y = geo.planar_xy("lng", "lat")
+    return t.dest.select("id", x.alias("dx"), y.alias("dy"))
+
+
+def seg_dist(px, py, p=""):
+    """SQL distance and foot of point (px, py) on seg (ax, ay, bx, by)."""
+    tt = f"greatest(0::DOUBLE, least(1::DOUBLE, (({px} - {p}ax) * ({p}bx - {p}ax) + ({py} - {p}ay) * ({p}by - {p}ay)) / ({p}len * {p}len)))"
+    return tt, f"sqrt(pow({px} - ({p}ax + {tt} * ({p}bx - {p}ax)), 2) + pow({py} - ({p}ay + {tt} * ({p}by - {p}ay)), 2))"
+
+
+TT, DIST = seg_dist("x", "y")
+OFF = "(((bx - ax) * (y - ay) - (by - ay) * (x - ax)) / len)"
+
+# -------------------------------------------------------------- J8: within a distance
+
+
+@query("J8_dwithin_pairs", with_(PVEN, PDEST) + f"SELECT vid, id, {rnd('d', 3)} AS metres FROM (SELECT vid, id, sqrt(pow(x - dx, 2) + pow(y - dy, 2)) AS d FROM pven, pdest) WHERE d <= 700")
+def _(t):
+    d = within_pairs(pven(t), pdest(t), 700.0, a_at=[F.col("x"), F.col("y")], b_at=[F.col("dx"), F.col("dy")], distance=F.hypot(F.col("x") - F.col("dx"), F.col("y") - F.col("dy")), b_id="id")
+    return d.select("vid", "id", r("dist", 3).alias("metres"))
+
+
+@query("J8_dwithin_anti", with_(PVEN, PPATH) + "SELECT vid FROM pven a WHERE NOT EXISTS (SELECT 1 FROM ppath p WHERE pow(a.x - p.x, 2) + pow(a.y - p.y, 2) <= 1600)")
+def _(t):
+    v = t.planar_lines.select(F.col("code"), F.posexplode("line").alias("i", "p")).select(F.concat_ws(":", "code", "i").alias("pid"), F.col("p.x").alias("qx"), F.col("p.y").alias("qy"))
+    pts = pven(t)
+    hit = nearest(pts, v, 1, origin_id="vid", origin_at=lambda: [F.col("x"), F.col("y")], item_at=lambda: [F.col("qx"), F.col("qy")],
+                  distance=F.hypot(F.col("x") - F.col("qx"), F.col("y") - F.col("qy")), tie=["pid"], same_site=["qx", "qy"], max_m=40.0)
+    return pts.join(hit.select("vid"), "vid", "left_anti").select("vid")
+
+
+@query("J8_line_within", with_(PVEN, SEG) + f"SELECT vid, code, {rnd('min(d)', 3)} AS metres FROM (SELECT vid, code, {DIST} AS d FROM pven, seg) WHERE d <= 120 GROUP BY vid, code")
+def _(t):
+    d = L.lines_within(pven(t), t.segs, 120.0)
+    return d.groupBy("vid", "code").agg(r(F.min("dist"), 3).alias("metres"))
+
+
+# ---------------------------------------------------------------- rings, polygons
+
+RING = "ringp AS (SELECT s_suppkey AS rid, {x} AS rx, {y} AS ry, CAST(400 + (s_suppkey % 5) * 150 AS DOUBLE) AS h FROM supplier)".format(x=px_sql(lng("s_suppkey * 3 + 1")), y=py_sql(lat("s_suppkey * 3 + 1")))
+
+
+def rings(t, diamond=True):
+    """Diamonds (or squares) around places, as polygons with edges and box."""
+    x, y = geo.planar_xy(F.expr(lng("s_suppkey * 3 + 1")), F.expr(lat("s_suppkey * 3 + 1")))
+    d = t.raw("supplier").select(F.col("s_suppkey").alias("rid"), x.alias("rx"), y.alias("ry"), (400.0 + (F.col("s_suppkey") % 5) * 150.0).alias("h"))
+    corners = [(-1, 0), (0, -1), (1, 0), (0, 1), (-1, 0)] if diamond else [(-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)]
+    ring = F.array(*[F.struct((F.col("rx") + a * F.col("h")).alias("x"), (F.col("ry") + b * F.col("h")).alias("y")) for a, b in corners])
+    h = F.col("h")
+    return d.withColumn("ring", ring).withColumn("edges", G.edges("ring")).select("*", (F.col("rx") - h).alias("west"), (F.col("ry") - h).alias("south"), (F.col("rx") + h).alias("east"), (F.col("ry") + h).alias("north"))
+
+
+IN_DIAMOND = "abs(x - rx) + abs(y - ry) < h"
+
+
+@query("J9_drop_intersecting", with_(BLD, RING) + "SELECT bid FROM bld WHERE NOT EXISTS (SELECT 1 FROM ringp WHERE abs(cx - rx) <= h + side / 2 AND abs(cy - ry) <= h + side / 2)")
+def _(t):
+    ex = rings(t, False).withColumnRenamed("edges", "redges")
+    return G.drop_touching(t.bld.select("bid", "edges", "w", "s", "e", "n"), ex).select("bid")
+
+
+@query("J10_point_in_polygon", with_(PVEN, RING) + f"SELECT vid, rid FROM pven, ringp WHERE {IN_DIAMOND}")
+def _(t):
+    return G.points_in_polygons(pven(t), rings(t)).select("vid", "rid")
+
+
+@query("J10_semi", with_(PVEN, RING) + f"SELECT vid FROM pven WHERE EXISTS (SELECT 1 FROM ringp WHERE {IN_DIAMOND})")
+def _(t):
+    return G.points_in_polygons(pven(t), rings(t), "left_semi").select("vid")
+
+
+@query("J10_holes", with_(PVEN, RING) + f"SELECT rid, count(*) AS n FROM pven, ringp WHERE {IN_DIAMOND} AND NOT abs(x - rx) + abs(y - ry) < h / 2 GROUP BY rid")
+def _(t):
+    h = F.col("h") / 2
+    hole = F.array(*[F.struct((F.col("rx") + a * h).alias("x"), (F.col("ry") + b * h).alias("y")) for a, b in [(-1, 0), (0, 1), (1, 0), (0, -1), (-1, 0)]])
+    p = rings(t).withColumn("edges", G.all_edges(F.array("ring", hole)))
+    return G.points_in_polygons(pven(t), p).groupBy("rid").agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------------- nearest lines
+
+_NL = f"""SELECT *, row_number() OVER (PARTITION BY vid ORDER BY floor(d * 1000 + 0.5), code, seg) AS rn FROM (SELECT *, {DIST} AS d, {TT} AS tt FROM pven, aseg)"""
+
+
+@query("J11_nearest_line", with_(PVEN, SEG) + f"SELECT vid, code, {rnd('d', 3)} AS metres, {rnd('start + tt * len', 2)} AS along, CAST(sign(round({OFF}, 3)) AS DOUBLE) AS side FROM ({_NL}) WHERE rn = 1")
+def _(t):
+    d = L.nearest_line(pven(t), t.segs, point_id="vid", line_id="code")
+    return d.select("vid", "code", r("dist", 3).alias("metres"), r("along", 2).alias("along"), F.signum(F.round("offset", 3)).alias("side"))
+
+
+@query("J11_nearest_line_8m", with_(PVEN, SEG) + f"SELECT vid, code, {rnd('d', 3)} AS metres FROM ({_NL}) WHERE rn = 1 AND d <= 8")
+def _(t):
+    return L.nearest_line(pven(t), t.segs, point_id="vid", line_id="code", max_m=8.0).select("vid", "code", r("dist", 3).alias("metres"))
+
+
+@query("J26_road_candidates", with_(PVEN, SEG) + f"""SELECT vid, code, {rnd('d', 3)} AS metres, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY floor(d * 1000 + 0.5), code) AS rn FROM (SELECT vid, code, min(d) AS d FROM (SELECT vid, code, {DIST} AS d FROM pven, seg) WHERE d <= 160 GROUP BY vid, code)) WHERE rn <= 5""")
+def _(t):
+    d = L.nearest_line(pven(t), t.segs, point_id="vid", line_id="code", k=5, max_m=160.0)
+    return d.select("vid", "code", r("dist", 3).alias("metres"), "rank")
+
+
+@query("J25_endpoints_match", with_(STOP, PATH) + "SELECT stop_id FROM stop WHERE NOT EXISTS (SELECT 1 FROM path WHERE code = route AND abs(lng - slng) < 1e-7 AND abs(lat - slat) < 1e-7)")
+def _(t):
+    from upland.plans.route_qa import unmatched_stops
+    return unmatched_stops(t.stop.select("stop_id", F.col("route").alias("code"), "slng", "slat"), t.path, "stop_id").select("stop_id")
+
+
+# ---------------------------------------------------------------------- rasters
+
+_H = lambda k: f"h AS (SELECT o_orderkey AS id, {lng('o_orderkey')} AS lng, {lat('o_orderkey')} AS lat FROM orders)"
+
+
+def points(t):
+    return t.raw("orders").select(F.col("o_orderkey").alias("id"), F.expr(lng("o_orderkey")).alias("lng"), F.expr(lat("o_orderkey")).alias("lat"))
+
+
+@query("S5_read_heights", f"""WITH {_H(0)}, px AS (SELECT DISTINCT CAST(floor({pix_sql('lng', 'lat')[0]}) AS BIGINT) + a AS gx, CAST(floor({pix_sql('lng', 'lat')[1]}) AS BIGINT) + b AS gy FROM h, (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(b))
+SELECT gx, gy, {height_sql('gx', 'gy')} AS height FROM px""")
+def _(t):
+    return t.heights(points(t)).select("gx", "gy", "height")
+
+
+@query("J14_bilinear", f"WITH {_H(0)} SELECT id, {rnd(bilinear_sql('lng', 'lat'), 4)} AS ground FROM h")
+def _(t):
+    p = points(t)
+    return R.sample_bilinear(p, t.heights(p), ["id"]).select("id", r("ground", 4).alias("ground"))
+
+
+_P15 = pix_sql("lng", "lat", 15)
+
+
+@query("J15_nearest_height", f"WITH {_H(0)} SELECT id, CAST(round_even({height_sql(f'floor({_P15[0]})', f'floor({_P15[1]})')}, 0) AS BIGINT) AS ground FROM h")
+def _(t):
+    p = points(t)
+    return R.sample_nearest(p, t.heights(p, 15)).select("id", "ground")
+
+
+@query("A14_block_average", f"""WITH {_H(0)}, px AS (SELECT DISTINCT CAST(floor({pix_sql('lng', 'lat')[0]}) AS BIGINT) + a AS gx, CAST(floor({pix_sql('lng', 'lat')[1]}) AS BIGINT) + b AS gy FROM h, (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(b))
+SELECT gx // 4 AS bx, gy // 4 AS "by", {rnd(f"avg({height_sql('gx', 'gy')})", 5)} AS height FROM px GROUP BY 1, 2""")
+def _(t):
+    return R.block_average(t.heights(points(t)), 4).select("bx", "by", r("height", 5).alias("height"))
+
+
+def _shift(dx, dy):
+    return bilinear_sql(f"(lng + {dx}::DOUBLE)", f"(lat + {dy}::DOUBLE)")
+
+
+@query("E26_slope", f"""WITH {_H(0)} SELECT id, {rnd('s', 3)} AS slope, s > 30 AS steep FROM (SELECT id, degrees(atan(sqrt(pow(({_shift('2e-5', '0')} - {_shift('-2e-5', '0')}) / {4e-5 * 111320 * math.cos(math.radians(16.4))!r}::DOUBLE, 2)
+  + pow(({_shift('0', '2e-5')} - {_shift('0', '-2e-5')}) / {4e-5 * 110574!r}::DOUBLE, 2)))) AS s FROM h)""")
+def _(t):
+    p = points(t)
+    return R.slopes(p, t.heights(p, reach=2), ["id"]).select("id", r("slope_deg", 3).alias("slope"), (F.col("slope_deg") > 30).alias("steep"))
+
+
+@query("A16_height_check", with_(DEST) + f"SELECT {rnd('avg(d)', 3)} AS mean, {rnd('max(abs(d))', 3)} AS worst, count(*) FILTER (WHERE g IS NULL) AS voids, bool_and(coalesce(abs(d) <= 900, FALSE)) AS ok FROM (SELECT g, g - elevation AS d FROM (SELECT elevation, CAST(round_even({height_sql(f'floor({_P15[0]})', f'floor({_P15[1]})')}, 0) AS BIGINT) AS g FROM dest))")
+def _(t):
+    d = R.sample_nearest(t.dest.select("id", "lng", "lat", "elevation"), t.heights(t.dest, 15))
+    g = D.height_gate(d, "ground", "elevation", F.lit(900.0))
+    return g.select(r("mean", 3).alias("mean"), r("worst", 3).alias("worst"), "voids", "ok")
+
+
+# --------------------------------------------------------- line operators, windows
+
+
+@query("W1_arc_length", with_(PATH) + f"""SELECT code, i, {rnd('coalesce(sum(m) OVER (PARTITION BY code ORDER BY i), 0)', 3)} AS arc FROM (SELECT code, i, CASE WHEN i > 0 THEN {hav_km('plng', 'plat', 'lng', 'lat', 6371000.0)} END AS m FROM (SELECT *, lag(lng) OVER (PARTITION BY code ORDER BY i) AS plng, lag(lat) OVER (PARTITION BY code ORDER BY i) AS plat FROM path))""")
+def _(t):
+    return t.lines.select("code", F.posexplode(L.arc_m("line")).alias("i", "a")).select("code", "i", r("a", 3).alias("arc"))
+
+
+@query("W2_rank_by_distance", with_(VEN) + f"SELECT vid, CAST(rn AS INTEGER) AS rank FROM (SELECT vid, row_number() OVER (ORDER BY floor({hav_km('vlng', 'vlat', '120.596', '16.4023')} * 1000 * 1000 + 0.5), vid) AS rn FROM ven) WHERE rn <= 25")
+def _(t):
+    km = geo.haversine_km("vlng", "vlat", F.lit(120.596), F.lit(16.4023))
+    top = t.ven.select("vid", F.floor(km * 1000 * 1000 + 0.5).alias("d")).orderBy("d", "vid").limit(25)
+    return top.select("vid", F.row_number().over(Window.orderBy("d", "vid")).alias("rank"))
+
+
+@query("W3_local_bearing", with_(PATH) + f"""SELECT code, i, {rnd('fmod(degrees(atan2(sin(radians(g2 - g1)) * cos(radians(t2)), cos(radians(t1)) * sin(radians(t2)) - sin(radians(t1)) * cos(radians(t2)) * cos(radians(g2 - g1)))) + 360, 360)', 2)} AS heading FROM
+ (SELECT p.code, p.i, a.lng AS g1, a.lat AS t1, b.lng AS g2, b.lat AS t2 FROM path p JOIN (SELECT code, max(i) AS m FROM path GROUP BY code) USING (code) JOIN path a ON a.code = p.code AND a.i = CASE WHEN p.i = m THEN greatest(0, m - 5) ELSE p.i END JOIN path b ON b.code = p.code AND b.i = least(m, p.i + 5) WHERE m > 0 AND p.code % 5 <> 0)""")
+def _(t):
+    d = t.lines.where((F.size("line") > 1) & (F.col("code") % 5 != 0)).select("code", "line", F.explode(F.sequence(F.lit(0), F.size("line") - 1)).alias("i"))
+    return d.select("code", "i", r(L.bearing_at("line", F.col("i")), 2).alias("heading"))
+
+
+@query("W5_stops_in_order", with_(PATH) + """SELECT code, bool_and(w > prev) AS rising FROM (SELECT code, w, lag(w, 1, -1::BIGINT) OVER (PARTITION BY code ORDER BY stop) AS prev
+ FROM (SELECT o_orderkey // 16 AS code, o_orderkey % 16 AS stop, (o_custkey * 3 + o_orderkey) % 200 + o_orderkey % 16 * 20 AS w FROM orders)) GROUP BY code""")
+def _(t):
+    d = t.raw("orders").select(F.expr("o_orderkey div 16").alias("code"), (F.col("o_orderkey") % 16).alias("stop"), F.expr("(o_custkey * 3 + o_orderkey) % 200 + o_orderkey % 16 * 20").alias("w"))
+    d = d.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("stop", "w"))).alias("s"))
+    return d.select("code", L.strictly_rising(F.transform("s", lambda x: x["w"])).alias("rising"))
+
+
+@query("W10_forward_indices")
+def _(t):
+    d = t.lines.withColumn("stops", F.filter("line", lambda p, i: i % 5 == 0))
+    return d.select("code", F.array_join(F.transform(L.forward_indices("line", "stops"), lambda i: i.cast("string")), ",").alias("indices"))
+
+
+@query("W6_alternating", with_(SEG) + f"""SELECT code, CAST(step AS BIGINT) AS step, CASE WHEN step % 2 = 0 THEN 1 ELSE -1 END AS side, {rnd('ax + (tpos - start) / len * (bx - ax)', 3)} AS x FROM (SELECT *, step * 32.0::DOUBLE + 16 AS tpos FROM aseg, (SELECT unnest(range(0, 400)) AS step)) WHERE len > 0 AND tpos >= start AND tpos < start + len""")
+def _(t):
+    d = L.points_along(t.segs, 32.0, 16.0)
+    return d.select("code", "step", F.when(F.col("step") % 2 == 0, 1).otherwise(-1).alias("side"), r("x", 3).alias("x"))
+
+
+@query("W7_equal_chunks", "SELECT p_partkey AS id, CAST(ntile(6) OVER (PARTITION BY p_type ORDER BY p_retailprice, p_partkey) AS INTEGER) AS part FROM part")
+def _(t):
+    from upland.plans.districts import equal_chunks
+    d = equal_chunks(t.raw("part"), ["p_type"], ["p_retailprice", "p_partkey"], 6)
+    return d.select(F.col("p_partkey").alias("id"), "part")
+
+
+@query("W8_thin_half", "SELECT k, y FROM (SELECT p_type AS y, p_partkey AS k, row_number() OVER (PARTITION BY p_type ORDER BY sha256(CAST(p_partkey AS VARCHAR)), p_partkey) AS rn, count(*) OVER (PARTITION BY p_type) AS n FROM part) WHERE rn <= n // 2")
+def _(t):
+    return T.thin_half(t.raw("part").select(F.col("p_type").alias("y"), F.col("p_partkey").alias("k")), ["y"], "k")
+
+
+def _tile(z, a="vlng", b="vlat"):
+    n = f"{2 ** z}"
+    return f"CAST(floor(({a} + 180) / 360 * {n}) AS BIGINT)", f"CAST(floor((1 - asinh(tan(radians({b}))) / {math.pi!r}::DOUBLE) / 2 * {n}) AS BIGINT)"
+
+
+_X18, _Y18 = _tile(18)
+
+
+@query("W9_quadtree_leaf", with_(VEN) + f"""SELECT vid, z, x, y FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY z) AS rn FROM (SELECT *, count(*) OVER (PARTITION BY z, x, y) AS n FROM (SELECT vid, CAST(z AS INTEGER) AS z, x18 >> (18 - z) AS x, y18 >> (18 - z) AS y FROM (SELECT vid, {_X18} AS x18, {_Y18} AS y18 FROM ven), (SELECT unnest(range(0, 19)) AS z))) WHERE n <= 25 OR z = 18) WHERE rn = 1""")
+def _(t):
+    return T.quadtree(t.ven.select("vid", "vlng", "vlat"), 25, 0, "vlng", "vlat").select("vid", "z", "x", "y")
+
+
+@query("P2_quadtree", with_(VEN) + f"""SELECT z, x, y, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY z) AS rn FROM (SELECT *, count(*) OVER (PARTITION BY z, x, y) AS n FROM (SELECT k, CAST(z AS INTEGER) AS z, x18 >> (18 - z) AS x, y18 >> (18 - z) AS y FROM (SELECT o_orderkey AS k, {_tile(18, lng('o_orderkey'), lat('o_orderkey'))[0]} AS x18, {_tile(18, lng('o_orderkey'), lat('o_orderkey'))[1]} AS y18 FROM orders), (SELECT unnest(range(10, 19)) AS z))) WHERE n <= 70 OR z = 18) WHERE rn = 1 GROUP BY z, x, y""")
+def _(t):
+    return T.quadtree(points(t), 70, 10).groupBy("z", "x", "y").agg(F.count("*").alias("n"))
+
+
+@query("A21_split_crowded", with_(VEN) + f"""SELECT z, x, y, count(*) AS n FROM (SELECT CASE WHEN n > 20 THEN 13 ELSE 12 END AS z, CASE WHEN n > 20 THEN x13 ELSE x12 END AS x, CASE WHEN n > 20 THEN y13 ELSE y12 END AS y FROM (SELECT *, count(*) OVER (PARTITION BY x12, y12) AS n FROM (SELECT {_tile(12)[0]} AS x12, {_tile(12)[1]} AS y12, {_tile(13)[0]} AS x13, {_tile(13)[1]} AS y13 FROM ven))) GROUP BY z, x, y""")
+def _(t):
+    return T.split_crowded(t.ven.select("vid", "vlng", "vlat"), 12, 20, "vlng", "vlat").groupBy("z", "x", "y").agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------- scalar geometry
+
+
+@query("E20_slippy", with_(STOP) + f"SELECT stop_id, {_tile(16, 'slng', 'slat')[0]} AS x, {_tile(16, 'slng', 'slat')[1]} AS y, {rnd(f'{_tile(16, chr(115) + chr(108) + chr(110) + chr(103), chr(115) + chr(108) + chr(97) + chr(116))[0]} / 65536.0::DOUBLE * 360 - 180', 6)} AS west FROM stop")
+def _(t):
+    d = t.stop.select("stop_id", geo.tile_x("slng", F.lit(16)).alias("x"), geo.tile_y("slat", F.lit(16)).alias("y"))
+    return d.select("stop_id", "x", "y", r(geo.tile_west("x", F.lit(16)), 6).alias("west"))
+
+
+@query("E21_planar_frame", with_(STOP) + f"SELECT stop_id, {rnd(px_sql('slng'), 3)} AS x, {rnd(py_sql('slat'), 3)} AS y, TRUE AS back FROM stop")
+def _(t):
+    x, y = geo.planar_xy("slng", "slat")
+    d = t.stop.select("stop_id", "slng", "slat", x.alias("x"), y.alias("y"))
+    a, b = geo.planar_lnglat("x", "y")
+    return d.select("stop_id", r("x", 3).alias("x"), r("y", 3).alias("y"), ((F.abs(a - F.col("slng")) < 1e-9) & (F.abs(b - F.col("slat")) < 1e-9)).alias("back"))
+
+
+@query("E22_simplify")
+def _(t):
+    return t.lines.select("code", F.size(L.simplify("line", 0.0004)).alias("z14"), F.size(L.simplify("line", 0.0012)).alias("z12"))
+
+
+@query("E23_points_along", with_(SEG) + f"""SELECT code, CAST(step AS BIGINT) AS step, {rnd('ax + (tpos - start) / len * (bx - ax)', 3)} AS x, {rnd('ay + (tpos - start) / len * (by - ay)', 3)} AS y FROM (SELECT *, step * 8.0::DOUBLE AS tpos FROM aseg, (SELECT unnest(range(0, 400)) AS step)) WHERE len > 0 AND tpos >= start AND tpos < start + len""")
+def _(t):
+    return L.points_along(t.segs, 8.0).select("code", "step", r("x", 3).alias("x"), r("y", 3).alias("y"))
+
+
+_PROJ = hav_km("0", "0", "0", "0")
+
+
+@query("E24_project", with_(PVEN, SEG) + f"""SELECT vid, {rnd('ax + tt * (bx - ax)', 2)} AS fx, {rnd('ay + tt * (by - ay)', 2)} AS fy FROM ({_NL}) WHERE rn = 1""")
+def _(t):
+    d = L.nearest_line(pven(t), t.segs, point_id="vid", line_id="code")
+    fx = F.col("ax") + F.col("share") * (F.col("bx") - F.col("ax"))
+    fy = F.col("ay") + F.col("share") * (F.col("by") - F.col("ay"))
+    return d.select("vid", r(fx, 2).alias("fx"), r(fy, 2).alias("fy"))
+
+
+@query("E25_facing_edges", with_(BLD) + "SELECT bid, CASE WHEN bid % 2 = 0 THEN '0' ELSE '1' END AS front FROM bld")
+def _(t):
+    south = F.array(F.struct((F.col("cx") - 500).alias("ax"), (F.col("cy") - 60).alias("ay"), (F.col("cx") + 500).alias("bx"), (F.col("cy") - 60).alias("by")))
+    east = F.array(F.struct((F.col("cx") + 60).alias("ax"), (F.col("cy") - 500).alias("ay"), (F.col("cx") + 60).alias("bx"), (F.col("cy") + 500).alias("by")))
+    d = t.bld.withColumn("target", F.when(F.col("bid") % 2 == 0, south).otherwise(east))
+    return d.select("bid", F.array_join(F.transform(G.facing_edges("edges", "target"), lambda i: i.cast("string")), ",").alias("front"))
+
+
+@query("E27_local_metric", with_(STOP) + "SELECT stop_id, TRUE AS near FROM stop")
+def _(t):
+    """The local frame against the plain metre approximation at the centre's radii: within 0.1% of the distance."""
+    e, n = geo.tm_forward("slng", "slat")
+    w = 1 - geo.WGS84_E2 * math.sin(math.radians(16.4023)) ** 2
+    east = F.radians(F.col("slng") - 120.596) * F.cos(F.radians("slat")) * (geo.WGS84_A / math.sqrt(w))
+    north = F.radians(F.col("slat") - 16.4023) * (geo.WGS84_A * (1 - geo.WGS84_E2) / w**1.5)
+    d = F.hypot(e - east, n - north)
+    return t.stop.select("stop_id", (d <= F.hypot(e, n) * 0.001 + 0.01).alias("near"))
+
+
+@query("E28_frame_scale", with_(DEST) + f"""SELECT id, {rnd(f'{geo.MAP_RADIUS_M}::DOUBLE / ({geo.WGS84_A}::DOUBLE / sqrt(w))', 9)} AS east, {rnd(f'{geo.MAP_RADIUS_M}::DOUBLE / ({geo.WGS84_A * (1 - geo.WGS84_E2)!r}::DOUBLE / pow(w, 1.5))', 9)} AS north FROM (SELECT id, 1 - {geo.WGS84_E2}::DOUBLE * pow(sin(radians(lat)), 2) AS w FROM dest)""")
+def _(t):
+    e, n = geo.frame_scale("lat")
+    return t.dest.select("id", r(e, 9).alias("east"), r(n, 9).alias("north"))
+
+
+@query("A20_ring_measures", with_(BLD) + f"SELECT bid, {rnd('side * side', 4)} AS area, {rnd('side * 4', 4)} AS perimeter, {rnd('cx', 3)} AS x, {rnd('cy', 3)} AS y FROM bld")
+def _(t):
+    c = G.centroid("ring")
+    return t.bld.select("bid", r(G.area("ring"), 4).alias("area"), r(G.perimeter("ring"), 4).alias("perimeter"), r(c["x"], 3).alias("x"), r(c["y"], 3).alias("y"))
+
+
+@query("A22_convex_hull")
+def _(t):
+    v = t.planar_lines.select("code", F.explode("line").alias("p")).select("code", "p.x", "p.y")
+    return G.convex_hulls(v, "code").select("code", "i", r("x", 3).alias("x"), r("y", 3).alias("y"))
+
+
+@query("A22_hull_extent", with_(PPATH) + f"SELECT code, {rnd('min(x)', 3)} AS west, {rnd('max(x)', 3)} AS east, {rnd('min(y)', 3)} AS south, {rnd('max(y)', 3)} AS north FROM ppath GROUP BY code")
+def _(t):
+    v = t.planar_lines.select("code", F.explode("line").alias("p")).select("code", "p.x", "p.y")
+    h = G.convex_hulls(v, "code")
+    return h.groupBy("code").agg(r(F.min("x"), 3).alias("west"), r(F.max("x"), 3).alias("east"), r(F.min("y"), 3).alias("south"), r(F.max("y"), 3).alias("north"))
+
+
+@query("A10_junctions", f"WITH e AS (SELECT floor({lng('o_custkey % 97')} * 10000000 + 0.5) / 10000000 AS lng, floor({lat('o_custkey % 97')} * 10000000 + 0.5) / 10000000 AS lat FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT floor({lng('o_orderkey % 89')} * 10000000 + 0.5) / 10000000, floor({lat('o_orderkey % 89')} * 10000000 + 0.5) / 10000000 FROM orders WHERE o_orderkey % 2 = 0) SELECT lng, lat, count(*) AS n FROM e GROUP BY lng, lat HAVING count(*) >= 2")
+def _(t):
+    from upland.plans.roads import junctions
+    at = lambda k: F.struct(F.expr(lng(k)).alias("lng"), F.expr(lat(k)).alias("lat"))
+    ways = t.raw("orders").where("o_orderkey % 2 = 0").select(F.array(at("o_custkey % 97"), at("o_custkey + 1"), at("o_orderkey % 89")).alias("line"))
+    return junctions(ways)
+
+
+@query("A15_per_class", with_(BLD) + "SELECT building, count(*) AS n, count(t_name) AS named FROM bld GROUP BY building")
+def _(t):
+    return t.bld.groupBy("building").agg(F.count("*").alias("n"), F.count("t_name").alias("named"))
+
+
+@query("A9_class_shares", with_(GRID) + f"SELECT code, count(*) AS n, {rnd('count(*) / (SELECT count(*) FROM grid)', 6)} AS share FROM grid GROUP BY code")
+def _(t):
+    from upland.plans.landcover import shares
+    return shares(t.grid, "code").select("code", "n", r("share", 6).alias("share"))
+
+
+# -------------------------------------------------------------------- tiles, views
+
+_VIEW = """vw AS (SELECT vid AS view_id, CASE WHEN vid % 2 = 0 THEN 13.5::DOUBLE ELSE 15.5::DOUBLE END AS zoom, vlng AS clng, vlat AS clat, vlng - w AS vwest, vlng + w AS veast, vlat - w AS vsouth, vlat + w AS vnorth,
+  CAST(600 + vid % 300 AS DOUBLE) AS height_px, CAST(vid % 60 AS DOUBLE) AS pitch, CAST(vid * 13 % 360 AS DOUBLE) AS bearing FROM (SELECT *, CASE WHEN vid % 2 = 0 THEN 0.02::DOUBLE ELSE 0.006::DOUBLE END AS w FROM ven))"""
+
+
+def views(t):
+    w = F.when(F.col("vid") % 2 == 0, 0.02).otherwise(0.006)
+    c = F.col
+    return t.ven.select(c("vid").alias("view_id"), F.when(c("vid") % 2 == 0, 13.5).otherwise(15.5).alias("zoom"), c("vlng").alias("clng"), c("vlat").alias("clat"), (c("vlng") - w).alias("vwest"), (c("vlng") + w).alias("veast"),
+                        (c("vlat") - w).alias("vsouth"), (c("vlat") + w).alias("vnorth"), (600.0 + c("vid") % 300).alias("height_px"), (c("vid") % 60).cast("double").alias("pitch"), (c("vid") * 13 % 360).cast("double").alias("bearing"))
+
+
+def _lat_sql(y):
+    return f"degrees(atan(sinh({math.pi!r}::DOUBLE * (1 - 2 * {y} / 65536.0::DOUBLE))))"
+
+
+_TL = f"""tl AS (SELECT x, y, x / 65536.0::DOUBLE * 360 - 180 AS west, (x + 1) / 65536.0::DOUBLE * 360 - 180 AS east, {_lat_sql('(y + 1)')} AS south, {_lat_sql('y')} AS north FROM (SELECT DISTINCT {_tile(16, 'slng', 'slat')[0]} AS x, {_tile(16, 'slng', 'slat')[1]} AS y FROM stop))"""
+
+
+def view_tiles(t):
+    d = t.stop.select(F.lit(16).alias("z"), geo.tile_x("slng", F.lit(16)).alias("x"), geo.tile_y("slat", F.lit(16)).alias("y")).distinct()
+    return T.with_bounds(d)
+
+
+_GAP = "sqrt(pow((greatest(west, least(clng, east)) - clng) * 111320 * cos(radians(clat)), 2) + pow((greatest(south, least(clat, north)) - clat) * 110574, 2))"
+_SEEN = "east >= vwest AND west <= veast AND north >= vsouth AND south <= vnorth"
+
+
+@query("J17_tiles_for_views", with_(VEN, STOP, _VIEW, _TL) + f"SELECT view_id, x, y, {rnd(_GAP, 3)} AS gap FROM vw JOIN tl ON {_SEEN} WHERE zoom >= 15 OR {_GAP} <= 1700 * pow(2, 14 - zoom)")
+def _(t):
+    return T.tiles_for_views(views(t), view_tiles(t)).select("view_id", "x", "y", r("gap_m", 3).alias("gap"))
+
+
+@query("J17_road_tiles", with_(VEN, STOP, _VIEW, _TL) + f"SELECT view_id, count(*) AS n FROM vw JOIN tl ON {_SEEN} WHERE zoom >= 15 AND {_GAP} <= 900 GROUP BY view_id")
+def _(t):
+    return T.tiles_for_views(views(t), view_tiles(t), "road").groupBy("view_id").agg(F.count("*").alias("n"))
+
+
+_ME = f"({geo.WEB_MERCATOR_C}::DOUBLE * cos(radians(clat)))"
+_MY = f"((1 - asinh(tan(radians(clat))) / {math.pi!r}::DOUBLE) / 2)"
+_BACK = f"(1.5 * height_px * {_ME} / (512.0::DOUBLE * pow(2, zoom)) * sin(radians(pitch)))"
+
+
+@query("J18_plant_detail", with_(VEN, STOP, _VIEW, _TL) + f"""SELECT view_id, detail, count(*) AS n FROM (SELECT view_id, CASE WHEN d < 450 THEN 'near' WHEN d < 900 THEN 'far' ELSE 'half' END AS detail FROM (SELECT view_id,
+ sqrt(pow((x + 0.5) / 65536.0::DOUBLE - (clng + 180) / 360, 2) + pow((y + 0.5) / 65536.0::DOUBLE - {_MY}, 2)) * {_ME} AS c,
+ sqrt(pow((x + 0.5) / 65536.0::DOUBLE - ((clng + 180) / 360 - {_BACK} * sin(radians(bearing)) / {_ME}), 2) + pow((y + 0.5) / 65536.0::DOUBLE - ({_MY} + {_BACK} * cos(radians(bearing)) / {_ME}), 2)) * {_ME} AS d FROM vw JOIN tl ON {_SEEN}) WHERE c <= 1400) GROUP BY view_id, detail""")
+def _(t):
+    return T.plant_detail(views(t), view_tiles(t)).groupBy("view_id", "detail").agg(F.count("*").alias("n"))
+
+
+@query("S10_manifest", with_(STOP) + f"""SELECT x, y, count(*) AS rows, CAST(sum(strlen(stop_id || '|' || sname)) AS BIGINT) AS bytes, min(slng) AS west, min(slat) AS south, max(slng) AS east, max(slat) AS north FROM (SELECT *, {_tile(12, 'slng', 'slat')[0]} AS x, {_tile(12, 'slng', 'slat')[1]} AS y FROM stop) GROUP BY x, y""")
+def _(t):
+    d = t.stop.select("*", geo.tile_x("slng", F.lit(12)).alias("x"), geo.tile_y("slat", F.lit(12)).alias("y"))
+    return T.manifest(d, ["x", "y"], ["stop_id", "sname"], "slng", "slat").drop("sha256")
+
+
+@query("A8_tile_sizes", with_(STOP) + f"""SELECT count(*) AS tiles, CAST(sum(rows) AS BIGINT) AS rows, quantile_cont(bytes, 0.5) AS p50, {rnd('quantile_cont(bytes, 0.95)', 3)} AS p95, max(bytes) AS largest FROM (SELECT count(*) AS rows, CAST(sum(strlen(stop_id || '|' || sname)) AS BIGINT) AS bytes FROM (SELECT *, {_tile(12, 'slng', 'slat')[0]} AS x, {_tile(12, 'slng', 'slat')[1]} AS y FROM stop) GROUP BY x, y)""")
+def _(t):
+    d = t.stop.select("*", geo.tile_x("slng", F.lit(12)).alias("x"), geo.tile_y("slat", F.lit(12)).alias("y"))
+    s = T.tile_sizes(T.manifest(d, ["x", "y"], ["stop_id", "sname"], "slng", "slat"))
+    return s.select("tiles", "rows", "p50", r("p95", 3).alias("p95"), "largest")
+
+
+@query("J22_orphans", "SELECT k, side FROM (SELECT DISTINCT l_partkey AS k, 'missing' AS side FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 3) UNION ALL SELECT p_partkey, 'unlisted' FROM part WHERE p_size > 3 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem))")
+def _(t):
+    return D.orphans(t.raw("lineitem").select(F.col("l_partkey").alias("k")), t.raw("part").where("p_size > 3").select(F.col("p_partkey").alias("k")), "k")
+
+
+@query("J21_manifest_rows", "SELECT l_partkey AS k, CASE WHEN p_partkey IS NULL THEN 'skipped' ELSE 'replaced' END AS outcome, max(l_quantity) AS size FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 3 GROUP BY 1, 2")
+def _(t):
+    from upland.sources.refresh import replace_entries
+    listed = t.raw("lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.max("l_quantity").alias("size"))
+    return replace_entries(listed, t.raw("part").where("p_size > 3").select(F.col("p_partkey").alias("k")), "k").select("k", "outcome", "size")
+
+
+# --------------------------------------------------------------------- data checks
+
+
+@query("D1_require_count", "SELECT count(*) AS n, TRUE AS ok FROM nation")
+def _(t):
+    return D.require_count(t.raw("nation"), 25)
+
+
+@query("D2_constraints", "SELECT 'duplicate' AS rule, count(*) AS n FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'parent', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') UNION ALL SELECT 'value', count(*) FROM orders WHERE o_orderstatus NOT IN ('O', 'F') UNION ALL SELECT 'length', count(*) FROM part WHERE length(p_name) > 11")
+def _(t):
+    li, o = t.raw("lineitem"), t.raw("orders")
+    n = lambda df, rule: df.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n")
+    return (n(D.duplicates(li, ["l_orderkey", "l_linenumber"]), "duplicate").union(n(D.missing_parents(li, "l_orderkey", o.where("o_orderstatus <> 'F'"), "o_orderkey"), "parent"))
+            .union(n(D.outside_list(o, "o_orderstatus", ["O", "F"]), "value")).union(n(D.too_long(t.raw("part"), "p_name", 11), "length")))
+
+
+@query("D3_update_counts", "SELECT count(*) FILTER (WHERE o_orderstatus = 'P') AS changed, count(*) AS rows FROM orders")
+def _(t):
+    from upland.operators.places import keyed_update
+    ch = t.raw("orders").where("o_orderstatus = 'P'").select("o_orderkey", F.lit(0.0).alias("o_totalprice"))
+    return D.update_counts(keyed_update(t.raw("orders"), ch, ["o_orderkey"], ["o_totalprice"]))
+
+
+@query("D4_count_drift", "SELECT count(*) AS n, abs(count(*) - 60000) <= 600 AS ok FROM lineitem")
+def _(t):
+    return D.count_drift(t.raw("lineitem"), 60000)
+
+
+@query("D5_height_gate", with_(DEST) + f"SELECT count(*) FILTER (WHERE d IS NULL OR abs(d) > tol) AS bad FROM (SELECT CASE WHEN id % 5 = 0 THEN 25 ELSE 35 END AS tol, CASE WHEN id % 9 <> 4 THEN CAST(round_even({height_sql(f'floor({_P15[0]})', f'floor({_P15[1]})')}, 0) AS BIGINT) END - elevation AS d FROM dest)")
+def _(t):
+    d = R.sample_nearest(t.dest.select("id", "lng", "lat", "elevation"), t.heights(t.dest.where("id % 9 <> 4"), 15))
+    d = d.withColumn("ground", F.when(F.col("id") % 9 != 4, F.col("ground")))
+    gap = F.abs(F.col("ground") - F.col("elevation"))
+    return d.agg(F.count_if(~F.coalesce(gap <= F.when(F.col("id") % 5 == 0, 25).otherwise(35), F.lit(False))).alias("bad"))
+
+
+@query("D6_tile_budget", with_(STOP) + f"SELECT x, y, bytes FROM (SELECT x, y, CAST(sum(strlen(stop_id || '|' || sname)) AS BIGINT) AS bytes FROM (SELECT *, {_tile(12, 'slng', 'slat')[0]} AS x, {_tile(12, 'slng', 'slat')[1]} AS y FROM stop) GROUP BY x, y) WHERE bytes > 5000")
+def _(t):
+    d = t.stop.select("*", geo.tile_x("slng", F.lit(12)).alias("x"), geo.tile_y("slat", F.lit(12)).alias("y"))
+    return D.tile_budget(T.manifest(d, ["x", "y"], ["stop_id", "sname"], "slng", "slat"), 5000).select("x", "y", "bytes")
+
+
+@query("D7_manifest_hash", with_(STOP) + f"SELECT DISTINCT {_tile(12, 'slng', 'slat')[0]} AS x, {_tile(12, 'slng', 'slat')[1]} AS y FROM stop WHERE stop_id % 50 = 0")
+def _(t):
+    d = t.stop.select("*", geo.tile_x("slng", F.lit(12)).alias("x"), geo.tile_y("slat", F.lit(12)).alias("y"))
+    stored = T.manifest(d, ["x", "y"], ["stop_id", "sname"], "slng", "slat")
+    now = d.withColumn("sname", F.when(F.col("stop_id") % 50 == 0, F.lit("moved")).otherwise(F.col("sname"))).withColumnRenamed("slng", "lng").withColumnRenamed("slat", "lat")
+    return D.manifest_mismatches(stored, now, ["x", "y"], ["stop_id", "sname"])
+
+
+@query("D8_round_trip", "SELECT TRUE AS ok, count(*) > 0 AS checked FROM orders")
+def _(t):
+    return D.round_trip(points(t)).select("ok", F.col("worst_m").isNotNull().alias("checked"))
+
+
+@query("D9_bad_rows", with_(STOP, DEST) + "SELECT 'stop' AS kind, stop_id AS id FROM stop WHERE stop_id % 40 = 0 UNION ALL SELECT 'place', id FROM dest WHERE elevation + 20 > 1700")
+def _(t):
+    s = t.stop.withColumn("sname", F.when(F.col("stop_id") % 40 == 0, F.lit("")).otherwise(F.col("sname")))
+    a = D.bad_stops(s, "sname", "slng", "slat").select(F.lit("stop").alias("kind"), F.col("stop_id").alias("id"))
+    return a.union(D.bad_elevations(t.dest.withColumn("elevation", F.col("elevation") + 20)).select(F.lit("place").alias("kind"), "id"))
+
+
+# ------------------------------------------------------------ element sources
+
+
+def elements(t):
+    """Elements built from parts: ways that close, ways that do not, and relations of two half rings."""
+    b = t.bld
+    pt = lambda p: F.struct(p["y"].alias("lat"), p["x"].alias("lon"))
+    ring = F.transform("ring", pt)
+    rel = F.col("bid") % 3 == 2
+    half = lambda a, n, back: F.reverse(F.slice(ring, a, n)) if back else F.slice(ring, a, n)
+    member = lambda g, i: F.struct(F.lit("way").alias("type"), (F.col("bid") * 10 + i).cast("bigint").alias("ref"), F.lit("outer").alias("role"), g.alias("geometry"))
+    geom = F.when(F.col("bid") % 3 == 1, F.slice(ring, 1, 4)).when(F.col("bid") % 3 == 0, ring)
+    return b.select(F.when(rel, "relation").otherwise("way").alias("type"), F.col("bid").alias("id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"),
+                    F.create_map(F.lit("building"), F.col("building")).alias("tags"), geom.alias("geometry"),
+                    F.when(rel, F.array(member(half(3, 3, True), 0), member(half(1, 3, False), 1))).alias("members"), "side")
+
+
+@query("S4_polygons", with_(BLD) + f"SELECT CASE WHEN bid % 3 = 2 THEN 'relation/' ELSE 'way/' END || bid AS id, {rnd('side * side', 3)} AS area FROM bld WHERE bid % 3 <> 1")
+def _(t):
+    from upland.sources.osm import polygons
+    p = polygons(elements(t))
+    ring = F.transform(F.col("outer")[0], lambda q: F.struct(q["lon"].alias("x"), q["lat"].alias("y")))
+    return p.select("id", r(G.area(ring), 3).alias("area"))
+
+
+_CLS = ("crossing", "street_lamp", "traffic_signals", "stop", "residential", "primary_link", "steps", "footway")
+
+
+@query("F21_element_classes", "SELECT cls, count(*) AS n FROM (SELECT unnest([CASE k WHEN 0 THEN CASE WHEN p_size % 2 = 0 THEN 'crossing' END WHEN 1 THEN 'lamp' WHEN 2 THEN 'signal' WHEN 3 THEN 'sign' WHEN 4 THEN CASE WHEN p_size % 5 <> 0 THEN 'drivable' END WHEN 5 THEN CASE WHEN p_size % 5 <> 0 THEN 'drivable' END WHEN 6 THEN CASE WHEN p_size % 5 <> 0 THEN 'walkway' END WHEN 7 THEN CASE WHEN p_size % 5 <> 0 THEN 'walkway' END END, CASE WHEN p_size % 3 = 0 THEN 'building' END]) AS cls FROM (SELECT p_partkey % 8 AS k, p_size FROM part)) WHERE cls IS NOT NULL GROUP BY cls")
+def _(t):
+    from upland.sources.osm import element_classes
+    k = F.col("p_partkey") % 8
+    hw = F.element_at(F.array(*[F.lit(c) for c in _CLS]), (k + 1).cast("int"))
+    tags = F.map_filter(F.create_map(F.lit("highway"), hw, F.lit("crossing"), F.when((k == 0) & (F.col("p_size") % 2 == 1), "unmarked"), F.lit("tunnel"), F.when(F.col("p_size") % 5 == 0, "yes"),
+                                     F.lit("building"), F.when(F.col("p_size") % 3 == 0, "yes")), lambda a, b: b.isNotNull())
+    d = t.raw("part").select(F.when(k < 4, "node").otherwise("way").alias("type"), tags.alias("tags"))
+    return d.select(F.explode(element_classes()).alias("cls")).groupBy("cls").agg(F.count("*").alias("n"))
