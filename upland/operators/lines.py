@@ -62,16 +62,6 @@ def bearing_at(line, i) -> Column:
     return bearing_deg(pa["lng"], pa["lat"], pb["lng"], pb["lat"])
 
 
-def index_at_arc(arc, target) -> Column:
-    """Index of the vertex whose arc position is closest to target (the earlier one when level)."""
-    arc, t = col(arc), col(target)
-    after = F.array_position(F.transform(arc, lambda v: v >= t), True).cast("int") - 1
-    before = after - 1
-    return (F.when(t <= F.get(arc, F.lit(0)), F.lit(0))
-            .when(after < 0, F.size(arc) - 1)
-            .when(t - F.get(arc, before) <= F.get(arc, after) - t, before).otherwise(after))
-
-
 def forward_indices(line, stops) -> Column:
     """For each stop in order, the vertex nearest to it at or after the previous stop's vertex."""
     g = col(line)
@@ -250,24 +240,24 @@ def backtracks(routes: DataFrame, code: str = "code", line: str = "line", stop_i
     return runs.groupBy(code, "_run").agg(F.min("i").alias("i"), F.max("j").alias("j"), F.max("gap").alias("path_gap_m")).drop("_run")
 
 
-def stop_uturns(line, arc, idx, *, near_m: float = 15.0, step_m: float = 3.0, least_m: float = 50.0) -> Column:
-    """Stops (not the first or last) whose approach and departure run on top of each other for at least least_m:
-    array of struct(stop, at, spur_m). `idx` holds each stop's vertex."""
-    g, arc, idx = col(line), col(arc), col(idx)
-    end = F.element_at(arc, -1)
-
-    def spur(centre):
-        room = F.floor(F.least(centre, end - centre) / step_m).cast("int")
-        # first step at which the two sides have parted
-        parted = F.array_min(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(room, F.lit(1))), lambda k: F.struct(k.alias("k"), haversine_m(
-            F.get(g, index_at_arc(arc, centre - k * step_m))["lng"], F.get(g, index_at_arc(arc, centre - k * step_m))["lat"],
-            F.get(g, index_at_arc(arc, centre + k * step_m))["lng"], F.get(g, index_at_arc(arc, centre + k * step_m))["lat"]).alias("d"))),
-            lambda s: s["d"] > near_m))
-        return F.when(room < 1, F.lit(0.0)).otherwise(F.coalesce(parted["k"] - 1, room) * F.lit(step_m))
-
-    middle = F.when(F.size(idx) > 2, F.sequence(F.lit(1), F.size(idx) - 2)).otherwise(F.array().cast("array<int>"))
-    found = F.transform(middle, lambda s: F.struct(s.alias("stop"), F.get(idx, s).alias("at"), spur(F.get(arc, F.get(idx, s))).alias("spur_m")))
-    return F.filter(found, lambda u: u["spur_m"] >= least_m)
+def stop_uturns(routes: DataFrame, *, near_m: float = 15.0, step_m: float = 3.0, least_m: float = 50.0) -> DataFrame:
+    """Stops (not the first or last) whose approach and departure run on top of each other for at least least_m: code,
+    stop, at (vertex), spur_m. Routes carry code, line, stop_idx. One row per stop and step, so a long line's steps spread
+    over tasks; the first parted step is a map-side minimum."""
+    r = routes.select("code", F.explode(F.array(F.struct(F.col("line").alias("g"), arc_m("line").alias("arc"), F.col("stop_idx").alias("idx")))).alias("m"))
+    s = r.select("code", "m.g", "m.arc", F.size("m.idx").alias("n"), F.posexplode("m.idx").alias("stop", "at")).where("stop >= 1 AND stop <= n - 2")
+    s = s.withColumn("centre", F.get("arc", F.col("at"))).withColumn("room", F.floor(F.least(F.col("centre"), F.element_at("arc", -1) - F.col("centre")) / step_m).cast("int"))
+    k = s.where("room >= 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("room"))))
+    for side, sign in (("b", -1), ("f", 1)):
+        t = F.col("centre") + sign * F.col("k") * F.lit(step_m)
+        # vertices short of the target: the arc rises, so their number is the first vertex at or past it
+        k = k.withColumn(f"_{side}", F.least(F.size(F.filter("arc", lambda v, t=t: v < t)), F.size("arc") - 1))
+        i, before = F.col(f"_{side}"), F.greatest(F.col(f"_{side}") - 1, F.lit(0))
+        k = k.withColumn(f"_{side}", F.when(t - F.get("arc", before) <= F.get("arc", i) - t, before).otherwise(i))
+    p, q = F.get("g", F.col("_b")), F.get("g", F.col("_f"))
+    parted = haversine_m(p["lng"], p["lat"], q["lng"], q["lat"]) > near_m
+    out = k.groupBy("code", "stop", "at", "room").agg(F.min(F.when(parted, F.col("k"))).alias("first"))
+    return out.select("code", "stop", "at", (F.coalesce(F.col("first") - 1, F.col("room")) * F.lit(step_m)).alias("spur_m")).where(F.col("spur_m") >= least_m)
 
 
 def project_on_line(lng, lat, line) -> Column:

@@ -41,7 +41,8 @@ def height_m(height, levels, building, has_name, area, centre_m, oid) -> Column:
     guess = F.when(area > 600, guess + 1.0).when(area < 40, F.least(guess, F.lit(1.5))).otherwise(guess)
     guess = guess + F.when(col(has_name), 0.5).otherwise(0.0) + (crc_of(oid) % 5 - 2) * 0.5
     rounded = F.least(F.lit(10.0), F.greatest(F.lit(1.0), F.bround(guess)))
-    return F.coalesce(tagged, F.greatest(F.lit(1.0), storeys) * STOREY_M, rounded * STOREY_M)
+    mapped = F.when(storeys.isNotNull(), F.greatest(F.lit(1.0), storeys) * STOREY_M)   # greatest skips nulls
+    return F.coalesce(tagged, mapped, rounded * STOREY_M)
 
 
 def storeys_by_size(height, levels, area, oid, lo: float, hi: float) -> Column:

@@ -354,8 +354,8 @@ def island_cells(roads: DataFrame) -> DataFrame:
 def connected_cells(cells: DataFrame, cut, rounds: int = 40) -> DataFrame:
     """Cells (gx, gy) labelled by connected group (4 neighbours): label is the group's least cell key.
 
-    Labels pass to neighbours and jump through their own label's label, so the rounds grow with the logarithm of a
-    group's extent, not its size. `cut` cuts lineage each round by a reliable checkpoint."""
+    Labels pass to neighbours and jump along chains of labels, so the rounds grow with the logarithm of a group's
+    extent, not its size. `cut` cuts lineage each round by a reliable checkpoint."""
     key = F.concat_ws(",", F.lpad((F.col("gx") + 10**9).cast("string"), 12, "0"), F.lpad((F.col("gy") + 10**9).cast("string"), 12, "0"))
     v = cut(cells.select("gx", "gy", key.alias("id"), key.alias("label")))
     step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))]))
@@ -363,8 +363,11 @@ def connected_cells(cells: DataFrame, cut, rounds: int = 40) -> DataFrame:
         sent = v.select(step.alias("d"), "gx", "gy", "label").select((F.col("gx") + F.col("d.a")).alias("gx"), (F.col("gy") + F.col("d.b")).alias("gy"), "label")
         least = sent.groupBy("gx", "gy").agg(F.min("label").alias("_l"))
         near = v.join(least, ["gx", "gy"]).select("gx", "gy", "id", "label", F.least("label", "_l").alias("next"))
-        # the old label's owner learns the least label seen by its members, and members follow it
+        # each label learns the least label its members touch, then follows that label's own answer (eight hops a round)
         heads = near.groupBy(F.col("label").alias("_h")).agg(F.min("next").alias("_best"))
+        for _ in range(3):
+            onward = heads.select(F.col("_h").alias("_best"), F.col("_best").alias("_onward"))
+            heads = heads.join(onward, "_best", "left").select("_h", F.coalesce("_onward", "_best").alias("_best"))
         jump = near.join(heads, F.col("label") == F.col("_h"), "left")
         new = cut(jump.select("gx", "gy", "id", F.col("label").alias("old"), F.least("next", F.coalesce("_best", "next")).alias("label")))
         changed = new.where("label <> old").limit(1).count()

@@ -29,8 +29,9 @@ def unmatched_stops(stops: DataFrame, vertices: DataFrame, stop_id: str, eps: fl
 
 
 def route_report(routes: DataFrame) -> DataFrame:
-    """One row per route (code, line, stops array<struct<name, lng, lat>>, is_loop): lengths, stop distances, order, stop
-    U-turns and whether each limit holds. All of it is arithmetic on the route's own arrays, so nothing is shuffled."""
+    """One row per route (code, line, stops array<struct<name, lng, lat>>, is_loop): lengths, stop distances, order and
+    whether each limit holds. All of it is arithmetic on the route's own arrays, so nothing is shuffled; U-turns at stops
+    and backtracks come from `lines.stop_uturns` and `lines.backtracks` on the result."""
     stops = F.transform("stops", lambda s: F.struct(s["lng"].alias("lng"), s["lat"].alias("lat")))
     r = routes.withColumn("_s", stops).withColumn("stop_idx", L.forward_indices("line", "_s")).withColumn("_arc", L.arc_m("line"))
     closed = F.when(F.col("is_loop"), F.concat("_s", F.slice("_s", 1, 1))).otherwise(F.col("_s"))
@@ -44,10 +45,9 @@ def route_report(routes: DataFrame) -> DataFrame:
         F.size("line").alias("vertices"), F.element_at("_arc", -1).alias("length_m"), L.length_m(closed).alias("straight_m"),
         F.array_max(off).alias("worst_stop_m"), L.strictly_rising("stop_idx").alias("in_order"),
         (haversine_m(first["lng"], first["lat"], start["lng"], start["lat"]) <= STOP_ON_LINE_M).alias("starts_at_stop"),
-        (haversine_m(last["lng"], last["lat"], end["lng"], end["lat"]) <= STOP_ON_LINE_M).alias("ends_at_stop"),
-        L.stop_uturns("line", "_arc", "stop_idx").alias("uturns"))
+        (haversine_m(last["lng"], last["lat"], end["lng"], end["lat"]) <= STOP_ON_LINE_M).alias("ends_at_stop"))
     return r.withColumn("ratio", F.col("length_m") / F.col("straight_m")).withColumn("is_sketch", F.col("vertices") <= SKETCH_VERTICES).withColumn(
-        "ok", (F.col("worst_stop_m") <= STOP_ON_LINE_M) & F.col("in_order") & F.col("ratio").between(*RATIO) & (F.size("uturns") == 0)
+        "ok", (F.col("worst_stop_m") <= STOP_ON_LINE_M) & F.col("in_order") & F.col("ratio").between(*RATIO)
         & F.col("starts_at_stop") & F.col("ends_at_stop"))
 
 
@@ -59,7 +59,9 @@ def worst_detours(points: DataFrame) -> DataFrame:
          + haversine_m(F.get("w", i)["lng"], F.get("w", i)["lat"], F.get("w", i + 1)["lng"], F.get("w", i + 1)["lat"])
          - haversine_m(F.get("w", i - 1)["lng"], F.get("w", i - 1)["lat"], F.get("w", i + 1)["lng"], F.get("w", i + 1)["lat"])).alias("score"),
         (-F.get("w", i)["seq"]).alias("back"), F.get("w", i)["mandatory"].alias("mandatory")))
-    best = points.where(F.size("w") > 2).withColumn("_best", F.array_max(F.filter(mid, lambda m: ~m["mandatory"])))
+    # to the millimetre, the earlier waypoint first
+    ranked = F.transform(F.filter(mid, lambda m: ~m["mandatory"]), lambda m: F.struct(F.floor(m["score"] * 1000 + 0.5).alias("mm"), m["back"].alias("back"), m["score"].alias("score")))
+    best = points.where(F.size("w") > 2).withColumn("_best", F.array_max(ranked))
     return best.where(F.col("_best").isNotNull()).select("code", (-F.col("_best.back")).alias("seq"), F.col("_best.score").alias("score"))
 
 

@@ -507,7 +507,7 @@ def _(t):
     return DI.landmark_candidates(landmarks(t), t.bld).select("lid", "bid", r("area", 3).alias("area"))
 
 
-@query("P10_corridor", with_(SEG, _LM) + f"""SELECT lid, code, {rnd('sum(greatest(0, least(len, tt + hh) - greatest(0, tt - hh)))', 2)} AS metres FROM (SELECT *, sqrt(greatest(0, 62500 - off * off)) AS hh FROM (SELECT *, ((lx - ax) * (bx - ax) + (ly - ay) * (by - ay)) / len AS tt, ((lx - ax) * (by - ay) - (ly - ay) * (bx - ax)) / len AS off FROM seg, lm WHERE {DIST.replace('x -', 'lx -').replace('y -', 'ly -') if False else 'TRUE'}) WHERE abs(off) < 250) WHERE greatest(0, least(len, tt + hh) - greatest(0, tt - hh)) > 0 GROUP BY lid, code""")
+@query("P10_corridor", with_(SEG, _LM) + f"""SELECT lid, code, {rnd('sum(greatest(0, least(len, tt + hh) - greatest(0, tt - hh)))', 2)} AS metres FROM (SELECT *, sqrt(greatest(0, 62500 - off * off)) AS hh FROM (SELECT *, ((lx - ax) * (bx - ax) + (ly - ay) * (by - ay)) / len AS tt, ((lx - ax) * (by - ay) - (ly - ay) * (bx - ax)) / len AS off FROM seg, lm ) WHERE abs(off) < 250) WHERE greatest(0, least(len, tt + hh) - greatest(0, tt - hh)) > 0 GROUP BY lid, code""")
 def _(t):
     return DI.corridor(t.segs, landmarks(t), 250.0).where("metres > 0").select("lid", "code", r("metres", 2).alias("metres"))
 
@@ -571,8 +571,7 @@ def routes(t):
 
 @query("P14_stop_uturns")
 def _(t):
-    d = Q.route_report(routes(t)).select("code", F.explode("uturns").alias("u"))
-    return d.select("code", "u.stop", "u.at", "u.spur_m")
+    return L.stop_uturns(Q.route_report(routes(t)))
 
 
 _BR = "fmod(degrees(atan2(sin(radians(b.lng - a.lng)) * cos(radians(b.lat)), cos(radians(a.lat)) * sin(radians(b.lat)) - sin(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lng - a.lng)))) + 360, 360)"
@@ -589,7 +588,7 @@ def _(t):
     return L.backtracks(d).select("code", "i", "j", r("path_gap_m", 2).alias("gap"))
 
 
-@query("W11_worst_detour", with_(PATH) + f"""SELECT code, seq, {rnd('score', 3)} AS score FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY score DESC, seq) AS rn FROM (SELECT code, i AS seq, {hav_km('plng', 'plat', 'lng', 'lat', 6371000.0)} + {hav_km('lng', 'lat', 'nlng', 'nlat', 6371000.0)} - {hav_km('plng', 'plat', 'nlng', 'nlat', 6371000.0)} AS score
+@query("W11_worst_detour", with_(PATH) + f"""SELECT code, seq, {rnd('score', 3)} AS score FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY floor(score * 1000 + 0.5) DESC, seq) AS rn FROM (SELECT code, i AS seq, {hav_km('plng', 'plat', 'lng', 'lat', 6371000.0)} + {hav_km('lng', 'lat', 'nlng', 'nlat', 6371000.0)} - {hav_km('plng', 'plat', 'nlng', 'nlat', 6371000.0)} AS score
  FROM (SELECT *, lag(lng) OVER w AS plng, lag(lat) OVER w AS plat, lead(lng) OVER w AS nlng, lead(lat) OVER w AS nlat FROM path WINDOW w AS (PARTITION BY code ORDER BY i)) WHERE plng IS NOT NULL AND nlng IS NOT NULL AND i % 5 <> 0)) WHERE rn = 1""")
 def _(t):
     w = F.transform("line", lambda p, i: F.struct(i.alias("seq"), p["lng"].alias("lng"), p["lat"].alias("lat"), (i % 5 == 0).alias("mandatory")))

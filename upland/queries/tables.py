@@ -183,7 +183,9 @@ class Tables:
         self.spark, self.folder = configure(spark), folder
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A given table; instants stored without a zone are UTC."""
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return df.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes])
 
     def _view(self, text: str, **tables) -> DataFrame:
         """Run one of the view texts: `name AS (SELECT ... FROM table)` over the given tables."""
