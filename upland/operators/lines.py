@@ -251,7 +251,7 @@ def stop_uturns(routes: DataFrame, *, near_m: float = 15.0, step_m: float = 3.0,
     for side, sign in (("b", -1), ("f", 1)):
         t = F.col("centre") + sign * F.col("k") * F.lit(step_m)
         # vertices short of the target: the arc rises, so their number is the first vertex at or past it
-        k = k.withColumn(f"_{side}", F.least(F.size(F.filter("arc", lambda v, t=t: v < t)), F.size("arc") - 1))
+        k = k.withColumn(f"_{side}", F.least(F.size(F.filter("arc", lambda v: v < t)), F.size("arc") - 1))
         i, before = F.col(f"_{side}"), F.greatest(F.col(f"_{side}") - 1, F.lit(0))
         k = k.withColumn(f"_{side}", F.when(t - F.get("arc", before) <= F.get("arc", i) - t, before).otherwise(i))
     p, q = F.get("g", F.col("_b")), F.get("g", F.col("_f"))
