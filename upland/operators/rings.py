@@ -222,12 +222,16 @@ def convex_hulls(points: DataFrame, key: str, salts: int = 16) -> DataFrame:
         return pd.concat(parts) if parts else pdf[[key, "x", "y"]]
 
     schema = f"{key} {kt}, x double, y double"
-    local = small.mapInPandas(lambda it: (reduce(b) for b in it), schema)
-    salted = local.withColumn("_salt", F.pmod(F.xxhash64("x", "y"), F.lit(salts)))
-    local = salted.groupBy(key, "_salt").applyInPandas(lambda pdf: reduce(pdf), schema)
+    by_batch = lambda df: df.mapInPandas(lambda it: (reduce(b) for b in it), schema)
+    salt = F.pmod(F.xxhash64("x", "y"), F.lit(salts))
+    local = by_batch(by_batch(small).repartition(F.col(key), salt))
 
-    def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = _hull(pdf[["x", "y"]].to_numpy())
-        return pd.DataFrame({key: pdf[key].iloc[0], "i": np.arange(len(h), dtype="int32"), "x": h[:, 0], "y": h[:, 1]})
+    point = "array<struct<x:double,y:double>>"
 
-    return local.groupBy(key).applyInPandas(final, f"{key} {kt}, i int, x double, y double")
+    @F.pandas_udf(point)
+    def final(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([[{"x": float(a), "y": float(b)} for a, b in _hull(np.column_stack([x, y]))] for x, y in zip(xs, ys)])
+
+    few = local.groupBy(key).agg(F.collect_list(F.struct("x", "y")).alias("_p"))
+    hull = final(F.transform("_p", lambda p: p["x"]), F.transform("_p", lambda p: p["y"]))
+    return few.select(key, F.posexplode(hull).alias("i", "_h")).select(key, "i", "_h.x", "_h.y")

@@ -106,14 +106,13 @@ def street_front(buildings: DataFrame, segs: DataFrame, streets: DataFrame, half
 
 def match_areas(areas: DataFrame, buildings: DataFrame, share: float = 0.5) -> DataFrame:
     """(area, building) where more than `share` of the building's metre cells lie in the area (aid, aedges, west..north)."""
-    from upland.plans.roads import ring_cells
-    cells = ring_cells(buildings, "bid")
-    total = cells.groupBy("bid").agg(F.count("*").alias("cells"))
+    pairs = box_join(areas.select("aid", "aedges", "west", "south", "east", "north"), buildings.select("bid", "edges", "w", "s", "e", "n"),
+                     [F.col(c) for c in ("west", "south", "east", "north")], [F.col(c) for c in "wsen"], F.lit(True))
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a)).cast("long"), F.floor(F.col(b)).cast("long")))
     px, py = F.col("gx") + 0.5, F.col("gy") + 0.5
-    inside = box_join(cells, areas.select("aid", "aedges", "west", "south", "east", "north"), [px, py, px, py],
-                      [F.col(c) for c in ("west", "south", "east", "north")], G.contains("aedges", px, py))
-    part = inside.groupBy("aid", "bid").agg(F.count("*").alias("inside"))
-    return part.join(total, "bid").where(F.col("inside") > F.lit(share) * F.col("cells")).select("aid", "bid", "inside", "cells")
+    cells = pairs.withColumn("gx", span("w", "e")).withColumn("gy", span("s", "n")).where(G.contains("edges", px, py))
+    part = cells.groupBy("aid", "bid").agg(F.count_if(G.contains("aedges", px, py)).alias("inside"), F.count("*").alias("cells"))
+    return part.where(F.col("inside") > F.lit(share) * F.col("cells")).select("aid", "bid", "inside", "cells")
 
 
 def hotel_buildings(points: DataFrame, areas: DataFrame, buildings: DataFrame, segs: DataFrame) -> DataFrame:

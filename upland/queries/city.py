@@ -307,15 +307,17 @@ def _(t):
 
 
 _ENDS = """ends AS (SELECT floor(x * 100 + 0.5) / 100 AS jx, floor(y * 100 + 0.5) / 100 AS jy FROM (SELECT p.* FROM ppath p JOIN (SELECT code, max(i) AS m FROM ppath GROUP BY code) USING (code) WHERE i = 0 OR i = m) GROUP BY 1, 2 HAVING count(*) >= 2),
- jt AS (SELECT jx, jy FROM ends UNION SELECT floor(x * 100 + 0.5) / 100, floor(y * 100 + 0.5) / 100 FROM ppath WHERE i = 7 AND code % 2 = 0)"""
+ jt AS (SELECT jx, jy FROM ends UNION SELECT floor(x * 100 + 0.5) / 100, floor(y * 100 + 0.5) / 100 FROM ppath WHERE i = 7 AND code % 2 = 0
+  UNION SELECT floor(x * 100 + 0.5) / 100, floor(y * 100 + 0.5) / 100 FROM ppath p JOIN (SELECT code, max(i) AS m FROM ppath GROUP BY code) USING (code) WHERE i = m AND code % 3 = 0)"""
 
 
 def joints(t):
-    """Shared line ends, and every second line's middle so that most lines have a junction."""
+    """Shared line ends, every second line's middle and every third line's end, so that most lines have a junction."""
     own = RD.planar_ends(t.planar_lines)
     q = lambda c: F.floor(F.col(c) * 100 + 0.5) / 100
     mid = t.planar_lines.where((F.col("code") % 2 == 0) & (F.size("line") > 7)).select(F.col("line")[7].alias("p")).select(q("p.x").alias("jx"), q("p.y").alias("jy"))
-    return own.union(mid).distinct()
+    end = t.planar_lines.where("code % 3 = 0").select(F.element_at("line", -1).alias("p")).select(q("p.x").alias("jx"), q("p.y").alias("jy"))
+    return own.union(mid).union(end).distinct()
 
 
 _POS = lambda every, off: f"(SELECT s.*, step, step * {every}::DOUBLE + {off} AS tpos FROM aseg s, (SELECT unnest(range(0, 400)) AS step)) WHERE len > 0 AND tpos >= start AND tpos < start + len"
@@ -564,14 +566,14 @@ def _(t):
     return d.select("code", "vertices", r("length_m", 3).alias("length_m"), r("straight_m", 3).alias("straight_m"), F.col("starts_at_stop").alias("starts"))
 
 
-def routes(t):
-    stops = F.transform(F.filter("line", lambda p, i: i % 5 == 0), lambda p: F.struct(F.lit("stop").alias("name"), p["lng"].alias("lng"), p["lat"].alias("lat")))
+def routes(t, every=5):
+    stops = F.transform(F.filter("line", lambda p, i: i % every == 0), lambda p: F.struct(F.lit("stop").alias("name"), p["lng"].alias("lng"), p["lat"].alias("lat")))
     return t.lines.where(F.size("line") > 5).select("code", "line", stops.alias("stops"), F.lit(False).alias("is_loop"))
 
 
 @query("P14_stop_uturns")
 def _(t):
-    return L.stop_uturns(Q.route_report(routes(t)))
+    return L.stop_uturns(Q.route_report(routes(t, 4)))
 
 
 _BR = "fmod(degrees(atan2(sin(radians(b.lng - a.lng)) * cos(radians(b.lat)), cos(radians(a.lat)) * sin(radians(b.lat)) - sin(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lng - a.lng)))) + 360, 360)"

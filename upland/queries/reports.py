@@ -121,9 +121,9 @@ def _(t):
     return d.where("accepted").groupBy("user_id").agg(F.count("*").alias("accepted"))
 
 
-@query("T3_claim", with_(REP) + f"SELECT id FROM (SELECT id, row_number() OVER (ORDER BY created_at, id) AS rn FROM rep WHERE status = 'received') WHERE rn <= 500 - (SELECT count(*) FROM rep WHERE checked_at > {NOW} - INTERVAL 1 DAY)")
+@query("T3_claim", with_(REP) + f"SELECT id FROM (SELECT id, row_number() OVER (ORDER BY created_at, id) AS rn FROM rep WHERE status = 'received') WHERE rn <= 2000 - (SELECT count(*) FROM rep WHERE checked_at > {NOW} - INTERVAL 1 DAY)")
 def _(t):
-    return Q.claim(reports(t), now(), 500)
+    return Q.claim(reports(t), now(), 2000)
 
 
 @query("T4_status_machine", """WITH ev AS (SELECT *, (ts, event_id) AS a FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM ev WHERE event_type = 'error'),
@@ -193,7 +193,7 @@ def _(t):
 @query("T11_status_by_token", with_(REP) + "SELECT token, status, status_note FROM rep WHERE id % 10 = 0")
 def _(t):
     rep = reports(t)
-    asked = rep.where("id % 10 = 0").select("token").union(rep.where("id % 10 = 1").select(F.upper("token").alias("token"))).union(rep.where("id % 10 = 2").select(F.lit("x").alias("token")))
+    asked = rep.where("id % 10 = 0").select("token").union(rep.where("id % 10 = 1").select(F.concat("token", F.lit("0")).alias("token"))).union(rep.where("id % 10 = 2").select(F.lit("x").alias("token")))
     return Q.status_by_token(rep, asked).select("token", "status", "status_note")
 
 
