@@ -166,7 +166,6 @@ def site_records(sites: DataFrame, stretch: float = 1.0) -> DataFrame:
     """Sites (tile z, x, y, lng, lat, ground, height) to whole-number records: east and north of the tile's centre in 1/80 m
     from -400 m, ground in 1/20 m above the tile's lowest, height in 1/8 m; all clipped to their ranges. The lowest ground
     of a tile is an aggregate joined back, so no tile is gathered."""
-    n = F.pow(F.lit(2.0), "z")
     clat = (tile_north("y", "z") + tile_north(F.col("y") + 1, "z")) / 2
     clng = (tile_west("x", "z") + tile_west(F.col("x") + 1, "z")) / 2
     k = F.lit(WEB_MERCATOR_C) * F.cos(F.radians(clat))
@@ -175,7 +174,6 @@ def site_records(sites: DataFrame, stretch: float = 1.0) -> DataFrame:
     low = sites.groupBy("z", "x", "y").agg((F.floor(F.min(F.col("ground") * stretch) * 20) / 20).alias("e0"))
     clip = lambda c, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), c.cast("int")))
     s = sites.join(low, ["z", "x", "y"])
-    del n
     return s.select("*", clip(F.bround((east + 400) * 80), 0, 65535).alias("rx"), clip(F.bround((north + 400) * 80), 0, 65535).alias("ry"),
                     clip(F.bround((F.col("ground") * stretch - F.col("e0")) * 20), 0, 65535).alias("re"), clip(F.bround(F.col("height") * 8), 1, 255).alias("rh"))
 

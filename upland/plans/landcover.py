@@ -69,7 +69,7 @@ def classify(grid: DataFrame, areas: DataFrame, west: float, north: float, dx: f
     rank = F.create_map(*[F.lit(v) for c, i in RANK.items() for v in (c, i)])
     x, y = F.col("lng"), F.col("lat")
     shapes = areas.select(F.col("acls"), "edges", "west", "south", "east", "north").dropDuplicates(["acls", "edges"])
-    over = box_join(cells, shapes, [x, y, x, y], [F.col(c) for c in ("west", "south", "east", "north")], G.contains("edges", "lng", "lat"), floor_level=-10)
+    over = box_join(cells, shapes, [x, y, x, y], [F.col(c) for c in ("west", "south", "east", "north")], G.contains("edges", "lng", "lat"), floor_level=-16)
     hits = over.select("row", "col", rank[F.col("acls")].alias("_k"))
     if cliffs is not None:
         kx, ky = M_PER_DEG_LNG * math.cos(math.radians(CITY_LAT)), M_PER_DEG_LAT
@@ -77,7 +77,7 @@ def classify(grid: DataFrame, areas: DataFrame, west: float, north: float, dx: f
         m = lambda c, k: F.col(c) * F.lit(k)
         d = segment_distance(m("lng", kx), m("lat", ky), m("ax", kx), m("ay", ky), m("bx", kx), m("by", ky))
         box = [F.least("ax", "bx") - px, F.least("ay", "by") - py, F.greatest("ax", "bx") + px, F.greatest("ay", "by") + py]
-        rock = box_join(cells, cliffs.select("ax", "ay", "bx", "by"), [x, y, x, y], box, d <= CLIFF_HALF_M, floor_level=-10)
+        rock = box_join(cells, cliffs.select("ax", "ay", "bx", "by"), [x, y, x, y], box, d <= CLIFF_HALF_M, floor_level=-16)
         hits = hits.union(rock.select("row", "col", F.lit(RANK[ROCK]).alias("_k")))
     sets = hits.groupBy("row", "col").agg(F.collect_set("_k").alias("_ranks"))
     out = cells.join(sets, ["row", "col"], "left")

@@ -32,10 +32,10 @@ def _(t):
     return out[0].union(out[1]).union(out[2])
 
 
-@query("F3_enum", with_(DEST) + "SELECT id, category, era FROM dest WHERE category = 'MARKET' AND era = 'MODERN'")
+@query("F3_enum", with_(DEST) + "SELECT id, category, era FROM dest WHERE category = 'MARKET' AND era = 'PRE_COLONIAL'")
 def _(t):
     d = P.enum_filter(t.dest, "category", "MARKET", P.CATEGORIES)
-    return P.enum_filter(d, "era", "MODERN", P.ERAS).select("id", "category", "era")
+    return P.enum_filter(d, "era", "PRE_COLONIAL", P.ERAS).select("id", "category", "era")
 
 
 @query("F4_any_category", with_(DEST) + "SELECT id, category FROM dest WHERE category IN ('PARK', 'CHURCH')")
