@@ -292,9 +292,6 @@ def _(t):
     return L.points_along(t.segs, 8.0).select("code", "step", r("x", 3).alias("x"), r("y", 3).alias("y"))
 
 
-_PROJ = hav_km("0", "0", "0", "0")
-
-
 @query("E24_project", with_(PVEN, SEG) + f"""SELECT vid, {rnd('ax + tt * (bx - ax)', 2)} AS fx, {rnd('ay + tt * (by - ay)', 2)} AS fy FROM ({_NL}) WHERE rn = 1""")
 def _(t):
     d = L.nearest_line(pven(t), t.segs, point_id="vid", line_id="code")
@@ -541,3 +538,41 @@ def _(t):
                                      F.lit("building"), F.when(F.col("p_size") % 3 == 0, "yes")), lambda a, b: b.isNotNull())
     d = t.raw("part").select(F.when(k < 4, "node").otherwise("way").alias("type"), tags.alias("tags"))
     return d.select(F.explode(element_classes()).alias("cls")).groupBy("cls").agg(F.count("*").alias("n"))
+
+
+@query("S3_elements", with_(BLD) + "SELECT CASE WHEN bid % 3 = 2 THEN 'relation' ELSE 'way' END AS type, building, count(*) AS n, CAST(sum(CASE bid % 3 WHEN 0 THEN 5 WHEN 1 THEN 4 ELSE 0 END) AS BIGINT) AS points FROM bld GROUP BY 1, 2")
+def _(t):
+    """Elements written as extract documents of one element a line, then read back through the extract schema."""
+    from upland.schemas import OSM
+    from upland.sources.osm import elements_from_docs
+    docs = elements(t).drop("side").select(F.to_json(F.struct(F.array(F.struct("*")).alias("elements"))).alias("value"))
+    e = elements_from_docs(docs.select(F.from_json("value", OSM).alias("d")).select("d.*"))
+    return e.groupBy("type", F.col("tags")["building"].alias("building")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.size("geometry"), F.lit(0)) * F.col("geometry").isNotNull().cast("int")).alias("points"))
+
+
+@query("S2_history", "SELECT p_type AS era, 1900 AS start_year, count(*) AS events, count(*) FILTER (WHERE p_partkey % 4 <> 0) AS mapped FROM part GROUP BY p_type")
+def _(t):
+    """History documents, half of them with snake_case year keys, read through the history schema."""
+    from upland.schemas import HISTORY
+    from upland.sources.geojson import history_from_docs
+    p = t.raw("part")
+    era = F.array(F.struct(F.col("p_type").alias("key"), F.when(F.col("p_partkey") % 2 == 0, 1900).alias("startYear"), F.when(F.col("p_partkey") % 2 == 1, 1900).alias("start_year")))
+    event = F.array(F.struct(F.col("p_name").alias("title"), (1900 + F.col("p_size")).alias("year"), F.col("p_type").alias("era"), F.when(F.col("p_partkey") % 4 != 0, F.array(F.lit(120.6), F.lit(16.4))).alias("coord")))
+    docs = p.select(F.from_json(F.to_json(F.struct(era.alias("eras"), event.alias("events"))), HISTORY).alias("d")).select("d.*")
+    eras, events = history_from_docs(docs)
+    n = events.groupBy("era").agg(F.count("*").alias("events"), F.count("lng").alias("mapped"))
+    return eras.groupBy(F.col("key").alias("era")).agg(F.max("start_year").alias("start_year")).join(n, "era")
+
+
+@query("S6_grid_positions", with_(GRID) + f"""SELECT "row", "col", {rnd('120.5::DOUBLE + ("col" + 0.5) * 0.0001::DOUBLE', 6)} AS lng, {rnd('16.5::DOUBLE - ("row" + 0.5) * 0.0001::DOUBLE', 6)} AS lat FROM grid""")
+def _(t):
+    x, y = R.grid_centre(120.5, 16.5, 0.0001, 0.0001)
+    return t.grid.select("row", "col", r(x, 6).alias("lng"), r(y, 6).alias("lat"))
+
+
+@query("S7_refresh_ids", "SELECT 'supplier' AS name, count(*) AS rows, count(*) AS ids FROM supplier UNION ALL SELECT 'orders', count(*), count(*) FROM orders")
+def _(t):
+    """Rows and distinct deterministic ids per table of a refresh; parents come first."""
+    from upland.sources.refresh import with_row_ids
+    n = lambda name, *key: with_row_ids(t.raw(name), name, *key).agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids")).select(F.lit(name).alias("name"), "rows", "ids")
+    return n("supplier", "s_name").union(n("orders", "o_custkey", "o_orderkey"))

@@ -37,7 +37,11 @@ def features_from_text(lines: DataFrame) -> DataFrame:
 
 def read_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(eras, events); the year keys come in camelCase or snake_case."""
-    doc = spark.read.schema(HISTORY).option("multiLine", True).json(path)
+    return history_from_docs(spark.read.schema(HISTORY).option("multiLine", True).json(path))
+
+
+def history_from_docs(doc: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(eras, events) of parsed history documents."""
     eras = doc.select(F.explode("eras").alias("e")).select("e.*")
     eras = eras.select("key", "name", F.coalesce("startYear", "start_year").alias("start_year"), F.coalesce("endYear", "end_year").alias("end_year"), "summary")
     events = doc.select(F.explode("events").alias("e")).select("e.*")

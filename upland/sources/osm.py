@@ -13,7 +13,11 @@ from upland.schemas import OSM
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
     """One row per element with its tags map, geometry and members. A whole-document extract is one JSON value; write
     it to Parquet once and let later jobs read that."""
-    doc = spark.read.schema(OSM).option("multiLine", True).json(path)
+    return elements_from_docs(spark.read.schema(OSM).option("multiLine", True).json(path))
+
+
+def elements_from_docs(doc: DataFrame) -> DataFrame:
+    """One row per element of parsed extract documents (also line-delimited ones, which split over tasks)."""
     return doc.select(F.explode("elements").alias("e")).select("e.*")
 
 
