@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from upland.llm import exact_dedup, mixing
+from upland.llm import exact_dedup, html_text, licenses, mixing, secret_scan
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,21 @@ def op2(spark, folder):
     return exact_dedup.classes(table(spark, folder, "documents")).drop("k")
 
 
+@query("op3_license_scan")
+def op3(spark, folder):
+    return licenses.scan(table(spark, folder, "documents")).drop("detections")
+
+
+@query("op5_html_text")
+def op5(spark, folder):
+    return html_text.extract(table(spark, folder, "pages"))
+
+
+@query("op6_secret_scan")
+def op6(spark, folder):
+    return secret_scan.digest(secret_scan.scan(table(spark, folder, "documents")))
+
+
 @query("op7_source_mix", mixing.ORACLE)
 def op7(spark, folder):
     rows = mixing.repetitions(table(spark, folder, "documents"))
