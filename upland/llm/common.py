@@ -118,7 +118,7 @@ def _power(base_table: np.ndarray, at: np.ndarray) -> np.ndarray:
     low, high = at & 4095, at >> 12
     out = base_table[low]
     if len(high) and high.max():
-        big = powers(base_table[4095] * base_table[1], int(high.max()) + 1)
+        big = powers((base_table[4095:] * base_table[1:2])[0], int(high.max()) + 1)
         out = out * big[high]
     return out
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from upland.llm import exact_dedup, html_text, licenses, mixing, secret_scan
+from upland.llm import exact_dedup, html_text, licenses, mixing, quality, secret_scan
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,11 @@ def table(spark, folder: str, name: str):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_quality")
+def op1(spark, folder):
+    return quality.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op2_exact_dedup", exact_dedup.ORACLE)
 def op2(spark, folder):
     return exact_dedup.classes(table(spark, folder, "documents")).drop("k")
