@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from upland.llm import exact_dedup, html_text, licenses, mixing, quality, secret_scan
+from upland.llm import exact_dedup, html_text, licenses, mixing, quality, secret_scan, sentencepieces
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,9 @@ def op6(spark, folder):
 def op7(spark, folder):
     rows = mixing.repetitions(table(spark, folder, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op8_sentencepieces")
+def op8(spark, folder):
+    rows = sentencepieces.encode(table(spark, folder, "documents"))
+    return rows.select("doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "exact", F.xxhash64("pieces").alias("pieces_hash"))
