@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from upland.llm import exact_dedup, html_text, licenses, mixing, quality, secret_scan, sentencepieces
+from upland.llm import exact_dedup, html_text, licenses, mixing, near_vectors, quality, secret_scan, sentencepieces
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,11 @@ def op3(spark, folder):
     return licenses.scan(table(spark, folder, "documents")).drop("detections")
 
 
+@query("op4_near_vectors")
+def op4(spark, folder):
+    return near_vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
 @query("op5_html_text")
 def op5(spark, folder):
     return html_text.extract(table(spark, folder, "pages"))
