@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from upland.llm import exact_dedup, html_text, licenses, mixing, near_vectors, ngram_join, quality, secret_scan, sentencepieces
+from upland.llm import exact_dedup, html_text, licenses, mixing, near_vectors, ngram_join, quality, repeats, secret_scan, sentencepieces
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -66,6 +66,11 @@ def op8(spark, folder):
     return rows.select("doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "exact", F.xxhash64("pieces").alias("pieces_hash"))
 
 
+@query("op9_repeats")
+def op9(spark, folder):
+    return repeats.without_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 @query("op10_ngram_join")
 def op10(spark, folder):
     return ngram_join.similar(table(spark, folder, "documents"))
