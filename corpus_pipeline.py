@@ -4,22 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from upland.llm import exact_dedup, mixing, ngram_join, quality, sentencepieces
 from upland.llm.common import stash
-from upland.llm.exact_dedup import deduplicated
-from upland.llm.mixing import mixed
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the positive-unlabelled classifier accepts."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return deduplicated(docs)
+    return exact_dedup.deduplicated(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar texts."""
+    return ngram_join.one_of_each(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out to meet the sources' target weights."""
-    return mixed(docs)
+    return mixing.mixed(docs)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every document, as piece ids."""
+    return sentencepieces.encode(docs)
 
 
-STAGES = [("exact dedup", exact_copies), ("source mix", source_mix)]
+STAGES = [("quality classifier", quality_filter), ("exact dedup", exact_copies), ("n-gram Jaccard join", near_copies), ("mixing sources to target weights", source_mix), ("SentencePiece encoding", pieces)]
 ORACLE_SQL = None
 
 
