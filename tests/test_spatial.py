@@ -229,3 +229,28 @@ def test_stop_uturns_and_relocation(spark):
                               "code string, seq int, lng double, lat double, trunk array<struct<lng:double,lat:double>>, from_idx int, to_idx int")
     got = {r["seq"]: (r["outcome"], round(r["moved_m"])) for r in Q.relocate_stops(s).collect()}
     assert got[1] == ("moved", 20) and got[2][0] == "refused: too far"
+
+
+def test_equal_chunks_of_many_wide_rows(spark):
+    """A million rows in three groups: parts equal ntile's, though each range shuffle samples its own bounds."""
+    from pyspark.sql import Window
+    d = spark.range(1_000_000).select((F.col("id") % 3).alias("k"), F.pmod(F.xxhash64("id"), F.lit(50_000)).alias("v"), "id", F.md5(F.col("id").cast("string")).alias("wide"))
+    got = DI.equal_chunks(d, ["k"], ["v", "id"], 6).select("id", "part")
+    want = d.select("id", F.ntile(6).over(Window.partitionBy("k").orderBy("v", "id")).alias("want"))
+    assert got.join(want, "id").where("part = want").count() == 1_000_000
+    assert DI.equal_chunks(d.limit(1000), ["k"], ["id"]).groupBy("k", "part").count().agg(F.min("count"), F.max("count")).first()[1] <= 20
+
+
+def test_box_joins_start_no_job_while_planned(spark):
+    def started():
+        return spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+
+    x, y = F.col("x"), F.col("y")
+    pts = spark.range(50).select("id", (F.col("id") * 3.0).alias("x"), (F.col("id") * 2.0).alias("y"))
+    boxes = spark.range(9).select((F.col("id") * 11.0).alias("w"), (F.col("id") * 11.0).alias("s"), (F.col("id") * 11.0 + 4).alias("e"), (F.col("id") * 11.0 + 4).alias("n"))
+    before = started()
+    for _ in range(3):
+        pts = cells.box_join(pts, boxes, [x, y, x, y], [F.col(c) for c in "wsen"], F.lit(True), "left_anti")
+    assert started() == before
+    inside = {i for i in range(50) for b in range(9) if 11 * b <= 3 * i <= 11 * b + 4 and 11 * b <= 2 * i <= 11 * b + 4}
+    assert {r["id"] for r in pts.collect()} == set(range(50)) - inside

@@ -24,7 +24,7 @@ def stem(word) -> Column:
 
 def tokens(text) -> Column:
     """Distinct stems of the words of a text, stop words dropped."""
-    words = F.regexp_extract_all(F.lower(col(text)), F.lit("([a-z0-9]+)"), 1)
+    words = F.regexp_extract_all(F.lower(col(text)), F.lit(r"([\p{L}\p{N}]+)"), 1)
     kept = F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
     return F.array_distinct(F.transform(kept, stem))
 
@@ -34,7 +34,7 @@ def query_terms(q: str) -> list[str]:
     if len(q.strip()) > MAX_QUERY:
         raise ValueError(f"q must be at most {MAX_QUERY} characters")
     out = []
-    for w in re.findall(r"[a-z0-9]+", q.lower()):
+    for w in re.findall(r"[^\W_]+", q.lower()):
         if w not in STOP_WORDS:
             s = re.sub(STEM_PATTERN, r"\1", w)
             if s not in out:

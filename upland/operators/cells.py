@@ -187,31 +187,41 @@ def _box_level(w: Column, s: Column, e: Column, n: Column, floor_level: int) ->
     return F.greatest(F.when(size > 0, F.ceil(F.log2(size))).otherwise(F.lit(floor_level)), F.lit(floor_level)).cast("int")
 
 
+def _levels(df: DataFrame, box, floor_level: int) -> DataFrame:
+    """One row holding the levels that boxes of a table have (at most about 40), found as part of the query."""
+    return df.select(_box_level(*box, floor_level).alias("_lv")).agg(F.collect_set("_lv").alias("_levels")).withColumn("_one", F.lit(1))
+
+
 def box_join(a: DataFrame, b: DataFrame, a_box: Sequence[Column], b_box: Sequence[Column], cond: Column,
              how: str = "inner", floor_level: int = 3) -> DataFrame:
     """Join rows whose boxes (west, south, east, north) overlap and satisfy ``cond``; how is inner, left_semi or
     left_anti, by ``a``'s first column as its key. Boxes of any mix of sizes: two boxes meet at the level of the larger one, where both cover at most
-    2 x 2 cells. A semi or anti join stops at the first match, so no pairs are listed. Column names must differ."""
-
-    def levels(df: DataFrame, box) -> set[int]:
-        return {r[0] for r in df.select(_box_level(*box, floor_level).alias("lv")).distinct().collect() if r[0] is not None}
+    2 x 2 cells. A semi or anti join stops at the first match, so no pairs are listed. Column names must differ.
 
-    b_levels = sorted(levels(b, b_box))
-    a_levels = sorted(levels(a, a_box))
-    present = sorted(set(a_levels) | set(b_levels))
-    if not present:
-        present = [floor_level]
+    Nothing runs while the plan is built. A row goes to its own level and to those levels above it that the other side
+    has, which a one-row aggregate of the other side tells; where ``a`` holds points (west and east are one column) its
+    level is known, so ``a`` is read once however many joins are chained. Both sides of the cell join are plain shuffles,
+    so adaptive execution may split a crowded cell."""
+    points = a_box[0] is a_box[2] and a_box[1] is a_box[3]
 
-    def spread(df: DataFrame, box, side: str) -> DataFrame:
+    def spread(df: DataFrame, box, side: str, other: DataFrame | None) -> DataFrame:
         w, s, e, n = box
-        df = df.select("*", _box_level(w, s, e, n, floor_level).alias(f"_own{side}"),
-                       *[c.alias(f"_{side}{k}") for k, c in zip("wsen", box)])
-        df = df.withColumn("_lv", F.explode(F.filter(F.array(*[F.lit(p) for p in present]), lambda p: p >= F.col(f"_own{side}"))))
-        cell = F.pow(F.lit(2.0), F.col("_lv"))
-        span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell).cast("long"), F.floor(F.col(hi) / cell).cast("long")))
-        return df.withColumn("_cx", span(f"_{side}w", f"_{side}e")).withColumn("_cy", span(f"_{side}s", f"_{side}n"))
-
-    l, r = spread(a, a_box, "a"), spread(b, b_box, "b")
+        df = df.select("*", _box_level(w, s, e, n, floor_level).alias(f"_own{side}"), *[c.alias(f"_{side}{k}") for k, c in zip("wsen", box)])
+        lv = F.array(f"_own{side}")
+        if other is not None:
+            df = df.withColumn("_one", F.lit(1)).join(F.broadcast(other), "_one").drop("_one")
+            lv = F.array_union(lv, F.filter("_levels", lambda p: p > F.col(f"_own{side}")))
+        span = lambda lo, hi, cell: F.sequence(F.floor(F.col(lo) / cell).cast("long"), F.floor(F.col(hi) / cell).cast("long"))
+
+        def cells(level):
+            cell = F.pow(F.lit(2.0), level)
+            return F.flatten(F.transform(span(f"_{side}w", f"_{side}e", cell), lambda x: F.transform(span(f"_{side}s", f"_{side}n", cell), lambda y: F.struct(level.alias("_lv"), x.alias("_cx"), y.alias("_cy")))))
+
+        df = df.withColumn("_cells", F.flatten(F.transform(lv, cells))).drop("_levels")
+        return df.withColumn("_all", F.size("_cells")).withColumn("_cells", F.explode("_cells")).select("*", "_cells.*").drop("_cells")
+
+    l = spread(a, a_box, "a", _levels(b, b_box, floor_level))
+    r = spread(b, b_box, "b", None if points else _levels(a, a_box, floor_level)).drop("_all")
     overlap = (F.col("_aw") <= F.col("_be")) & (F.col("_ae") >= F.col("_bw")) & (F.col("_as") <= F.col("_bn")) & (F.col("_an") >= F.col("_bs"))
     # the pair meets once: in the cell holding the lower-left corner of the two boxes' common part
     once = (F.floor(F.greatest("_aw", "_bw") / F.pow(F.lit(2.0), l["_lv"])).cast("long") == l["_cx"]) & (
@@ -220,8 +230,9 @@ def box_join(a: DataFrame, b: DataFrame, a_box: Sequence[Column], b_box: Sequenc
           & (l["_lv"] == F.greatest("_owna", "_ownb")) & overlap & once & cond)
     if how == "inner":
         return l.join(r, on).select(*[F.col(c) for c in a.columns], *[F.col(c) for c in b.columns])
-    hits = l.join(r, on, "left_semi")
     key = a.columns[0]
     if how == "left_semi":
-        return hits.select(*a.columns).dropDuplicates([key])
-    return a.join(hits.select(key).distinct(), key, "left_anti")
+        return l.join(r, on, "left_semi").select(*a.columns).dropDuplicates([key])
+    # a row is free when it is free in every cell it was sent to
+    left = l.join(r, on, "left_anti").groupBy(key).agg(F.count("*").alias("_free"), *[F.first(c).alias(c) for c in ["_all", *a.columns[1:]]])
+    return left.where("_free = _all").select(*a.columns)

@@ -14,6 +14,7 @@ from upland.operators import rings as G
 from upland.operators.cells import box_join
 from upland.operators.tiles import split_crowded
 from upland.plans.massing import STOREY_M, storeys_by_size
+from upland.session import cut_lineage
 from upland.sources.osm import SIGN_KINDS
 
 # Chain names whose signs keep the chain's name, and sign colour keys.
@@ -44,19 +45,21 @@ def colour_key(name, kind) -> Column:
     return F.coalesce(F.concat(F.lit("chain:"), chain_of(name)), F.concat(F.lit("kind:"), known))
 
 
-def equal_chunks(df: DataFrame, by: list[str], order: list[str], parts: int) -> DataFrame:
-    """Consecutive parts of equal size (the first ones one longer) in the given order, without sorting a whole group in one
-    task: positions come from counts per sorted block plus the place within the block."""
+def equal_chunks(df: DataFrame, by: list[str], order: list[str], parts: int = 0, about: int = 20) -> DataFrame:
+    """Consecutive parts of equal size (the first ones one longer) in the given order; with parts = 0, one part for about
+    `about` rows of each group. No group is sorted whole in one task: rows are range-partitioned by the order once and
+    written with the number of their block, so every count below sees the same blocks; a place is the counts of the blocks
+    before plus the place within the block."""
     spark_parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_ = df.repartitionByRange(spark_parts, *by, *order).sortWithinPartitions(*by, *order)
-    blocks = sorted_.withColumn("_block", F.spark_partition_id())
+    blocks = cut_lineage(df.repartitionByRange(spark_parts, *by, *order).withColumn("_block", F.spark_partition_id()))
     sizes = blocks.groupBy(*by, "_block").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*by)
     sizes = sizes.withColumn("_before", F.sum("_n").over(w.orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).withColumn("_total", F.sum("_n").over(w))
     inside = blocks.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "_block").orderBy(*order)))
     j = inside.join(sizes.drop("_n"), [*by, "_block"])
     pos = F.col("_before") + F.col("_i") - 1
-    q, rest = F.floor(F.col("_total") / parts), F.col("_total") % parts
+    count = F.lit(parts).cast("long") if parts else F.ceil(F.col("_total") / about)
+    q, rest = F.floor(F.col("_total") / count), F.col("_total") % count
     cut = rest * (q + 1)
     part = F.when(pos < cut, F.floor(pos / (q + 1))).otherwise(rest + F.floor((pos - cut) / F.greatest(q, F.lit(1)))) + 1
     return j.withColumn("part", part.cast("int")).drop("_block", "_i", "_before", "_total")
@@ -117,10 +120,12 @@ def match_areas(areas: DataFrame, buildings: DataFrame, share: float = 0.5) -> D
 
 def hotel_buildings(points: DataFrame, areas: DataFrame, buildings: DataFrame, segs: DataFrame) -> DataFrame:
     """Hotels mapped as points (poi_id, x, y: nearest building within 15 m) and as areas (aid...): one row per building, the
-    first hotel winning, with the road it fronts within 40 m and its tile (z, x, y from lng, lat columns of buildings)."""
-    by_point = nearest_building(points, buildings, "poi_id", "bid", 15.0).select(F.col("poi_id").cast("string").alias("hotel"), "bid")
-    by_area = match_areas(areas, buildings).select(F.col("aid").cast("string").alias("hotel"), "bid")
-    own = by_point.unionByName(by_area).groupBy("bid").agg(F.min("hotel").alias("hotel"))
+    first hotel winning (points before areas, then by id; `hotel` is kind:id), with the road it fronts within 40 m and its tile (z, x, y from lng, lat columns of buildings)."""
+    name = lambda kind, key: F.struct(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id")).alias("hotel")
+    by_point = nearest_building(points, buildings, "poi_id", "bid", 15.0).select(name("point", "poi_id"), "bid")
+    by_area = match_areas(areas, buildings).select(name("area", "aid"), "bid")
+    first = F.struct((F.col("hotel.kind") == "area").alias("late"), F.col("hotel.id").alias("id"), "hotel")
+    own = by_point.unionByName(by_area).groupBy("bid").agg(F.min(first).alias("_f")).select("bid", F.concat_ws(":", "_f.hotel.kind", "_f.hotel.id").alias("hotel"))
     b = own.join(buildings, "bid")
     c = G.centroid("ring")
     target = adjacent_road(b.withColumn("x", c["x"]).withColumn("y", c["y"]), segs, 40.0)

@@ -65,21 +65,28 @@ def candidates(grid: DataFrame, west: float, north: float, dx: float, dy: float)
     return c.select("*", x.alias("x"), y.alias("y"))
 
 
+def obstacles(buildings: DataFrame, segs: DataFrame, rings: DataFrame | None = None) -> DataFrame:
+    """Buildings, road pieces (with their `clear` width) and rings as one table: edges, whether they close an area, how far
+    they reach, and the box of what they keep free."""
+    def table(df, edges, area, reach, w, s, e, n):
+        return df.select(edges.alias("oedges"), F.lit(area).alias("oarea"), reach.cast("double").alias("reach"), (w - reach).alias("ow"), (s - reach).alias("os"), (e + reach).alias("oe"), (n + reach).alias("on_"))
+
+    c = F.col
+    piece = F.array(F.struct("ax", "ay", "bx", "by"))
+    out = table(buildings.dropDuplicates(["edges"]), c("edges"), True, F.lit(CLEAR_M), c("w"), c("s"), c("e"), c("n"))
+    out = out.unionByName(table(segs.select("ax", "ay", "bx", "by", "clear").distinct(), piece, False, c("clear"), F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by")))
+    if rings is not None:
+        out = out.unionByName(table(rings.dropDuplicates(["edges"]), c("edges"), True, F.lit(0.0), c("west"), c("south"), c("east"), c("north")))
+    return out
+
+
 def clear_sites(sites: DataFrame, buildings: DataFrame, segs: DataFrame, rings: DataFrame | None = None, key: str = "site_id") -> DataFrame:
-    """Sites off buildings (1.2 m), roads (segments with a `clear` width) and rings: three anti-joins, each stopping at the
-    first obstacle."""
+    """Sites off buildings (1.2 m), roads (segments with a `clear` width) and rings: one anti-join, stopping at the first
+    obstacle."""
     x, y = F.col("x"), F.col("y")
-    here = sites.select(key, "x", "y")
-    near = F.when(G.contains("edges", "x", "y"), 0.0).otherwise(G.distance_to("edges", "x", "y"))
-    box = [F.col("w") - CLEAR_M, F.col("s") - CLEAR_M, F.col("e") + CLEAR_M, F.col("n") + CLEAR_M]
-    here = box_join(here, buildings.select("edges", "w", "s", "e", "n").dropDuplicates(["edges"]), [x, y, x, y], box, near <= CLEAR_M, "left_anti")
-    c = F.col("clear")
-    seg_box = [F.least("ax", "bx") - c, F.least("ay", "by") - c, F.greatest("ax", "bx") + c, F.greatest("ay", "by") + c]
-    roads = segs.select("ax", "ay", "bx", "by", "clear").distinct()
-    here = box_join(here, roads, [x, y, x, y], seg_box, segment_distance("x", "y", "ax", "ay", "bx", "by") <= c, "left_anti")
-    if rings is not None:
-        here = G.points_in_polygons(here, rings, "left_anti")
-    return sites.join(here.select(key), key, "left_semi")
+    hit = (F.col("oarea") & G.contains("oedges", "x", "y")) | ((F.col("reach") > 0) & (G.distance_to("oedges", "x", "y") <= F.col("reach")))
+    sites = sites.select(key, *[c for c in sites.columns if c != key])
+    return box_join(sites, obstacles(buildings, segs, rings), [x, y, x, y], [F.col(c) for c in ("ow", "os", "oe", "on_")], hit, "left_anti")
 
 
 def near_buildings(sites: DataFrame, buildings: DataFrame, m: float = FOREST_M, key: str = "site_id") -> DataFrame:

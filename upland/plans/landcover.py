@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from upland.functions.geo import CITY_LAT, M_PER_DEG_LNG, M_PER_DEG_LAT, col, segment_distance
 from upland.operators import rings as G
-from upland.operators.cells import box_join
 from upland.operators.raster import grid_centre
 
 # The classes, the raster's codes and the tag rules (the last matching rule wins).
@@ -62,14 +61,23 @@ def override(base, ranks) -> Column:
 
 def classify(grid: DataFrame, areas: DataFrame, west: float, north: float, dx: float, dy: float, cliffs: DataFrame | None = None) -> DataFrame:
     """Grid (row, col, cls) with `final`, from areas (cls as acls, edges and box in lng/lat) and cliff segments
-    (ax, ay, bx, by in lng/lat) 3 m to each side. The set of ranks per cell has at most six members, so it is collected
+    (ax, ay, bx, by in lng/lat) 3 m to each side. The grid is regular, so a shape names its own cells; nothing is searched.
+    The set of ranks per cell has at most six members, so it is collected
     as a set that combines map-side."""
-    lng, lat = grid_centre(west, north, dx, dy)
-    cells = grid.select("row", "col", "cls", lng.alias("lng"), lat.alias("lat"))
     rank = F.create_map(*[F.lit(v) for c, i in RANK.items() for v in (c, i)])
-    x, y = F.col("lng"), F.col("lat")
+    lng, lat = grid_centre(west, north, dx, dy)
+
+    def covered(shapes: DataFrame, box) -> DataFrame:
+        """Each shape with the grid cells whose centres its box (west, south, east, north) holds."""
+        w, s_, e, n_ = box
+        span = lambda lo, hi: F.explode(F.when(lo <= hi, F.sequence(lo.cast("long"), hi.cast("long"))))
+        first, last = F.floor((n_ - F.lit(north)) / F.lit(-dy) - 0.5), F.ceil((s_ - F.lit(north)) / F.lit(-dy) - 0.5)
+        rows = shapes.withColumn("row", span(first, last))
+        left, right = F.floor((w - F.lit(west)) / F.lit(dx) - 0.5), F.ceil((e - F.lit(west)) / F.lit(dx) - 0.5)
+        return rows.withColumn("col", span(left, right)).withColumn("lng", lng).withColumn("lat", lat)
+
     shapes = areas.select(F.col("acls"), "edges", "west", "south", "east", "north").dropDuplicates(["acls", "edges"])
-    over = box_join(cells, shapes, [x, y, x, y], [F.col(c) for c in ("west", "south", "east", "north")], G.contains("edges", "lng", "lat"), floor_level=-16)
+    over = covered(shapes, [F.col(c) for c in ("west", "south", "east", "north")]).where(G.contains("edges", "lng", "lat"))
     hits = over.select("row", "col", rank[F.col("acls")].alias("_k"))
     if cliffs is not None:
         kx, ky = M_PER_DEG_LNG * math.cos(math.radians(CITY_LAT)), M_PER_DEG_LAT
@@ -77,10 +85,12 @@ def classify(grid: DataFrame, areas: DataFrame, west: float, north: float, dx: f
         m = lambda c, k: F.col(c) * F.lit(k)
         d = segment_distance(m("lng", kx), m("lat", ky), m("ax", kx), m("ay", ky), m("bx", kx), m("by", ky))
         box = [F.least("ax", "bx") - px, F.least("ay", "by") - py, F.greatest("ax", "bx") + px, F.greatest("ay", "by") + py]
-        rock = box_join(cells, cliffs.select("ax", "ay", "bx", "by"), [x, y, x, y], box, d <= CLIFF_HALF_M, floor_level=-16)
+        rock = covered(cliffs.select("ax", "ay", "bx", "by"), box).where(d <= CLIFF_HALF_M)
         hits = hits.union(rock.select("row", "col", F.lit(RANK[ROCK]).alias("_k")))
     sets = hits.groupBy("row", "col").agg(F.collect_set("_k").alias("_ranks"))
-    out = cells.join(sets, ["row", "col"], "left")
+    types = dict(grid.dtypes)
+    sets = sets.withColumn("row", F.col("row").cast(types["row"])).withColumn("col", F.col("col").cast(types["col"]))
+    out = grid.select("row", "col", "cls", lng.alias("lng"), lat.alias("lat")).join(sets, ["row", "col"], "left")
     return out.withColumn("final", override("cls", F.coalesce("_ranks", F.array().cast("array<int>")))).drop("_ranks")
 
 

@@ -351,15 +351,16 @@ def island_cells(roads: DataFrame) -> DataFrame:
     return octs.where(facing).select("gx", "gy").join(carriageway_cells(roads), ["gx", "gy"], "left_anti")
 
 
-def connected_cells(cells: DataFrame, cut, rounds: int = 40) -> DataFrame:
+def connected_cells(cells: DataFrame, cut) -> DataFrame:
     """Cells (gx, gy) labelled by connected group (4 neighbours): label is the group's least cell key.
 
     Labels pass to neighbours and jump along chains of labels, so the rounds grow with the logarithm of a group's
-    extent, not its size. `cut` cuts lineage each round by a reliable checkpoint."""
+    extent, not its size; they end when no label changes. `cut` cuts lineage each round by a reliable checkpoint."""
     key = F.concat_ws(",", F.lpad((F.col("gx") + 10**9).cast("string"), 12, "0"), F.lpad((F.col("gy") + 10**9).cast("string"), 12, "0"))
     v = cut(cells.select("gx", "gy", key.alias("id"), key.alias("label")))
     step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))]))
-    for _ in range(rounds):
+    changed = 1
+    while changed:
         sent = v.select(step.alias("d"), "gx", "gy", "label").select((F.col("gx") + F.col("d.a")).alias("gx"), (F.col("gy") + F.col("d.b")).alias("gy"), "label")
         least = sent.groupBy("gx", "gy").agg(F.min("label").alias("_l"))
         near = v.join(least, ["gx", "gy"]).select("gx", "gy", "id", "label", F.least("label", "_l").alias("next"))
@@ -372,9 +373,7 @@ def connected_cells(cells: DataFrame, cut, rounds: int = 40) -> DataFrame:
         new = cut(jump.select("gx", "gy", "id", F.col("label").alias("old"), F.least("next", F.coalesce("_best", "next")).alias("label")))
         changed = new.where("label <> old").limit(1).count()
         v = new.drop("old")
-        if not changed:
-            return v.drop("id")
-    raise RuntimeError("groups did not settle")
+    return v.drop("id")
 
 
 def islands(labelled: DataFrame, built: DataFrame) -> DataFrame:

@@ -82,12 +82,12 @@ def _(t):
 _STOPW = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
 def _tok(column):
     stems = f"lambda w: regexp_replace(w, '{text.STEM_PATTERN}', '\\1')"
-    return (f"list_distinct(list_transform(list_filter(regexp_extract_all(lower({column}), '[a-z0-9]+'), lambda w: NOT list_contains({_STOPW}, w)), {stems}))")
+    return (f"list_distinct(list_transform(list_filter(regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}]+'), lambda w: NOT list_contains({_STOPW}, w)), {stems}))")
 
 
-@query("F9_text_search", f"SELECT doc_id FROM documents WHERE lang = 'en' AND list_has_all({_tok('text')}, {text.query_terms('therings thou')})")
+@query("F9_text_search", f"SELECT doc_id FROM documents WHERE list_has_all({_tok('text')}, {text.query_terms('therings thou')})")
 def _(t):
-    return P.text_search(t.raw("documents").where("lang = 'en'"), "therings thou", "text").select("doc_id")
+    return P.text_search(t.raw("documents"), "therings thou", "text").select("doc_id")
 
 
 @query("F9_text_index", f"SELECT doc_id FROM documents WHERE list_has_all({_tok('text')}, {text.query_terms('thou and reti')})")
