@@ -107,3 +107,9 @@ def test_routing_uses_the_strong_scorer_once(spark):
     strong = lambda df: df.select("id", F.lit("proposed").alias("outcome"))
     got = {r["id"]: (r["outcome"], r["scored_by"]) for r in S.route(d, cheap, strong).collect()}
     assert got == {1: ("proposed", "cheap"), 2: ("proposed", "strong"), 3: ("held", "cheap"), 4: ("proposed", "strong after cheap")}
+
+
+def test_reply_wording_is_the_callers(spark):
+    rows = spark.createDataFrame([("applied", "/a", "done"), ("held", "/b", "secret"), ("received", "/c", None)], "status string, page_path string, status_note string")
+    subject, body = Q.reply_text({"applied": ("Fixed", "{page_path}: {status_note}"), "held": ("Waiting", "{page_path} is read by a person")})
+    assert [tuple(r) for r in rows.select(subject, body).collect()] == [("Fixed", "/a: done"), ("Waiting", "/b is read by a person"), (None, None)]

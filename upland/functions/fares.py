@@ -1,70 +1,72 @@
-"""Trip prices as Column expressions."""
+"""Trip prices as Column expressions: one rule for every tariff.
+
+A tariff is a row: what the start costs and how many steps of the way it covers, how long a step is and what each further
+one costs, what a minute costs at which speed, and to what coin the total is rounded.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from upland.functions.geo import col, quarter, round2
 
+
+@dataclass(frozen=True)
+class Tariff:
+    start: float | Column
+    per_step: float | Column
+    step_m: float = 1000.0
+    covered: int = 0             # steps that the start pays for
+    per_minute: float = 0.0
+    kmh: float = 20.0
+    quarters: bool = False       # the total is rounded to 25 centavos, once
+    plain_start: bool = False    # the start is shown as it is, not rounded like the total
+
+
 # Fixed values of the fare guides.
-BASE_KM = 4
-TAXI_FLAGDOWN = 45.0
-TAXI_UNIT_M = 250.0
-TAXI_PER_UNIT = 3.5
-TAXI_PER_MINUTE = 2.0
-TAXI_KMH = 20.0
-MODERN_BASE, MODERN_PER_KM = 17.0, 2.0
-MODERN_DISCOUNT_BASE, MODERN_DISCOUNT_PER_KM = 13.6, 1.6
+TRADITIONAL = Tariff(start=13.0, per_step=1.8, covered=4, quarters=True, plain_start=True)   # start and step come with each route
+MODERN = Tariff(start=17.0, per_step=2.0, covered=4, quarters=True)
+MODERN_DISCOUNTED = Tariff(start=13.6, per_step=1.6, covered=4, quarters=True)
+TAXI = Tariff(start=45.0, per_step=3.5, step_m=250.0, per_minute=2.0)
 MODERN_VALID_UNTIL = "2026-06-30"
-MONEY_PARTS = ("base", "distanceCharge", "flagdown", "waitingCharge")
-
 
-def _km_up(km) -> Column:
-    return F.ceil(col(km)).cast("double")
+MONEY = ("start", "way", "wait")
 
 
-def _breakdown(**parts: Column) -> Column:
-    pairs = [x for k, v in parts.items() for x in (F.lit(k), v.cast("double"))]
-    return F.create_map(*pairs)
+def price(km, tariff: Tariff) -> Column:
+    """struct(distance_km, fare, breakdown); the breakdown maps MONEY to pesos that add up to the fare, and steps and
+    minutes to what was counted. A started step or half a minute counts whole."""
+    km = col(km)
+    as_column = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("double")
+    start, per_step = as_column(tariff.start), as_column(tariff.per_step)
+    steps = F.greatest(F.ceil(km * 1000.0 / tariff.step_m).cast("double") - tariff.covered, F.lit(0.0))
+    minutes = F.floor(km * 60.0 / tariff.kmh + 0.5).cast("double") if tariff.per_minute else F.lit(0.0)
+    wait = round2(minutes * tariff.per_minute)
+    coin = quarter if tariff.quarters else round2
+    fare = coin(start + (steps * per_step if tariff.quarters else round2(steps * per_step)) + wait)
+    shown = round2(start) if tariff.plain_start else coin(start)
+    amounts = {"start": shown, "way": round2(fare - shown - wait), "wait": wait, "steps": steps, "minutes": minutes}
+    return F.struct(round2(km).alias("distance_km"), fare.alias("fare"), F.create_map(*[x for k, v in amounts.items() for x in (F.lit(k), v)]).alias("breakdown"))
 
 
 def traditional_fare(km, base, per_km) -> Column:
-    """Base for the first 4 km, then each started km, the total to 25 centavos: struct(fare, breakdown)."""
-    base, per_km = col(base).cast("double"), col(per_km).cast("double")
-    extra = F.greatest(F.lit(0.0), _km_up(km) - BASE_KM)
-    fare = quarter(base + extra * per_km)
-    parts = _breakdown(base=round2(base), baseCoversKm=F.lit(BASE_KM), extraKm=extra, perKm=round2(per_km),
-                       distanceCharge=round2(fare - base))
-    return F.struct(round2(km).alias("distance_km"), fare.alias("fare"), parts.alias("breakdown"))
+    return price(km, replace(TRADITIONAL, start=col(base), per_step=col(per_km)))
 
 
 def modern_fare(km, discounted: bool = False) -> Column:
-    base, per_km = (MODERN_DISCOUNT_BASE, MODERN_DISCOUNT_PER_KM) if discounted else (MODERN_BASE, MODERN_PER_KM)
-    whole = F.greatest(F.lit(1.0), _km_up(km))
-    extra = F.greatest(F.lit(0.0), whole - BASE_KM)
-    shown = quarter(F.lit(base))
-    fare = quarter(F.lit(base) + extra * F.lit(per_km))
-    parts = _breakdown(base=shown, distanceCharge=round2(fare - shown))
-    return F.struct(round2(km).alias("distance_km"), fare.alias("fare"), parts.alias("breakdown"))
+    return price(km, MODERN_DISCOUNTED if discounted else MODERN)
 
 
 def taxi_fare(km) -> Column:
-    km = col(km)
-    units = F.ceil(km * 1000.0 / TAXI_UNIT_M).cast("double")
-    distance = round2(units * TAXI_PER_UNIT)
-    minutes = F.floor(km / TAXI_KMH * 60.0 + 0.5).cast("double")
-    waiting = round2(minutes * TAXI_PER_MINUTE)
-    fare = round2(F.lit(TAXI_FLAGDOWN) + distance + waiting)
-    parts = _breakdown(flagdown=F.lit(TAXI_FLAGDOWN), distanceUnits=units, perUnit=F.lit(TAXI_PER_UNIT),
-                       distanceCharge=distance, estMinutes=minutes, perMinute=F.lit(TAXI_PER_MINUTE),
-                       waitingCharge=waiting)
-    return F.struct(round2(km).alias("distance_km"), fare.alias("fare"), parts.alias("breakdown"))
+    return price(km, TAXI)
 
 
 def money_parts(breakdown) -> Column:
-    """The peso amounts of a breakdown, without the counts and unit rates."""
-    return F.map_filter(col(breakdown), lambda k, v: k.isin(*MONEY_PARTS))
+    """The peso amounts of a breakdown, without what was counted."""
+    return F.map_filter(col(breakdown), lambda k, v: k.isin(*MONEY))
 
 
 def guide_lapsed(ts, valid_until: str = MODERN_VALID_UNTIL) -> Column:

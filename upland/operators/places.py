@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,36 +26,29 @@ WALKABLE_KM = 0.8
 # ----------------------------------------------------------- request parameters
 
 
-def _number(text: str) -> float:
-    """A blank part counts as 0, as in the web form the parameter comes from."""
-    t = text.strip()
+def _floats(raw: str, count: int) -> np.ndarray:
+    """`count` finite numbers of a comma-separated parameter; what is left blank is 0, as in a web form."""
     try:
-        return float(t) if t else 0.0
+        values = np.array([field.strip() or "0" for field in raw.split(",")], float)
     except ValueError:
-        return math.nan
+        values = np.array([np.nan])
+    if values.shape != (count,) or not np.isfinite(values).all():
+        raise ValueError(f"wants_{count}_numbers")
+    return values
 
 
 def parse_bbox(raw: str | None):
-    """None for no filter; otherwise four finite numbers, sides put in order, clamped to the city."""
-    if raw is None or not raw.strip():
+    """(west, south, east, north) of two opposite corners in either order, cut to the city; None where no box is asked for."""
+    if not (raw or "").strip():
         return None
-    parts = [_number(p) for p in raw.split(",")]
-    if len(parts) != 4 or not all(math.isfinite(p) for p in parts):
-        raise ValueError("bbox must be four numbers: minLng,minLat,maxLng,maxLat")
-    w, s, e, n = parts
-    w, e, s, n = min(w, e), max(w, e), min(s, n), max(s, n)
-    clamp = lambda v, lo, hi: min(max(v, lo), hi)
-    cw, cs, ce, cn = CITY_BOUNDS
-    return clamp(w, cw, ce), clamp(s, cs, cn), clamp(e, cw, ce), clamp(n, cs, cn)
+    corners, city = _floats(raw, 4).reshape(2, 2), np.reshape(CITY_BOUNDS, (2, 2))
+    return tuple(np.clip(np.sort(corners, axis=0), *city).ravel().tolist())
 
 
 def parse_zoom(raw: str | None, fallback: int = 14) -> int:
-    if raw is None or not raw.strip():
-        return fallback
-    z = _number(raw)
-    if not math.isfinite(z):
-        raise ValueError("zoom must be a number")
-    return int(min(max(math.floor(z + 0.5), 1), 22))
+    """The nearest whole zoom (halves up) of 1 to 22."""
+    asked = _floats(raw, 1)[0] if (raw or "").strip() else fallback
+    return int(np.clip(np.floor(asked + 0.5), 1, 22))
 
 
 def bbox_filter(df: DataFrame, raw: str | None, lng: str = "lng", lat: str = "lat") -> DataFrame:
@@ -219,25 +213,25 @@ def relief(places: DataFrame, lng: float, lat: float) -> DataFrame:
 
 
 def price_trips(trips: DataFrame, rates: DataFrame) -> DataFrame:
-    """Every trip with fare, breakdown and modern fare, or a reject reason. `rates` is code, fare_base, fare_per_km."""
+    """Every trip with fare, breakdown and modern fare, or the first reason why it has none (mode, ends, area, no_route,
+    bad_route, lost_route). `rates` is code, fare_base, fare_per_km."""
     from upland.functions import fares as P
-    mode = F.lower(F.coalesce("mode", F.lit("jeepney")))
-    numbers = F.col("from_lng").isNotNull() & F.col("from_lat").isNotNull() & F.col("to_lng").isNotNull() & F.col("to_lat").isNotNull()
-    inside = in_service_area("from_lng", "from_lat") & in_service_area("to_lng", "to_lat")
-    t = trips.withColumn("mode", mode).join(rates.withColumnRenamed("code", "_code"), F.col("route_code") == F.col("_code"), "left")
-    jeepney = F.col("mode") == "jeepney"
-    reject = (F.when(~F.col("mode").isin("jeepney", "taxi"), "mode must be jeepney or taxi")
-              .when(~numbers, "fromLng, fromLat, toLng, toLat are required numbers")
-              .when(~inside, "points must be in the service area")
-              .when(jeepney & (F.coalesce("route_code", F.lit("")) == ""), "routeCode is required for jeepney mode")
-              .when(jeepney & ~X.is_route_code("route_code"), "unknown routeCode")
-              .when(jeepney & F.col("_code").isNull(), "route not found"))
-    t = t.withColumn("reject", reject).withColumn("_km", haversine_km("from_lng", "from_lat", "to_lng", "to_lat"))
-    ok = F.col("reject").isNull()
-    price = F.when(ok & jeepney, P.traditional_fare("_km", "fare_base", "fare_per_km")).when(ok, P.taxi_fare("_km"))
-    t = t.withColumn("_p", price).withColumn("_m", F.when(ok & jeepney, P.modern_fare("_km")))
-    return t.select(*trips.columns, "reject", F.col("_p.distance_km").alias("distance_km"), F.col("_p.fare").alias("fare"),
-                    F.col("_p.breakdown").alias("breakdown"), F.col("_m.fare").alias("modern_fare"))
+    ends = ("from_lng", "from_lat", "to_lng", "to_lat")
+    t = trips.withColumn("mode", F.lower(F.coalesce("mode", F.lit("jeepney")))).join(rates.withColumnRenamed("code", "_code"), F.col("route_code") == F.col("_code"), "left")
+    bus = F.col("mode") == "jeepney"
+    wrong = {
+        "mode": ~F.col("mode").isin("jeepney", "taxi"),
+        "ends": F.greatest(*[F.col(c).isNull().cast("int") for c in ends]) == 1,
+        "area": ~(in_service_area(*ends[:2]) & in_service_area(*ends[2:])),
+        "no_route": bus & (F.coalesce("route_code", F.lit("")) == ""),
+        "bad_route": bus & ~X.is_route_code("route_code"),
+        "lost_route": bus & F.col("_code").isNull(),
+    }
+    reasons = F.array(*[F.when(test, F.lit(name)) for name, test in wrong.items()])
+    t = t.withColumn("reject", F.get(F.filter(reasons, lambda r: r.isNotNull()), F.lit(0))).withColumn("_km", haversine_km(*ends))
+    fine = F.col("reject").isNull()
+    t = t.withColumn("_p", F.when(fine & bus, P.traditional_fare("_km", "fare_base", "fare_per_km")).when(fine, P.taxi_fare("_km"))).withColumn("_m", F.when(fine & bus, P.modern_fare("_km")))
+    return t.select(*trips.columns, "reject", "_p.distance_km", "_p.fare", "_p.breakdown", F.col("_m.fare").alias("modern_fare"))
 
 
 # ------------------------------------------------------------------ clusters, sets

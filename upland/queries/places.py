@@ -397,7 +397,7 @@ def _(t):
 @query("E14_fare_traditional", with_(_TRIP) + f"SELECT ok, ln, pk, {_quarter('14 + greatest(0, ceil(km) - 4) * 2')} AS fare, {rnd(_quarter('14 + greatest(0, ceil(km) - 4) * 2') + ' - 14', 2)} AS charge FROM trip")
 def _(t):
     d = trips(t).withColumn("f", fares.traditional_fare("km", F.lit(14.0), F.lit(2.0)))
-    return d.select("ok", "ln", "pk", "f.fare", F.col("f.breakdown")["distanceCharge"].alias("charge"))
+    return d.select("ok", "ln", "pk", "f.fare", F.col("f.breakdown")["way"].alias("charge"))
 
 
 @query("E15_fare_modern", with_(_TRIP) + f"SELECT ok, ln, pk, {_quarter('17 + greatest(0, greatest(1, ceil(km)) - 4) * 2')} AS fare, {_quarter('13.6::DOUBLE + greatest(0, greatest(1, ceil(km)) - 4) * 1.6::DOUBLE')} AS discounted FROM trip")
@@ -415,8 +415,8 @@ def _(t):
 
 @query("E17_price_trips", with_(_TRIP) + f"""SELECT reject, mode, count(*) AS n, {rnd('sum(fare)', 2)} AS fares, {rnd('sum(modern)', 2)} AS modern FROM (SELECT *, CASE WHEN reject IS NULL THEN CASE mode WHEN 'taxi' THEN {_TAXI} ELSE {_quarter('b + greatest(0, ceil(km) - 4) * p')} END END AS fare,
   CASE WHEN reject IS NULL AND mode = 'jeepney' THEN {_quarter('17 + greatest(0, greatest(1, ceil(km)) - 4) * 2')} END AS modern FROM
-  (SELECT *, 13 + code % 3 AS b, CAST(1.8 AS DOUBLE) + 0.1::DOUBLE * (code % 3) AS p, CASE WHEN mode = 'boat' THEN 'mode must be jeepney or taxi' WHEN pk % 13 = 0 THEN 'fromLng, fromLat, toLng, toLat are required numbers' WHEN pk % 17 = 0 THEN 'points must be in the service area'
-   WHEN mode = 'jeepney' AND pk % 19 = 0 THEN 'routeCode is required for jeepney mode' WHEN mode = 'jeepney' AND pk % 23 = 0 THEN 'unknown routeCode' WHEN mode = 'jeepney' AND code NOT IN (SELECT n_nationkey FROM nation) THEN 'route not found' END AS reject
+  (SELECT *, 13 + code % 3 AS b, CAST(1.8 AS DOUBLE) + 0.1::DOUBLE * (code % 3) AS p, CASE WHEN mode = 'boat' THEN 'mode' WHEN pk % 13 = 0 THEN 'ends' WHEN pk % 17 = 0 THEN 'area'
+   WHEN mode = 'jeepney' AND pk % 19 = 0 THEN 'no_route' WHEN mode = 'jeepney' AND pk % 23 = 0 THEN 'bad_route' WHEN mode = 'jeepney' AND code NOT IN (SELECT n_nationkey FROM nation) THEN 'lost_route' END AS reject
   FROM (SELECT *, CASE ln % 4 WHEN 0 THEN 'taxi' WHEN 1 THEN 'boat' ELSE 'jeepney' END AS mode, ok % 30 AS code FROM trip))) GROUP BY reject, mode""")
 def _(t):
     at = lambda k: (F.expr(lng(k)), F.expr(lat(k)))

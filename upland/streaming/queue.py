@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import deque
 
 import pandas as pd
@@ -128,14 +129,20 @@ def claim_replies(reports: DataFrame, sent: DataFrame) -> DataFrame:
     return due.join(sent.select("id"), "id", "left_anti")
 
 
-def reply_text(site: str, name: str, days: int = 7) -> tuple[Column, Column]:
-    """Subject and body: fixed wording, so a held report's note never leaves the house."""
-    page = F.concat(F.lit(f"Your report's status page: {site}/corrections/status/"), F.col("token"))
-    fixed = F.col("status") == "applied"
-    subject = F.when(fixed, f"Your {name} report: fixed").otherwise(f"Your {name} report: a person will read it")
-    body = F.when(fixed, F.concat_ws("\n\n", F.concat(F.lit("Thanks. The guide now shows the change for "), F.col("page_path"), F.lit(".")), F.coalesce("status_note", F.lit("")), page)).otherwise(
-        F.concat_ws("\n\n", F.concat(F.lit("Thanks. A person will read your report about "), F.col("page_path"), F.lit(f" within {days} days.")), page))
-    return subject, body
+def reply_text(wording: dict[str, tuple[str, str]]) -> tuple[Column, Column]:
+    """Subject and body of each report's reply: `wording` has both for a status, with {column} where a value of the report
+    goes in. Only columns that the wording names are shown; a status without wording gives null."""
+    def filled(template: str) -> Column:
+        parts = re.split(r"\{(\w+)\}", template)
+        return F.concat(*[F.coalesce(F.col(p).cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+    def of(which: int) -> Column:
+        out = F.lit(None).cast("string")
+        for status, texts in wording.items():
+            out = F.when(F.col("status") == status, filled(texts[which])).otherwise(out)
+        return out
+
+    return of(0), of(1)
 
 
 # ------------------------------------------------------------------ retention, status
