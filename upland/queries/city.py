@@ -172,7 +172,7 @@ SITE = f"""site0 AS (SELECT "row", "col", {_BASE} AS cls, "row" || ':' || "col"
 _SQ = "sqrt(pow(greatest(abs(x - cx) - side / 2, 0), 2) + pow(greatest(abs(y - cy) - side / 2, 0), 2))"
 # obstacles moved beside the grid, so that plants and buildings do meet
 NBLD = f"""nb AS (SELECT bid, side, {px_sql(f'({GRID_W}::DOUBLE + (bid * 37 % 128) * 0.0001::DOUBLE)')} AS cx, {py_sql(f'({GRID_N}::DOUBLE - (bid * 53 % 110) * 0.0001::DOUBLE)')} AS cy FROM bld)"""
-_CLEAR = f"NOT EXISTS (SELECT 1 FROM nb WHERE {_SQ} <= 1.2) AND NOT EXISTS (SELECT 1 FROM (SELECT *, 3.1::DOUBLE + 1.2 AS clear FROM seg WHERE code % 3 = 0) WHERE {DIST} <= clear)"
+_CLEAR = f"NOT EXISTS (SELECT 1 FROM nb WHERE {_SQ} <= 1.2) AND NOT EXISTS (SELECT 1 FROM (SELECT *, 3.1::DOUBLE + 1.2 AS clear FROM seg) WHERE {DIST} <= clear)"
 
 
 def near_blds(t):
@@ -184,7 +184,7 @@ def near_blds(t):
 
 
 def clear_segs(t):
-    return t.segs.where("code % 3 = 0").withColumn("clear", F.lit(3.1) + F.lit(1.2))
+    return t.segs.withColumn("clear", F.lit(3.1) + F.lit(1.2))
 
 
 @query("J24_clear_sites", with_(GRID, BLD, NBLD, SEG, SITE) + f"SELECT site_id FROM site1 WHERE {_CLEAR}")
@@ -242,27 +242,27 @@ def _(t):
     return FL.site_records(p, 1.35).select("id", "rx", "re", "rh")
 
 
-@query("U3_site_kinds", with_(GRID, BLD, NBLD, SEG, SITE, PLANT) + f"""SELECT kind, count(*) AS n FROM (SELECT kind FROM plant UNION ALL SELECT 'row_tree' FROM (SELECT code, sum(len) AS total FROM seg WHERE code % 7 = 0 GROUP BY code), (SELECT unnest(range(0, 200)) AS k) WHERE k * 8 < total) GROUP BY kind""")
+@query("U3_site_kinds", with_(GRID, BLD, NBLD, SEG, SITE, PLANT) + f"""SELECT kind, count(*) AS n FROM (SELECT kind FROM plant UNION ALL SELECT 'row_tree' FROM (SELECT code, sum(len) AS total FROM seg GROUP BY code), (SELECT unnest(range(0, 200)) AS k) WHERE k * 8 < total) GROUP BY kind""")
 def _(t):
     p = FL.plant_sites(base_grid(t), (GRID_W, GRID_N, GRID_D, GRID_D), None, near_blds(t), clear_segs(t))
-    rows = FL.row_trees(t.planar_lines.where("code % 7 = 0")).withColumn("kind", F.lit("row_tree"))
+    rows = FL.row_trees(t.planar_lines).withColumn("kind", F.lit("row_tree"))
     return FL.union_sites(p.select("site_id", "kind", "x", "y"), rows.select("site_id", "kind", "x", "y")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("P13_tree_candidates", with_(BLD, SEG) + f"""SELECT i, j, {rnd('x', 3)} AS x, {rnd('y', 3)} AS y FROM (SELECT DISTINCT i, j, i * 30.0::DOUBLE + ({_U("'pines'", "'x'", 'i', 'j')} * 2 - 1) * 15 AS x, j * 30.0::DOUBLE + ({_U("'pines'", "'y'", 'i', 'j')} * 2 - 1) * 15 AS y FROM
- (SELECT DISTINCT CAST(ceil((cx - 60) / 30) AS BIGINT) + a AS i, CAST(ceil((cy - 60) / 30) AS BIGINT) + b AS j FROM bld, (SELECT unnest(range(0, 5)) AS a), (SELECT unnest(range(0, 5)) AS b) WHERE bid % 4 = 0 AND (ceil((cx - 60) / 30) + a) * 30 < cx + 60 AND (ceil((cy - 60) / 30) + b) * 30 < cy + 60)) s
+ (SELECT DISTINCT CAST(ceil((cx - 60) / 30) AS BIGINT) + a AS i, CAST(ceil((cy - 60) / 30) AS BIGINT) + b AS j FROM bld, (SELECT unnest(range(0, 5)) AS a), (SELECT unnest(range(0, 5)) AS b) WHERE (ceil((cx - 60) / 30) + a) * 30 < cx + 60 AND (ceil((cy - 60) / 30) + b) * 30 < cy + 60)) s
  WHERE NOT EXISTS (SELECT 1 FROM bld WHERE {_SQ} <= 8) AND NOT EXISTS (SELECT 1 FROM seg WHERE {DIST} <= 8)""")
 def _(t):
-    box = t.bld.where("bid % 4 = 0").select((F.col("cx") - 60).alias("w"), (F.col("cy") - 60).alias("s"), (F.col("cx") + 60).alias("e"), (F.col("cy") + 60).alias("n"))
+    box = t.bld.select((F.col("cx") - 60).alias("w"), (F.col("cy") - 60).alias("s"), (F.col("cx") + 60).alias("e"), (F.col("cy") + 60).alias("n"))
     return FL.tree_candidates(box, t.bld, t.segs).select("i", "j", r("x", 3).alias("x"), r("y", 3).alias("y"))
 
 
 @query("P13_standing_trees")
 def _(t):
-    box = t.bld.where("bid % 4 = 0").select((F.col("cx") - 60).alias("w"), (F.col("cy") - 60).alias("s"), (F.col("cx") + 60).alias("e"), (F.col("cy") + 60).alias("n"))
+    box = t.bld.select((F.col("cx") - 60).alias("w"), (F.col("cy") - 60).alias("s"), (F.col("cx") + 60).alias("e"), (F.col("cy") + 60).alias("n"))
     p = FL.tree_candidates(box, t.bld, t.segs)
     a, b = geo.planar_lnglat("cx", "cy")
-    h = t.heights(t.bld.where("bid % 4 = 0").select(a.alias("lng"), b.alias("lat")), reach=12)
+    h = t.heights(t.bld.select(a.alias("lng"), b.alias("lat")), reach=12)
     return FL.standing_trees(p, h, geo.planar_lnglat, lowest=900.0).select("site_id", r("ground", 3).alias("ground"), r("slope_deg", 2).alias("slope"))
 
 
@@ -452,12 +452,12 @@ def _(t):
     return DI.assign_signs(pois(t), t.bld).select("bid", "text", "kind", "poi_id", "position")
 
 
-_AREA13 = "ma AS (SELECT p_partkey AS aid, {x} + (p_partkey % 4) * 3 AS rx, {y} + (p_partkey % 3) * 3 AS ry, 6.0 + p_size % 20 AS h FROM part WHERE p_partkey % 3 = 0)".format(x=px_sql(lng("p_partkey")), y=py_sql(lat("p_partkey")))
+_AREA13 = "ma AS (SELECT p_partkey AS aid, {x} + (p_partkey % 4) * 3 AS rx, {y} + (p_partkey % 3) * 3 AS ry, 6.0 + p_size % 20 AS h FROM part)".format(x=px_sql(lng("p_partkey")), y=py_sql(lat("p_partkey")))
 
 
 def match_polys(t):
     x, y = geo.planar_xy(F.expr(lng("p_partkey")), F.expr(lat("p_partkey")))
-    d = t.raw("part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("aid"), (x + F.expr("(p_partkey % 4) * 3")).alias("rx"), (y + F.expr("(p_partkey % 3) * 3")).alias("ry"), F.expr("6.0D + p_size % 20").alias("h"))
+    d = t.raw("part").select(F.col("p_partkey").alias("aid"), (x + F.expr("(p_partkey % 4) * 3")).alias("rx"), (y + F.expr("(p_partkey % 3) * 3")).alias("ry"), F.expr("6.0D + p_size % 20").alias("h"))
     h = F.col("h")
     ring = F.array(*[F.struct((F.col("rx") + a * h).alias("x"), (F.col("ry") + b * h).alias("y")) for a, b in [(-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)]])
     return d.withColumn("aedges", G.edges(ring)).select("*", (F.col("rx") - h).alias("west"), (F.col("ry") - h).alias("south"), (F.col("rx") + h).alias("east"), (F.col("ry") + h).alias("north"))
@@ -492,7 +492,7 @@ def _(t):
 def _(t):
     a, b = geo.planar_lnglat("cx", "cy")
     blds = t.bld.withColumn("lng", a).withColumn("lat", b)
-    d = DI.hotel_buildings(pois(t).where("kind = 'fast_food'"), match_polys(t), blds, t.segs)
+    d = DI.hotel_buildings(pois(t), match_polys(t), blds, t.segs)
     return d.select("bid", "hotel", "road", "z", "x", "y")
 
 

@@ -163,10 +163,10 @@ def _(t):
 # --------------------------------------------------------------- joins
 
 
-@query("J1_place_landmark", with_(DEST) + """, lm AS (SELECT s, min(p) AS mesh FROM (SELECT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_quantity < 10) GROUP BY s)
+@query("J1_place_landmark", with_(DEST) + """, lm AS (SELECT s, min(p) AS mesh FROM (SELECT l_suppkey AS s, l_partkey AS p FROM lineitem) GROUP BY s)
 SELECT id, slug, mesh FROM dest LEFT JOIN lm ON s = id""")
 def _(t):
-    kids = t.raw("lineitem").where("l_quantity < 10").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("mesh"))
+    kids = t.raw("lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("mesh"))
     return P.first_child(t.dest, kids, "id", "s", F.col("mesh"), ["mesh"]).select("id", "slug", "mesh")
 
 
@@ -341,10 +341,10 @@ def _(t):
     return P.tiles_covering(boxes.union(area), 14)
 
 
-@query("U5_missing_ids", "SELECT l_orderkey AS id FROM lineitem WHERE l_quantity > 45 EXCEPT SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'")
+@query("U5_missing_ids", "SELECT l_partkey AS id FROM lineitem EXCEPT SELECT o_custkey FROM orders")
 def _(t):
-    asked = t.raw("lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("id")).distinct()
-    return asked.join(t.raw("orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("id")), "id", "left_anti")
+    asked = t.raw("lineitem").select(F.col("l_partkey").alias("id")).distinct()
+    return asked.join(t.raw("orders").select(F.col("o_custkey").alias("id")), "id", "left_anti")
 
 
 @query("U6_distinct_stops", with_(STOP) + "SELECT code, sname, seq FROM (SELECT route // 4 AS code, 'S' || (stop_id % 9) AS sname, seq, row_number() OVER (PARTITION BY route // 4, stop_id % 9 ORDER BY seq, stop_id) AS rn FROM stop) WHERE rn = 1")

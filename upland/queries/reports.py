@@ -25,7 +25,7 @@ _FORM = f"""SELECT event_id AS id, ts, user_id, CASE WHEN event_id % 19 = 0 THEN
   CASE WHEN event_id % 23 = 0 THEN repeat('x', 450) ELSE {_pick('event_id % 6', MESSAGES)} END AS message,
   CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'someone@' ELSE 'r' || user_id || '@example.test' END AS email,
   CASE WHEN event_id % 29 = 0 THEN repeat('n', 81) ELSE '  Ana ' END AS name, CASE event_id % 8 WHEN 0 THEN 'http://example.org/x' WHEN 1 THEN 'https://example.org/hours' ELSE '' END AS link
-  FROM {{src}} WHERE event_type = 'signup'"""
+  FROM {{src}}"""
 FORM = f"form AS ({_FORM.format(src='events')})"
 PARSED = """pf AS (SELECT *, CASE WHEN website <> '' THEN 'spam' WHEN started = 'abc' OR started = '9999000' THEN 'spam' WHEN e1 + e2 + e3 + e4 + e5 > 0 THEN 'invalid' ELSE 'valid' END AS kind FROM (SELECT *,
   CAST(NOT starts_with(pg, '/') AS INT) AS e1, CAST(length(trim(message)) < 10 AS INT) AS e2, CAST(email = '' OR email = 'someone@' AS INT) AS e3, CAST(link = 'http://example.org/x' AS INT) AS e4, CAST(length(trim(name)) > 80 AS INT) AS e5
@@ -70,10 +70,10 @@ def _(t):
 
 
 @query("E45_check_verdict", """SELECT id, outcome, CASE WHEN outcome = 'held' THEN note END AS note FROM (SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'held' WHEN event_id % 3 = 0 OR event_id % 5 = 0 OR event_id % 7 = 0 THEN 'held' ELSE 'proposed' END AS outcome,
-  CASE WHEN event_id % 2 = 1 THEN 'The check''s answer was incomplete.' WHEN event_id % 4 = 0 THEN 'No public page confirms it.' ELSE repeat('n', 300) END AS note FROM events WHERE event_type = 'error')""")
+  CASE WHEN event_id % 2 = 1 THEN 'The check''s answer was incomplete.' WHEN event_id % 4 = 0 THEN 'No public page confirms it.' ELSE repeat('n', 300) END AS note FROM events)""")
 def _(t):
     i = F.col("event_id")
-    v = t.events.where("event_type = 'error'").select(
+    v = t.events.select(
         i.alias("id"), F.when(i % 2 == 0, "held").otherwise("proposed").alias("outcome"), F.when(i % 4 == 0, "").otherwise(F.repeat(F.lit("n"), 400)).alias("note"), F.when(i % 3 == 0, "routes").otherwise("venues").alias("table"), F.lit("cafe").alias("slug"),
         F.when(i % 11 == 0, "price_range").otherwise("hours").alias("field"), F.when(i % 5 == 0, "8:00").otherwise("08:00").alias("open"), F.lit("21:00").alias("close"), F.when(i % 5 == 0, 9).otherwise(2).alias("price_range"),
         F.lit("https://example.org/cafe").alias("source_url"), F.when(i % 7 == 0, "too short").otherwise("We are open daily from 8:00 am to 9:00 pm.").alias("quote"))
@@ -96,7 +96,7 @@ def _(t):
 
 REP = """rep AS (SELECT event_id AS id, ts AS created_at, CASE event_type WHEN 'signup' THEN 'received' WHEN 'error' THEN 'checking' WHEN 'purchase' THEN 'applied' ELSE 'held' END AS status, CAST(event_id % 4 AS INTEGER) AS attempts,
   CASE WHEN event_type <> 'signup' THEN ts END AS checked_at, '/eat-stay' AS page_path, 'text' AS message, CASE WHEN event_id % 3 <> 0 THEN 'r@example.test' END AS reply_email, CASE WHEN event_id % 5 = 0 THEN ts END AS replied_at, CASE WHEN event_id % 2 = 0 THEN 'Ana' END AS reporter_name,
-  CASE WHEN event_type = 'purchase' THEN ts END AS resolved_at, 'note' AS status_note, CAST(NULL AS VARCHAR) AS last_error, substr(md5(CAST(event_id AS VARCHAR)), 1, 8) || '-0000-4000-8000-' || substr(md5(CAST(event_id AS VARCHAR)), 1, 12) AS token FROM events WHERE event_type <> 'click')"""
+  CASE WHEN event_type = 'purchase' THEN ts END AS resolved_at, 'note' AS status_note, CAST(NULL AS VARCHAR) AS last_error, substr(md5(CAST(event_id AS VARCHAR)), 1, 8) || '-0000-4000-8000-' || substr(md5(CAST(event_id AS VARCHAR)), 1, 12) AS token FROM events)"""
 
 
 def reports(t):
@@ -111,13 +111,13 @@ def _(t):
 @query("T2_hourly_cap")
 def _(t):
     """One in six of the reports' keys is busy: the cap is set so that it binds."""
-    d = t.events.where("event_type = 'signup'").withColumn("k", F.col("user_id") % 3)
+    d = t.events.withColumn("k", F.col("user_id") % 3)
     return Q.rolling_cap(d, ["k"], "ts", "event_id", 2, 3600).select("event_id", "k", "accepted")
 
 
-@query("T2_cap_unbound", "SELECT user_id, count(*) AS accepted FROM events WHERE event_type = 'signup' GROUP BY user_id")
+@query("T2_cap_unbound", "SELECT user_id, count(*) AS accepted FROM events GROUP BY user_id")
 def _(t):
-    d = Q.rolling_cap(t.events.where("event_type = 'signup'"), ["user_id"], "ts", "event_id", 10_000, 3600)
+    d = Q.rolling_cap(t.events, ["user_id"], "ts", "event_id", 10_000, 3600)
     return d.where("accepted").groupBy("user_id").agg(F.count("*").alias("accepted"))
 
 
@@ -204,7 +204,7 @@ def _(t):
 
 # ------------------------------------------------------------------- audit
 
-_CH = "SELECT event_id AS id, ts AS applied_at, 'venues' AS target_table, 'venue-' || user_id AS slug, CASE WHEN value > 245 OR event_id % 3 = 0 THEN 'hours' ELSE 'price_range' END AS field, user_id, value FROM {src} WHERE event_type = 'purchase'"
+_CH = "SELECT event_id AS id, ts AS applied_at, 'venues' AS target_table, 'venue-' || user_id AS slug, CASE WHEN value > 245 OR event_id % 3 = 0 THEN 'hours' ELSE 'price_range' END AS field, user_id, value FROM {src}"
 CH = f"ch AS ({_CH.format(src='events')})"
 
 
@@ -222,7 +222,7 @@ def _(t):
     return A.first_per_target(changes(t).select("target_table", "slug", "field", "id")).select("slug", "field", "id")
 
 
-_PROP = "SELECT event_id AS id, ts, CASE WHEN event_id % 9 = 0 THEN 'destinations' ELSE 'venues' END AS target_table, 'venue-' || (user_id + CASE WHEN event_id % 13 = 0 THEN 100000000 ELSE 0 END) AS slug, CASE WHEN event_id % 2 = 0 THEN 'hours' ELSE 'price_range' END AS field, CASE WHEN event_id % 5 = 0 THEN '8:00' ELSE '08:00' END AS open, '21:00' AS close, CAST(event_id % 6 AS INTEGER) AS price_range FROM {src} WHERE event_type = 'error'"
+_PROP = "SELECT event_id AS id, ts, CASE WHEN event_id % 9 = 0 THEN 'destinations' ELSE 'venues' END AS target_table, 'venue-' || (user_id + CASE WHEN event_id % 13 = 0 THEN 100000000 ELSE 0 END) AS slug, CASE WHEN event_id % 2 = 0 THEN 'hours' ELSE 'price_range' END AS field, CASE WHEN event_id % 5 = 0 THEN '8:00' ELSE '08:00' END AS open, '21:00' AS close, CAST(event_id % 6 AS INTEGER) AS price_range FROM {src}"
 _GATE = f"""pr AS ({_PROP.format(src='events')}), lg AS (SELECT DISTINCT target_table, slug, field FROM ch WHERE id % 4 <> 0 AND applied_at > {NOW} - INTERVAL 7 DAY),
  g0 AS (SELECT pr.*, CASE WHEN pr.id % 11 = 0 THEN 'held: not checking' WHEN pr.target_table = 'destinations' AND pr.field = 'price_range' THEN 'held: field' WHEN pr.field = 'hours' AND open = '8:00' OR pr.field = 'price_range' AND price_range NOT BETWEEN 1 AND 4 THEN 'held: value' WHEN lg.slug IS NOT NULL THEN 'held: cooldown' WHEN pr.target_table <> 'venues' OR pr.id % 13 = 0 THEN 'held: place' ELSE 'applied' END AS o FROM pr LEFT JOIN lg ON pr.target_table = lg.target_table AND pr.slug = lg.slug AND pr.field = lg.field),
  g1 AS (SELECT *, CASE WHEN o = 'applied' AND row_number() OVER (PARTITION BY target_table, slug, field, o ORDER BY id) > 1 THEN 'held: cooldown' ELSE o END AS outcome FROM g0)"""
@@ -266,7 +266,7 @@ def _(t):
 
 
 @query("T12_settled_views", f"""SELECT user_id, n AS moves, {rnd('west', 4)} AS west, {rnd('zoom', 1)} AS zoom FROM (SELECT user_id, s, count(*) AS n, arg_max(120.5::DOUBLE + value / 3000, (ts, event_id)) AS west, arg_max(12 + value / 77, (ts, event_id)) AS zoom FROM
- (SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 4 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events WHERE event_type = 'view')) GROUP BY user_id, s)""")
+ (SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 4 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) GROUP BY user_id, s)""")
 def _(t):
-    v = t.events.where("event_type = 'view'").select("event_id", "user_id", "ts", (F.lit(120.5) + F.col("value") / 3000).alias("west"), F.lit(16.3).alias("south"), F.lit(120.6).alias("east"), F.lit(16.4).alias("north"), (12 + F.col("value") / 77).alias("zoom"))
+    v = t.events.select("event_id", "user_id", "ts", (F.lit(120.5) + F.col("value") / 3000).alias("west"), F.lit(16.3).alias("south"), F.lit(120.6).alias("east"), F.lit(16.4).alias("north"), (12 + F.col("value") / 77).alias("zoom"))
     return J.settled_views(v, quiet="4 hours").select("user_id", "moves", "west", "zoom")

@@ -204,9 +204,9 @@ def _(t):
 
 
 @query("W3_local_bearing", with_(PATH) + f"""SELECT code, i, {rnd('fmod(degrees(atan2(sin(radians(g2 - g1)) * cos(radians(t2)), cos(radians(t1)) * sin(radians(t2)) - sin(radians(t1)) * cos(radians(t2)) * cos(radians(g2 - g1)))) + 360, 360)', 2)} AS heading FROM
- (SELECT p.code, p.i, a.lng AS g1, a.lat AS t1, b.lng AS g2, b.lat AS t2 FROM path p JOIN (SELECT code, max(i) AS m FROM path GROUP BY code) USING (code) JOIN path a ON a.code = p.code AND a.i = CASE WHEN p.i = m THEN greatest(0, m - 5) ELSE p.i END JOIN path b ON b.code = p.code AND b.i = least(m, p.i + 5) WHERE m > 0 AND p.code % 5 <> 0)""")
+ (SELECT p.code, p.i, a.lng AS g1, a.lat AS t1, b.lng AS g2, b.lat AS t2 FROM path p JOIN (SELECT code, max(i) AS m FROM path GROUP BY code) USING (code) JOIN path a ON a.code = p.code AND a.i = CASE WHEN p.i = m THEN greatest(0, m - 5) ELSE p.i END JOIN path b ON b.code = p.code AND b.i = least(m, p.i + 5) WHERE m > 0)""")
 def _(t):
-    d = t.lines.where((F.size("line") > 1) & (F.col("code") % 5 != 0)).select("code", "line", F.explode(F.sequence(F.lit(0), F.size("line") - 1)).alias("i"))
+    d = t.lines.where(F.size("line") > 1).select("code", "line", F.explode(F.sequence(F.lit(0), F.size("line") - 1)).alias("i"))
     return d.select("code", "i", r(L.bearing_at("line", F.col("i")), 2).alias("heading"))
 
 
@@ -344,11 +344,11 @@ def _(t):
     return h.groupBy("code").agg(r(F.min("x"), 3).alias("west"), r(F.max("x"), 3).alias("east"), r(F.min("y"), 3).alias("south"), r(F.max("y"), 3).alias("north"))
 
 
-@query("A10_junctions", f"WITH e AS (SELECT floor({lng('o_custkey % 97')} * 10000000 + 0.5) / 10000000 AS lng, floor({lat('o_custkey % 97')} * 10000000 + 0.5) / 10000000 AS lat FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT floor({lng('o_orderkey % 89')} * 10000000 + 0.5) / 10000000, floor({lat('o_orderkey % 89')} * 10000000 + 0.5) / 10000000 FROM orders WHERE o_orderkey % 2 = 0) SELECT lng, lat, count(*) AS n FROM e GROUP BY lng, lat HAVING count(*) >= 2")
+@query("A10_junctions", f"WITH e AS (SELECT floor({lng('o_custkey % 97')} * 10000000 + 0.5) / 10000000 AS lng, floor({lat('o_custkey % 97')} * 10000000 + 0.5) / 10000000 AS lat FROM orders UNION ALL SELECT floor({lng('o_orderkey % 89')} * 10000000 + 0.5) / 10000000, floor({lat('o_orderkey % 89')} * 10000000 + 0.5) / 10000000 FROM orders) SELECT lng, lat, count(*) AS n FROM e GROUP BY lng, lat HAVING count(*) >= 2")
 def _(t):
     from upland.plans.roads import junctions
     at = lambda k: F.struct(F.expr(lng(k)).alias("lng"), F.expr(lat(k)).alias("lat"))
-    ways = t.raw("orders").where("o_orderkey % 2 = 0").select(F.array(at("o_custkey % 97"), at("o_custkey + 1"), at("o_orderkey % 89")).alias("line"))
+    ways = t.raw("orders").select(F.array(at("o_custkey % 97"), at("o_custkey + 1"), at("o_orderkey % 89")).alias("line"))
     return junctions(ways)
 
 
@@ -427,16 +427,16 @@ def _(t):
     return s.select("tiles", "rows", "p50", r("p95", 3).alias("p95"), "largest")
 
 
-@query("J22_orphans", "SELECT k, side FROM (SELECT DISTINCT l_partkey AS k, 'missing' AS side FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 3) UNION ALL SELECT p_partkey, 'unlisted' FROM part WHERE p_size > 3 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem))")
+@query("J22_orphans", "SELECT k, side FROM (SELECT DISTINCT l_partkey AS k, 'missing' AS side FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey + 7 FROM part) UNION ALL SELECT p_partkey + 7, 'unlisted' FROM part WHERE p_partkey + 7 NOT IN (SELECT l_partkey FROM lineitem))")
 def _(t):
-    return D.orphans(t.raw("lineitem").select(F.col("l_partkey").alias("k")), t.raw("part").where("p_size > 3").select(F.col("p_partkey").alias("k")), "k")
+    return D.orphans(t.raw("lineitem").select(F.col("l_partkey").alias("k")), t.raw("part").select((F.col("p_partkey") + 7).alias("k")), "k")
 
 
-@query("J21_manifest_rows", "SELECT l_partkey AS k, CASE WHEN p_partkey IS NULL THEN 'skipped' ELSE 'replaced' END AS outcome, max(l_quantity) AS size FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 3 GROUP BY 1, 2")
+@query("J21_manifest_rows", "SELECT l_partkey AS k, CASE WHEN p_partkey IS NULL THEN 'skipped' ELSE 'replaced' END AS outcome, max(l_quantity) AS size FROM lineitem LEFT JOIN part ON p_partkey + 7 = l_partkey GROUP BY 1, 2")
 def _(t):
     from upland.sources.refresh import replace_entries
     listed = t.raw("lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.max("l_quantity").alias("size"))
-    return replace_entries(listed, t.raw("part").where("p_size > 3").select(F.col("p_partkey").alias("k")), "k").select("k", "outcome", "size")
+    return replace_entries(listed, t.raw("part").select((F.col("p_partkey") + 7).alias("k")), "k").select("k", "outcome", "size")
 
 
 # --------------------------------------------------------------------- data checks
