@@ -75,7 +75,7 @@ def test_settled_views_stream(spark, tmp_path):
     schema = "user_id int, ts timestamp, west double, south double, east double, north double, zoom double"
     rows = [row(1, 0, 12.04), row(1, 100, 13.06), row(1, 900, 14.0), row(2, 50, 11.0)]
     s = stream_of(spark, tmp_path / "in", schema, [rows, [row(3, 60_000, 9.0)]])
-    q = J.settled_views(s).writeStream.format("memory").queryName("views_out").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    q = J.settled_views(s, late="10 seconds").writeStream.format("memory").queryName("views_out").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
     run(q)
     got = sorted((r["user_id"], r["moves"], r["zoom"], r["west"]) for r in spark.table("views_out").collect())
     assert got == [(1, 1, 14.0, 120.5), (1, 2, 13.1, 120.5), (2, 1, 11.0, 120.5)]
@@ -89,6 +89,32 @@ def test_sweep_stream_writes_a_summary(spark, tmp_path):
     assert {(r["step"], r["outcome"]): r["n"] for r in summary.collect()} == {("released", "held"): 1, ("released", "received"): 2, ("checked", "done"): 2, ("reply", "done"): 1}
     src = tmp_path / "ticks"
     stream = stream_of(spark, src, "t int", [[(1,)]])
-    q = J.sweep_stream(stream, lambda: rep, lambda: rep.limit(0).select("id"), done, done, str(tmp_path / "out"), str(tmp_path / "cp")).start()
+    q = J.sweep_stream(stream, lambda: rep, done, done, str(tmp_path / "out"), str(tmp_path / "cp"), every="1 second").start()
     run(q)
-    assert spark.read.parquet(str(tmp_path / "out" / "batch=0")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "out" / "summary" / "batch=0")).count() == 4
+
+
+def test_sweeps_keep_their_results(spark, tmp_path):
+    """Two sweeps, the second one run twice: each reply is sent once, but for one that failed and is sent again."""
+    rows = [(i, T0 + dt.timedelta(minutes=i), ["applied", "held", "received"][i % 3], None, 0, f"e{i}@x.test", None, "/", None, None) for i in range(36)]
+    rep = spark.createDataFrame(rows, "id int, created_at timestamp, status string, checked_at timestamp, attempts int, reply_email string, replied_at timestamp, page_path string, status_note string, last_error string")
+    root, sent = str(tmp_path / "outbox"), []
+
+    def send(df):
+        ids = [r["id"] for r in df.collect()]
+        sent.extend(ids)
+        return spark.createDataFrame([(i, "failed" if i == 4 and sent.count(4) == 1 else "sent") for i in ids], "id int, outcome string")
+
+    check = lambda df: df.select("id", F.when(F.col("id") % 2 == 0, "applied").otherwise("error").alias("outcome"))
+    for batch in (0, 1, 1, 2, 3):
+        J.kept_sweep(J.apply_sweeps(rep, root), root, batch, F.lit(T0 + dt.timedelta(hours=1)), check, send)
+    assert sorted(sent) == sorted([*set(sent), 4]) and len(sent) > 20
+    after = {r["id"]: r for r in J.apply_sweeps(rep, root).collect()}
+    assert all(after[i]["replied_at"] is not None for i in set(sent)) and after[2]["status"] == "applied" and after[5]["attempts"] >= 1
+
+
+def test_late_views_are_kept(spark, tmp_path):
+    at = lambda s: (1, T0 + dt.timedelta(seconds=s))
+    s = stream_of(spark, tmp_path / "in", "user_id int, ts timestamp", [[at(0), at(100)], [at(95), at(20)], [at(300), at(91)]])
+    run(J.write_late(s, "10 seconds", str(tmp_path / "out"), str(tmp_path / "cp")).start())
+    assert [r["ts"] for r in spark.read.parquet(str(tmp_path / "out" / "late")).collect()] == [at(20)[1]]

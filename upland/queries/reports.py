@@ -51,6 +51,20 @@ def _(t):
     return parsed(t).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query("T1_submission_stream", with_(FORM, PARSED) + "SELECT kind, count(*) AS n FROM pf GROUP BY kind")
+def _(t):
+    """The same forms as a stream: parsed, written to a folder of each kind, and read back."""
+    from uuid import uuid4
+
+    from upland.session import shared_folder
+    root = f"{shared_folder(t.spark)}/submissions/{uuid4().hex}"
+    rows = t.spark.readStream.schema(t.spark.read.parquet(f"{t.folder}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    rows.createOrReplaceTempView("event_stream")
+    stream = S.parse(t.spark.sql(_FORM.format(src="event_stream")).withColumnRenamed("started", "startedAt"), F.lit(10_000_000.0))
+    J.write_by_kind(stream, f"{root}/out", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").groupBy("kind").agg(F.count("*").alias("n"))
+
+
 _DIFF = """df AS (SELECT *, (CASE WHEN NOT (regexp_matches(pg, '^/destinations/[a-z0-9-]+$') OR pg = '/eat-stay') THEN 1 ELSE 0 END) AS r1, CASE WHEN length(m) > 400 THEN 1 ELSE 0 END AS r2, CASE WHEN k = 3 THEN 1 ELSE 0 END AS r3, CASE WHEN k = 1 THEN 1 ELSE 0 END AS r4, k IN (0, 1, 3, 5) AS in_scope
   FROM (SELECT *, trim(message) AS m, CASE WHEN id % 23 = 0 THEN 9 ELSE id % 6 END AS k FROM pf))"""
 
