@@ -1,12 +1,13 @@
 """N-gram Jaccard join with a token-group matrix.
 
-A document is the set of hashes of its five-word shingles. Similar documents are partitioned into groups first: sets
-that share a minimum hash meet in a cell and join the first leader they are similar to. The matrix then says which
-groups hold which token: any two sets that are similar share a token within a known part of each, in any order of the
-tokens that all follow, so only that part of each set enters it. A query set and a group of other documents that meet in
-the matrix are a candidate; the group keeps the union of its tokens, the query's overlap with it bounds its overlap with
-every member, and only groups whose bound reaches the threshold are opened and compared set by set. Nothing is lost:
-groups only save the comparison of documents that are connected already.
+A document is the set of hashes of its five-word shingles. Similar sets are partitioned into groups first: of a few
+minimum hashes of a set the one that most others share names its group, and large groups are dealt over blocks. Links
+within a group are found there. The matrix then says which groups hold which token: any two sets that are similar share
+a known number of tokens within a known part of each, in any order of the tokens that all follow, so only that part of
+each set enters it. Two groups that share enough of it, and are not connected throughout already, are a candidate; then
+each query set of one is held against the union of the other's tokens, its overlap with that bounds its overlap with
+every member, and only if the bound reaches the threshold is the group opened and compared set by set. No link between
+sets that are not connected otherwise is lost.
 """
 
 from __future__ import annotations
@@ -20,10 +21,9 @@ from upland.llm.common import bitmap, byte_view, components, in_bitmap, mix, sli
 
 WORDS = 5
 TOP, BOTTOM = 80, 100            # similar: BOTTOM * intersection >= TOP * union
-CELLS = 2                        # minimum hashes by which groups are found
-LEADERS = 8                      # leaders of a cell that a set is compared with; the matrix finds what this misses
-CROWDED = (4096, 65536, 1048576, 16777216)   # a cell of more sets is dealt over 16 times as many cells, at each step
-MEMBERS = 256                    # sets of a group that one block holds
+CELLS = 3                        # minimum hashes of a set, of which one names its group
+MEMBERS = 1024                   # sets that a block of a group holds, about
+QUERIES = 8192                   # queries that one copy of a group answers, about
 HOT = 16                         # tokens counted at least so often go last in the order of tokens
 HOT_MOST = 1 << 20               # hot tokens that tasks know, the commonest; which ones they know changes no result
 COUNT_AT_ONCE = 2_000_000        # tokens a task counts together
@@ -66,7 +66,8 @@ def fingerprint(tokens: np.ndarray) -> int:
     """A hash of the set; 0 for the empty one."""
     if not len(tokens):
         return 0
-    return int(mix(np.array([mix(tokens ^ STEP[1]).sum() + np.uint64(len(tokens)) * STEP[2]], np.uint64)).view(np.int64)[0])
+    size = np.array([len(tokens)], np.uint64)
+    return int(mix(mix(tokens ^ STEP[1]).sum(keepdims=True) + size * STEP[2]).view(np.int64)[0])
 
 
 def minima(tokens: np.ndarray) -> list[int]:
@@ -75,23 +76,6 @@ def minima(tokens: np.ndarray) -> list[int]:
     return mix(np.array(low, np.uint64)).view(np.int64).tolist()
 
 
-def enough(shared: int, a: int, b: int) -> bool:
-    return BOTTOM * shared >= TOP * (a + b - shared)
-
-
-def comparable(a: int, b: int) -> bool:
-    return BOTTOM * min(a, b) >= TOP * max(a, b)
-
-
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum()) if len(b) else 0
-
-
 # ---------------------------------------------------------------- passes over the texts
 
 
@@ -161,74 +145,154 @@ def wanted_sets(docs: DataFrame, rows_of, schema: str, fields: list[str]) -> Dat
 # ---------------------------------------------------------------- groups
 
 
-def group_edges(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) between sets and the leaders of their cells, each one compared."""
-    cells = stash(distinct.select("fp", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = bitmap(cells, F.col("cell"))
-    crowded = [bitmap(cells.where(F.col("n") > most), F.col("cell")) for most in CROWDED]
-    crowded = [c for c in crowded if c.any()]
+def groups_of(distinct: DataFrame) -> DataFrame:
+    """(fp, grp): the group of each set, its own number where it shares no minimum hash with another."""
+    each = distinct.select("fp", F.explode("cells").alias("cell"))
+    shared = stash(each.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))
+    best = each.join(shared, "cell").groupBy("fp").agg(F.max(F.struct("n", "cell")).alias("b"))
+    block = F.pmod(F.xxhash64("fp"), F.ceil(F.col("b.n") / MEMBERS))
+    named = best.select("fp", F.xxhash64(F.col("b.cell"), block).alias("grp"))
+    return stash(distinct.select("fp").join(named, "fp", "left").select("fp", F.coalesce("grp", "fp").alias("grp")))
+
+
+def sets_for(docs: DataFrame, route: DataFrame) -> DataFrame:
+    """The rows of a table with a column fp, each with its set's tokens. A bitmap of the numbers asked for keeps most other
+    sets from being sent."""
+    wanted = bitmap(route.select("fp").distinct(), F.col("fp"))
 
     def rows_of(fp, tokens):
-        raw = None
-        at = np.array(minima(tokens), np.int64)
-        hot = sum((in_bitmap(c, at).astype(np.int64) for c in crowded), np.zeros(len(at), np.int64))
-        for cell, on, steps in zip(at.tolist(), in_bitmap(shared, at), hot.tolist()):
-            if on:
-                raw = raw or tokens.tobytes()
-                part = (fp % 16**steps) if steps else 0
-                yield int(mix(np.array([cell], np.int64).view(np.uint64) + np.uint64(part)).view(np.int64)[0]), fp, raw
-
-    def lead(batches):
-        cell, leaders, last = None, [], None
+        if in_bitmap(wanted, np.array([fp], np.int64).view(np.uint64))[0]:
+            yield fp, tokens.tobytes()
+
+    return route.join(wanted_sets(docs, rows_of, "fp long, tokens binary", ["fp", "tokens"]).dropDuplicates(["fp"]), "fp")
+
+
+class Matrix:
+    """Which of a few sets hold which token: the union of their tokens, and for each the numbers of its holders."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(t) for t in sets])
+        tokens, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        self.owners = owners[order]
+        self.union, self.first = np.unique(tokens[order], return_index=True)
+        self.first = np.append(self.first, len(tokens))
+
+    def similar(self, tokens: np.ndarray) -> np.ndarray:
+        """Numbers of the sets that are similar to a query; the group is opened only if the query's overlap with the union
+        leaves room for one."""
+        at = np.minimum(np.searchsorted(self.union, tokens), len(self.union) - 1)
+        at = at[self.union[at] == tokens]
+        if BOTTOM * len(at) < TOP * len(tokens):
+            return at[:0]
+        begin, n = self.first[at], self.first[at + 1] - self.first[at]
+        holders = self.owners[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        shared = np.bincount(holders, minlength=len(self.sizes))
+        return np.flatnonzero(BOTTOM * shared >= TOP * (self.sizes + len(tokens) - shared))
+
+
+class Joined:
+    """Which of a few numbers are connected."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while self.up.setdefault(x, x) != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        self.up[self.root(a)] = self.root(b)
+
+
+def edge_batch(edges) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
+
+
+def answer(batches):
+    """Rows (group, copy, query, fp, root, tokens), a group's members before its queries: an edge to a similar member for
+    each query that nothing known has connected with it yet."""
+    now, held, matrix, known = None, [], None, Joined()
+    for batch in batches:
+        out = []
+        for grp, copy, query, fp, root, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            if (grp, copy) != now:
+                now, held, matrix, known = (grp, copy), [], None, Joined()
+            tokens = np.frombuffer(raw, np.uint64)
+            if not query:
+                held.append((fp, root, tokens))
+            elif held:
+                matrix = matrix or Matrix([t for _, _, t in held])
+                for i in matrix.similar(tokens).tolist():
+                    if known.root(root) != known.root(held[i][1]):
+                        known.join(root, held[i][1])
+                        out.append((fp, held[i][0]))
+        yield edge_batch(out)
+
+
+def group_edges(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what is similar within each group: its members are its queries too."""
+    several = groups.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
+    members = stash(groups.join(several, "grp"))
+    rows = sets_for(docs, members)
+
+    def within(batches):
+        now, held = None, []
+
+        def settle():
+            known, out = Joined(), []
+            matrix = Matrix([t for _, t in held]) if len(held) > 1 else None
+            for fp, tokens in held if matrix else []:
+                for i in matrix.similar(tokens).tolist():
+                    if known.root(fp) != known.root(held[i][0]):
+                        known.join(fp, held[i][0])
+                        out.append((fp, held[i][0]))
+            return out
+
         for batch in batches:
-            a, b = [], []
-            for c, fp, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if c != cell:
-                    cell, leaders, last = c, [], None
-                if fp == last:
-                    continue
-                last = fp
-                tokens = np.frombuffer(raw, np.uint64)
-                for other, held in leaders:
-                    if comparable(len(tokens), len(held)) and enough(overlap(tokens, held), len(tokens), len(held)):
-                        a.append(fp)
-                        b.append(other)
-                        break
-                else:
-                    if len(leaders) < LEADERS:
-                        leaders.append((fp, tokens))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    rows = wanted_sets(docs, rows_of, "cell long, fp long, tokens binary", ["cell", "fp", "tokens"])
-    return rows.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(lead, "a long, b long")
+            out = []
+            for grp, fp, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if grp != now:
+                    out += settle()
+                    now, held = grp, []
+                held.append((fp, np.frombuffer(raw, np.uint64)))
+            yield edge_batch(out)
+        yield edge_batch(settle())
+
+    return rows.select("grp", "fp", "tokens").repartition("grp").sortWithinPartitions("grp", "fp").mapInArrow(within, "a long, b long")
 
 
 # ---------------------------------------------------------------- the matrix
 
 
-def prefix(n: int) -> tuple[int, int]:
-    """How many of the first tokens of n enter the matrix: as a query (against sets not larger), as a member (against
-    sets not smaller). A similar pair shares at least TOP / BOTTOM of the larger, and 2 * TOP / (TOP + BOTTOM) of the
-    smaller; the first tokens of either, in one order, cannot all miss."""
-    least = -(-TOP * n // BOTTOM)
-    member = -(-2 * TOP * n // (TOP + BOTTOM))
-    return n - least + 1, n - member + 1
+def prefix(n: int) -> int:
+    """How many of the first tokens of n enter the matrix. A similar set shares at least TOP / BOTTOM of the larger one,
+    so the first tokens of both, in one order, cannot all miss."""
+    return n + TOP * n // -BOTTOM + 1
+
+
+def least_met(a, b):
+    """How many tokens of the parts in the matrix a set of size a shares with a similar one of size b <= a, at least; it
+    falls with a and rises with b, so the largest a and the smallest b of two groups bound it for their members. Of
+    the parts one ends first in the order; what the sets share beyond lies in the rest of that set, so it is no more than
+    the rest of the larger one."""
+    return F.ceil((a + b) * TOP / (TOP + BOTTOM)) - F.ceil(a * TOP / BOTTOM) + 1
 
 
 def entries(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """(token, fp, n, member) rows of the matrix, of tokens that two or more different sets bring in. A task sends its
+    """(token, fp, n) rows of the matrix, of tokens that two or more different sets bring in. A task sends its
     entries packed by bucket; each bucket is sorted on its own."""
     hot = np.sort(hot)
 
     def pack(batches):
         for batch in batches:
-            token, fp, size, member = [], [], [], []
+            token, fp, n_of, size = [], [], [], []
             seen: set[int] = set()
             count = 0
 
             def flush():
-                t, f = np.concatenate(token), np.repeat(np.array(fp, np.int64), size)
-                m = np.concatenate(member)
+                t, f, m = np.concatenate(token), np.repeat(np.array(fp, np.int64), size), np.repeat(np.array(n_of, np.int32), size)
                 bucket = (mix(t) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
@@ -244,19 +308,19 @@ def entries(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 if not n or own in seen:
                     continue
                 seen.add(own)
-                ask, keep = prefix(n)
+                ask = prefix(n)
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
                     late = hot[at] == tokens
                     tokens = np.concatenate([tokens[~late], tokens[late]])
                 token.append(tokens[:ask])
                 fp.append(own)
-                size.append(min(ask, n))
-                member.append(np.where(np.arange(min(ask, n)) < keep, n, -n).astype(np.int32))    # the sign says: member too
-                count += min(ask, n)
+                n_of.append(n)
+                size.append(ask)
+                count += ask
                 if count >= 1_000_000:
                     yield flush()
-                    token, fp, size, member, count = [], [], [], [], 0
+                    token, fp, n_of, size, count = [], [], [], [], 0
             if count:
                 yield flush()
 
@@ -281,68 +345,40 @@ def entries(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         x = x[np.repeat(run > 1, run)]
         for i in range(0, len(x), 100_000):
             y = x[i:i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(y["t"].view(np.int64) if y["t"].flags.c_contiguous else y["t"].astype(np.int64)), pa.array(y["f"].copy()), pa.array(np.abs(y["m"]).astype(np.int64)), pa.array(y["m"] > 0)], names=["token", "fp", "n", "member"])
+            yield pa.RecordBatch.from_arrays([pa.array(y["t"].view(np.int64) if y["t"].flags.c_contiguous else y["t"].astype(np.int64)), pa.array(y["f"].copy()), pa.array(y["m"].astype(np.int64))], names=["token", "fp", "n"])
 
     packed = texts(docs).mapInArrow(pack, "bucket long, blob binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "token long, fp long, n long, member boolean")
-
-
-def candidates(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """(fp, grp): query sets and groups of other roots that meet in the matrix at fitting sizes."""
-    rooted = stash(rows.join(roots.select(F.col("id").alias("fp"), "root"), "fp", "left").select("token", "fp", "n", "member", F.coalesce("root", "fp").alias("root")))
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    rest = stash(rooted.join(mixed, "token", "left_semi"))
-    groups = stash(rest.where("member").groupBy("token", "root").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("root", "grp"))
-    both = rest.join(groups, "token").where("root <> grp and least <= n").where(F.col("most") * BOTTOM >= F.col("n") * TOP)
-    return both.select("fp", "grp").distinct()
-
-
-def opened(docs: DataFrame, distinct: DataFrame, roots: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Edges between query sets and a member of each group whose bound reaches the threshold and that has a similar
-    member. A group is held in blocks, each with its own union."""
-    groups = pairs.select("grp").distinct()
-    grouped = roots.select(F.col("id").alias("fp"), F.col("root").alias("grp")).join(groups, "grp", "left_semi").unionByName(groups.select(F.col("grp").alias("fp"), "grp"))
-    members = stash(grouped.distinct())
-    blocks = stash(members.groupBy("grp").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks")))
-    members = members.join(blocks, "grp").select("fp", "grp", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("query"))
-    asked = pairs.join(blocks, "grp").select("fp", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("query"))
-    route = stash(members.unionByName(asked))
-    wanted = bitmap(route.select("fp").distinct(), F.col("fp"))
-
-    def rows_of(fp, tokens):
-        if in_bitmap(wanted, np.array([fp], np.int64).view(np.uint64))[0]:
-            yield fp, tokens.tobytes()
-
-    sets = wanted_sets(docs, rows_of, "fp long, tokens binary", ["fp", "tokens"])
-    cells = route.join(sets, "fp").select("grp", "block", "query", "fp", "tokens").repartition("grp", "block").sortWithinPartitions("grp", "block", "query", "fp")
-
-    def open_groups(batches):
-        now, held, union = None, {}, None
-        asked_fp = None
-        for batch in batches:
-            a, b = [], []
-            for grp, block, query, fp, raw in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if (grp, block) != now:
-                    now, held, union, asked_fp = (grp, block), {}, None, None
-                tokens = np.frombuffer(raw, np.uint64)
-                if not query:
-                    held[fp] = tokens
-                    continue
-                if fp == asked_fp or not held:
-                    continue
-                asked_fp = fp
-                if union is None:
-                    union = np.unique(np.concatenate(list(held.values())))
-                if BOTTOM * overlap(tokens, union) < TOP * len(tokens):
-                    continue
-                for other, own in held.items():
-                    if other != fp and comparable(len(tokens), len(own)) and enough(overlap(tokens, own), len(tokens), len(own)):
-                        a.append(fp)
-                        b.append(other)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return cells.mapInArrow(open_groups, "a long, b long")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "token long, fp long, n long")
+
+
+def candidates(rows: DataFrame, groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """(ga, gb): two groups that share enough tokens of the matrix for members of fitting sizes to be similar, and have
+    members that are not connected yet."""
+    rooted = rows.join(groups, "fp").join(roots.select(F.col("id").alias("fp"), "root"), "fp", "left").select("token", "n", "grp", F.coalesce("root", "fp").alias("root"))
+    held = stash(rooted.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi")))
+    mixed = held.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.count("*").alias("g")).where("l <> h and g > 1").select("token")
+    held = stash(held.join(mixed, "token", "left_semi"))
+    other = held.select("token", *[F.col(c).alias(f"{c}_") for c in held.columns if c != "token"])
+    both = held.join(other, "token").where("grp < grp_").where("lo <> hi or lo_ <> hi_ or lo <> lo_")
+    both = both.where((F.col("most") * BOTTOM >= F.col("least_") * TOP) & (F.col("most_") * BOTTOM >= F.col("least") * TOP))
+    met = both.groupBy("grp", "grp_").agg(F.count("*").alias("met"), F.max(F.greatest("most", "most_")).alias("most"), F.min(F.least("least", "least_")).alias("least"))
+    return met.where(F.col("met") >= least_met(F.col("most"), F.col("least"))).select(F.col("grp").alias("ga"), F.col("grp_").alias("gb"))
+
+
+def opened(docs: DataFrame, groups: DataFrame, roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Edges between similar members of two groups that nothing connected before. Of a pair the larger group is held and the
+    members of the smaller one are its queries; a group with many queries is held in several copies."""
+    members = stash(groups.join(roots.select(F.col("id").alias("fp"), "root"), "fp", "left").select("fp", "grp", F.coalesce("root", "fp").alias("root")))
+    sizes = members.groupBy("grp").agg(F.count("*").alias("n"))
+    side = lambda c: sizes.select(F.col("grp").alias(c), F.col("n").alias(f"n{c}"))
+    swap = F.col("nga") < F.col("ngb")
+    both = pairs.join(side("ga"), "ga").join(side("gb"), "gb").select(F.when(swap, F.col("gb")).otherwise(F.col("ga")).alias("held"), F.when(swap, F.col("ga")).otherwise(F.col("gb")).alias("grp"))
+    asked = stash(both.join(members, "grp").select("held", "fp", "root"))
+    copies = stash(asked.groupBy("held").agg(F.ceil(F.count("*") / QUERIES).alias("copies")))
+    queries = asked.join(copies, "held").select("held", F.pmod(F.xxhash64("fp"), F.col("copies")).alias("copy"), F.lit(1).alias("query"), "fp", "root")
+    holders = members.join(copies, F.col("grp") == F.col("held")).select("held", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("query"), "fp", "root")
+    rows = sets_for(docs, stash(holders.unionByName(queries))).select("held", "copy", "query", "fp", "root", "tokens")
+    return rows.repartition("held", "copy").sortWithinPartitions("held", "copy", "query", "fp").mapInArrow(answer, "a long, b long")
 
 
 # ---------------------------------------------------------------- the operator
@@ -361,11 +397,12 @@ def similar(docs: DataFrame) -> DataFrame:
     distinct = stash(sets.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("cells").alias("cells")))
     common = rows.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= HOT)
     hot = common.orderBy(F.desc("times"), "token").limit(HOT_MOST).select("token").toArrow()["token"].to_numpy().view(np.uint64)
-    first = stash(group_edges(docs, distinct))
+    groups = groups_of(distinct)
+    first = stash(group_edges(docs, groups))
     roots = components(first)
     total = distinct.agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
-    pairs = stash(candidates(entries(docs, hot, 1 + int(total) // BUCKET), roots))
-    edges = first if pairs.isEmpty() else first.unionByName(opened(docs, distinct, roots, pairs))
+    pairs = stash(candidates(entries(docs, hot, 1 + int(total) // BUCKET), groups, roots))
+    edges = first if pairs.isEmpty() else first.unionByName(opened(docs, groups, roots, pairs))
     final = components(edges)
     own = stash(sets.join(final.select(F.col("id").alias("fp"), "root"), "fp", "left").select("id", "n", "fp", F.when(F.col("n") > 0, F.coalesce("root", "fp")).alias("root")))
     names = own.where("n > 0").groupBy("root").agg(F.min("id").alias("name"))
