@@ -448,7 +448,8 @@ def _(t):
     return t.raw("orders").select(F.col("o_orderkey").alias("k"), ids.hash8(F.concat(F.lit("way/"), "o_orderkey")).alias("h"))
 
 
-@query("E33_uuid_v5")
+@query("E33_uuid_v5", with_(DEST) + f"""SELECT slug, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1)) AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id
+ FROM (SELECT slug, sha1(unhex('{ids.ROW_NAMESPACE.replace("-", "")}') || encode('destinations:' || slug)) AS h FROM dest)""")
 def _(t):
     return t.dest.select("slug", ids.row_id("destinations", "slug").alias("id"))
 
