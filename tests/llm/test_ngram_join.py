@@ -52,7 +52,7 @@ def corpus(rng, n):
     return texts
 
 
-@pytest.mark.parametrize("settings", [{}, {"LEADERS": 1, "CELLS": 1, "HOT": 4, "BUCKET": 300, "MEMBERS": 3, "CROWDED": (4, 16)}])
+@pytest.mark.parametrize("settings", [{}, {"HOT": 4, "BUCKET": 300, "MEMBERS": 3}])
 def test_against_brute_force(spark, monkeypatch, settings):
     for k, v in settings.items():
         monkeypatch.setattr(J, k, v)
