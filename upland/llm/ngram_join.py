@@ -76,6 +76,17 @@ def minima(tokens: np.ndarray) -> list[int]:
     return mix(np.array(low, np.uint64)).view(np.int64).tolist()
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """Sorted tokens by their upper 56 bits, seven bytes each."""
+    return tokens.view(np.uint8).reshape(-1, 8)[:, 1:].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 7, 8), np.uint8)
+    out[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
+    return out.view(np.uint64).ravel()
+
+
 # ---------------------------------------------------------------- passes over the texts
 
 
@@ -162,7 +173,7 @@ def sets_for(docs: DataFrame, route: DataFrame) -> DataFrame:
 
     def rows_of(fp, tokens):
         if in_bitmap(wanted, np.array([fp], np.int64).view(np.uint64))[0]:
-            yield fp, tokens.tobytes()
+            yield fp, packed(tokens)
 
     return route.join(wanted_sets(docs, rows_of, "fp long, tokens binary", ["fp", "tokens"]).dropDuplicates(["fp"]), "fp")
 
@@ -219,7 +230,7 @@ def answer(batches):
         for grp, copy, query, fp, root, raw in zip(*(c.to_pylist() for c in batch.columns)):
             if (grp, copy) != now:
                 now, held, matrix, known = (grp, copy), [], None, Joined()
-            tokens = np.frombuffer(raw, np.uint64)
+            tokens = unpacked(raw)
             if not query:
                 held.append((fp, root, tokens))
             elif held:
@@ -256,7 +267,7 @@ def group_edges(docs: DataFrame, groups: DataFrame) -> DataFrame:
                 if grp != now:
                     out += settle()
                     now, held = grp, []
-                held.append((fp, np.frombuffer(raw, np.uint64)))
+                held.append((fp, unpacked(raw)))
             yield edge_batch(out)
         yield edge_batch(settle())
 
@@ -293,11 +304,13 @@ def entries(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
 
             def flush():
                 t, f, m = np.concatenate(token), np.repeat(np.array(fp, np.int64), size), np.repeat(np.array(n_of, np.int32), size)
-                bucket = (mix(t) % np.uint64(buckets)).astype(np.int64)
+                t = mix(t)
+                bucket = ((t & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-                blob = np.empty(len(t), [("t", "<u8"), ("f", "<i8"), ("m", "<i4")])
-                blob["t"], blob["f"], blob["m"] = t[order], f[order], m[order]
+                # half of a token's bits, besides its bucket: two tokens taken for one only add a candidate
+                blob = np.empty(len(t), [("t", "<u4"), ("f", "<i8"), ("m", "<i4")])
+                blob["t"], blob["f"], blob["m"] = (t >> np.uint64(32))[order], f[order], m[order]
                 raw = blob.tobytes()
                 stops = np.append(cuts[1:], len(t)) * blob.itemsize
                 return pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts]), pa.array([raw[a:b] for a, b in zip((cuts * blob.itemsize).tolist(), stops.tolist())], pa.binary())], names=["bucket", "blob"])
@@ -329,15 +342,15 @@ def entries(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if bucket != now and held:
-                    yield from met(held)
+                    yield from met(now, held)
                     held = []
                 now = bucket
                 held.append(blob)
         if held:
-            yield from met(held)
+            yield from met(now, held)
 
-    def met(blobs):
-        x = np.frombuffer(b"".join(blobs), [("t", "<u8"), ("f", "<i8"), ("m", "<i4")])
+    def met(bucket, blobs):
+        x = np.frombuffer(b"".join(blobs), [("t", "<u4"), ("f", "<i8"), ("m", "<i4")])
         x = x[np.lexsort((x["f"], x["t"]))]
         x = x[np.append(True, (x["t"][1:] != x["t"][:-1]) | (x["f"][1:] != x["f"][:-1]))]
         new = np.flatnonzero(np.append(True, x["t"][1:] != x["t"][:-1]))
@@ -345,10 +358,11 @@ def entries(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         x = x[np.repeat(run > 1, run)]
         for i in range(0, len(x), 100_000):
             y = x[i:i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(y["t"].view(np.int64) if y["t"].flags.c_contiguous else y["t"].astype(np.int64)), pa.array(y["f"].copy()), pa.array(y["m"].astype(np.int64))], names=["token", "fp", "n"])
+            token = y["t"].astype(np.int64) + (np.int64(bucket % (1 << 31)) << np.int64(32))
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(y["f"].copy()), pa.array(y["m"].astype(np.int64))], names=["token", "fp", "n"])
 
-    packed = texts(docs).mapInArrow(pack, "bucket long, blob binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "token long, fp long, n long")
+    sent = texts(docs).mapInArrow(pack, "bucket long, blob binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "token long, fp long, n long")
 
 
 def candidates(rows: DataFrame, groups: DataFrame, roots: DataFrame) -> DataFrame:
@@ -390,8 +404,8 @@ def similar(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no shingles and link with nothing; a document without an id links others but is no
     component's name (where no member has an id, the name is null); repeated rows are equal sets and link; an empty table
-    gives no rows; other columns are not looked at. Sets are held as 64-bit hashes of shingles, and equal sets by a
-    64-bit hash of the set."""
+    gives no rows; other columns are not looked at. Sets are 64-bit hashes of shingles, compared by 56 of their bits;
+    equal sets are known by a 64-bit hash of the set."""
     rows = stash(sets_of(docs))
     sets = rows.where("fp is not null").select("id", "fp", "n", "cells")
     distinct = stash(sets.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("cells").alias("cells")))
