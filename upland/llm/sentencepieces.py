@@ -312,7 +312,8 @@ SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed dou
 def encode(docs: DataFrame, k: int = 2, seed: int = 1, model: str | None = None) -> DataFrame:
     """One row per document and sample: doc_id, sample (from 1), n_pieces, log_prob, perturbed (its Gumbel value),
     inclusion (the probability that a sample of k holds it, given the next value), exact (decoding gives the text back)
-    and pieces (ids). A document with fewer than k segmentations has fewer rows, with inclusion 1 each.
+    and pieces (ids). A document with fewer than k segmentations has fewer rows, with
+    inclusion 1 each; what is left counts as none when its probability is under 1e-13.
 
     Null and empty texts have one row without pieces; repeated rows are sampled alike, since the seed of a row is its
     doc_id (a null id is one seed of its own); an empty table gives no rows; other columns are not looked at. The sign
