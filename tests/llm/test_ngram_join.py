@@ -90,3 +90,38 @@ def test_odd_rows(spark):
     assert got == sorted([(5, 3, 5), (5, 3, 5), (None, 3, 5), (9, 3, 5), (None, 0, None), (3, 0, 3), (None, 1, None), (None, 1, None)], key=str)
     assert J.one_of_each(table).columns == table.columns
     assert J.similar(docs(spark, [])).count() == 0
+
+
+def test_few_groups_against_brute_force(spark, monkeypatch):
+    for k, v in {"CELLS": 1, "HOT": 4, "BUCKET": 300, "MEMBERS": 3}.items():
+        monkeypatch.setattr(J, k, v)
+    texts = corpus(np.random.default_rng(7), 500)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.similar(docs(spark, texts)).collect()) == brute(texts)
+
+
+def test_least_met_holds_for_all_members(spark):
+    """The bound of a group is that of no fitting pair of its members more."""
+    exact = lambda a, b: -(-(a + b) * 4 // 9) + (-a * 4 // 5) + 1
+    sizes = spark.range(1, 120).select(F.col("id").alias("a")).join(spark.range(1, 120).select(F.col("id").alias("b")), F.expr("b <= a and 5 * b >= 4 * a - 40"))
+    bound = {(r["a"], r["b"]): r["m"] for r in sizes.select("a", "b", J.least_met(F.col("a"), F.col("b")).alias("m")).collect()}
+    for (a, b), m in bound.items():
+        assert m == min(exact(x, y) for x in range(b, a + 1) for y in range(b, x + 1))
+
+
+def test_group_with_a_larger_member(spark, monkeypatch):
+    """x and y share 8 shingles of 10, but one token of the matrix; x has a longer text in its group that holds it too."""
+    def sets(*texts):
+        raw = [t.encode() for t in texts]
+        return [t for _, t in J.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(t) for t in raw]))]
+
+    for i in range(1000):
+        words = [f"w{i}_{j}" for j in range(13)]
+        texts = [" ".join(words), " ".join([*words, "more"]), " ".join([*words[:12], "other"])]
+        x, longer, y = sets(*texts)
+        x_, longer_, y_ = (set(t[:J.prefix(len(t))].tolist()) for t in (x, longer, y))
+        if len(x_ & y_) == 1 and x_ & y_ == longer_ & y_:
+            break
+    assert (len(x), len(longer), len(y)) == (9, 10, 9) and i < 999
+    of = {J.fingerprint(x): 1, J.fingerprint(longer): 1, J.fingerprint(y): 2}
+    monkeypatch.setattr(J, "groups_of", lambda distinct: spark.createDataFrame(list(of.items()), "fp long, grp long"))
+    assert sorted((r["doc_id"], r["component_id"]) for r in J.similar(docs(spark, texts)).collect()) == [(0, 0), (1, 0), (2, 0)]

@@ -12,6 +12,8 @@ sets that are not connected otherwise is lost.
 
 from __future__ import annotations
 
+from math import gcd
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -284,11 +286,14 @@ def prefix(n: int) -> int:
 
 
 def least_met(a, b):
-    """How many tokens of the parts in the matrix a set of size a shares with a similar one of size b <= a, at least; it
-    falls with a and rises with b, so the largest a and the smallest b of two groups bound it for their members. Of
-    the parts one ends first in the order; what the sets share beyond lies in the rest of that set, so it is no more than
-    the rest of the larger one."""
-    return F.ceil((a + b) * TOP / (TOP + BOTTOM)) - F.ceil(a * TOP / BOTTOM) + 1
+    """How many tokens of the parts in the matrix a set of size a or less shares with a similar one of size b or more, at
+    least, so the largest size and the smallest one of two groups bound it for their members. Of the parts one ends first
+    in the order; what the sets share beyond lies in the rest of that set, so it is no more than the rest of the larger
+    one. That rises with the smaller size; with the larger one it falls from any size to the one a step on, but may rise
+    in between, so it is taken at all sizes of the last step."""
+    step = BOTTOM // gcd(TOP, BOTTOM)
+    of = lambda larger: F.ceil((larger + b) * TOP / (TOP + BOTTOM)) - F.ceil(larger * TOP / BOTTOM) + 1
+    return F.least(*[of(F.greatest(a - i, b)) for i in range(step)])
 
 
 def entries(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
