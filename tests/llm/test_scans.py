@@ -84,3 +84,44 @@ def test_containment():
 @pytest.mark.parametrize("scan", [licenses.scan, secret_scan.scan])
 def test_empty_table(spark, scan):
     assert scan(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("text, label", [
+    ("licensed under the GNU Lesser\nGeneral Public License version 2.1", "lgpl-2.1"), ("released under the GNU General\n Public License, version 3", "gpl-3.0"), ("provided under the GNU Library  General Public License v2", "lgpl-2.0"), ("licensed under Creative\tCommons Attribution-Share Alike 4.0", "cc-by-sa"),
+    ("Permission is\nhereby granted, free of charge, to any person obtaining a copy", "mit"), ("Redistribution and  use in source and binary forms, with or without modification, are permitted", "bsd"),
+    ("All rights\n reserved. Unauthorized copying of this file", "proprietary"), ("MIT OR Apache-2.0", "mit"), ("PSF-2.0 and x", "python-2.0"), ("GNU Lesser\nGeneral Public License version 2.1", "lgpl-2.1"), ("licensed under Creative Commons\nAttribution\n ShareAlike 4.0", "cc-by-sa"), ("GPL-2.0-or-later WITH x", "gpl-2.0"), ("released under the Expat License", "mit"),
+])
+def test_gates_let_wrapped_names_through(text, label):
+    assert label in {d[3] for d in licenses.scan_text(text.lower().encode())[1]}
+
+
+def examples(parsed):
+    """Texts that a parsed pattern matches, with each of its choices; white space is a line's end."""
+    from re import _constants as C
+    out = [""]
+    for op, x in parsed:
+        if op is C.LITERAL:
+            own = [chr(x)]
+        elif op is C.IN:
+            own = ["\n" if x[0][0] is C.CATEGORY and x[0][1] is C.CATEGORY_SPACE else chr(x[0][1][0] if x[0][0] is C.RANGE else x[0][1]) if x[0][0] is not C.CATEGORY else "x"]
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            own = ["", *examples(x[2])] if x[0] == 0 else examples(x[2])
+        elif op is C.SUBPATTERN:
+            own = examples(x[3])
+        elif op is C.BRANCH:
+            own = [e for part in x[1] for e in examples(part)]
+        elif op is C.ASSERT:
+            own = examples(x[1])
+        else:
+            assert op in (C.AT, C.ASSERT_NOT)
+            continue
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_no_gate_is_narrower_than_its_rule():
+    from re import _parser
+    for keyword, pattern, label, *_ in licenses.rules():
+        own = [e.encode() for e in examples(_parser.parse(pattern.pattern))]
+        own = [e for e in own if pattern.search(e)]
+        assert own and all(licenses.holds(e, keyword) for e in own), (keyword, pattern.pattern)

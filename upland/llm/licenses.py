@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
 A rule is a pattern, a priority and the label it stands for. Rules are gated by keywords: a document is only put to the
-rules whose keyword it holds. Overlapping detections are resolved by priority and containment: one that lies within a
+rules of whose keyword it holds every word, wherever they stand, since a rule's words may be apart by any white space. Overlapping detections are resolved by priority and containment: one that lies within a
 detection of higher priority, or within a longer one of its own priority, is suppressed.
 """
 
@@ -19,9 +19,9 @@ from upland.llm.common import byte_view, slices, text_of
 # fixed values: the base phrases and their labels
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# fixed values: label, keyword, names (patterns), short identifier
+# fixed values: label, keyword (words that every name holds; | between those of different names), names (patterns), short identifier
 LICENSES = (
-    ("mit", "mit", r"mit(?: license)?|expat license", "mit"),
+    ("mit", "mit|expat", r"mit(?: license)?|expat license", "mit"),
     ("apache-1.1", "apache", r"apache (?:software )?license,? (?:version |v\.? ?)?1\.1", r"apache-1\.1"),
     ("apache-2.0", "apache", r"apache (?:software )?license,? (?:version |v\.? ?)?2(?:\.0)?", r"apache-2\.0"),
     ("gpl-1.0", "general public", r"gnu general public license,? (?:version |v\.? ?)?1(?:\.0)?", r"gpl-1\.0(?:-only|-or-later|\+)?"),
@@ -90,23 +90,34 @@ BY_IDENTIFIER = ((r"spdx-license-identifier: ?\(?(?:{})\b", 4, 1.0), (r"\(?\b(?:
 OWN_NAME = 2, 0.8        # a name alone, where it says license or licence
 
 
+def stem(short: str) -> str:
+    """The plain bytes that a short identifier begins with, or goes on with after a choice of names."""
+    return re.match(r"(?:\(\?:[^)]*\))?([a-z0-9-]*)", short)[1]
+
+
+def holds(low: bytes, keyword: bytes) -> bool:
+    """Does the text hold every word of the keyword, or of one of those it offers?"""
+    return any(all(word in low for word in words.split()) for words in keyword.split(b"|"))
+
+
 @lru_cache(maxsize=1)
 def rules() -> tuple:
     """(keyword, compiled pattern, label, priority, confidence): each form with each license, then links and sentences."""
     out = []
 
     def add(keyword, pattern, label, priority, sure):
-        text = pattern.replace(" ", r"\s+").encode()
+        text = pattern.replace("[- ]", r"(?:-|\s+)").replace(" ?", r"\s*").replace(" ", r"\s+").encode()
         out.append((keyword.encode(), re.compile(rb"(?<![0-9a-z\x80-\xff])" + text), label, priority, sure))
 
     for label, keyword, names, short in LICENSES:
         for form, priority, sure in BY_NAME:
             add(keyword, form.format(names), label, priority, sure)
-        named = [x for x in names.split("|") if "licen" in x or "cc0" in x]
+        several = re.split(r"\|(?![^(]*\))", names)
+        named = [x for x in several if "licen" in x or "cc0" in x]
         if named and "mit" != label:
-            add(keyword, f"(?:{names})\\b" if len(named) == names.count("|") + 1 else f"(?:{names})\\b(?= licen)", label, *OWN_NAME)
+            add(keyword, f"(?:{names})\\b" if len(named) == len(several) else f"(?:{names})\\b(?= licen)", label, *OWN_NAME)
         for form, priority, sure in BY_IDENTIFIER:
-            add("spdx" if form.startswith("spdx") else "licen", form.format(short), label, priority, sure)
+            add("spdx" if form.startswith("spdx") else "licen" if "licen" in form else stem(short), form.format(short), label, priority, sure)
     for label, link in LINKS:
         add(".org/" if "/" in link else link.replace("\\", ""), r"(?:https?://)?(?:www\.)?" + link, label, 3, 0.9)
     for label, keyword, sentence in SENTENCES:
@@ -138,7 +149,7 @@ def scan_text(low: bytes) -> tuple[list[tuple[int, str]], list[tuple[int, int, i
     found = []
     for keyword, pattern, label, priority, sure in rules():
         if keyword not in has:
-            has[keyword] = keyword in low
+            has[keyword] = holds(low, keyword)
         if has[keyword]:
             found += [(m.start(), m.end(), priority, label, sure) for m in pattern.finditer(low)]
     return base, kept(found)
@@ -165,7 +176,7 @@ def _scan(batches):
             first[at] = word[at]
             upto = np.concatenate([[0], np.cumsum(first)])
             counts = upto[bounds[1:]] - upto[bounds[:-1]]
-            live = any(k in part for k in keywords)
+            live = any(holds(part, k) for k in keywords)
             for i in range(hi - lo):
                 low = part[bounds[i]:bounds[i + 1]]
                 base, found = scan_text(low) if live else ([], [])
