@@ -400,11 +400,10 @@ def _(t):
 
 
 def twin_roads(t):
-    """Every third line twice, a carriageway and its twin 12 m beside it, both one-way."""
-    base = road_table(t).where("code % 3 = 0").withColumn("half", F.lit(3.1)).withColumn("oneway", F.lit(True))
-    short = base.withColumn("line", F.slice("line", 1, 4))
-    twin = short.withColumn("code", -F.col("code") - 1).withColumn("line", F.transform("line", lambda p: F.struct((p["x"] + 12).alias("x"), (p["y"] + 12).alias("y"))))
-    return short.unionByName(twin)
+    """Every line twice over its whole length, a carriageway and its twin 12 m beside it, both one-way."""
+    base = road_table(t).withColumn("half", F.lit(3.1)).withColumn("oneway", F.lit(True))
+    twin = base.withColumn("code", -F.col("code") - 1).withColumn("line", F.transform("line", lambda p: F.struct((p["x"] + 12).alias("x"), (p["y"] + 12).alias("y"))))
+    return base.unionByName(twin)
 
 
 @query("P7_islands")
