@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from upland.llm import exact_dedup, html_text, licenses, mixing, near_vectors, ngram_join, quality, repeats, secret_scan, sentencepieces
+from upland.llm import exact_dedup, html_text, licenses, mixing, near_vectors, ngram_join, quality, repeats, secret_scan, sentencepieces, token_files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,8 @@ def op9(spark, folder):
 @query("op10_ngram_join")
 def op10(spark, folder):
     return ngram_join.similar(table(spark, folder, "documents"))
+
+
+@query("op11_token_files")
+def op11(spark, folder):
+    return token_files.written_and_read(table(spark, folder, "documents"))
