@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from upland.llm import exact_dedup, html_text, licenses, mixing, near_vectors, ngram_join, quality, repeats, secret_scan, sentencepieces, token_files
+from upland.llm import alignment, exact_dedup, html_text, licenses, mixing, near_vectors, ngram_join, quality, repeats, secret_scan, sentencepieces, spelling, token_files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,13 @@ def op10(spark, folder):
 @query("op11_token_files")
 def op11(spark, folder):
     return token_files.written_and_read(table(spark, folder, "documents"))
+
+
+@query("op12_token_alignment")
+def op12(spark, folder):
+    return alignment.align(table(spark, folder, "documents"))
+
+
+@query("op13_spelling_variants", spelling.ORACLE)
+def op13(spark, folder):
+    return spelling.variants(table(spark, folder, "documents"))

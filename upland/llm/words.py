@@ -2,8 +2,8 @@
 
 Both kinds of public tokenizer used here join nothing across a plain space between two visible characters: the
 byte-level one splits its input there before it merges, and the piece model has no piece that holds its space mark after
-another character (`Pieces` tests this on the model it is given). So a text may be cut before such a space, its words
-encoded apart, and equal words encoded once: the ids are those of the whole text. Stretches without such a space (long
+another character (`Pieces` tests this on the model it is given, and what else cuts rest on). So a text may be cut before
+such a space, its words encoded apart, and equal words encoded once: the ids are those of the whole text. Stretches without such a space (long
 tokens, scripts without spaces) are one word. Words already met are kept by a worker up to a fixed number of bytes.
 """
 
@@ -21,6 +21,7 @@ from upland.llm.common import mix
 
 KEPT_WORDS = 500_000          # different words and
 KEPT_BYTES = 16 << 20          # bytes of them that a worker keeps; beyond that it starts anew
+MARK = "\u2581"               # stands for a space in pieces
 PART = 1 << 19                # words looked at together
 STOPS = np.isin(np.arange(256), np.frombuffer(b".,;:!?)", np.uint8))
 MASK = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
@@ -30,8 +31,8 @@ def word_starts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fine: bo
     """First bytes of the words of texts that follow one another in `data` ([starts, ends) each). A word starts where a
     text does, and at a space after an ASCII sign or letter (or a character of U+00C0-07FF, U+4000-DFFF) and before one.
 
-    `fine` adds what only the byte-level tokenizer allows, which ends a run of letters at any other sign and takes a
-    single line end apart: starts at a mark of STOPS after an ASCII letter, at a line end between visible characters, and
+    `fine` adds what a byte-level tokenizer always allows, which ends a run of letters at any other sign and takes a
+    single line end apart, and a piece model if no piece joins such signs: starts at a mark of STOPS after an ASCII letter, at a line end between visible characters, and
     after that line end."""
     n = len(data)
     if n == 0:
@@ -177,6 +178,33 @@ def byte_level_ids(path: str, words: list[bytes]) -> list[list[int]]:
     return out
 
 
+class Pieces:
+    """A piece model, applied to words. A word starts with the space that stands before it, which is what the model itself
+    puts before a text; other words (after a line end, marks) are encoded behind a line end, which is taken off again."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        m = self.model
+        n = m.get_piece_size()
+        names = [m.id_to_piece(i) for i in range(n)]
+        self.bytes = [bytes([int(s[3:5], 16)]) if m.is_byte(i) else s.replace(MARK, " ").encode() for i, s in enumerate(names)]
+        plain = [s for i, s in enumerate(names) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))]
+        if any(re.search(f"[^{MARK}]{MARK}|[A-Za-z][.,;:!?)]|\n", s) for s in plain):
+            raise ValueError(f"{path} has pieces that join words, or letters and marks; texts cannot be cut for it")
+        self.line = m.encode("\n")
+
+    def ids(self, words: list[bytes]) -> list[list[int]]:
+        texts = [w.decode() for w in words]
+        out = self.model.encode([t[1:] if t[0] == " " else "\n" + t for t in texts], num_threads=1)
+        return [ids if t[0] == " " else ids[len(self.line):] for t, ids in zip(texts, out)]
+
+
+@lru_cache(maxsize=2)
+def pieces(path: str) -> Pieces:
+    return Pieces(path)
+
+
 class ByteCoder:
     """Ids of texts by a byte-level tokenizer."""
 
