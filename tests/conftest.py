@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -9,8 +10,12 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    s = (SparkSession.builder.master("local[8]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-         .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+    made = (SparkSession.builder.master("local[8]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+            .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC"))
+    s = made.getOrCreate()
+    if not s.conf.get("spark.checkpoint.dir", None):      # no cluster here, and none named: a folder of the tests' own
+        s.stop()
+        s = made.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     from upland.session import configure
     return configure(s)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from upland.operators import cells, lines as L, rings as G, tiles as T
 from upland.plans import districts as DI, roads as RD
-from upland.session import cut_lineage
+from upland.operators import cellgroups
+from upland.operators.cellgroups import connected_cells
+from upland.operators.graph import components
 
 
 def crowd(n, seed=1):
@@ -159,7 +161,7 @@ def test_connected_cells(spark):
     pts = {(x, 0) for x in range(60)} | {(x, 5) for x in range(0, 40)} | {(0, y) for y in range(3, 6)} | {(rng.randrange(80), rng.randrange(20, 40)) for _ in range(300)}
     d = spark.createDataFrame(sorted(pts), "gx long, gy long")
     got = {}
-    for r in RD.connected_cells(d, cut_lineage).collect():
+    for r in connected_cells(d).collect():
         got.setdefault(r["label"], set()).add((r["gx"], r["gy"]))
     todo, want = set(pts), []
     while todo:
@@ -174,6 +176,53 @@ def test_connected_cells(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
 
 
+def test_connected_cells_over_tiles(spark, monkeypatch):
+    """A comb, a spiral and scattered cells over many small tiles, with negative places: groups, sides and marks."""
+    monkeypatch.setattr(cellgroups, "TILE", 8)
+    rng = random.Random(17)
+    pts = {(x, y) for x in range(-40, 40, 2) for y in range(-30, 0)} | {(x, 0) for x in range(-40, 40)}
+    x, y, dx, dy = 60, 0, 1, 0
+    for leg in range(2, 60, 2):
+        for _ in range(leg):
+            pts.add((x, y))
+            x, y = x + dx, y + dy
+        dx, dy = -dy, dx
+    pts |= {(rng.randrange(-100, -50), rng.randrange(-50, 50)) for _ in range(2500)}
+    marks = {(rng.randrange(-100, 100), rng.randrange(-50, 50)) for _ in range(3000)}
+    table = lambda s: spark.createDataFrame(sorted(s), "gx long, gy long")
+    rows = connected_cells(table(pts), table(marks)).collect()
+    beside = lambda c: [(c[0] + 1, c[1]), (c[0] - 1, c[1]), (c[0], c[1] + 1), (c[0], c[1] - 1)]
+    label, todo = {}, sorted(pts)
+    for first in todo:
+        stack = [first]
+        while stack:
+            c = stack.pop()
+            if c in pts and c not in label:
+                label[c] = f"{first[0] + 10**9:012d},{first[1] + 10**9:012d}"
+                stack += beside(c)
+    want = {c: (label[c], sum(n in pts for n in beside(c)), c in marks) for c in pts}
+    assert {(r["gx"], r["gy"]): (r["label"], r["sides"], r["marked"]) for r in rows} == want and len(rows) == len(pts)
+    assert connected_cells(table(pts).limit(0)).collect() == []
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(300)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(250)]
+    up = {}
+
+    def find(a):
+        while up.setdefault(a, a) != a:
+            a = up[a]
+        return a
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    rng.shuffle(links)
+    got = {r["id"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {a: find(a) for link in links for a in link if link[0] != link[1]}
+
+
 def test_quadtree_equals_recursive_split(spark):
     rng = random.Random(14)
     pts = [(i, 120.6 + rng.gauss(0, 0.01) * (1 if i % 3 else 0.0001), 16.4 + rng.gauss(0, 0.01) * (1 if i % 3 else 0.0001)) for i in range(600)]

@@ -284,12 +284,33 @@ def frontage(pieces: DataFrame, vertices: DataFrame) -> DataFrame:
     return box_join(pieces, vertices.select("px", "py").distinct(), _band_box(F.col("half") + SIDEWALK_M + BUILT_M), pt, ok, "left_semi")
 
 
+def _strip(pieces: DataFrame, reach: Column, near: Column, far: Column, past: Column) -> DataFrame:
+    """A row for each cell (gx, gy) of a piece's box that may lie from near to far metres left of it and at most `past`
+    metres beyond its ends: column by column of cells, the rows between the lines that bound it, a metre over. Pieces are
+    dealt out first, since each becomes hundreds of rows: what adaptive execution took for a small table is not one here."""
+    pieces = pieces.repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ax", "ay", "bx", "by")
+    w, s, e, n = [F.floor(c).cast("long") for c in _band_box(reach)]
+    c = pieces.withColumn("gx", F.explode(F.sequence(w, e)))
+    dx, dy, qx = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("gx") + 0.5 - F.col("ax")
+    length = F.hypot(dx, dy)
+
+    def rows(slope, at, low, high):
+        """y between (low - at) / slope and (high - at) / slope; no bound where the line is (almost) upright."""
+        flat = F.abs(slope) < 1e-6
+        a, b = (low - at) / F.when(~flat, slope), (high - at) / F.when(~flat, slope)
+        return F.coalesce(F.least(a, b), F.lit(-1e15)), F.coalesce(F.greatest(a, b), F.lit(1e15))
+
+    across, along = rows(dx / length, -dy * qx / length, near, far), rows(dy / length, dx * qx / length, -past, length + past)
+    low = F.greatest(s, F.floor(F.greatest(across[0], along[0]) + F.col("ay") - 1.5).cast("long"))
+    high = F.least(n, F.ceil(F.least(across[1], along[1]) + F.col("ay") + 0.5).cast("long"))
+    return c.withColumn("_low", low).withColumn("_high", high).where("_low <= _high").withColumn("gy", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
+
+
 def band_cells(pieces: DataFrame, inner: Column, outer: Column, side: bool = True) -> DataFrame:
     """Whole-metre cells whose centre lies from inner to outer metres off a piece on its side: gx, gy with the piece's
     columns. Work grows with street length, not with the city's area."""
-    r = F.ceil(outer)
-    w, s, e, n = [F.floor(c).cast("long") for c in _band_box(r)]
-    c = pieces.withColumn("gx", F.explode(F.sequence(w, e))).withColumn("gy", F.explode(F.sequence(s, n)))
+    lefts = [F.least(inner * F.col("side"), outer * F.col("side")), F.greatest(inner * F.col("side"), outer * F.col("side"))] if side else [-outer, outer]
+    c = _strip(pieces, F.ceil(outer), *lefts, F.lit(0.0))
     px, py = F.col("gx") + 0.5, F.col("gy") + 0.5
     off = signed_offset(px, py, "ax", "ay", "bx", "by")
     off = off * F.col("side") if side else F.abs(off)
@@ -300,9 +321,7 @@ def band_cells(pieces: DataFrame, inner: Column, outer: Column, side: bool = Tru
 def carriageway_cells(roads: DataFrame) -> DataFrame:
     """Cells whose centre is on a carriageway (gx, gy)."""
     segs = L.segments(roads.select("code", "half", "line"), "code").where("len > 0")
-    r = F.ceil(F.col("half"))
-    w, s, e, n = [F.floor(c).cast("long") for c in _band_box(r)]
-    c = segs.withColumn("gx", F.explode(F.sequence(w, e))).withColumn("gy", F.explode(F.sequence(s, n)))
+    c = _strip(segs, F.ceil(F.col("half")), -F.col("half"), F.col("half"), F.col("half"))
     d = segment_distance(F.col("gx") + 0.5, F.col("gy") + 0.5, "ax", "ay", "bx", "by")
     return c.where(d <= F.col("half")).select("gx", "gy").distinct()
 
@@ -344,49 +363,19 @@ def island_cells(roads: DataFrame) -> DataFrame:
     both = one.withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
     c = band_cells(both, F.col("half"), F.col("half") + ISLAND_REACH_M)
     # toward the carriageway: the piece's normal, turned by the side the cell lies on; facing sides point apart
-    c = c.select("gx", "gy", (F.col("uy") * F.col("side")).alias("nx"), (-F.col("ux") * F.col("side")).alias("ny"))
-    c = c.withColumn("_oct", F.floor(F.pmod(F.degrees(F.atan2("ny", "nx")), F.lit(360.0)) / 45).cast("int"))
-    octs = c.groupBy("gx", "gy").agg(F.collect_set("_oct").alias("octs"))
-    facing = F.exists("octs", lambda a: F.exists("octs", lambda b: F.abs(a - b).between(3, 5)))
-    return octs.where(facing).select("gx", "gy").join(carriageway_cells(roads), ["gx", "gy"], "left_anti")
-
-
-def connected_cells(cells: DataFrame, cut) -> DataFrame:
-    """Cells (gx, gy) labelled by connected group (4 neighbours): label is the group's least cell key.
-
-    Labels pass to neighbours and jump along chains of labels, so the rounds grow with the logarithm of a group's
-    extent, not its size; they end when no label changes. `cut` cuts lineage each round by a reliable checkpoint."""
-    key = F.concat_ws(",", F.lpad((F.col("gx") + 10**9).cast("string"), 12, "0"), F.lpad((F.col("gy") + 10**9).cast("string"), 12, "0"))
-    v = cut(cells.select("gx", "gy", key.alias("id"), key.alias("label")))
-    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))]))
-    changed = 1
-    while changed:
-        sent = v.select(step.alias("d"), "gx", "gy", "label").select((F.col("gx") + F.col("d.a")).alias("gx"), (F.col("gy") + F.col("d.b")).alias("gy"), "label")
-        least = sent.groupBy("gx", "gy").agg(F.min("label").alias("_l"))
-        near = v.join(least, ["gx", "gy"]).select("gx", "gy", "id", "label", F.least("label", "_l").alias("next"))
-        # each label learns the least label its members touch, then follows that label's own answer (eight hops a round)
-        heads = near.groupBy(F.col("label").alias("_h")).agg(F.min("next").alias("_best"))
-        for _ in range(3):
-            onward = heads.select(F.col("_h").alias("_best"), F.col("_best").alias("_onward"))
-            heads = heads.join(onward, "_best", "left").select("_h", F.coalesce("_onward", "_best").alias("_best"))
-        jump = near.join(heads, F.col("label") == F.col("_h"), "left")
-        new = cut(jump.select("gx", "gy", "id", F.col("label").alias("old"), F.least("next", F.coalesce("_best", "next")).alias("label")))
-        changed = new.where("label <> old").limit(1).count()
-        v = new.drop("old")
-    return v.drop("id")
-
-
-def islands(labelled: DataFrame, built: DataFrame) -> DataFrame:
-    """Groups of cells that are centre islands: at least 15 m2, at most 5% built on, long and thin (half the perimeter over
-    20 m and its square over 8 areas)."""
-    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
-    near = labelled.select(step.alias("d"), "gx", "gy", "label").select((F.col("gx") + F.col("d.a")).alias("gx"), (F.col("gy") + F.col("d.b")).alias("gy"), F.col("label").alias("_l"))
-    inner = near.join(labelled, ["gx", "gy"]).where("_l = label").groupBy("label").agg(F.count("*").alias("shared"))
-    on = labelled.join(built.select("gx", "gy").distinct().withColumn("_b", F.lit(1)), ["gx", "gy"], "left")
-    g = on.groupBy("label").agg(F.count("*").alias("area"), F.count("_b").alias("built")).join(inner, "label", "left")
-    g = g.withColumn("perimeter", 4 * F.col("area") - F.coalesce("shared", F.lit(0)))
+    heading = F.atan2(-F.col("ux") * F.col("side"), F.col("uy") * F.col("side"))
+    octant = F.floor(F.pmod(F.degrees(heading), F.lit(360.0)) / 45).cast("int")
+    seen = c.groupBy("gx", "gy").agg(F.bit_or(F.element_at(F.array(*[F.lit(1 << k) for k in range(9)]), octant + 1)).alias("seen"))
+    facing = sum((F.col("seen").bitwiseAND(F.shiftleft("seen", k)) > 0).cast("int") for k in (3, 4, 5)) > 0
+    return seen.where(facing).select("gx", "gy").join(carriageway_cells(roads), ["gx", "gy"], "left_anti")
+
+
+def islands(labelled: DataFrame) -> DataFrame:
+    """Groups of cells (label, sides, marked where built on) that are centre islands: at least 15 m2, at most 5% built on,
+    long and thin (half the perimeter over 20 m and its square over 8 areas)."""
+    g = labelled.groupBy("label").agg(F.count("*").alias("area"), F.count_if("marked").alias("built"), (4 * F.count("*") - F.sum("sides")).alias("perimeter"))
     half = F.col("perimeter") / 2
-    return g.where((F.col("area") >= 15) & (F.col("built") <= 0.05 * F.col("area")) & (half > 20) & (half * half / F.col("area") > 8)).select("label", "area", "built", "perimeter")
+    return g.where((F.col("area") >= 15) & (F.col("built") <= 0.05 * F.col("area")) & (half > 20) & (half * half / F.col("area") > 8))
 
 
 def island_sites(cells: DataFrame, keep: DataFrame, every: int = 12) -> DataFrame:

@@ -19,7 +19,8 @@ from upland.plans import route_qa as Q
 from upland.queries import query
 from upland.queries.spatial import DIST, PVEN, RING, _H, _P15, points, pven, rings
 from upland.queries.tables import (BLD, DEST, GRID, GRID_D, GRID_N, GRID_W, K, PATH, PPATH, ROAD, SEG, bilinear_sql, hav_km, height_sql, lat, lng, px_sql, py_sql, r, rnd, with_)
-from upland.session import cut_lineage
+from upland.operators.cellgroups import connected_cells
+from upland.session import written
 
 # ------------------------------------------------------------ buildings
 
@@ -406,17 +407,37 @@ def twin_roads(t):
     return base.unionByName(twin)
 
 
-@query("P7_islands")
+# Cells of all segments and their twins, grouped by runs along a column of cells: a run that touches one beside it takes
+# the lesser number until none changes.
+_TWIN = """tseg AS (SELECT *, sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay)) AS tlen FROM (SELECT ax, ay, bx, by FROM seg UNION ALL SELECT ax + 12, ay + 12, bx + 12, by + 12 FROM seg) WHERE ax <> bx OR ay <> by),
+ spot AS (SELECT *, gx + 0.5::DOUBLE AS x, gy + 0.5::DOUBLE AS y FROM (SELECT *, unnest(range(CAST(floor(least(ay, by) - 12) AS BIGINT), CAST(floor(greatest(ay, by) + 12) AS BIGINT) + 1)) AS gy FROM (SELECT *, unnest(range(CAST(floor(least(ax, bx) - 12) AS BIGINT), CAST(floor(greatest(ax, bx) + 12) AS BIGINT) + 1)) AS gx FROM tseg))),
+ band AS (SELECT gx, gy, side, (bx - ax) / tlen AS ux, (by - ay) / tlen AS uy FROM (SELECT *, ((bx - ax) * (y - ay) - (by - ay) * (x - ax)) / tlen AS off, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / tlen AS along FROM spot), (VALUES (1), (-1)) v(side) WHERE off * side >= 3.1 AND off * side < 11.1 AND along >= 0 AND along <= tlen),
+ facing AS (SELECT gx, gy, bit_or(1 << CAST(floor(((degrees(atan2(-ux * side, uy * side)) + 360) % 360) / 45) AS INTEGER)) AS seen FROM band GROUP BY gx, gy),
+ lane AS (SELECT DISTINCT gx, gy FROM (SELECT *, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / (tlen * tlen))) AS t FROM spot) WHERE sqrt(pow(x - (ax + t * (bx - ax)), 2) + pow(y - (ay + t * (by - ay)), 2)) <= 3.1),
+ isl AS (SELECT gx, gy, gy - row_number() OVER (PARTITION BY gx ORDER BY gy) AS gap FROM (SELECT gx, gy FROM facing WHERE (seen & (seen << 3)) > 0 OR (seen & (seen << 4)) > 0 OR (seen & (seen << 5)) > 0) ANTI JOIN lane USING (gx, gy)),
+ run AS (SELECT row_number() OVER (ORDER BY gx, lo) AS id, * FROM (SELECT gx, gap, min(gy) AS lo, max(gy) AS hi FROM isl GROUP BY gx, gap)),
+ touch AS MATERIALIZED (SELECT a.id AS a, b.id AS b, least(a.hi, b.hi) - greatest(a.lo, b.lo) + 1 AS shared FROM run a JOIN run b ON b.gx = a.gx + 1 AND a.lo <= b.hi AND b.lo <= a.hi),
+ beside AS MATERIALIZED (SELECT a, b FROM touch UNION ALL SELECT b, a FROM touch),
+ grp(id, root) USING KEY (id) AS (SELECT id, id FROM run UNION SELECT b, min(n.root) FROM grp n JOIN beside ON a = n.id JOIN recurring.grp k ON k.id = b WHERE n.root < k.root GROUP BY b),
+ tag AS (SELECT g.id, lpad(CAST(r.gx + 1000000000 AS VARCHAR), 12, '0') || ',' || lpad(CAST(r.lo + 1000000000 AS VARCHAR), 12, '0') AS label FROM grp g JOIN run r ON r.id = g.root),
+ on_ AS (SELECT DISTINCT gx, gy FROM (SELECT cx, cy, side, gx, unnest(range(CAST(floor(cy - side / 2) AS BIGINT), CAST(floor(cy + side / 2) AS BIGINT) + 1)) AS gy FROM (SELECT *, unnest(range(CAST(floor(cx - side / 2) AS BIGINT), CAST(floor(cx + side / 2) AS BIGINT) + 1)) AS gx FROM bld)) WHERE abs(gx + 0.5 - cx) < side / 2 AND abs(gy + 0.5 - cy) < side / 2),
+ cel AS (SELECT label, gx, gy FROM isl JOIN run USING (gx, gap) JOIN tag USING (id)),
+ grown AS (SELECT label, area, coalesce(built, 0) AS built, 4 * area - 2 * inner_ - 2 * coalesce(across, 0) AS perimeter FROM (SELECT label, CAST(sum(hi - lo + 1) AS BIGINT) AS area, CAST(sum(hi - lo) AS BIGINT) AS inner_ FROM run JOIN tag USING (id) GROUP BY label)
+  LEFT JOIN (SELECT label, CAST(sum(shared) AS BIGINT) AS across FROM touch JOIN tag ON tag.id = a GROUP BY label) USING (label) LEFT JOIN (SELECT label, count(*) AS built FROM cel JOIN on_ USING (gx, gy) GROUP BY label) USING (label)),
+ island AS (SELECT * FROM grown WHERE area >= 15 AND built <= 0.05 * area AND perimeter / 2 > 20 AND (perimeter / 2) * (perimeter / 2) / area > 8)"""
+_ISLANDS = with_(SEG, BLD, _TWIN).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("P7_islands", _ISLANDS + "SELECT label, area, built, CAST(perimeter AS BIGINT) AS perimeter FROM island")
 def _(t):
-    cells = RD.connected_cells(RD.island_cells(twin_roads(t)), cut_lineage)
-    return RD.islands(cells, RD.ring_cells(t.bld)).select("label", "area", "built", "perimeter")
+    return RD.islands(connected_cells(RD.island_cells(twin_roads(t)), RD.ring_cells(t.bld))).select("label", "area", "built", "perimeter")
 
 
-@query("P7_island_sites")
+@query("P7_island_sites", _ISLANDS + """SELECT label, CASE WHEN wide THEN k ELSE m END AS gx, CASE WHEN wide THEN m ELSE k END AS gy, CASE WHEN k % 24 = 0 THEN 'lamp' WHEN k % 12 = 0 THEN 'tree' ELSE 'shrub' END AS kind
+ FROM (SELECT label, wide, CASE WHEN wide THEN gx ELSE gy END AS k, CAST(floor(avg(CASE WHEN wide THEN gy ELSE gx END)) AS BIGINT) AS m FROM (SELECT *, max(gx) OVER w - min(gx) OVER w >= max(gy) OVER w - min(gy) OVER w AS wide FROM cel JOIN island USING (label) WINDOW w AS (PARTITION BY label)) GROUP BY ALL) WHERE k % 3 = 0""")
 def _(t):
-    cells = RD.connected_cells(RD.island_cells(twin_roads(t)), cut_lineage)
-    keep = RD.islands(cells, RD.ring_cells(t.bld))
-    return RD.island_sites(cells, keep).groupBy("kind").agg(F.count("*").alias("n"))
+    cells = written(connected_cells(RD.island_cells(twin_roads(t)), RD.ring_cells(t.bld)))
+    return RD.island_sites(cells, RD.islands(cells))
 
 
 # ---------------------------------------------- districts

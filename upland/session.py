@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,16 +22,22 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder spark.checkpoint.dir names. Only in local mode, where driver and tasks share a disk, may it be unset."""
+    """The folder spark.checkpoint.dir names, which driver and executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return folder
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read again: lineage ends there, later plans start from files, and a lost
+    executor costs nothing."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
