@@ -45,7 +45,7 @@ def by_hand(texts):
 
 
 def prose(r, words):
-    return " ".join("".join(r.choices("abcdeé,.'\n▁ A1", weights=[9] * 6 + [2] * 4 + [0.02, 1, 1, 1][:4], k=r.randint(1, 12))) for _ in range(words))
+    return " ".join("".join(r.choices("abcdeé,.'\n▁ A1", weights=[9] * 6 + [2] * 4 + [0.02, 1, 1, 1], k=r.randint(1, 12))) for _ in range(words))
 
 
 def got(df, **k):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,16 +15,11 @@ SLICE_BYTES = 1 << 20   # text looked at together by the numpy code, so temporar
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only in local mode, where driver
-    and tasks share a disk."""
+    """The shared folder the cluster names in spark.checkpoint.dir."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local["):
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return named
 
 
 def stash(df: DataFrame) -> DataFrame:

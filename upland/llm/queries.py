@@ -68,7 +68,8 @@ def op8(spark, folder):
 
 @query("op9_repeats")
 def op9(spark, folder):
-    return repeats.without_repeats(table(spark, folder, "documents")).drop("kept")
+    rows = repeats.without_repeats(table(spark, folder, "documents"))
+    return rows.withColumn("n_kept", F.col("n_bytes") - F.col("n_removed")).withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 @query("op10_ngram_join")
