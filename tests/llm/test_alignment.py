@@ -78,6 +78,7 @@ def test_against_brute_force(spark, common):
 
 def test_forgetting_keeps_counts(spark, monkeypatch):
     monkeypatch.setattr(AL, "BLOCK", 200)
+    monkeypatch.setattr(AL, "KEPT_WORDS", 4)
     al = AL.Aligner(A, B)
     import numpy as np
     seen = Counter()
@@ -86,7 +87,6 @@ def test_forgetting_keeps_counts(spark, monkeypatch):
         seen["forgotten"] += 1
 
     al.before_forget = flush
-    monkeypatch.setattr(W, "KEPT_WORDS", 4)
     for t in ("one two three four five six", "seven eight nine"):
         raw = np.frombuffer((" " + t).encode(), np.uint8)
         numbers, *_ = al.words(raw, np.array([0]), np.array([len(raw)]))

@@ -21,7 +21,7 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,7 @@ from upland.llm import words as W
 from upland.llm.common import byte_view, slices, stash, text_of
 
 COMMON = 1 << 20
+KEPT_WORDS = 800_000
 BLOCK = 1 << 21
 SHIFT = 32                     # an id pair as one number: A's id above, B's below
 
@@ -41,22 +42,17 @@ def default_pair() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def slices_of(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """(first A token, end, first B token, end) of each group."""
+def slices_of(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(last A token, last B token) of each group."""
     at_a, at_b = dict(zip(ends_a, range(len(ends_a)))), dict(zip(ends_b, range(len(ends_b))))
-    i = j = 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        yield i, at_a[end] + 1, j, at_b[end] + 1
-        i, j = at_a[end] + 1, at_b[end] + 1
+    common = sorted(at_a.keys() & at_b.keys())
+    return np.array([at_a[e] for e in common], np.int64), np.array([at_b[e] for e in common], np.int64)
 
 
-def links_of(ends_a: list[int], ends_b: list[int], i: int, to_i: int, j: int, to_j: int) -> Iterator[tuple[int, int]]:
-    """(A token, B token) of each overlap inside a group."""
-    while i < to_i:
-        yield i, j
-        a, b = ends_a[i], ends_b[j]
-        i += a <= b
-        j += b <= a
+def links_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(A token, B token) of each overlap, in order: one for each stretch between neighbouring ends."""
+    ends = np.union1d(ends_a, ends_b)
+    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
 
 
 class Aligner:
@@ -67,8 +63,8 @@ class Aligner:
         t = W.byte_level(path_a)
         back = {s: b for b, s in W.SIGNS.items()}
         self.bytes_a = [bytes(back[c] for c in t.id_to_token(i)) if all(c in back for c in t.id_to_token(i)) else b"" for i in range(t.get_vocab_size())]
-        self.sizes_a, self.sizes_b = [len(b) for b in self.bytes_a], [len(b) for b in self.pieces.bytes]
-        self.table = W.WordTable(self._learn, self._forget)
+        self.sizes_a, self.sizes_b = (np.array([len(b) for b in x]) for x in (self.bytes_a, self.pieces.bytes))
+        self.table = W.WordTable(self._learn, self._forget, KEPT_WORDS)
         self.before_forget = None
         self._clear()
 
@@ -82,17 +78,34 @@ class Aligner:
         self._clear()
 
     def _learn(self, words: list[bytes]) -> None:
-        for w, a, b in zip(words, W.byte_level_ids(self.path_a, words), self.pieces.ids(words)):
-            valid = b"".join(map(self.bytes_a.__getitem__, a)) == w and b"".join(map(self.pieces.bytes.__getitem__, b)) == w
-            text, links = [], []
-            if valid:
-                ends_a, ends_b = list(accumulate(map(self.sizes_a.__getitem__, a))), list(accumulate(map(self.sizes_b.__getitem__, b)))
-                for i, to_i, j, to_j in slices_of(ends_a, ends_b):
-                    text.append(f"{','.join(map(str, a[i:to_i]))}|{','.join(map(str, b[j:to_j]))}")
-                    links += [a[x] << SHIFT | b[y] for x, y in links_of(ends_a, ends_b, i, to_i, j, to_j)]
-            self.groups.append(";".join(text))
-            self.pairs.add([links])
-            self.shape.add([(len(a), len(b), len(text), len(links), valid)])
+        ids_a, ids_b = W.byte_level_ids(self.path_a, words), self.pieces.ids(words)
+        valid = [True] * len(words)
+        for ids, table in ((ids_a, self.bytes_a), (ids_b, self.pieces.bytes)):
+            valid = [ok and b"".join([table[i] for i in own]) == w for ok, own, w in zip(valid, ids, words)]
+        for i in (i for i, ok in enumerate(valid) if not ok):
+            ids_a[i], ids_b[i] = [], []
+        # the words one after another, so one pair of dictionaries has the ends of all; words end where both end
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (ids_a, ids_b))
+        n_a, n_b = (np.array([len(i) for i in x], np.int64) for x in (ids_a, ids_b))
+        ends_a, ends_b = np.cumsum(self.sizes_a[flat_a]), np.cumsum(self.sizes_b[flat_b])
+        last_a, last_b = slices_of(ends_a.tolist(), ends_b.tolist())
+        link_a, link_b = links_of(ends_a, ends_b)
+        word_of = np.repeat(np.arange(len(words)), n_a)
+        n_groups, n_links = np.bincount(word_of[last_a], minlength=len(words)), np.bincount(word_of[link_a], minlength=len(words))
+        self.groups += self._texts(ids_a, ids_b, last_a + 1, last_b + 1, n_groups)
+        self.pairs.add_flat(flat_a[link_a] << SHIFT | flat_b[link_b], n_links)
+        self.shape.add_flat(np.stack([n_a, n_b, n_groups, n_links, np.array(valid)], 1).astype(np.int64).ravel(), np.full(len(words), 5))
+
+    @staticmethod
+    def _texts(ids_a, ids_b, to_a: np.ndarray, to_b: np.ndarray, n_groups: np.ndarray) -> list[str]:
+        """The groups of each word as text."""
+        a, b = (list(map(str, chain.from_iterable(x))) for x in (ids_a, ids_b))
+        texts, i, j = [], 0, 0
+        for to_i, to_j in zip(to_a.tolist(), to_b.tolist()):
+            texts.append(f"{a[i]}|{b[j]}" if to_i - i == 1 == to_j - j else f"{','.join(a[i:to_i])}|{','.join(b[j:to_j])}")
+            i, j = to_i, to_j
+        ends = np.cumsum(n_groups).tolist()
+        return [";".join(texts[x:y]) for x, y in zip([0, *ends], ends)]
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(number of each word, first and last word of each text, whether the text has tokens)."""

@@ -66,14 +66,15 @@ class WordTable:
     """Numbers for different words. `learn` is called with the words not met before, in the order of their numbers;
     `forget` when all are dropped to stay within the bounds."""
 
-    def __init__(self, learn: Callable[[list[bytes]], None], forget: Callable[[], None]):
+    def __init__(self, learn: Callable[[list[bytes]], None], forget: Callable[[], None], most: int | None = None):
+        self.most = most or KEPT_WORDS
         self.known: dict[bytes, int] = {}
         self.held = 0
         self.learn, self.forget = learn, forget
 
     def numbers(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The number of each word of one block; numbers hold until the next call."""
-        if len(self.known) > KEPT_WORDS or self.held > KEPT_BYTES:
+        if len(self.known) > self.most or self.held > KEPT_BYTES:
             self.known.clear()
             self.held = 0
             self.forget()
@@ -125,6 +126,12 @@ class Rows:
             self.values.extend(r)
             self.ends.append(len(self.values))
 
+    def add_flat(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Rows one after another, with their sizes."""
+        base = len(self.values)
+        self.values.frombytes(np.ascontiguousarray(values).tobytes())
+        self.ends.frombytes((base + np.cumsum(sizes, dtype=np.int64)).tobytes())
+
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
         """(values, ends): row i is values[ends[i]:ends[i + 1]]."""
         values = np.array(self.values) if len(self.values) else np.zeros(0, self.kind)
