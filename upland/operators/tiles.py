@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from upland.functions.geo import M_PER_DEG_LAT, M_PER_DEG_LNG, WEB_MERCATOR_C, col, tile_north, tile_west, tile_x, tile_y
 from upland.operators.cells import box_join
+from upland.operators.quantiles import exact_quantiles
 
 # How far tiles are drawn, and plant detail by distance.
 NEAR_ZOOM, FAR_REACH_M, ROAD_REACH_M = 15, 1700.0, 900.0
@@ -169,5 +170,5 @@ def write_tiles(df: DataFrame, path: str, tile: tuple[str, ...] = ("z", "x", "y"
 
 def tile_sizes(man: DataFrame) -> DataFrame:
     """Exact p50, p95 and largest tile in bytes, with totals, from a manifest."""
-    return man.agg(F.count("*").alias("tiles"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"),
-                   F.expr("percentile(bytes, 0.5)").alias("p50"), F.expr("percentile(bytes, 0.95)").alias("p95"), F.max("bytes").alias("largest"))
+    sums = man.agg(F.count("*").alias("tiles"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.max("bytes").alias("largest"))
+    return sums.join(exact_quantiles(man, [], "bytes", [0.5, 0.95], ["p50", "p95"]).drop("n"), F.lit(True), "left")          # one row each

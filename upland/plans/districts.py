@@ -12,6 +12,7 @@ from upland.functions.ids import hash8
 from upland.operators import lines as L
 from upland.operators import rings as G
 from upland.operators.cells import box_join
+from upland.operators.quantiles import exact_quantiles
 from upland.operators.tiles import split_crowded
 from upland.plans.massing import STOREY_M, storeys_by_size
 from upland.session import cut_lineage
@@ -172,25 +173,29 @@ def corridor(segs: DataFrame, landmarks: DataFrame, radius: float) -> DataFrame:
 
 
 def street_measures(segs: DataFrame, buildings: DataFrame, every: float = 5.0, reach: float = 25.0) -> DataFrame:
-    """Per line the median distance from its centreline to the building line on its left, over samples every 5 m: a ray
-    along the normal, its first outline within reach."""
+    """Per line and side (left 1, right -1) the median distance from its centreline to the building line, over samples
+    every 5 m: a ray along the normal, its first outline within reach. `width_m` is the sum of both sides' medians, null
+    where one side has none."""
     ends = segs.groupBy("code").agg(F.max(F.col("start") + F.col("len")).alias("total"))
-    p = L.points_along(segs, every, 5.0).join(ends, "code").where(F.col("t") < F.col("total") - 5)
-    p = p.select(F.concat_ws(":", "code", "step").alias("pid"), "code", F.col("x"), F.col("y"), (-F.col("uy")).alias("nx"), F.col("ux").alias("ny"))
+    p = L.points_along(segs, every, 5.0).join(ends, "code").where(F.col("t") < F.col("total") - 5).withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
+    p = p.select("code", "side", "step", F.col("x"), F.col("y"), (-F.col("uy") * F.col("side")).alias("nx"), (F.col("ux") * F.col("side")).alias("ny"))
 
     def hit(e):
         dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
         den = F.col("nx") * dy - F.col("ny") * dx
-        s = ((e["ax"] - F.col("x")) * dy - (e["ay"] - F.col("y")) * dx) / den
-        u = ((e["ax"] - F.col("x")) * F.col("ny") - (e["ay"] - F.col("y")) * F.col("nx")) / den
-        return F.when((F.abs(den) > 1e-12) & (u >= 0) & (u <= 1) & (s >= 0) & (s <= reach), s)
+        safe = F.when(F.abs(den) > 1e-12, den)
+        s = ((e["ax"] - F.col("x")) * dy - (e["ay"] - F.col("y")) * dx) / safe
+        u = ((e["ax"] - F.col("x")) * F.col("ny") - (e["ay"] - F.col("y")) * F.col("nx")) / safe
+        return F.when((u >= 0) & (u <= 1) & (s >= 0) & (s <= reach), s)
 
     ray = F.array_min(F.transform("edges", hit))
     box = [F.least("x", F.col("x") + F.col("nx") * reach), F.least("y", F.col("y") + F.col("ny") * reach),
            F.greatest("x", F.col("x") + F.col("nx") * reach), F.greatest("y", F.col("y") + F.col("ny") * reach)]
     pairs = box_join(p, buildings.select("bid", "edges", "w", "s", "e", "n"), box, [F.col(c) for c in "wsen"], ray.isNotNull()).withColumn("_s", ray)
-    first = pairs.groupBy("code", "pid").agg(F.min("_s").alias("front_m"))
-    return first.groupBy("code").agg(F.expr("percentile(front_m, 0.5)").alias("front_m"), F.count("*").alias("samples"))
+    first = pairs.groupBy("code", "side", "step").agg(F.min("_s").alias("front_m"))
+    m = exact_quantiles(first, ["code", "side"], "front_m", [0.5], ["front_m"]).withColumnRenamed("n", "samples")
+    both = m.groupBy("code").agg(F.when(F.count("*") == 2, F.sum("front_m")).alias("width_m"))
+    return m.join(both, "code")
 
 
 def carriageway_gap(a: DataFrame, segs: DataFrame, every: float = 3.0, widest: float = 15.0) -> DataFrame:
@@ -199,7 +204,7 @@ def carriageway_gap(a: DataFrame, segs: DataFrame, every: float = 3.0, widest: f
     p = L.points_along(a, every).select(F.concat_ws(":", "code", "step").alias("pid"), F.col("code").alias("own"), "lane_count", "x", "y")
     near = L.lines_within(p, segs.select("code", "seg", "ax", "ay", "bx", "by", "len", "start"), widest).where("code <> own")
     d = near.groupBy("own", "lane_count", "pid").agg(F.min("dist").alias("d"))
-    m = d.groupBy(F.col("own").alias("code"), "lane_count").agg(F.expr("percentile(d, 0.5)").alias("gap_m"), F.count("*").alias("samples"))
+    m = exact_quantiles(d.withColumnRenamed("own", "code"), ["code", "lane_count"], "d", [0.5], ["gap_m"]).withColumnRenamed("n", "samples")
     return m.withColumn("lane_m", F.floor((F.col("gap_m") - 1.0) / F.col("lane_count") * 100 + 0.5) / 100)
 
 

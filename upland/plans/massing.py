@@ -11,6 +11,7 @@ from upland.functions.geo import col, tm_forward
 from upland.functions.ids import crc_of, hash8, weighted_pick
 from upland.operators import lines as L
 from upland.operators import rings as G
+from upland.operators.quantiles import exact_quantiles
 from upland.operators.raster import sample_bilinear
 
 # Storey height, the centre's radius, size limits, roof weights, and which kinds count as commercial.
@@ -124,16 +125,15 @@ def massing(prepared: DataFrame, foot: DataFrame, key: str = "oid") -> DataFrame
 
 def median_storeys(buildings: DataFrame) -> DataFrame:
     """Median height in storeys inside and outside the centre's radius."""
-    return buildings.groupBy((F.col("centre_m") < CENTRE_M).alias("central")).agg(
-        F.expr(f"percentile(height, 0.5) / {STOREY_M}D").alias("storeys"), F.count("*").alias("n"))
+    placed = buildings.select((F.col("centre_m") < CENTRE_M).alias("central"), (F.col("height") / STOREY_M).alias("storeys"))
+    return exact_quantiles(placed, ["central"], "storeys", [0.5], ["storeys"])
 
 
 def lod_gap(fine: DataFrame, coarse: DataFrame, key: str, stretch: float) -> DataFrame:
     """Percentiles of how much lower the coarse ground lies under buildings, on the stretched terrain."""
     g = fine.select(key, F.col("low").alias("_a")).join(coarse.select(key, F.col("low").alias("_b")), key)
     gap = F.greatest(F.lit(0.0), F.col("_a") - F.col("_b")) * stretch
-    return g.select(gap.alias("gap")).agg(F.expr("percentile(gap, array(0.5, 0.95, 0.99))").alias("p")).select(
-        F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"))
+    return exact_quantiles(g.select(gap.alias("gap")), [], "gap", [0.5, 0.95, 0.99], ["p50", "p95", "p99"]).drop("n")
 
 
 def coarse_heights(heights: DataFrame, step: int) -> DataFrame:

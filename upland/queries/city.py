@@ -296,15 +296,15 @@ def _(t):
 _EG = lambda c, d: bilinear_sql(c, d)
 
 
-@query("E36_steps", with_(PATH) + f"""SELECT code, CAST(least(greatest(1, greatest(round_even(abs(g1 - g0) / 0.17, 0), ceil(m / 0.5))), floor(m / 0.2) + 1) AS INTEGER) AS steps FROM (SELECT a.code, {_EG('a.lng', 'a.lat')} AS g0, {_EG('b.lng', 'b.lat')} AS g1, {rnd(hav_km('a.lng', 'a.lat', 'b.lng', 'b.lat', 6371000.0), 6)} AS m FROM path a JOIN path b ON a.code = b.code AND a.i = 0 AND b.i = 1)""")
+@query("E36_steps", with_(PATH) + f"""SELECT code, CAST(least(greatest(1, greatest(round_even(abs(g1 - g0) / 0.17, 0), ceil(m / 0.5))), floor(m / 0.2) + 1) AS INTEGER) AS steps FROM (SELECT code, {rnd('sum(leg)', 6)} AS m, max(CASE WHEN i = 0 THEN g END) AS g0, max(CASE WHEN onward IS NULL THEN g END) AS g1, count(*) AS n FROM
+ (SELECT *, {_EG('lng', 'lat')} AS g, CASE WHEN onward IS NOT NULL THEN {hav_km('lng', 'lat', 'onward', 'up', 6371000.0)} END AS leg FROM (SELECT *, lead(lng) OVER w AS onward, lead(lat) OVER w AS up FROM path WINDOW w AS (PARTITION BY code ORDER BY i))) GROUP BY code) WHERE n >= 2""")
 def _(t):
     from upland.operators.raster import sample_bilinear
-    v = t.path.where("i <= 1")
-    g = sample_bilinear(v, t.heights(v), ["code", "i"]).join(v, ["code", "i"])
-    at = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
-    d = g.groupBy("code").agg(*[at(i, c).alias(f"{c}{i}") for i in (0, 1) for c in ("ground", "lng", "lat")]).where("lng1 IS NOT NULL")
-    m = r(geo.haversine_m("lng0", "lat0", "lng1", "lat1"), 6)
-    return d.select("code", RD.step_count(m, F.col("ground1") - F.col("ground0"), F.lit(None).cast("int")).alias("steps"))
+    g = F.col("line")
+    ends = t.lines.where(F.size(g) >= 2).select("code", r(L.length_m("line"), 6).alias("m"), F.posexplode(F.array(g[0], F.element_at(g, -1))).alias("i", "p")).select("code", "m", "i", "p.*")
+    at = sample_bilinear(ends, t.heights(ends), ["code", "i", "m"])
+    d = at.groupBy("code", "m").agg(*[F.max(F.when(F.col("i") == i, F.col("ground"))).alias(f"g{i}") for i in (0, 1)])
+    return d.select("code", RD.step_count("m", F.col("g1") - F.col("g0"), F.lit(None).cast("int")).alias("steps"))
 
 
 _ENDS = """ends AS (SELECT floor(x * 100 + 0.5) / 100 AS jx, floor(y * 100 + 0.5) / 100 AS jy FROM (SELECT p.* FROM ppath p JOIN (SELECT code, max(i) AS m FROM ppath GROUP BY code) USING (code) WHERE i = 0 OR i = m) GROUP BY 1, 2 HAVING count(*) >= 2),
@@ -500,11 +500,10 @@ def _(t):
 
 
 @query("P8_street_front", with_(BLD, SEG, ROAD) + f"""SELECT bid, street, code, {rnd('d', 3)} AS metres, CAST(ntile(4) OVER (PARTITION BY street ORDER BY code, along, bid) AS INTEGER) AS part, CASE WHEN building IN ('apartments', 'house') OR {sha8("(oid || 'flats')")} % 100 < 55 THEN 'apartment' ELSE 'commercial' END AS kind FROM
- (SELECT *, row_number() OVER (PARTITION BY bid, street ORDER BY d, code, seg) AS rn, start + ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / len AS along FROM (SELECT *, {DIST} AS d FROM (SELECT *, cx AS x, cy AS y FROM bld WHERE side * side >= 12), (SELECT aseg.*, street FROM aseg JOIN road USING (code) WHERE street IN ('Street 3', 'Street 7', 'Street 12'))) WHERE d <= 60) WHERE rn = 1""")
+ (SELECT *, row_number() OVER (PARTITION BY bid, street ORDER BY d, code, seg) AS rn, start + ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / len AS along FROM (SELECT *, {DIST} AS d FROM (SELECT *, cx AS x, cy AS y FROM bld WHERE side * side >= 12), (SELECT aseg.*, street FROM aseg JOIN road USING (code))) WHERE d <= 60) WHERE rn = 1""")
 def _(t):
     s = t.segs.join(t.roads.select("code", "street"), "code")
-    want = t.roads.where(F.col("street").isin("Street 3", "Street 7", "Street 12")).select("street")
-    d = DI.street_front(t.bld, s, want, 60.0)
+    d = DI.street_front(t.bld, s, t.roads.select("street"), 60.0)
     return d.select("bid", "street", "code", r("dist", 3).alias("metres"), "part", "kind")
 
 
@@ -534,12 +533,25 @@ def _(t):
     return DI.corridor(t.segs, landmarks(t), 250.0).where("metres > 0").select("lid", "code", r("metres", 2).alias("metres"))
 
 
-@query("P11_street_front")
+_FRONT = f"""ray AS (SELECT code, step, side, x, y, -uy * side AS nx, ux * side AS ny FROM (SELECT code, step, tpos, {_AT} FROM {_POS(5.0, 5)}) JOIN tot USING (code), (VALUES (1), (-1)) v(side) WHERE tpos < total - 5),
+ wall AS (SELECT cx - side / 2 AS w, cx + side / 2 AS e, cy - side / 2 AS s, cy + side / 2 AS n, unnest([{{'ax': -1, 'ay': -1, 'bx': 1, 'by': -1}}, {{'ax': 1, 'ay': -1, 'bx': 1, 'by': 1}}, {{'ax': 1, 'ay': 1, 'bx': -1, 'by': 1}}, {{'ax': -1, 'ay': 1, 'bx': -1, 'by': -1}}]) AS c, cx, cy, side / 2 AS h FROM bld),
+ edge AS (SELECT w, e, s, n, cx + c.ax * h AS ax, cy + c.ay * h AS ay, cx + c.bx * h AS bx, cy + c.by * h AS by FROM wall),
+ shot AS (SELECT code, side, step, min(far) AS front_m FROM (SELECT code, side, step, ((ax - x) * (by - ay) - (ay - y) * (bx - ax)) / den AS far, ((ax - x) * ny - (ay - y) * nx) / den AS u FROM (SELECT *, nx * (by - ay) - ny * (bx - ax) AS den FROM ray JOIN edge ON w <= greatest(x, x + nx * 25) AND e >= least(x, x + nx * 25) AND s <= greatest(y, y + ny * 25) AND n >= least(y, y + ny * 25)) WHERE abs(den) > 1e-12) WHERE u >= 0 AND u <= 1 AND far >= 0 AND far <= 25 GROUP BY code, side, step),
+ front AS (SELECT code, side, quantile_cont(front_m, 0.5) AS m, count(*) AS samples FROM shot GROUP BY code, side)"""
+
+
+@query("P11_street_front", with_(SEG, BLD, _TOTAL, _FRONT) + f"SELECT code, side, {rnd('m', 3)} AS front_m, {rnd('width', 3)} AS width_m, samples FROM front JOIN (SELECT code, CASE WHEN count(*) = 2 THEN sum(m) END AS width FROM front GROUP BY code) USING (code)")
 def _(t):
-    return DI.street_measures(t.segs, t.bld).select("code", r("front_m", 3).alias("front_m"), "samples")
+    return DI.street_measures(t.segs, t.bld).select("code", "side", r("front_m", 3).alias("front_m"), r("width_m", 3).alias("width_m"), "samples")
+
 
+_GAP = f"""tseg AS (SELECT code, ax, ay, bx, by, len FROM seg UNION ALL SELECT -code - 1, ax + 12, ay + 12, bx + 12, by + 12, len FROM seg),
+ spots AS (SELECT code, step, {_AT} FROM {_POS(3.0, 0)}),
+ gap AS (SELECT code, step, min(d) AS d FROM (SELECT code, step, sqrt(pow(x - (ax + t * (bx - ax)), 2) + pow(y - (ay + t * (by - ay)), 2)) AS d FROM (SELECT p.code, step, x, y, q.ax, q.ay, q.bx, q.by, greatest(0, least(1, coalesce(((x - q.ax) * (q.bx - q.ax) + (y - q.ay) * (q.by - q.ay)) / nullif(pow(q.bx - q.ax, 2) + pow(q.by - q.ay, 2), 0), 0))) AS t
+  FROM spots p JOIN tseg q ON q.code <> p.code AND x >= least(q.ax, q.bx) - 15 AND x <= greatest(q.ax, q.bx) + 15 AND y >= least(q.ay, q.by) - 15 AND y <= greatest(q.ay, q.by) + 15)) WHERE d <= 15 GROUP BY code, step)"""
 
-@query("P11_carriageway_gap")
+
+@query("P11_carriageway_gap", with_(SEG, ROAD, RT, _GAP) + f"SELECT code, {rnd('m', 3)} AS gap_m, samples, floor((m - 1.0) / lane_count * 100 + 0.5) / 100 AS lane_m FROM (SELECT code, quantile_cont(d, 0.5) AS m, count(*) AS samples FROM gap GROUP BY code) JOIN rt USING (code)")
 def _(t):
     tw = twin_roads(t)
     s = L.segments(tw.select("code", "line"), "code")
@@ -617,12 +629,22 @@ def _(t):
     return Q.worst_detours(t.lines.select("code", w.alias("w"))).select("code", "seq", r("score", 3).alias("score"))
 
 
-@query("P15_relocate_stops")
+_DRAWN = "(lng + CASE WHEN code % 4 = 3 AND i % 3 = 0 THEN 0.006::DOUBLE ELSE 0.0004::DOUBLE END)"
+_MOVED = f"""drawn AS (SELECT code, i AS seq, {_DRAWN} AS slng, lat + 0.0003::DOUBLE AS slat, greatest(i - 4, 0) AS lo, least(i + 4, last) AS hi FROM path JOIN (SELECT code, max(i) AS last FROM path GROUP BY code) USING (code) WHERE i > 0 AND i < last),
+ leg AS (SELECT s.*, (p.lng - slng) * kx AS ax, (p.lat - slat) * ky AS ay, (q.lng - slng) * kx AS bx, (q.lat - slat) * ky AS by, kx, ky FROM (SELECT *, {math.pi / 180 * 6371000.0!r}::DOUBLE AS ky, cos(radians(slat)) * {math.pi / 180 * 6371000.0!r}::DOUBLE AS kx FROM drawn) s JOIN path p ON p.code = s.code AND p.i >= lo AND p.i < hi JOIN path q ON q.code = s.code AND q.i = p.i + 1),
+ foot AS (SELECT *, ax + u * (bx - ax) AS x, ay + u * (by - ay) AS y FROM (SELECT *, greatest(0, least(1, coalesce(-(ax * (bx - ax) + ay * (by - ay)) / nullif(pow(bx - ax, 2) + pow(by - ay, 2), 0), 0))) AS u FROM leg)),
+ spot AS (SELECT code, seq, lo, hi, slng, slat, {rnd('m.lng', 5)} AS nlng, {rnd('m.lat', 5)} AS nlat FROM (SELECT code, seq, lo, hi, slng, slat, min({{'d': sqrt(x * x + y * y), 'lng': slng + x / kx, 'lat': slat + y / ky}}) AS m FROM foot GROUP BY ALL)),
+ hit AS (SELECT code, seq, min({{'d': {hav_km('lng', 'lat', 'nlng', 'nlat', 6371000.0)}, 'i': i}}) AS h FROM spot JOIN path USING (code) GROUP BY code, seq)"""
+
+
+@query("P15_relocate_stops", with_(PATH, _MOVED) + f"""SELECT code, seq, CASE WHEN m > 400 THEN 'refused: too far' WHEN h.d > 30 THEN 'refused: off the line' WHEN h.i < lo OR h.i > hi THEN 'refused: order' ELSE 'moved' END AS outcome, nlng AS new_lng, nlat AS new_lat, {rnd('m', 2)} AS moved_m FROM (SELECT *, {hav_km('slng', 'slat', 'nlng', 'nlat', 6371000.0)} AS m FROM spot) JOIN hit USING (code, seq)""")
 def _(t):
-    s = t.lines.where(F.size("line") > 10).select("code", F.lit(5).alias("seq"), (F.col("line")[5]["lng"] + F.when(F.col("code") % 4 == 3, 0.006).otherwise(0.0004)).alias("lng"), (F.col("line")[5]["lat"] + 0.0003).alias("lat"),
-                                                  F.col("line").alias("trunk"), F.lit(1).alias("from_idx"), F.lit(9).alias("to_idx"))
-    d = Q.relocate_stops(s)
-    return d.select("code", "outcome", "new_lng", "new_lat", r("moved_m", 2).alias("moved_m"))
+    n = F.size("line")
+    s = t.lines.where(n > 2).select("code", F.col("line").alias("trunk"), n.alias("n"), F.posexplode("line").alias("seq", "p")).where("seq > 0 AND seq < n - 1")
+    far = (F.col("code") % 4 == 3) & (F.col("seq") % 3 == 0)
+    s = s.select("code", "seq", "trunk", (F.col("p.lng") + F.when(far, 0.006).otherwise(0.0004)).alias("lng"), (F.col("p.lat") + 0.0003).alias("lat"),
+                 F.greatest(F.col("seq") - 4, F.lit(0)).alias("from_idx"), F.least(F.col("seq") + 4, F.col("n") - 1).alias("to_idx"))
+    return Q.relocate_stops(s).select("code", "seq", "outcome", "new_lng", "new_lat", r("moved_m", 2).alias("moved_m"))
 
 
 @query("P16_refresh_elevations", with_(DEST) + f"SELECT slug, elevation AS old, CAST(g AS DOUBLE) AS new, elevation IS DISTINCT FROM g AS changed FROM (SELECT *, round_even({height_sql(f'floor({_P15[0]})', f'floor({_P15[1]})')}, 0) AS g FROM dest)")

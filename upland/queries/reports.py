@@ -97,11 +97,13 @@ def _(t):
 _NORM = lambda x: f"trim(regexp_replace(lower({x}), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' ')"
 
 
-@query("J23_quote_check", f"""SELECT page_id, part, part <> 2 AND length(trim(q)) >= 20 AS quoted FROM (SELECT page_id, part, substr({_NORM(_TEXT.format(h='html'))}, CAST(part * 40 + 10 AS BIGINT), 40) AS q FROM pages, (VALUES (0), (1), (2)) v(part))""")
+@query("J23_quote_check", f"""SELECT page_id, part, part <> 2 AND length(trim(substr(p, CAST((page_id * 7919 + part * 104729) % greatest(length(p) - 40, 1) + 1 AS BIGINT), 40))) >= 20 AS quoted FROM (SELECT page_id, {_NORM(_TEXT.format(h='html'))} AS p FROM pages), (VALUES (0), (1), (2)) v(part)""")
 def _(t):
+    """Quotes from anywhere in a page, at a place its number names; the third of each page has words added."""
     page = text.normalise(text.html_to_text("html"))
-    q = t.raw("pages").select("page_id", F.col("url"), page.alias("p")).select("page_id", F.concat_ws("#", "url", "page_id").alias("source_url"), F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.concat(F.lit(" \n"), F.substring("p", k * 40 + 10, 40)).alias("quote")) for k in range(3)])).alias("q"))
-    q = q.select("page_id", "source_url", "q.part", F.when(F.col("q.part") == 2, F.concat(F.col("q.quote"), F.lit(" not on the page"))).otherwise(F.col("q.quote")).alias("quote"))
+    at = lambda k: ((F.col("page_id") * 7919 + k * 104729) % F.greatest(F.length("p") - 40, F.lit(1)) + 1).cast("int")
+    parts = F.array(*[F.struct(F.lit(k).alias("part"), F.concat(F.lit(" \n"), F.substr("p", at(k), F.lit(40)), F.lit(" not on the page" if k == 2 else "")).alias("quote")) for k in range(3)])
+    q = t.raw("pages").select("page_id", "url", page.alias("p")).select("page_id", F.concat_ws("#", "url", "page_id").alias("source_url"), F.explode(parts).alias("q")).select("page_id", "source_url", "q.*")
     pages = t.raw("pages").select(F.concat_ws("#", "url", "page_id").alias("url"), "html")
     return S.quote_check(q, pages).select("page_id", "part", "quoted")
 
