@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from upland.streaming import audit as A, queue as Q, submissions as S
@@ -36,6 +38,22 @@ def test_rolling_cap_equals_fold(spark):
     assert one == fold(rows, 5, 3600)
 
 
+@pytest.mark.parametrize("slice_", [7, 100_000])
+def test_cap_of_one_by_pointers(spark, monkeypatch, slice_):
+    """Three busy keys, times that tie and that stand exactly a window apart, in slices with and without rows."""
+    monkeypatch.setattr(Q, "SLICE", slice_)
+    rng = random.Random(8)
+    rows = []
+    for i in range(4000):
+        k = rng.randrange(3) if i % 10 else 3 + rng.randrange(40)
+        at = rng.choice([rng.uniform(0, 3600 * 60), 3600.0 * rng.randrange(60), 900.0 * rng.randrange(240), rng.gauss(90_000, 300)])
+        rows.append((k, T0 + dt.timedelta(seconds=max(0.0, round(at, 3))), i))
+    d = spark.createDataFrame(rows, "k int, ts timestamp, id int")
+    got = {r["id"]: r["accepted"] for r in Q.rolling_cap(d, ["k"], "ts", "id", 1, 3600).collect()}
+    assert got == fold(rows, 1, 3600) and len(got) == len(rows)
+    assert Q.rolling_cap(d.limit(0), ["k"], "ts", "id", 1, 3600).collect() == []
+
+
 REPORT = ("id long, created_at timestamp, page_path string, message string, reply_email string, replied_at timestamp, reporter_name string, resolved_at timestamp, "
           "status string, token string, status_note string, checked_at timestamp, attempts int, last_error string")
 

@@ -129,7 +129,7 @@ def _(t):
   SELECT o.event_id, o.k, o.n, CASE WHEN w.a IS NULL OR w.a <= o.ts - INTERVAL 1 HOUR THEN w.b ELSE w.a END, CASE WHEN w.a IS NULL OR w.a <= o.ts - INTERVAL 1 HOUR THEN o.ts ELSE w.b END, w.a IS NULL OR w.a <= o.ts - INTERVAL 1 HOUR FROM w JOIN o ON o.k = w.k AND o.n = w.n + 1)
 SELECT event_id, k, accepted FROM w""")
 def _(t):
-    """One in six of the reports' keys is busy: the cap is set so that it binds."""
+    """Three busy keys hold all events: the cap is set so that it binds."""
     d = t.events.withColumn("k", F.col("user_id") % 3)
     return Q.rolling_cap(d, ["k"], "ts", "event_id", 2, 3600).select("event_id", "k", "accepted")
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from upland.session import written
+
 # Caps, retries, sweep sizes and ages.
 HOURLY_CAP, DAILY_CAP, MAX_ATTEMPTS = 30, 60, 3
 PER_SWEEP, REPLIES_PER_SWEEP = 3, 9
@@ -19,12 +21,14 @@ TOKEN = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 def rolling_cap(rows: DataFrame, keys: list[str], ts: str, row_id: str, cap: int, window_s: int) -> DataFrame:
     """Rows with `accepted`: a row is accepted when fewer than cap accepted rows of its key lie in the trailing window
-    (strictly after ts - window). Only accepted rows count, so acceptance is a recurrence in time order.
+    (strictly after ts - window). Only accepted rows count, so acceptance is a recurrence in time order. Row ids differ.
 
     Time is cut into buckets one window long. Where a bucket and the one before hold at most cap rows together, every row
     of it is accepted whatever came earlier; those rows are settled by counting. What is left are runs of full buckets,
-    each seeded by the settled bucket before it. Runs are independent, and each is folded in time order as its sorted rows
-    stream past, holding cap timestamps and never the group."""
+    each seeded by the settled bucket before it. With a cap of one a run is a chain of pointers, followed by doubling
+    (`_hops`), so a busy key's rows spread over all tasks. With more, the next row depends on the last cap accepted ones
+    together, and each run is folded in time order as its sorted rows stream past, holding cap timestamps and never the
+    group."""
     width = window_s * 1_000_000
     r = rows.withColumn("_us", F.unix_micros(ts)).withColumn("_b", F.floor(F.col("_us") / width).cast("long"))
     n = r.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
@@ -38,7 +42,51 @@ def rolling_cap(rows: DataFrame, keys: list[str], ts: str, row_id: str, cap: int
     small = [*keys, "_b", "_us", row_id]
     work = marked.where("_full").select(*small).join(runs, [*keys, "_b"]).withColumn("_seed", F.lit(False))
     seeds = settled.select(*small).join(starts, [*keys, "_b"]).withColumn("_seed", F.lit(True))
-    work = work.unionByName(seeds).select(F.xxhash64(*keys, "_run").alias("_part"), F.to_json(F.struct(*keys, "_run")).alias("_group"), "_us", row_id, "_seed")
+    work = work.unionByName(seeds)
+    if cap == 1:
+        taken = _hops(work, [*keys, "_run"], row_id, width).withColumn("_t", F.lit(True))
+        decided = marked.where("_full").join(taken, row_id, "left").withColumn("accepted", F.col("_t").isNotNull())
+    else:
+        decided = marked.where("_full").join(_fold(work, [*keys, "_run"], row_id, cap, width, rows.schema[row_id].dataType.simpleString()), row_id)
+    return settled.withColumn("accepted", F.lit(True)).unionByName(decided.select(*settled.columns, "accepted")).select(*rows.columns, "accepted")
+
+
+SLICE = 100_000                # rows that look for their next one together
+
+
+def _hops(work: DataFrame, run: list[str], row_id: str, width: int) -> DataFrame:
+    """Ids of the rows that chains of one accepted row a window go through. A chain starts at a run's first row; a row
+    points to the first one at least a window later, which lies in the next bucket or first in the one after. Buckets are
+    cut into slices of about SLICE rows, in which rows and those that look for them are sorted together; who finds none
+    takes the first row of the next slice that has any. Pointers of 1, 2, 4, ... steps are written, and the chains are
+    gone through from the longest to the shortest."""
+    rows = written(work.select(*run, "_b", F.struct(F.col("_us").alias("us"), F.col(row_id).alias("id")).alias("_at")))
+    parts = rows.groupBy(*run, "_b").agg(F.ceil(F.count("*") / SLICE).alias("_parts"))
+    place = lambda us: F.floor((us - F.col("_b") * width) * F.col("_parts") / width)
+    there = rows.join(parts, [*run, "_b"]).select(*run, "_b", place(F.col("_at.us")).alias("_s"), F.col("_at.us").alias("_when"), F.lit(1).alias("_row"), "_at")
+    asking = rows.withColumn("_b", F.col("_b") + 1).join(parts, [*run, "_b"]).withColumn("_when", F.col("_at.us") + width)
+    asking = asking.select(*run, "_b", place(F.col("_when")).alias("_s"), "_when", F.lit(0).alias("_row"), "_at")
+    later = Window.partitionBy(*run, "_b", "_s").orderBy(F.desc("_when"), F.desc("_row"), F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = there.unionByName(asking).withColumn("_next", F.last(F.when(F.col("_row") == 1, F.col("_at")), ignorenulls=True).over(later)).where("_row = 0")
+    # the first row of the slices after each slice: one row a slice, so a run's slices are few
+    first = there.groupBy(*run, "_b", "_s").agg(F.min("_at").alias("_first"))
+    beyond = Window.partitionBy(*run).orderBy(F.desc("_b"), F.desc("_s"), "_has").rowsBetween(Window.unboundedPreceding, 0)
+    spots = first.withColumn("_has", F.lit(1)).unionByName(asking.select(*run, "_b", "_s").distinct().withColumn("_first", F.lit(None).cast(first.schema["_first"].dataType)).withColumn("_has", F.lit(0)))
+    spots = spots.withColumn("_other", F.last("_first", ignorenulls=True).over(beyond)).where("_has = 0").select(*run, "_b", "_s", "_other")
+    found = seen.join(spots, [*run, "_b", "_s"]).select(F.col("_at.id").alias("id"), F.coalesce("_next", "_other").getField("id").alias("to")).where("to IS NOT NULL")
+    longest = rows.groupBy(*run).agg((F.max("_b") - F.min("_b") + 1).alias("_k")).agg(F.max("_k")).first()[0] or 1
+    steps = [written(found)]
+    while 2 ** len(steps) < longest:
+        last = steps[-1]
+        steps.append(written(last.join(last.select(F.col("id").alias("to"), F.col("to").alias("on")), "to").select("id", F.col("on").alias("to"))))
+    on_chain = rows.groupBy(*run).agg(F.min("_at").alias("_at")).select(F.col("_at.id").alias("id"))
+    for step in reversed(steps):
+        on_chain = written(on_chain.unionByName(on_chain.join(step, "id").select(F.col("to").alias("id"))))
+    return on_chain.distinct().withColumnRenamed("id", row_id)
+
+
+def _fold(work: DataFrame, run: list[str], row_id: str, cap: int, width: int, kind: str) -> DataFrame:
+    work = work.select(F.xxhash64(*run).alias("_part"), F.to_json(F.struct(*run)).alias("_group"), "_us", row_id, "_seed")
 
     def fold(batches):
         group, recent = None, deque()
@@ -57,10 +105,7 @@ def rolling_cap(rows: DataFrame, keys: list[str], ts: str, row_id: str, cap: int
                     ok.append(take)
             yield pd.DataFrame({row_id: ids, "accepted": ok})
 
-    kind = rows.schema[row_id].dataType.simpleString()
-    folded = work.repartition("_part").sortWithinPartitions("_part", "_group", "_us", row_id).mapInPandas(fold, f"{row_id} {kind}, accepted boolean")
-    decided = marked.where("_full").join(folded, row_id)
-    return settled.withColumn("accepted", F.lit(True)).unionByName(decided).select(*rows.columns, "accepted")
+    return work.repartition("_part").sortWithinPartitions("_part", "_group", "_us", row_id).mapInPandas(fold, f"{row_id} {kind}, accepted boolean")
 
 
 def recent_counts(rows: DataFrame, key: str, ts: str, now: Column) -> DataFrame:
