@@ -14,7 +14,10 @@ from pyspark.sql import types as T
 
 from upland.functions.geo import (bearing_deg, bearing_diff, col, haversine_m, segment_distance, segment_param,
                                   signed_offset)
+from upland.operators import tracks
 from upland.operators.cells import nearest
+from upland.operators.tracks import running
+from upland.session import written
 
 STEP_BACK = 5  # vertices a local bearing looks ahead
 
@@ -41,7 +44,7 @@ def length_m(line) -> Column:
 
 def arc_m(line) -> Column:
     """Cumulative metres at each vertex, starting at 0."""
-    return F.aggregate(legs_m(line), F.array(F.lit(0.0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    return running(legs_m(line))
 
 
 def extent(line) -> Column:
@@ -128,17 +131,13 @@ def segments(df: DataFrame, line_id: str, line: str = "line") -> DataFrame:
     """One row per leg of an array<struct<x, y>>: seg, ax, ay, bx, by, len, start (arc at a). Other columns stay."""
     g = F.col(line)
     n = F.size(g)
-    pairs = F.zip_with(F.slice(g, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(g, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(
-        a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"),
-        F.hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("len")))
-    with_start = F.aggregate(
-        pairs, F.struct(F.lit(0.0).alias("upto"), F.array().cast("array<struct<ax:double,ay:double,bx:double,by:double,len:double,start:double>>").alias("out")),
-        lambda acc, s: F.struct((acc["upto"] + s["len"]).alias("upto"), F.concat(acc["out"], F.array(F.struct(
-            s["ax"].alias("ax"), s["ay"].alias("ay"), s["bx"].alias("bx"), s["by"].alias("by"), s["len"].alias("len"),
-            acc["upto"].alias("start")))).alias("out")),
-        lambda acc: acc["out"])
+    ends = lambda first: F.slice(g, F.lit(first), F.greatest(n - 1, F.lit(0)))
+    lens = F.zip_with(ends(1), ends(2), lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"]))
+    fields = F.arrays_zip(ends(1).alias("a"), ends(2).alias("b"), F.col("_lens").alias("len"), F.slice("_sums", F.lit(1), F.greatest(n - 1, F.lit(0))).alias("start"))
+    with_start = F.transform(fields, lambda s: F.struct(s["a"]["x"].alias("ax"), s["a"]["y"].alias("ay"), s["b"]["x"].alias("bx"), s["b"]["y"].alias("by"), s["len"].alias("len"), s["start"].alias("start")))
     rest = [c for c in df.columns if c != line]
-    return df.where(n >= 2).select(*rest, F.posexplode(with_start).alias("seg", "_s")).select(*rest, "seg", "_s.*")
+    summed = df.where(n >= 2).withColumn("_lens", lens).withColumn("_sums", running(F.col("_lens")))
+    return summed.select(*rest, F.posexplode(with_start).alias("seg", "_s")).select(*rest, "seg", "_s.*")
 
 
 def points_along(segs: DataFrame, every, offset: float = 0.0, steps: str | None = None) -> DataFrame:
@@ -214,13 +213,12 @@ def backtracks(routes: DataFrame, code: str = "code", line: str = "line", stop_i
     the other way, with no stop strictly between: one row per merged episode (code, i, j, path_gap_m)."""
     g = F.col(line)
     v = routes.select(code, F.col(stop_idx).alias("_stops"), arc_m(line).alias("_arc"), g.alias("_g"))
-    v = v.select(code, F.array_sort("_stops").alias("_stops"), F.element_at("_arc", -1).alias("_total"),
-                 F.array_max(F.transform("_g", lambda p: F.abs(p["lat"]))).alias("_top"),
-                 F.posexplode(F.zip_with("_g", "_arc", lambda p, a: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat"), a.alias("arc")))).alias("i", "_p"), "_g")
-    v = v.select(code, "i", "_p.*", "_total", "_top", bearing_at("_g", F.col("i")).alias("heading"),
-                 # stops at or before a vertex: two vertices hold no stop strictly between them when the counts agree
-                 F.size(F.filter("_stops", lambda s: s <= F.col("i"))).alias("upto"),
-                 F.size(F.filter("_stops", lambda s: s < F.col("i"))).alias("before"))
+    # what a vertex needs of its line is worked out in arrays before they are taken apart, so no row carries its line
+    each = F.transform("_g", lambda p, i: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat"), F.get("_arc", i).alias("arc"), bearing_at("_g", i).alias("heading"),
+                       # stops at or before a vertex: two vertices hold no stop strictly between them when the counts agree
+                       F.size(F.filter("_stops", lambda s: s <= i)).alias("upto"), F.size(F.filter("_stops", lambda s: s < i)).alias("before")))
+    v = v.select(code, F.element_at("_arc", -1).alias("_total"), F.array_max(F.transform("_g", lambda p: F.abs(p["lat"]))).alias("_top"), F.posexplode(each).alias("i", "_p"))
+    v = v.select(code, "i", "_p.*", "_total", "_top")
     # cells a little wider than close_m at the route's own highest latitude, so a pair is at most one cell apart
     side = close_m * 1.01 / 111_190.0
     v = v.withColumn("_cy", F.floor(F.col("lat") / side).cast("long")).withColumn(
@@ -240,24 +238,12 @@ def backtracks(routes: DataFrame, code: str = "code", line: str = "line", stop_i
     return runs.groupBy(code, "_run").agg(F.min("i").alias("i"), F.max("j").alias("j"), F.max("gap").alias("path_gap_m")).drop("_run")
 
 
-def stop_uturns(routes: DataFrame, *, near_m: float = 15.0, step_m: float = 3.0, least_m: float = 50.0) -> DataFrame:
-    """Stops (not the first or last) whose approach and departure run on top of each other for at least least_m: code,
-    stop, at (vertex), spur_m. Routes carry code, line, stop_idx. One row per stop and step, so a long line's steps spread
-    over tasks; the first parted step is a map-side minimum."""
-    r = routes.select("code", F.explode(F.array(F.struct(F.col("line").alias("g"), arc_m("line").alias("arc"), F.col("stop_idx").alias("idx")))).alias("m"))
-    s = r.select("code", "m.g", "m.arc", F.size("m.idx").alias("n"), F.posexplode("m.idx").alias("stop", "at")).where("stop >= 1 AND stop <= n - 2")
-    s = s.withColumn("centre", F.get("arc", F.col("at"))).withColumn("room", F.floor(F.least(F.col("centre"), F.element_at("arc", -1) - F.col("centre")) / step_m).cast("int"))
-    k = s.where("room >= 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("room"))))
-    for side, sign in (("b", -1), ("f", 1)):
-        t = F.col("centre") + sign * F.col("k") * F.lit(step_m)
-        # vertices short of the target: the arc rises, so their number is the first vertex at or past it
-        k = k.withColumn(f"_{side}", F.least(F.size(F.filter("arc", lambda v: v < t)), F.size("arc") - 1))
-        i, before = F.col(f"_{side}"), F.greatest(F.col(f"_{side}") - 1, F.lit(0))
-        k = k.withColumn(f"_{side}", F.when(t - F.get("arc", before) <= F.get("arc", i) - t, before).otherwise(i))
-    p, q = F.get("g", F.col("_b")), F.get("g", F.col("_f"))
-    parted = haversine_m(p["lng"], p["lat"], q["lng"], q["lat"]) > near_m
-    out = k.groupBy("code", "stop", "at", "room").agg(F.min(F.when(parted, F.col("k"))).alias("first"))
-    return out.select("code", "stop", "at", (F.coalesce(F.col("first") - 1, F.col("room")) * F.lit(step_m)).alias("spur_m")).where(F.col("spur_m") >= least_m)
+def stop_uturns(routes: DataFrame, **limits: float) -> DataFrame:
+    """Stops (not the first or last) whose approach and departure run on top of each other (`tracks.stop_uturns`): code,
+    stop, at (vertex), spur_m. Routes carry code, line, stop_idx."""
+    n = F.size("stop_idx")
+    stops = routes.select("code", n.alias("_n"), F.posexplode("stop_idx").alias("stop", "at")).where("stop >= 1 AND stop <= _n - 2").drop("_n")
+    return tracks.stop_uturns(written(tracks.arcs(tracks.of_lines(routes))), stops, **limits)
 
 
 def project_on_line(lng, lat, line) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from upland.functions.geo import col, segment_distance, signed_offset
 from upland.functions.ids import unit_hash
 from upland.operators import lines as L
+from upland.operators.tracks import running
 from upland.operators import rings as G
 from upland.operators.cells import box_join, nearest
 
@@ -140,9 +141,7 @@ def lane_marks(roads: DataFrame, joints: DataFrame) -> DataFrame:
     r = roads.where(F.col("marked") & (F.col("lane_count") >= 2))
     g = F.col("line")
     n = F.size(g)
-    sums = F.aggregate(
-        F.zip_with(F.slice(g, F.lit(1), n - 1), F.slice(g, F.lit(2), n - 1), lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"])),
-        F.array(F.lit(0.0)), lambda acc, d: F.concat(acc, F.array(F.element_at(acc, -1) + d)))
+    sums = running(F.zip_with(F.slice(g, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(g, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"])))
     r = r.where(n >= 2).withColumn("_arc", sums).withColumn("total", F.element_at("_arc", -1))
 
     one = L.points_along(L.segments(r.where("oneway").drop("_arc"), "code"), 8.0, 2.0).where(F.col("t") < F.col("total") - 3)

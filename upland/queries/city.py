@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from upland.functions import geo, ids
 from upland.operators import lines as L
+from upland.operators import tracks
 from upland.operators import rings as G
 from upland.plans import districts as DI
 from upland.plans import flora as FL
@@ -603,15 +604,40 @@ def routes(t, every=5):
     return t.lines.where(F.size("line") > 5).select("code", "line", stops.alias("stops"), F.lit(False).alias("is_loop"))
 
 
-@query("P14_stop_uturns")
+_ARC = f"""arc AS (SELECT code, i, lng, lat, coalesce(sum(m) OVER (PARTITION BY code ORDER BY i), 0) AS arc FROM (SELECT *, CASE WHEN i > 0 THEN {hav_km('plng', 'plat', 'lng', 'lat', 6371000.0)} END AS m FROM (SELECT *, lag(lng) OVER w AS plng, lag(lat) OVER w AS plat FROM path WINDOW w AS (PARTITION BY code ORDER BY i))))"""
+
+
+@query("P14_stop_uturns", with_(PATH, _ARC, """stops AS (SELECT code, i AS vx, i // 4 AS stop, arc AS centre, total, CAST(floor(least(arc, total - arc) / 3.0) AS INTEGER) AS room FROM arc JOIN (SELECT code, max(arc) AS total, max(i) AS last FROM arc GROUP BY code) USING (code) WHERE last >= 5 AND i % 4 = 0 AND i > 0 AND i // 4 <= last // 4 - 1),
+ steps AS (SELECT *, unnest(range(1, room + 1)) AS k FROM stops WHERE room >= 1),
+ back AS (SELECT code, vx, k, min({'d': abs(arc - (centre - 3.0 * k)), 'i': i, 'lng': lng, 'lat': lat}) AS p FROM steps JOIN arc USING (code) GROUP BY code, vx, k),
+ ahead AS (SELECT code, vx, k, min({'d': abs(arc - (centre + 3.0 * k)), 'i': i, 'lng': lng, 'lat': lat}) AS q FROM steps JOIN arc USING (code) GROUP BY code, vx, k)""") +
+       f"""SELECT code, CAST(stop AS INTEGER) AS stop, CAST(vx AS INTEGER) AS "at", spur_m FROM (SELECT code, stop, vx, coalesce(min(CASE WHEN {hav_km('p.lng', 'p.lat', 'q.lng', 'q.lat', 6371000.0)} > 15 THEN k END) - 1, room) * 3.0::DOUBLE AS spur_m FROM stops JOIN back USING (code, vx) JOIN ahead USING (code, vx, k) GROUP BY code, stop, vx, room) WHERE spur_m >= 50""")
 def _(t):
     return L.stop_uturns(Q.route_report(routes(t, 4)))
 
 
+# Three lines hold all orders: what their vertices need is summed along lines of any length.
+TRACK = f"""track AS (SELECT o_orderkey % 3 AS code, o_orderkey // 3 AS i, 120.55 + 0.05 * sin((o_orderkey // 3) / 211.0 + o_orderkey % 3) AS lng, 16.35 + 0.05 * cos((o_orderkey // 3) / 333.0) + ((o_orderkey * 7919) % 11) / 1000000.0 AS lat FROM orders)""".replace("120.55", "120.55::DOUBLE").replace("0.05 ", "0.05::DOUBLE ").replace("16.35", "16.35::DOUBLE").replace("211.0", "211.0::DOUBLE").replace("333.0", "333.0::DOUBLE").replace("1000000.0", "1000000.0::DOUBLE")
+
+
+def track(t):
+    return t._view(TRACK, orders=t.raw("orders"))
+
+
+@query("W1_track_arcs", with_(TRACK) + f"""SELECT code, i, {rnd('sum(m) OVER (PARTITION BY code ORDER BY i)', 2)} AS arc FROM (SELECT code, i, CASE WHEN plng IS NULL THEN 0 ELSE {hav_km('plng', 'plat', 'lng', 'lat', 6371000.0)} END AS m FROM (SELECT *, lag(lng) OVER w AS plng, lag(lat) OVER w AS plat FROM track WINDOW w AS (PARTITION BY code ORDER BY i)))""")
+def _(t):
+    return tracks.arcs(track(t)).select("code", "i", r("arc", 2).alias("arc"))
+
+
 _BR = "fmod(degrees(atan2(sin(radians(b.lng - a.lng)) * cos(radians(b.lat)), cos(radians(a.lat)) * sin(radians(b.lat)) - sin(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lng - a.lng)))) + 360, 360)"
 _TURN = "CASE WHEN fmod(abs(h1 - h2), 360) > 180 THEN 360 - fmod(abs(h1 - h2), 360) ELSE fmod(abs(h1 - h2), 360) END"
 
 
+@query("W3_track_headings", with_(TRACK) + f"""SELECT p.code, p.i, {rnd(_BR, 2)} AS heading FROM track p JOIN (SELECT code, max(i) AS m, min(i) AS l FROM track GROUP BY code) USING (code) JOIN track a ON a.code = p.code AND a.i = CASE WHEN p.i = m THEN greatest(l, m - 5) ELSE p.i END JOIN track b ON b.code = p.code AND b.i = least(m, p.i + 5) WHERE m > l""")
+def _(t):
+    return tracks.headings(track(t)).select("code", "i", r("heading", 2).alias("heading"))
+
+
 @query("W4_backtracks", with_(PATH, f"""arc AS (SELECT code, i, lng, lat, coalesce(sum(m) OVER (PARTITION BY code ORDER BY i), 0) AS arc FROM (SELECT *, CASE WHEN i > 0 THEN {hav_km('plng', 'plat', 'lng', 'lat', 6371000.0)} END AS m FROM (SELECT *, lag(lng) OVER w AS plng, lag(lat) OVER w AS plat FROM path WINDOW w AS (PARTITION BY code ORDER BY i))))""",
         f"""head AS (SELECT p.code, p.i, p.lng, p.lat, p.arc, m, total, {_BR} AS h FROM arc p JOIN (SELECT code, max(i) AS m, max(arc) AS total FROM arc GROUP BY code) USING (code) JOIN path a ON a.code = p.code AND a.i = CASE WHEN p.i = m THEN greatest(0, m - 5) ELSE p.i END JOIN path b ON b.code = p.code AND b.i = least(m, p.i + 5))""",
         f"""firsts AS (SELECT code, i, min(j) AS j, arg_min(gap, j) AS gap FROM (SELECT x.code, x.i, y.i AS j, y.arc - x.arc AS gap, x.h AS h1, y.h AS h2 FROM head x JOIN head y ON x.code = y.code AND y.i > x.i WHERE y.arc - x.arc > 150 AND y.arc - x.arc <= x.total * 0.9 AND {hav_km('x.lng', 'x.lat', 'y.lng', 'y.lat', 6371000.0)} <= 10) WHERE {_TURN} > 120 GROUP BY code, i)""",
