@@ -6,13 +6,13 @@ Gumbel maximum, which is drawn first; the path that attains it is then drawn pie
 falls into the sets of paths that leave it at some piece, each with a maximum truncated to what lies above. Popping the
 largest bound again gives the next path, so nothing beyond the k paths and their side branches is ever looked at.
 
-Pieces never cross a word (white space and what follows it), so lattices are made once for each different word of a
-block of texts, for all words together, and paths are drawn for all words of the block together.
+Pieces never cross a word (white space and what follows it; where the model has no piece for it, also a letter and the mark
+behind it), so lattices are made once for each different word of a block of texts, for all words together, and paths are
+drawn for all words of the block together.
 """
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from upland.llm.common import byte_view, mix, slices, text_of
+from upland.llm.words import JOINS, STOPS, different
 
 SPACE = "▁"
-WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 FILTER = 20
 BYTE_COST = 12.0             # -log probability of one byte of a character without a piece
@@ -45,6 +45,7 @@ class Vocabulary:
         special = np.array([sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in range(n)])
         byte = np.array([sp.is_byte(i) for i in range(n)])
         names = [sp.id_to_piece(i) for i in range(n)]
+        self.fine = not any(JOINS.search(s) for i, s in enumerate(names) if not (special[i] or byte[i]))
         scores = np.array([sp.get_score(i) for i in range(n)])
         usable = np.flatnonzero(~special & ~byte)
         ranked = bool(np.all(scores[usable] == np.round(scores[usable])))
@@ -206,14 +207,34 @@ def truncated(mass, top, e):
         return np.where(np.isfinite(mass), -np.logaddexp(-top, np.log(e) - mass), -np.inf)
 
 
+def words_of(texts: list[str], fine: bool) -> tuple[list[str], list[np.ndarray]]:
+    """The different words of texts, a word being spaces and what follows them, and each text's words by number. With `fine`
+    words also end before a mark after a letter and around line ends."""
+    raw = [(" " + t.replace(SPACE, " ")).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    ends = np.cumsum([0, *map(len, raw)])
+    space = data == 32
+    new = space.copy()
+    new[1:] &= ~space[:-1]
+    new[ends[:-1][np.diff(ends) > 0]] = True
+    if fine:
+        letter, line = ((data | 32) >= 97) & ((data | 32) <= 122), data == 10
+        new |= line
+        new[1:] |= line[:-1] | letter[:-1] & STOPS[data[1:]]
+    starts = np.flatnonzero(new)
+    first, which = different(data, starts)
+    stops = np.append(starts[1:], len(data))[first]
+    words = [data[a:b].tobytes().decode("utf-8", "surrogatepass").replace(" ", SPACE) for a, b in zip(starts[first].tolist(), stops.tolist())]
+    at = np.searchsorted(starts, ends)
+    return words, [which[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
 def sampled(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary) -> list[list[tuple]]:
     """Per text, up to k (piece ids, log probability, perturbed value, inclusion probability), largest value first."""
-    number: dict[str, int] = {}
-    spelled = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
-    rows = [np.array([number.setdefault(w, len(number)) for w in WORDS.findall(s)], np.int64) for s in spelled]
-    if not number:
+    words, rows = words_of(texts, v.fine)
+    if not words:
         return [[(np.zeros(0, np.int64), 0.0, 0.0, 1.0)] for _ in texts]
-    lat = Lattice(list(number), v)
+    lat = Lattice(words, v)
     gone = np.log(1e-13)
     live = [i for i, r in enumerate(rows) if len(r)]
     paths: list[list[Path]] = [[] for _ in texts]

@@ -22,6 +22,7 @@ from upland.llm.common import mix
 KEPT_WORDS = 500_000          # different words and
 KEPT_BYTES = 16 << 20          # bytes of them that a worker keeps; beyond that it starts anew
 MARK = "\u2581"               # stands for a space in pieces
+JOINS = re.compile(f"[^{MARK}]{MARK}|[A-Za-z][.,;:!?)]|\n")
 PART = 1 << 19                # words looked at together
 STOPS = np.isin(np.arange(256), np.frombuffer(b".,;:!?)", np.uint8))
 MASK = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
@@ -62,6 +63,36 @@ def word_starts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fine: bo
     return np.flatnonzero(cut)
 
 
+def different(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each different word first stands, which of them each word is), numbered as they first stand. Words of up to
+    16 bytes are told apart as two numbers and a length, longer ones by a dictionary."""
+    ends = np.append(starts[1:], len(data))
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))
+    low, high = eight[starts] & MASK[np.minimum(size, 8)], eight[np.minimum(starts + 8, len(data))] & MASK[np.clip(size - 8, 0, 8)]
+    short = np.flatnonzero(size <= 16)
+    key = mix(low[short] ^ mix(high[short] ^ (size[short].astype(np.uint64) << np.uint64(57))))
+    _, one, of = np.unique(key, return_index=True, return_inverse=True)
+    first, which = short[one], np.full(len(starts), -1, np.int64)
+    pick = first[of]
+    alike = (size[short] == size[pick]) & (low[short] == low[pick]) & (high[short] == high[pick])
+    which[short[alike]] = of[alike]
+    known: dict[bytes, int] = {}
+    more = []
+    for i in np.flatnonzero(which < 0).tolist():
+        word = padded[starts[i]:ends[i]].tobytes()
+        if word not in known:
+            known[word] = len(first) + len(more)
+            more.append(i)
+        which[i] = known[word]
+    first = np.concatenate([first, np.array(more, np.int64)])
+    order = np.argsort(first)
+    rank = np.empty(len(first), np.int64)
+    rank[order] = np.arange(len(first))
+    return first[order], rank[which]
+
+
 class WordTable:
     """Numbers for different words. `learn` is called with the words not met before, in the order of their numbers;
     `forget` when all are dropped to stay within the bounds."""
@@ -197,7 +228,7 @@ class Pieces:
         names = [m.id_to_piece(i) for i in range(n)]
         self.bytes = [bytes([int(s[3:5], 16)]) if m.is_byte(i) else s.replace(MARK, " ").encode() for i, s in enumerate(names)]
         plain = [s for i, s in enumerate(names) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))]
-        if any(re.search(f"[^{MARK}]{MARK}|[A-Za-z][.,;:!?)]|\n", s) for s in plain):
+        if any(JOINS.search(s) for s in plain):
             raise ValueError(f"{path} has pieces that join words, or letters and marks; texts cannot be cut for it")
         self.line = m.encode("\n")
 
