@@ -67,3 +67,50 @@ def test_full_refresh_twice(spark, tmp_path):
         counts = {r["table"]: r["rows"] for r in refresh.full_refresh(t, str(tmp_path / "c")).collect()}
         runs.append((counts, sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "c" / "events")).collect())))
     assert runs[0] == runs[1] and runs[0][0] == {"eras": 1, "events": 2}
+
+
+def test_index_search_reads_its_buckets(spark):
+    import random
+    from uuid import uuid4
+
+    from upland.operators import places as P
+    from upland.session import shared_folder
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choices(["market", "river", "stone", "lamp", "the", "walking", "walked"], k=r.randint(0, 6)))) for i in range(300)] + [(300, None), (301, "stone river stone river"), (301, "stone river")]
+    d = spark.createDataFrame(rows, "id int, body string")
+    path = f"{shared_folder(spark)}/index_tests/{uuid4().hex}"
+    P.write_index(d, "id", path, "body", buckets=16)
+    for q in ("river", "stone the river", "walking lamp", "market nowhere", "the", ""):
+        got = sorted(x["id"] for x in P.index_search(spark, path, "id", q, buckets=16).collect())
+        assert got == sorted({x["id"] for x in P.text_search(d, q, "body").collect()}), q
+    plan = P.index_search(spark, path, "id", "stone river", buckets=16)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(bucket") == 2 and "(bucket#" in plan
+
+
+def test_bilinear_by_blocks(spark, monkeypatch):
+    import math
+    import random
+
+    from upland.functions import geo
+    from upland.operators import raster as R
+    monkeypatch.setattr(R, "CROWD", 20)
+    r = random.Random(6)
+    z, n = 14, 2.0 ** 14 * 256
+    base = 64 * 54_000, 64 * 29_800
+    height = {(base[0] + i, base[1] + j): r.uniform(900, 1500) for i in range(-3, 130) for j in range(-3, 70) if r.random() > 0.01}
+    h = spark.createDataFrame([(z, x, y, v) for (x, y), v in height.items()] + [(13, base[0], base[1], 1.0), (z, base[0] + 500, base[1], None)], "z int, gx long, gy long, height double")
+    spots = [(r.uniform(-4, 131), r.uniform(-4, 71)) for _ in range(800)] + [(64.25, 10.5)] * 60 + [(63.5, 63.5), (64.0, 64.0), (127.999, 20.0)]
+    lnglat = lambda u, v: (u / n * 360 - 180, math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * v / n)))))
+    rows = [(i, f"k{i}", *lnglat(base[0] + a, base[1] + b)) for i, (a, b) in enumerate(spots)]
+    d = spark.createDataFrame(rows, "id int, name string, lng double, lat double")
+    px = {x["id"]: (x["u"], x["v"]) for x in d.select("id", *[c.alias(a) for c, a in zip(geo.pixel_xy("lng", "lat", z), "uv")]).collect()}
+    got = {(x["id"], x["name"]): x["ground"] for x in R.sample_bilinear(d, h, ["id", "name"]).collect()}
+    want = {}
+    for i, (u, v) in px.items():
+        a, b = math.floor(u), math.floor(v)
+        four = [height.get((a + p, b + q)) for p in (0, 1) for q in (0, 1)]
+        if None not in four:
+            fu, fv = u - a, v - b
+            want[(i, f"k{i}")] = (1 - fu) * ((1 - fv) * four[0] + fv * four[1]) + fu * ((1 - fv) * four[2] + fv * four[3])
+    assert got.keys() == want.keys() and len(want) > 700
+    assert all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want)

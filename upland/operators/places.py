@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from upland.functions import hours as H
@@ -108,16 +109,37 @@ def text_search(df: DataFrame, q: str, *texts: str) -> DataFrame:
         F.forall(F.array(*[F.lit(t) for t in terms]), lambda t: F.array_contains("_words", t))).drop("_words")
 
 
-def text_index(df: DataFrame, key: str, *texts: str) -> DataFrame:
-    """Inverted index: one row per distinct term of a row (term, key)."""
-    return df.select(F.explode(X.tokens(F.concat_ws(" ", *texts))).alias("term"), key)
+def write_index(df: DataFrame, key: str, path: str, *texts: str, buckets: int = 64) -> None:
+    """Inverted index of the texts: `postings` (bucket, term, key), a folder for each bucket of terms and sorted by term in
+    its files, and `terms` (bucket, term, n) with the number of keys that hold a term. A common term's postings are dealt
+    over several files by key."""
+    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int").alias("bucket")
+    rows = df.select(F.explode(X.tokens(F.concat_ws(" ", *texts))).alias("term"), key).select(bucket, "term", key).distinct()
+    rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(8))).repartition("bucket", "_part").drop("_part").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    made = df.sparkSession.read.parquet(f"{path}/postings")
+    made.groupBy("bucket", "term").agg(F.count("*").alias("n")).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
 
 
-def index_search(index: DataFrame, key: str, q: str) -> DataFrame:
-    """Keys holding every term, from the index: the term filter is pushed to the scan, counts combine map-side."""
+def index_search(spark: SparkSession, path: str, key: str, q: str, buckets: int = 64) -> DataFrame:
+    """Keys whose texts hold every term of q, from a written index: only the buckets of its terms are read, and the terms'
+    counts, one row each, say in which order postings meet, the rarest first. No terms left, or one that no text holds: no
+    rows."""
     terms = X.query_terms(q)
-    hit = index.where(F.col("term").isin(terms)) if terms else index.limit(0)
-    return hit.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") == len(terms)).select(key)
+    postings = spark.read.parquet(f"{path}/postings")
+    of = lambda t: (F.col("bucket") == zlib.crc32(t.encode()) % buckets) & (F.col("term") == t)
+    found = {}
+    if terms:
+        any_ = of(terms[0])
+        for t in terms[1:]:
+            any_ = any_ | of(t)
+        found = {r["term"]: r["n"] for r in spark.read.parquet(f"{path}/terms").where(any_).collect()}        # one row for each term asked
+    if not terms or len(found) < len(terms):
+        return postings.select(key).limit(0)
+    first, *rest = sorted(terms, key=lambda t: (found[t], t))
+    hits = postings.where(of(first)).select(key)
+    for t in rest:
+        hits = hits.join(postings.where(of(t)).select(key), key, "left_semi")
+    return hits
 
 
 def name_contains(df: DataFrame, name: str, column: str = "name", limit: int = 5) -> DataFrame:
