@@ -114,3 +114,38 @@ def test_bilinear_by_blocks(spark, monkeypatch):
             want[(i, f"k{i}")] = (1 - fu) * ((1 - fv) * four[0] + fv * four[1]) + fu * ((1 - fv) * four[2] + fv * four[3])
     assert got.keys() == want.keys() and len(want) > 700
     assert all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want)
+
+
+def test_publish_swaps_whole_and_keeps_what_is_alike(spark):
+    from uuid import uuid4
+
+    from upland.session import shared_folder
+    from upland.sources import publish as PB
+    root = f"{shared_folder(spark)}/publish_tests/{uuid4().hex}"
+    rows = [(x, i, 120.0 + x, 16.0, f"r{i}") for x in range(4) for i in range(5)]
+    table = lambda rows: spark.createDataFrame(rows, "x int, i int, lng double, lat double, name string")
+    put = lambda rows: {r["x"]: r["outcome"] for r in PB.publish_tiles(table(rows), root, ["x"], ["i", "name"]).collect()}
+    read = lambda: sorted(tuple(r) for r in PB.read_tiles(spark, root, ["x"], "i int, name string").select("x", "i", "name").collect())
+    assert set(put(rows).values()) == {"new"} and read() == sorted((r[0], r[1], r[4]) for r in rows)
+    assert set(put(rows[::-1]).values()) == {"kept"}
+    other = [r for r in rows if r[0] != 3] + [(2, 9, 122.0, 16.0, "more"), (7, 0, 127.0, 16.0, None)]
+    assert put(other) == {0: "kept", 1: "kept", 2: "changed", 7: "new"}
+    assert read() == sorted(((r[0], r[1], r[4]) for r in other), key=lambda r: (r[0], r[1]))
+    # a run that was lost before its manifest changes nothing
+    table(rows).write.parquet(f"{root}/runs/{uuid4().hex}")
+    spark.createDataFrame([(1,)], "x int").write.parquet(f"{root}/manifests/v=9")
+    spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jvm.java.net.URI(root), spark._jsc.hadoopConfiguration()).delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifests/v=9/_SUCCESS"), False)
+    assert PB.versions(spark, root) == [1, 2, 3] and len(read()) == len(other)
+
+
+def test_publish_tables_by_content(spark):
+    from uuid import uuid4
+
+    from upland.session import shared_folder
+    from upland.sources import publish as PB
+    root = f"{shared_folder(spark)}/publish_tests/{uuid4().hex}"
+    a = lambda v: spark.createDataFrame([(i, f"n{i}", v) for i in range(10)], "k int, name string, v int")
+    out = lambda **t: {r["name"]: (r["outcome"], r["rows"]) for r in PB.publish_tables({n: (d, ("name",)) for n, d in t.items()}, root).collect()}
+    assert out(p=a(1), c=a(2)) == {"p": ("new", 10), "c": ("new", 10)}
+    assert out(p=a(1).repartition(3), c=a(3)) == {"p": ("kept", 10), "c": ("changed", 10)}
+    assert out(p=a(1).limit(0), c=a(3), d=a(None)) == {"p": ("changed", 0), "c": ("kept", 10), "d": ("new", 10)}

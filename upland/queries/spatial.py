@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from uuid import uuid4
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from upland.operators import rings as G
 from upland.operators import tiles as T
 from upland.operators.cells import box_join, nearest, within_pairs
 from upland.queries import query
+from upland.session import shared_folder
 from upland.queries.tables import (BLD, DEST, GRID, K, PATH, PPATH, ROAD, SEG, STOP, VEN, bilinear_sql, hav_km, height_sql, lat, lng, pix_sql, px_sql, py_sql, r, rnd, with_)
 
 PVEN = VEN + f", pven AS (SELECT vid, {px_sql('vlng')} AS x, {py_sql('vlat')} AS y, vlng, vlat FROM ven)"
@@ -570,6 +572,38 @@ def _(t):
     return t.grid.select("row", "col", r(x, 6).alias("lng"), r(y, 6).alias("lat"))
 
 
+@query("S7_full_refresh", "SELECT name, rows, ids, 'kept' AS rerun, name = 'supplier' AS changed FROM (SELECT 'supplier' AS name, count(*) AS rows, count(*) AS ids FROM supplier UNION ALL SELECT 'customer', count(*), count(*) FROM customer UNION ALL SELECT 'orders', count(*), count(*) FROM orders)")
+def _(t):
+    """A refresh, the same again, and one with a changed parent table: what is read back from the second one's files, that
+    nothing was written again, and which tables the third one wrote."""
+    from upland.sources import publish as PB
+    root = f"{shared_folder(t.spark)}/refresh/{uuid4().hex}"
+    tables = {"supplier": (t.raw("supplier"), ("s_name",)), "customer": (t.raw("customer"), ("c_name",)), "orders": (t.raw("orders"), ("o_custkey", "o_orderkey"))}
+    PB.publish_tables(tables, root)
+    second = PB.publish_tables(tables, root)
+    third = PB.publish_tables({**tables, "supplier": (t.raw("supplier").withColumn("s_acctbal", F.col("s_acctbal") + 1), ("s_name",))}, root)
+    read = None
+    for m in second.select("name", "path", "outcome").collect():
+        one = t.spark.read.parquet(m["path"]).agg(F.lit(m["name"]).alias("name"), F.count("*").alias("rows"), F.countDistinct("id").alias("ids")).withColumn("rerun", F.lit(m["outcome"]))
+        read = one if read is None else read.union(one)
+    return read.join(third.select("name", (F.col("outcome") == "changed").alias("changed")), "name")
+
+
+@query("S10_publish_tiles", with_(STOP, f"tiled AS (SELECT *, {_tile(12, 'slng', 'slat')[0]} AS x, {_tile(12, 'slng', 'slat')[1]} AS y FROM stop)") + """SELECT x, y, count(*) AS rows, min(stop_id) AS least, max(sname) AS last, CASE WHEN count(*) FILTER (WHERE stop_id % 97 <> 5) = 0 THEN 'new' WHEN count(*) FILTER (WHERE stop_id % 97 = 5) > 0 THEN 'changed' ELSE 'kept' END AS outcome, 'kept' AS rerun FROM tiled GROUP BY x, y""")
+def _(t):
+    """Tiles of most stops, then of all, then the same again: rows as read back from the files the last manifest names, what
+    the second run did with each tile, and the third."""
+    from upland.sources import publish as PB
+    root = f"{shared_folder(t.spark)}/tiles/{uuid4().hex}"
+    d = t.stop.select("*", geo.tile_x("slng", F.lit(12)).alias("x"), geo.tile_y("slat", F.lit(12)).alias("y"))
+    write = lambda rows: PB.publish_tiles(rows, root, ["x", "y"], ["stop_id", "sname"], "slng", "slat")
+    write(d.where("stop_id % 97 <> 5"))
+    second, third = write(d), write(d)
+    rows = PB.read_tiles(t.spark, root, ["x", "y"], "stop_id long, sname string")
+    read = rows.groupBy("x", "y").agg(F.count("*").alias("rows"), F.min("stop_id").alias("least"), F.max("sname").alias("last"))
+    return read.join(second.select("x", "y", "outcome"), ["x", "y"]).join(third.select("x", "y", F.col("outcome").alias("rerun")), ["x", "y"])
+
+
 @query("S7_refresh_ids", "SELECT 'supplier' AS name, count(*) AS rows, count(*) AS ids FROM supplier UNION ALL SELECT 'orders', count(*), count(*) FROM orders")
 def _(t):
     """Rows and distinct deterministic ids per table of a refresh; parents come first."""
