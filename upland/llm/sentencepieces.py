@@ -86,10 +86,8 @@ def vocabulary(model: str) -> Vocabulary:
 class Lattice:
     """All pieces of many words: states are the characters of the words put end to end, edges are pieces."""
 
-    def __init__(self, words: list[str], v: Vocabulary):
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    def __init__(self, chars: np.ndarray, length: np.ndarray, v: Vocabulary):
         n = len(chars)
-        length = np.array([len(w) for w in words], np.int64)
         self.end = np.cumsum(length)
         self.start = self.end - length
         left = np.repeat(self.end, length) - np.arange(n)     # characters from here to the word's end
@@ -207,9 +205,10 @@ def truncated(mass, top, e):
         return np.where(np.isfinite(mass), -np.logaddexp(-top, np.log(e) - mass), -np.inf)
 
 
-def words_of(texts: list[str], fine: bool) -> tuple[list[str], list[np.ndarray]]:
-    """The different words of texts, a word being spaces and what follows them, and each text's words by number. With `fine`
-    words also end before a mark after a letter and around line ends."""
+def words_of(texts: list[str], fine: bool) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The characters of the different words of texts, word after word, how many each word has, and each text's words by
+    number. A word is spaces and what follows them; with `fine` words also end before a mark after a letter and around line
+    ends."""
     raw = [(" " + t.replace(SPACE, " ")).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
     ends = np.cumsum([0, *map(len, raw)])
@@ -223,18 +222,20 @@ def words_of(texts: list[str], fine: bool) -> tuple[list[str], list[np.ndarray]]
         new[1:] |= line[:-1] | letter[:-1] & STOPS[data[1:]]
     starts = np.flatnonzero(new)
     first, which = different(data, starts)
-    stops = np.append(starts[1:], len(data))[first]
-    words = [data[a:b].tobytes().decode("utf-8", "surrogatepass").replace(" ", SPACE) for a, b in zip(starts[first].tolist(), stops.tolist())]
+    size = np.append(starts[1:], len(data))[first] - starts[first]
+    own = data[np.repeat(starts[first] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    chars = np.frombuffer(own.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    length = np.add.reduceat((own & 0xC0) != 0x80, np.cumsum(size) - size, dtype=np.int64) if len(first) else size
     at = np.searchsorted(starts, ends)
-    return words, [which[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    return np.where(chars == 32, ord(SPACE), chars), length, [which[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 def sampled(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary) -> list[list[tuple]]:
     """Per text, up to k (piece ids, log probability, perturbed value, inclusion probability), largest value first."""
-    words, rows = words_of(texts, v.fine)
-    if not words:
+    chars, length, rows = words_of(texts, v.fine)
+    if not len(chars):
         return [[(np.zeros(0, np.int64), 0.0, 0.0, 1.0)] for _ in texts]
-    lat = Lattice(words, v)
+    lat = Lattice(chars, length, v)
     gone = np.log(1e-13)
     live = [i for i, r in enumerate(rows) if len(r)]
     paths: list[list[Path]] = [[] for _ in texts]
