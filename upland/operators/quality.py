@@ -56,6 +56,25 @@ def height_gate(samples: DataFrame, sampled: str, expected: str, tolerance: Colu
                        F.min(F.coalesce(F.abs(d) <= tolerance, F.lit(False))).alias("ok"))
 
 
+def uncovered(pixels: DataFrame, corners: DataFrame, side: int) -> DataFrame:
+    """Tiles (x, y) between the corners (a table of x, y) whose side * side pixels (x, y, px, py) are not all there, with how
+    many are. Only the tiles' counts meet, never the pixels."""
+    span = corners.agg(*[f(c).cast("long").alias(f"{n}{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))])
+    wanted = span.select(F.explode(F.sequence("lox", "hix")).alias("x"), "loy", "hiy").select("x", F.explode(F.sequence("loy", "hiy")).alias("y"))
+    have = pixels.select("x", "y", "px", "py").distinct().groupBy("x", "y").agg(F.count("*").alias("n"))
+    return wanted.join(have, ["x", "y"], "left").select("x", "y", F.coalesce("n", F.lit(0)).cast("long").alias("n")).where(F.col("n") < side * side)
+
+
+def broken_records(tiles: DataFrame, records: DataFrame, tile: list[str], record_bytes: int, kinds: int) -> DataFrame:
+    """Listed tiles (tile, bytes) whose bytes are not whole records, whose records (tile, kind) are not as many, or hold a kind
+    that is not known (0 to kinds - 1): the tile with what is wrong."""
+    n = records.groupBy(*tile).agg(F.count("*").alias("_n"), F.count_if(~F.coalesce(F.col("kind").between(0, kinds - 1), F.lit(False))).alias("_odd"))
+    j = tiles.join(n, tile, "left")
+    wrong = (F.when(F.col("bytes") % record_bytes != 0, "part of a record").when(F.col("bytes") != F.coalesce("_n", F.lit(0)) * record_bytes, "records missing or unlisted")
+             .when(F.col("_odd") > 0, "unknown kind"))
+    return j.withColumn("wrong", wrong).where("wrong IS NOT NULL").select(*tile, "wrong")
+
+
 def tile_budget(man: DataFrame, most_bytes: int) -> DataFrame:
     return man.where(F.col("bytes") > most_bytes)
 

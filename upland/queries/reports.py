@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from upland.functions import text
 from upland.queries import query
+from upland.session import shared_folder
 from upland.queries.places import _TEXT
 from upland.queries.tables import DEST, EV, VEN, rnd, with_
 from upland.streaming import audit as A
@@ -175,6 +178,32 @@ def _(t):
     return J.sweep(rep, rep.where("id % 7 = 0").select("id"), now(), check, lambda df: df.select("id", F.lit("sent").alias("outcome")))[1]
 
 
+# Two sweeps in a row, the second over what the first left: the rows each step changes.
+_SWEEPS = """c1 AS (SELECT id, attempts, CASE WHEN id % 2 = 0 THEN 'applied' ELSE 'held' END AS outcome FROM fz WHERE status = 'received' ORDER BY created_at, id LIMIT 3),
+ p1 AS (SELECT id, status, attempts FROM fz WHERE status IN ('applied', 'held') AND replied_at IS NULL AND reply_email IS NOT NULL ORDER BY created_at, id LIMIT 9),
+ s2 AS (SELECT fz.* REPLACE (coalesce(c1.outcome, fz.status) AS status), p1.id IS NOT NULL AS answered FROM fz LEFT JOIN c1 USING (id) LEFT JOIN p1 ON p1.id = fz.id),
+ c2 AS (SELECT id, attempts, CASE WHEN id % 2 = 0 THEN 'applied' ELSE 'held' END AS outcome FROM s2 WHERE status = 'received' ORDER BY created_at, id LIMIT 3),
+ p2 AS (SELECT id, status, attempts FROM s2 WHERE status IN ('applied', 'held') AND replied_at IS NULL AND NOT answered AND reply_email IS NOT NULL ORDER BY created_at, id LIMIT 9)"""
+_FREED = _STUCK.replace("ELSE status END AS status)", "ELSE status END AS status, CAST(CASE WHEN stuck THEN attempts + 1 ELSE attempts END AS INTEGER) AS attempts)").replace("fs AS", "fz AS")
+
+
+@query("T6_kept_sweep", with_(REP, _FREED, _SWEEPS) + """SELECT 1 AS batch, 'released' AS step, id, status, attempts FROM fz WHERE stuck AND id NOT IN (SELECT id FROM c1) UNION ALL SELECT 1, 'checked', id, outcome, attempts FROM c1 UNION ALL SELECT 1, 'replied', id, status, attempts FROM p1
+ UNION ALL SELECT 2, 'checked', id, outcome, attempts FROM c2 UNION ALL SELECT 2, 'replied', id, status, attempts FROM p2""")
+def _(t):
+    """Kept sweeps: each step written before the next acts on it; the first one is run twice, as after a lost driver, and
+    changes nothing more."""
+    root = f"{shared_folder(t.spark)}/sweeps/{uuid4().hex}"
+    check = lambda df: df.select("id", F.when(F.col("id") % 2 == 0, "applied").otherwise("held").alias("outcome"))
+    send = lambda df: df.select("id", F.lit("sent").alias("outcome"))
+    step = F.when(F.col("checked_at").isNotNull(), "checked").when(F.col("replied_at").isNotNull(), "replied").otherwise("released")
+    of = lambda changes, batch: changes.select(F.lit(batch).alias("batch"), step.alias("step"), "id", "status", "attempts")
+    rep = reports(t)
+    J.kept_sweep(rep, root, 1, now(), check, send)
+    first = J.kept_sweep(rep, root, 1, now(), check, send)[0]
+    second = J.kept_sweep(J.apply_sweeps(rep, root), root, 2, now(), check, send)[0]
+    return of(first, 1).union(of(second, 2))
+
+
 @query("A19_sweep_summary", with_(REP, _STUCK) + "SELECT status AS outcome, count(*) AS n FROM fs WHERE stuck GROUP BY 1")
 def _(t):
     return Q.release_stuck(reports(t), now()).where("released").groupBy(F.col("status").alias("outcome")).agg(F.count("*").alias("n"))

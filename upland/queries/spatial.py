@@ -457,6 +457,11 @@ def _(t):
             .union(n(D.outside_list(o, "o_orderstatus", ["O", "F"]), "value")).union(n(D.too_long(t.raw("part"), "p_name", 11), "length")))
 
 
+@query("D2_not_null", with_(DEST) + "SELECT count(*) FILTER (WHERE slug IS NULL) AS slug, count(*) FILTER (WHERE era IS NULL) AS era, count(*) FILTER (WHERE elevation IS NULL) AS elevation, count(*) FILTER (WHERE open IS NULL) AS open FROM dest")
+def _(t):
+    return D.nulls(t.dest, ["slug", "era", "elevation", "open"])
+
+
 @query("D3_update_counts", "SELECT count(*) FILTER (WHERE o_orderstatus = 'P') AS changed, count(*) AS rows FROM orders")
 def _(t):
     from upland.operators.places import keyed_update
@@ -477,6 +482,26 @@ def _(t):
     return d.agg(F.count_if(~F.coalesce(gap <= F.when(F.col("id") % 5 == 0, 25).otherwise(35), F.lit(False))).alias("bad"))
 
 
+@query("D5_uncovered", """WITH px AS (SELECT DISTINCT o_orderkey // 64 % 20 AS x, o_orderkey // 1280 AS y, o_orderkey % 8 AS px, o_orderkey // 8 % 8 AS py FROM orders WHERE o_orderkey % 131 <> 7 AND o_orderkey // 64 % 9 <> 4)
+SELECT x, y, count(px) AS n FROM (SELECT x, y FROM (SELECT unnest(range(0, 20)) AS x), (SELECT unnest(range(0, (SELECT max(o_orderkey) FROM orders) // 1280 + 1)) AS y)) LEFT JOIN px USING (x, y) GROUP BY x, y HAVING count(px) < 64""")
+def _(t):
+    """Tiles of 8 by 8 pixels with holes, and tiles that are not there, between the corners of the orders' own span."""
+    o = t.raw("orders").selectExpr("o_orderkey AS k", "o_orderkey div 64 % 20 AS x", "o_orderkey div 1280 AS y", "o_orderkey % 8 AS px", "o_orderkey div 8 % 8 AS py")
+    corners = o.agg(F.max("y").alias("y")).select(F.lit(19).alias("x"), "y").union(t.spark.sql("SELECT 0, 0"))
+    return D.uncovered(o.where("k % 131 <> 7 AND k div 64 % 9 <> 4"), corners, 8)
+
+
+@query("D6_whole_records", """SELECT x, CASE WHEN bytes % 8 <> 0 THEN 'part of a record' WHEN bytes <> n * 8 THEN 'records missing or unlisted' ELSE 'unknown kind' END AS wrong FROM
+(SELECT l_partkey % 500 AS x, count(*) AS n, max(l_linenumber) AS top, CAST(count(*) * 8 + CASE WHEN l_partkey % 500 % 11 = 3 THEN 5 WHEN l_partkey % 500 % 13 = 4 THEN 8 ELSE 0 END AS BIGINT) AS bytes FROM lineitem GROUP BY 1) WHERE bytes % 8 <> 0 OR bytes <> n * 8 OR top > 6""")
+def _(t):
+    """Tiles of eight-byte records: every eleventh ends inside a record, every thirteenth lists one too many, and kinds over
+    six are not known."""
+    records = t.raw("lineitem").select((F.col("l_partkey") % 500).alias("x"), (F.col("l_linenumber") - 1).alias("kind"))
+    extra = F.when(F.col("x") % 11 == 3, 5).when(F.col("x") % 13 == 4, 8).otherwise(0)
+    tiles = records.groupBy("x").agg(F.count("*").alias("n")).select("x", (F.col("n") * 8 + extra).alias("bytes"))
+    return D.broken_records(tiles, records, ["x"], 8, 6)
+
+
 @query("D6_tile_budget", with_(STOP) + f"SELECT x, y, bytes FROM (SELECT x, y, CAST(sum(strlen(stop_id || '|' || sname)) AS BIGINT) AS bytes FROM (SELECT *, {_tile(12, 'slng', 'slat')[0]} AS x, {_tile(12, 'slng', 'slat')[1]} AS y FROM stop) GROUP BY x, y) WHERE bytes > 5000")
 def _(t):
     d = t.stop.select("*", geo.tile_x("slng", F.lit(12)).alias("x"), geo.tile_y("slat", F.lit(12)).alias("y"))
@@ -503,6 +528,18 @@ def _(t):
     return a.union(D.bad_elevations(t.dest.withColumn("elevation", F.col("elevation") + 20)).select(F.lit("place").alias("kind"), "id"))
 
 
+@query("D9_element_gaps", "SELECT p_partkey AS id FROM part WHERE p_partkey % 6 IN (1, 3, 5) OR p_partkey % 12 = 4")
+def _(t):
+    """Elements of each kind with and without geometry: nodes by place, ways by vertices, relations by their members."""
+    k, no = F.col("p_partkey") % 6, F.lit(None)
+    place = "struct<lat:double,lon:double>"
+    at = F.struct(F.lit(16.4).alias("lat"), F.lit(120.6).alias("lon"))
+    member = lambda some: F.array(F.struct(F.lit("way").alias("type"), some.alias("geometry")))
+    e = t.raw("part").select(F.col("p_partkey").alias("id"), F.when(k == 0, 16.4).alias("lat"), F.when(k == 2, F.array(at)).when(k == 3, F.array().cast(f"array<{place}>")).alias("geometry"),
+                             F.when((k == 4) & (F.col("p_partkey") % 12 == 10), member(F.array(at))).when((k == 4) | (k == 5), member(F.array().cast(f"array<{place}>"))).alias("members"))
+    return D.element_gaps(e).select("id")
+
+
 # ------------------------------------------------------------ element sources
 
 
@@ -531,6 +568,24 @@ def _(t):
 _CLS = ("crossing", "street_lamp", "traffic_signals", "stop", "residential", "primary_link", "steps", "footway")
 
 
+_EVERY = """SELECT p_partkey AS id, unnest(CASE p_partkey % 14 WHEN 0 THEN ['tree'] WHEN 1 THEN ['tree_row'] WHEN 2 THEN ['wall'] WHEN 3 THEN CASE WHEN p_size % 3 <> 0 THEN ['hotel', 'poi'] END WHEN 4 THEN ['hotel'] WHEN 5 THEN CASE WHEN p_size % 4 <> 0 THEN ['poi'] END WHEN 6 THEN ['poi', 'building']
+ WHEN 7 THEN CASE WHEN p_size % 2 = 0 THEN ['crossing'] END WHEN 8 THEN ['lamp'] WHEN 9 THEN ['signal'] WHEN 10 THEN ['sign'] WHEN 11 THEN CASE WHEN p_size % 5 <> 0 THEN ['drivable'] END WHEN 12 THEN CASE WHEN p_size % 5 <> 0 THEN ['walkway'] END ELSE ['building'] END) AS cls FROM part"""
+
+
+@query("F21_every_class", _EVERY)
+def _(t):
+    from upland.sources.osm import element_classes
+    k, size, lit = F.col("p_partkey") % 14, F.col("p_size"), F.lit
+    tags = {"natural": F.when(k == 0, "tree").when(k == 1, "tree_row"), "barrier": F.when(k == 2, F.when(size % 2 == 0, "wall").otherwise("retaining_wall")),
+            "tourism": F.when(k == 3, "hotel").when(k == 4, "resort"), "amenity": F.when(k == 5, "cafe"), "shop": F.when(k == 6, "bakery"), "building": F.when((k == 6) | (k == 13), "yes"),
+            "name": F.when((k == 4) | (k == 6) | ((k == 3) & (size % 3 != 0)) | ((k == 5) & (size % 4 != 0)), F.col("p_name")),
+            "highway": F.when(k == 7, "crossing").when(k == 8, "street_lamp").when(k == 9, "traffic_signals").when(k == 11, "residential").when(k == 12, "footway"),
+            "crossing": F.when((k == 7) & (size % 2 == 1), "unmarked"), "traffic_sign": F.when(k == 10, "PH:R1-1"), "tunnel": F.when((k == 11) & (size % 5 == 0), "yes"), "footway": F.when((k == 12) & (size % 5 == 0), "crossing")}
+    held = F.map_filter(F.create_map(*[x for name, value in tags.items() for x in (lit(name), value)]), lambda a, b: b.isNotNull())
+    kind = F.when(k.isin(1, 2, 4, 6, 11, 12), "way").when(k == 13, "relation").otherwise("node")
+    return t.raw("part").select(F.col("p_partkey").alias("id"), kind.alias("type"), held.alias("tags")).select("id", F.explode(element_classes()).alias("cls"))
+
+
 @query("F21_element_classes", "SELECT cls, count(*) AS n FROM (SELECT unnest([CASE k WHEN 0 THEN CASE WHEN p_size % 2 = 0 THEN 'crossing' END WHEN 1 THEN 'lamp' WHEN 2 THEN 'signal' WHEN 3 THEN 'sign' WHEN 4 THEN CASE WHEN p_size % 5 <> 0 THEN 'drivable' END WHEN 5 THEN CASE WHEN p_size % 5 <> 0 THEN 'drivable' END WHEN 6 THEN CASE WHEN p_size % 5 <> 0 THEN 'walkway' END WHEN 7 THEN CASE WHEN p_size % 5 <> 0 THEN 'walkway' END END, CASE WHEN p_size % 3 = 0 THEN 'building' END]) AS cls FROM (SELECT p_partkey % 8 AS k, p_size FROM part)) WHERE cls IS NOT NULL GROUP BY cls")
 def _(t):
     from upland.sources.osm import element_classes
