@@ -317,12 +317,12 @@ def band_cells(pieces: DataFrame, inner: Column, outer: Column, side: bool = Tru
     return c.where((off >= inner) & (off < outer) & (along >= 0) & (along <= F.col("len")))
 
 
-def carriageway_cells(roads: DataFrame) -> DataFrame:
-    """Cells whose centre is on a carriageway (gx, gy)."""
-    segs = L.segments(roads.select("code", "half", "line"), "code").where("len > 0")
+def carriageway_cells(roads: DataFrame, *keep: str) -> DataFrame:
+    """Cells whose centre is on a carriageway (gx, gy), with the given columns of the roads."""
+    segs = L.segments(roads.select("code", "half", "line", *keep), "code").where("len > 0")
     c = _strip(segs, F.ceil(F.col("half")), -F.col("half"), F.col("half"), F.col("half"))
     d = segment_distance(F.col("gx") + 0.5, F.col("gy") + 0.5, "ax", "ay", "bx", "by")
-    return c.where(d <= F.col("half")).select("gx", "gy").distinct()
+    return c.where(d <= F.col("half")).select("gx", "gy", *keep).distinct()
 
 
 def ring_cells(shapes: DataFrame, key: str | None = None) -> DataFrame:
@@ -355,8 +355,9 @@ def people_sites(cells: DataFrame) -> DataFrame:
 # --------------------------------------------------------------- centre islands
 
 
-def island_cells(roads: DataFrame) -> DataFrame:
-    """Cells off every carriageway with a one-way carriageway's edge within 8 m on two facing sides."""
+def island_cells(roads: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """Cells off every carriageway (`taken`, where it is at hand) with a one-way carriageway's edge within 8 m on two facing
+    sides."""
     one = L.segments(roads.where("oneway").select("code", "half", "line"), "code").where("len > 0")
     one = one.withColumn("ux", (F.col("bx") - F.col("ax")) / F.col("len")).withColumn("uy", (F.col("by") - F.col("ay")) / F.col("len"))
     both = one.withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
@@ -366,7 +367,7 @@ def island_cells(roads: DataFrame) -> DataFrame:
     octant = F.floor(F.pmod(F.degrees(heading), F.lit(360.0)) / 45).cast("int")
     seen = c.groupBy("gx", "gy").agg(F.bit_or(F.element_at(F.array(*[F.lit(1 << k) for k in range(9)]), octant + 1)).alias("seen"))
     facing = sum((F.col("seen").bitwiseAND(F.shiftleft("seen", k)) > 0).cast("int") for k in (3, 4, 5)) > 0
-    return seen.where(facing).select("gx", "gy").join(carriageway_cells(roads), ["gx", "gy"], "left_anti")
+    return seen.where(facing).select("gx", "gy").join(carriageway_cells(roads) if taken is None else taken, ["gx", "gy"], "left_anti")
 
 
 def islands(labelled: DataFrame) -> DataFrame:

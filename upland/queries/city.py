@@ -21,6 +21,7 @@ from upland.queries import query
 from upland.queries.spatial import DIST, PVEN, RING, _H, _P15, points, pven, rings
 from upland.queries.tables import (BLD, DEST, GRID, GRID_D, GRID_N, GRID_W, K, PATH, PPATH, ROAD, SEG, bilinear_sql, hav_km, height_sql, lat, lng, px_sql, py_sql, r, rnd, with_)
 from upland.operators.cellgroups import connected_cells
+from upland.operators.cover import layered
 from upland.session import written
 
 # ------------------------------------------------------------ buildings
@@ -441,6 +442,43 @@ def _(t):
     return RD.island_sites(cells, RD.islands(cells))
 
 
+_COVER = """useg AS (SELECT code, ax, ay, bx, by, kind, coalesce(surface = 'concrete', FALSE) AS concrete, 0 AS walk FROM seg JOIN rt USING (code) UNION ALL SELECT code, ax + 12, ay + 12, bx + 12, by + 12, kind, coalesce(surface = 'concrete', FALSE), 0 FROM seg JOIN rt USING (code)
+  UNION ALL SELECT code, ax + 25, ay - 9, bx + 25, by - 9, kind, FALSE, 1 FROM seg JOIN rt USING (code) WHERE code % 7 = 3),
+ uspot AS (SELECT *, gx + 0.5::DOUBLE AS x, gy + 0.5::DOUBLE AS y, sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay)) AS ulen FROM (SELECT *, unnest(range(CAST(floor(least(ay, by) - 9) AS BIGINT), CAST(floor(greatest(ay, by) + 9) AS BIGINT) + 1)) AS gy FROM (SELECT *, unnest(range(CAST(floor(least(ax, bx) - 9) AS BIGINT), CAST(floor(greatest(ax, bx) + 9) AS BIGINT) + 1)) AS gx FROM useg WHERE ax <> bx OR ay <> by))),
+ umeet AS (SELECT gx, gy, code, kind, concrete, walk, ulen, abs((bx - ax) * (y - ay) - (by - ay) * (x - ax)) / ulen AS off, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ulen AS along, sqrt(pow(x - (ax + t * (bx - ax)), 2) + pow(y - (ay + t * (by - ay)), 2)) AS far FROM (SELECT *, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / (ulen * ulen))) AS t FROM uspot)),
+ ulayer AS (SELECT gx, gy, CASE WHEN concrete THEN 1 ELSE 0 END AS rank FROM umeet WHERE walk = 0 AND far <= 3.1 UNION ALL SELECT gx, gy, 2 FROM cel JOIN island USING (label)
+  UNION ALL SELECT gx, gy, CASE WHEN kind IN ('trunk', 'primary') THEN 3 WHEN kind IN ('secondary', 'tertiary') THEN 4 ELSE 5 END FROM umeet WHERE walk = 0 AND kind IN ('trunk', 'primary', 'secondary', 'tertiary', 'unclassified', 'residential', 'living_street') AND off >= 3.1 AND off < 3.1::DOUBLE + 5.57::DOUBLE AND along >= 0 AND along <= ulen
+  UNION ALL SELECT gx, gy, CASE WHEN code % 2 = 0 THEN 6 ELSE 7 END FROM umeet WHERE walk = 1 AND far <= 1.2),
+ ubest AS MATERIALIZED (SELECT gx, gy, min(rank) AS rank FROM ulayer WHERE rank < 3 OR NOT EXISTS (SELECT 1 FROM on_ WHERE on_.gx = ulayer.gx AND on_.gy = ulayer.gy) GROUP BY gx, gy),
+ unear AS (SELECT c.gx, c.gy, c.rank, count(n.rank) FILTER (WHERE n.rank = 2) AS own, count(n.rank) FILTER (WHERE n.rank < 2) AS road FROM ubest c, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) v(dx, dy) LEFT JOIN ubest n ON n.gx = c.gx + dx AND n.gy = c.gy + dy GROUP BY c.gx, c.gy, c.rank)"""
+_LAYERS = ("asphalt", "concrete", "median", "hex", "brick", "paving", "walk", "trail")
+
+
+@query("U6_layered_cover", with_(SEG, BLD, ROAD, RT, _TWIN, _COVER).replace("WITH ", "WITH RECURSIVE ", 1) + f"""SELECT gx // 64 - CASE WHEN gx < 0 AND gx % 64 <> 0 THEN 1 ELSE 0 END AS tx, gy // 64 - CASE WHEN gy < 0 AND gy % 64 <> 0 THEN 1 ELSE 0 END AS ty, CASE WHEN rank = 2 AND own < 4 THEN 'median kerb' WHEN rank IN (3, 4, 5) AND road > 0 THEN 'kerb' ELSE [{', '.join(f"'{n}'" for n in _LAYERS)}][CAST(rank + 1 AS INTEGER)] END AS layer, count(*) AS cells FROM unear GROUP BY 1, 2, 3""")
+def _(t):
+    """Carriageways with their twins, centre islands, sidewalks by paving and walks, each where earlier ones left room, with
+    kerbs around islands and along roads; out of buildings but for roads and islands."""
+    roads, shapes = twin_roads(t), built_cells(t)
+    lanes = written(RD.carriageway_cells(roads, "concrete"))
+    isles = written(connected_cells(RD.island_cells(roads, lanes.select("gx", "gy")), shapes))
+    medians = isles.join(RD.islands(isles).select("label"), "label", "left_semi")
+    sides = L.segments(roads.where(F.col("kind").isin(*RD.SIDE_KINDS)), "code").where("len > 0").withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
+    sides = sides.withColumn("ux", (F.col("bx") - F.col("ax")) / F.col("len")).withColumn("uy", (F.col("by") - F.col("ay")) / F.col("len"))
+    bands = written(RD.band_cells(sides, F.col("half"), F.col("half") + RD.SIDEWALK_M).groupBy("gx", "gy", "paving").agg(F.lit(1).alias("_1")))
+    walks = road_table(t).where("code % 7 = 3").withColumn("even", F.col("code") % 2 == 0).withColumn("half", F.lit(1.2)).withColumn("line", F.transform("line", lambda p: F.struct((p["x"] + 25).alias("x"), (p["y"] - 9).alias("y"))))
+    paths = written(RD.carriageway_cells(walks, "even"))
+    layers = [("asphalt", lanes.where("NOT concrete")), ("concrete", lanes.where("concrete")), ("median", medians),
+              *[(name, bands.where(F.col("paving") == p)) for name, p in (("hex", "hex"), ("brick", "brick"), ("paving", "concrete"))],
+              ("walk", paths.where("even")), ("trail", paths.where("NOT even"))]
+    d = layered(layers, shapes, ("hex", "brick", "paving", "walk", "trail"), (("median kerb", ("median",), None), ("kerb", ("hex", "brick", "paving"), ("asphalt", "concrete"))))
+    tile = lambda c: F.floor(F.col(c) / 64).cast("long")
+    return d.groupBy(tile("gx").alias("tx"), tile("gy").alias("ty"), "layer").agg(F.count("*").alias("cells"))
+
+
+def built_cells(t):
+    return RD.ring_cells(t.bld)
+
+
 # ---------------------------------------------- districts
 
 _NAMES = ("jollibee session", "McDonald''s Plaza", "Cafe Luz", "BDO Main", "Night Market")
