@@ -533,7 +533,18 @@ def _(t):
 _SSEG = "sqrt(pow(greatest(abs({x} - cx) - side / 2, 0), 2) + pow(greatest(abs({y} - cy) - side / 2, 0), 2))"
 
 
-@query("J27_adjacent_road")
+def _sd(p, a, b):
+    """SQL distance of place p from the segment a to b, each given by its column prefix."""
+    t = f"greatest(0, least(1, coalesce((({p}x - {a}x) * ({b}x - {a}x) + ({p}y - {a}y) * ({b}y - {a}y)) / nullif(pow({b}x - {a}x, 2) + pow({b}y - {a}y, 2), 0), 0)))"
+    return f"sqrt(pow({p}x - ({a}x + {t} * ({b}x - {a}x)), 2) + pow({p}y - ({a}y + {t} * ({b}y - {a}y)), 2))"
+
+
+_TURN_OF = lambda p, a, b: f"sign(({b}x - {a}x) * ({p}y - {a}y) - ({b}y - {a}y) * ({p}x - {a}x))"
+_SIDES = """side4 AS (SELECT bid, cx - side / 2 AS w, cx + side / 2 AS e, cy - side / 2 AS s, cy + side / 2 AS n, cx + c.ax * side / 2 AS cx, cy + c.ay * side / 2 AS cy, cx + c.bx * side / 2 AS dx, cy + c.by * side / 2 AS dy FROM (SELECT *, unnest([{'ax': -1, 'ay': -1, 'bx': 1, 'by': -1}, {'ax': 1, 'ay': -1, 'bx': 1, 'by': 1}, {'ax': 1, 'ay': 1, 'bx': -1, 'by': 1}, {'ax': -1, 'ay': 1, 'bx': -1, 'by': -1}]) AS c FROM bld))"""
+
+
+@query("J27_adjacent_road", with_(BLD, SEG, _SIDES) + f"""SELECT bid, code AS road, {rnd('gap', 3)} AS road_m FROM (SELECT *, row_number() OVER (PARTITION BY bid ORDER BY floor(gap * 1000 + 0.5), code, seg) AS rn FROM (SELECT bid, code, seg, min(CASE WHEN {_TURN_OF('c', 'a', 'b')} * {_TURN_OF('d', 'a', 'b')} < 0 AND {_TURN_OF('a', 'c', 'd')} * {_TURN_OF('b', 'c', 'd')} < 0 THEN 0.0::DOUBLE ELSE least({_sd('c', 'a', 'b')}, {_sd('d', 'a', 'b')}, {_sd('a', 'c', 'd')}, {_sd('b', 'c', 'd')}) END) AS gap
+ FROM side4 JOIN seg ON least(ax, bx) <= e + 40 AND greatest(ax, bx) >= w - 40 AND least(ay, by) <= n + 40 AND greatest(ay, by) >= s - 40 GROUP BY bid, code, seg) WHERE gap <= 40) WHERE rn = 1""")
 def _(t):
     return DI.adjacent_road(t.bld, t.segs).select("bid", "road", r("road_m", 3).alias("road_m"))
 

@@ -220,7 +220,8 @@ def _(t):
     return d.select("code", L.strictly_rising(F.transform("s", lambda x: x["w"])).alias("rising"))
 
 
-@query("W10_forward_indices")
+@query("W10_forward_indices", with_(PATH, "st AS (SELECT code, i // 5 AS s, lng, lat FROM path WHERE i % 5 = 0)").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""", walk AS (SELECT DISTINCT code, -1 AS s, 0 AS pos FROM path UNION ALL SELECT w.code, w.s + 1, min({{'d': {hav_km('p.lng', 'p.lat', 'st.lng', 'st.lat', 6371000.0)}, 'i': p.i}}).i FROM walk w JOIN st ON st.code = w.code AND st.s = w.s + 1 JOIN path p ON p.code = w.code AND p.i >= w.pos GROUP BY w.code, w.s)
+SELECT code, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY s) AS indices FROM walk WHERE s >= 0 GROUP BY code""")
 def _(t):
     d = t.lines.withColumn("stops", F.filter("line", lambda p, i: i % 5 == 0))
     return d.select("code", F.array_join(F.transform(L.forward_indices("line", "stops"), lambda i: i.cast("string")), ",").alias("indices"))
