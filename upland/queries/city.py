@@ -346,7 +346,9 @@ def _(t):
     return d.groupBy("code", "style").agg(F.count("*").alias("n"))
 
 
-@query("E37_stop_bars")
+@query("E37_stop_bars", with_(SEG, ROAD, RT, _ENDS, _TOTAL, "tip AS (SELECT code, 'start' AS a, x AS tx, y AS ty FROM ppath WHERE i = 0 UNION ALL SELECT code, 'end', x, y FROM ppath JOIN (SELECT code, max(i) AS i FROM ppath GROUP BY code) USING (code, i))") + f"""SELECT code, a AS "at", {rnd('ax + sh * (bx - ax) - (by - ay) / len * mid', 2)} AS x, {rnd('ay + sh * (by - ay) + (bx - ax) / len * mid', 2)} AS y FROM
+ (SELECT *, (tpos - start) / len AS sh, CASE WHEN oneway THEN 0.0::DOUBLE WHEN a = 'end' THEN (-half + 0.3::DOUBLE) / 2 ELSE (half - 0.3::DOUBLE) / 2 END AS mid FROM (SELECT s.*, a, half, oneway, CASE WHEN a = 'end' THEN total - 7 ELSE 7.0::DOUBLE END AS tpos FROM aseg s JOIN tot USING (code) JOIN rt USING (code), (VALUES ('end'), ('start')) v(a) WHERE marked AND total >= 20 AND (a = 'end' OR NOT oneway)) WHERE tpos >= start AND tpos < start + len)
+ JOIN tip USING (code, a) WHERE EXISTS (SELECT 1 FROM jt WHERE pow(tx - jx, 2) + pow(ty - jy, 2) <= 144)""")
 def _(t):
     return RD.stop_bars(road_table(t), joints(t)).select("code", "at", r("x", 2).alias("x"), r("y", 2).alias("y"))
 
