@@ -340,7 +340,14 @@ def _(t):
     return RD.lane_marks(road_table(t), joints(t)).where("style = 'divider'").select("code", "step", "lane")
 
 
-@query("E37_centre_marks")
+_BENDS = f"""mk AS (SELECT code, step, tpos, total, x, y FROM (SELECT code, step, tpos, {_AT} FROM {_POS(4.0, 2)}) JOIN rt USING (code) JOIN tot USING (code) WHERE marked AND lane_count >= 2 AND NOT oneway AND tpos < total - 2),
+ look AS (SELECT code, step, k, CASE k WHEN 1 THEN greatest(0, back - 1) WHEN 2 THEN least(total, back + 1) WHEN 3 THEN greatest(0, ahead - 1) ELSE least(total, ahead + 1) END AS tt FROM (SELECT *, greatest(0, tpos - 10) AS back, least(total, tpos + 14) AS ahead FROM mk), (VALUES (1), (2), (3), (4)) v(k)),
+ spot4 AS (SELECT code, step, k, ax + (tt - start) / len * (bx - ax) AS px, ay + (tt - start) / len * (by - ay) AS py FROM look JOIN (SELECT *, lead(start) OVER (PARTITION BY code ORDER BY seg) AS onward FROM aseg) USING (code) WHERE tt >= start AND (onward IS NULL OR tt < onward)),
+ bend AS (SELECT code, step, atan2(y4 - y3, x4 - x3) - atan2(y2 - y1, x2 - x1) + pi() AS d FROM (SELECT code, step, {', '.join(f'max(CASE WHEN k = {k} THEN p{c} END) AS {c}{k}' for k in (1, 2, 3, 4) for c in 'xy')} FROM spot4 GROUP BY code, step))"""
+
+
+@query("E37_centre_marks", with_(SEG, ROAD, RT, _ENDS, _TOTAL, _BENDS) + """SELECT code, style, count(*) AS n FROM (SELECT code, CASE WHEN degrees(abs(d - 2 * pi() * floor(d / (2 * pi())) - pi())) > 12 THEN 'solid' WHEN floor(tpos / 4) % 2 = 0 THEN 'broken' END AS style FROM mk JOIN bend USING (code, step)
+ WHERE NOT EXISTS (SELECT 1 FROM jt WHERE pow(x - jx, 2) + pow(y - jy, 2) <= 144)) WHERE style IS NOT NULL GROUP BY code, style""")
 def _(t):
     d = RD.lane_marks(road_table(t), joints(t)).where("style <> 'divider'")
     return d.groupBy("code", "style").agg(F.count("*").alias("n"))
