@@ -303,3 +303,14 @@ def test_box_joins_start_no_job_while_planned(spark):
     assert started() == before
     inside = {i for i in range(50) for b in range(9) if 11 * b <= 3 * i <= 11 * b + 4 and 11 * b <= 2 * i <= 11 * b + 4}
     assert {r["id"] for r in pts.collect()} == set(range(50)) - inside
+
+
+def test_knn_by_place_searches_each_place_once(spark):
+    """Origins on shared places give what each would alone, and the cell tables on the driver stay small."""
+    p = crowd(1200, 21)
+    o = [(i, *crowd(40, 22)[i % 40][1:]) for i in range(400)] + [(1000 + i, *p[i][1:]) for i in range(60)]
+    assert knn(spark, o, p, 3, origin_site=["x", "y"]) == brute(o, p, 3)
+    q = p[:200] + [(5000 + i, *p[i][1:]) for i in range(200)]
+    assert knn(spark, q, q, 2, origin_site=["x", "y"], exclude=F.col("oid") == F.col("pid")) == brute(q, q, 2, None, True)
+    assert knn(spark, q, p, 2, origin_site=["x", "y"], max_m=40.0) == brute(q, p, 2, 40.0)
+    assert cells.BROADCAST_ROWS <= 20_000 and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == "256k"

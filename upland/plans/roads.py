@@ -123,7 +123,7 @@ def clear_of(sites: DataFrame, points: DataFrame, site_id: str, r: float, x: str
     pts = points.select(F.col(px).alias("_px"), F.col(py).alias("_py")).distinct()
     hit = nearest(sites.select(site_id, F.col(x).alias("_sx"), F.col(y).alias("_sy")), pts, 1, origin_id=site_id,
                   origin_at=lambda: [F.col("_sx"), F.col("_sy")], item_at=lambda: [F.col("_px"), F.col("_py")],
-                  distance=F.hypot(F.col("_sx") - F.col("_px"), F.col("_sy") - F.col("_py")), tie=["_px", "_py"], max_m=r)
+                  distance=F.hypot(F.col("_sx") - F.col("_px"), F.col("_sy") - F.col("_py")), tie=["_px", "_py"], max_m=r, origin_site=["_sx", "_sy"])
     return sites.join(hit.select(site_id), site_id, "left_anti")
 
 
