@@ -327,10 +327,7 @@ def carriageway_cells(roads: DataFrame, *keep: str) -> DataFrame:
 
 def ring_cells(shapes: DataFrame, key: str | None = None) -> DataFrame:
     """Cells whose centre lies in a shape (edges, w, s, e, n)."""
-    span = lambda a, b: F.explode(F.sequence(F.floor(a).cast("long"), F.floor(b).cast("long")))
-    c = shapes.withColumn("gx", span(F.col("w"), F.col("e"))).withColumn("gy", span(F.col("s"), F.col("n")))
-    c = c.where(G.contains("edges", F.col("gx") + 0.5, F.col("gy") + 0.5))
-    return c.select(*([key] if key else []), "gx", "gy").distinct()
+    return G.mask_cells(G.cell_masks(shapes, key)).select(*([key] if key else []), "gx", "gy")
 
 
 def paved_cells(roads: DataFrame, buildings: DataFrame) -> DataFrame:
