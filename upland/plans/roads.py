@@ -12,7 +12,9 @@ from upland.functions.ids import unit_hash
 from upland.operators import lines as L
 from upland.operators.tracks import running
 from upland.operators import rings as G
+from upland.operators.cellgroups import label_text
 from upland.operators.cells import box_join, nearest
+from upland.operators.strips import band_masks, near_masks
 
 # Lanes, widths, spacings and class rules.
 LANE_M = 3.1
@@ -283,104 +285,86 @@ def frontage(pieces: DataFrame, vertices: DataFrame) -> DataFrame:
     return box_join(pieces, vertices.select("px", "py").distinct(), _band_box(F.col("half") + SIDEWALK_M + BUILT_M), pt, ok, "left_semi")
 
 
-def _strip(pieces: DataFrame, reach: Column, near: Column, far: Column, past: Column) -> DataFrame:
-    """A row for each cell (gx, gy) of a piece's box that may lie from near to far metres left of it and at most `past`
-    metres beyond its ends: column by column of cells, the rows between the lines that bound it, a metre over. Pieces are
-    dealt out first, since each becomes hundreds of rows: what adaptive execution took for a small table is not one here."""
-    pieces = pieces.repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ax", "ay", "bx", "by")
-    w, s, e, n = [F.floor(c).cast("long") for c in _band_box(reach)]
-    c = pieces.withColumn("gx", F.explode(F.sequence(w, e)))
-    dx, dy, qx = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("gx") + 0.5 - F.col("ax")
-    length = F.hypot(dx, dy)
-
-    def rows(slope, at, low, high):
-        """y between (low - at) / slope and (high - at) / slope; no bound where the line is (almost) upright."""
-        flat = F.abs(slope) < 1e-6
-        a, b = (low - at) / F.when(~flat, slope), (high - at) / F.when(~flat, slope)
-        return F.coalesce(F.least(a, b), F.lit(-1e15)), F.coalesce(F.greatest(a, b), F.lit(1e15))
-
-    across, along = rows(dx / length, -dy * qx / length, near, far), rows(dy / length, dx * qx / length, -past, length + past)
-    low = F.greatest(s, F.floor(F.greatest(across[0], along[0]) + F.col("ay") - 1.5).cast("long"))
-    high = F.least(n, F.ceil(F.least(across[1], along[1]) + F.col("ay") + 0.5).cast("long"))
-    return c.withColumn("_low", low).withColumn("_high", high).where("_low <= _high").withColumn("gy", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
-
-
-def band_cells(pieces: DataFrame, inner: Column, outer: Column, side: bool = True) -> DataFrame:
-    """Whole-metre cells whose centre lies from inner to outer metres off a piece on its side: gx, gy with the piece's
-    columns. Work grows with street length, not with the city's area."""
-    lefts = [F.least(inner * F.col("side"), outer * F.col("side")), F.greatest(inner * F.col("side"), outer * F.col("side"))] if side else [-outer, outer]
-    c = _strip(pieces, F.ceil(outer), *lefts, F.lit(0.0))
-    px, py = F.col("gx") + 0.5, F.col("gy") + 0.5
-    off = signed_offset(px, py, "ax", "ay", "bx", "by")
-    off = off * F.col("side") if side else F.abs(off)
-    along = (px - F.col("ax")) * F.col("ux") + (py - F.col("ay")) * F.col("uy")
-    return c.where((off >= inner) & (off < outer) & (along >= 0) & (along <= F.col("len")))
-
-
-def carriageway_cells(roads: DataFrame, *keep: str) -> DataFrame:
-    """Cells whose centre is on a carriageway (gx, gy), with the given columns of the roads."""
-    segs = L.segments(roads.select("code", "half", "line", *keep), "code").where("len > 0")
-    c = _strip(segs, F.ceil(F.col("half")), -F.col("half"), F.col("half"), F.col("half"))
-    d = segment_distance(F.col("gx") + 0.5, F.col("gy") + 0.5, "ax", "ay", "bx", "by")
-    return c.where(d <= F.col("half")).select("gx", "gy", *keep).distinct()
-
-
-def ring_cells(shapes: DataFrame, key: str | None = None) -> DataFrame:
-    """Cells whose centre lies in a shape (edges, w, s, e, n)."""
-    return G.mask_cells(G.cell_masks(shapes, key)).select(*([key] if key else []), "gx", "gy")
-
-
-def paved_cells(roads: DataFrame, buildings: DataFrame) -> DataFrame:
-    """Sidewalk cover as cells (gx, gy, paving): each cell takes the first paving in order among the pieces over it, off
-    the carriageways and out of the buildings."""
-    vertices = buildings.select(F.explode("ring").alias("p")).select(F.col("p.x").alias("px"), F.col("p.y").alias("py"))
-    kept = frontage(chunks(roads), vertices)
-    cells = band_cells(kept, F.col("half"), F.col("half") + SIDEWALK_M)
-    order = F.create_map(*[F.lit(x) for i, p in enumerate(PAVING_ORDER) for x in (p, i)])
-    cover = cells.groupBy("gx", "gy").agg(F.min_by("paving", order[F.col("paving")]).alias("paving"))
-    taken = carriageway_cells(roads).unionByName(ring_cells(buildings))
-    return cover.join(taken, ["gx", "gy"], "left_anti")
+def carriageway_masks(roads: DataFrame, flag: str | None = None) -> DataFrame:
+    """Cells whose centre is on a carriageway, as words of 64 along each row: gy, word, mask, and `flag`, a true or false
+    column of the roads. Of equal lines the widest is read."""
+    keys = [flag] if flag else []
+    wide = roads.groupBy("line", *keys).agg(F.max("half").alias("half"), F.min("code").alias("code"))
+    segs = L.segments(wide, "code").where("len > 0")
+    words = near_masks(segs, F.col(flag).cast("int") if flag else F.lit(0), F.col("half"))
+    return words.select("gy", "word", "mask", *([(F.col("tag") == 1).alias(flag)] if flag else []))
 
 
-def people_sites(cells: DataFrame) -> DataFrame:
-    """People on paved cells: a cell holds one with its paving's density, at a repeatable place inside it."""
+def paved_masks(roads: DataFrame, buildings: DataFrame) -> DataFrame:
+    """Sidewalk cover as words of 64 cells along each row (gy, word, paving, mask): each cell takes the first paving in order
+    among the pieces over it, off the carriageways and out of the buildings. Equal lines of one width and paving are read
+    once."""
+    vertices = buildings.select(F.explode("ring").alias("p")).select(F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+    sided = roads.groupBy("line", "kind", "half", "paving").agg(F.min("code").alias("code"))
+    kept = frontage(chunks(sided), vertices)
+    seen = paving_words(kept)
+    taken = carriageway_masks(roads).unionByName(G.cell_masks(buildings)).groupBy("gy", "word").agg(F.bit_or("mask").alias("_taken"))
+    both = seen.join(taken, ["gy", "word"], "left")
+    own = G.first_of([F.col(p) for p in PAVING_ORDER], F.bitwise_not(F.coalesce("_taken", F.lit(0).cast("long"))))
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("paving"), m.alias("mask")) for p, m in zip(PAVING_ORDER, own)]))
+    return both.select("gy", "word", each.alias("_o")).select("gy", "word", "_o.*").where("mask <> 0")
+
+
+def paving_words(pieces: DataFrame) -> DataFrame:
+    """Words (gy, word) of the cells of sidewalks along pieces (side, half, paving), with a column of masks for each paving."""
+    rank = F.array_position(F.array(*[F.lit(p) for p in PAVING_ORDER]), F.col("paving")) - 1
+    words = band_masks(pieces, rank, F.col("half"), F.col("half") + SIDEWALK_M)
+    return words.groupBy("gy", "word").agg(*[F.bit_or(F.when(F.col("tag") == i, F.col("mask"))).alias(p) for i, p in enumerate(PAVING_ORDER)])
+
+
+def people_sites(paved: DataFrame) -> DataFrame:
+    """People on paved cells (words of `paved_masks`): a cell holds one with its paving's density, at a repeatable place
+    inside it."""
     rate = _lookup(PEOPLE_PER_M2, "paving", 0.0)
     u = lambda what: unit_hash(F.lit("people"), F.lit(what), "gx", "gy")
-    return cells.where(u("keep") < rate).select("gx", "gy", "paving", (F.col("gx") + u("x")).alias("x"), (F.col("gy") + u("y")).alias("y"))
+    return G.mask_cells(paved).where(u("keep") < rate).select("gx", "gy", "paving", (F.col("gx") + u("x")).alias("x"), (F.col("gy") + u("y")).alias("y"))
 
 
 # --------------------------------------------------------------- centre islands
 
 
-def island_cells(roads: DataFrame, taken: DataFrame | None = None) -> DataFrame:
-    """Cells off every carriageway (`taken`, where it is at hand) with a one-way carriageway's edge within 8 m on two facing
-    sides."""
-    one = L.segments(roads.where("oneway").select("code", "half", "line"), "code").where("len > 0")
-    one = one.withColumn("ux", (F.col("bx") - F.col("ax")) / F.col("len")).withColumn("uy", (F.col("by") - F.col("ay")) / F.col("len"))
+def island_masks(roads: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """Cells off every carriageway (`taken`, where its words are at hand) with a one-way carriageway's edge within 8 m on two
+    facing sides, as words of 64 along each row (gy, word, mask). Equal lines are read once; a word holds the cells seen
+    from each of eight directions, so facing ones are found 64 at a time."""
+    lines = roads.where("oneway").groupBy("line", "half").agg(F.min("code").alias("code"))
+    one = L.segments(lines, "code").where("len > 0")
     both = one.withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
-    c = band_cells(both, F.col("half"), F.col("half") + ISLAND_REACH_M)
     # toward the carriageway: the piece's normal, turned by the side the cell lies on; facing sides point apart
-    heading = F.atan2(-F.col("ux") * F.col("side"), F.col("uy") * F.col("side"))
-    octant = F.floor(F.pmod(F.degrees(heading), F.lit(360.0)) / 45).cast("int")
-    seen = c.groupBy("gx", "gy").agg(F.bit_or(F.element_at(F.array(*[F.lit(1 << k) for k in range(9)]), octant + 1)).alias("seen"))
-    facing = sum((F.col("seen").bitwiseAND(F.shiftleft("seen", k)) > 0).cast("int") for k in (3, 4, 5)) > 0
-    return seen.where(facing).select("gx", "gy").join(carriageway_cells(roads) if taken is None else taken, ["gx", "gy"], "left_anti")
+    ux, uy = (F.col("bx") - F.col("ax")) / F.col("len"), (F.col("by") - F.col("ay")) / F.col("len")
+    octant = F.floor(F.pmod(F.degrees(F.atan2(-ux * F.col("side"), uy * F.col("side"))), F.lit(360.0)) / 45)
+    words, none = band_masks(both, octant, F.col("half"), F.col("half") + ISLAND_REACH_M), F.lit(0).cast("long")
+    seen = words.groupBy("gy", "word").agg(*[F.coalesce(F.bit_or(F.when(F.col("tag") == k, F.col("mask"))), none).alias(f"_o{k}") for k in range(9)])
+    facing = none
+    for k in (3, 4, 5):
+        for i in range(9 - k):
+            facing = facing.bitwiseOR(F.col(f"_o{i}").bitwiseAND(F.col(f"_o{i + k}")))
+    lanes = (carriageway_masks(roads) if taken is None else taken).select("gy", "word", F.col("mask").alias("_lane"))
+    free = F.bitwise_not(F.coalesce("_lane", none))
+    return seen.join(lanes, ["gy", "word"], "left").select("gy", "word", facing.bitwiseAND(free).alias("mask")).where("mask <> 0")
 
 
 def islands(labelled: DataFrame) -> DataFrame:
-    """Groups of cells (label, sides, marked where built on) that are centre islands: at least 15 m2, at most 5% built on,
-    long and thin (half the perimeter over 20 m and its square over 8 areas)."""
-    g = labelled.groupBy("label").agg(F.count("*").alias("area"), F.count_if("marked").alias("built"), (4 * F.count("*") - F.sum("sides")).alias("perimeter"))
+    """Groups of cells (words of `connected_masks`) that are centre islands: at least 15 m2, at most 5% built on, long and thin
+    (half the perimeter over 20 m and its square over 8 areas): root, label, area, built, perimeter."""
+    count = lambda c: F.sum(F.bit_count(c).cast("long"))
+    g = labelled.groupBy("root").agg(count("mask").alias("area"), count("marked").alias("built"), (4 * count("mask") - F.sum("sides")).alias("perimeter"))
     half = F.col("perimeter") / 2
-    return g.where((F.col("area") >= 15) & (F.col("built") <= 0.05 * F.col("area")) & (half > 20) & (half * half / F.col("area") > 8))
+    g = g.where((F.col("area") >= 15) & (F.col("built") <= 0.05 * F.col("area")) & (half > 20) & (half * half / F.col("area") > 8))
+    return g.withColumn("label", label_text(F.col("root")))
 
 
-def island_sites(cells: DataFrame, keep: DataFrame, every: int = 12) -> DataFrame:
+def island_sites(labelled: DataFrame, keep: DataFrame, every: int = 12) -> DataFrame:
     """Planting on islands: every 3 m along an island a shrub, every 12 m a lamp and a tree in turn. Positions follow the
     global grid along the island's longer axis, so tiles agree."""
-    c = cells.join(keep.select("label"), "label", "left_semi")
-    ext = c.groupBy("label").agg((F.max("gx") - F.min("gx") >= F.max("gy") - F.min("gy")).alias("_wide"))
-    c = c.join(ext, "label").withColumn("_k", F.when(F.col("_wide"), F.col("gx")).otherwise(F.col("gy"))).withColumn("_o", F.when(F.col("_wide"), F.col("gy")).otherwise(F.col("gx")))
-    mid = c.where(F.col("_k") % 3 == 0).groupBy("label", "_wide", "_k").agg(F.floor(F.avg("_o")).cast("long").alias("_m"))
+    c = G.mask_cells(labelled.select("root", "gy", "word", "mask").join(keep.select("root"), "root", "left_semi"))
+    ext = c.groupBy("root").agg((F.max("gx") - F.min("gx") >= F.max("gy") - F.min("gy")).alias("_wide"))
+    c = c.join(ext, "root").withColumn("_k", F.when(F.col("_wide"), F.col("gx")).otherwise(F.col("gy"))).withColumn("_o", F.when(F.col("_wide"), F.col("gy")).otherwise(F.col("gx")))
+    mid = c.where(F.col("_k") % 3 == 0).groupBy("root", "_wide", "_k").agg(F.floor(F.avg("_o")).cast("long").alias("_m"))
     kind_ = F.when(F.col("_k") % (2 * every) == 0, "lamp").when(F.col("_k") % every == 0, "tree").otherwise("shrub")
-    return mid.select("label", F.when(F.col("_wide"), F.col("_k")).otherwise(F.col("_m")).alias("gx"), F.when(F.col("_wide"), F.col("_m")).otherwise(F.col("_k")).alias("gy"), kind_.alias("kind"))
+    return mid.select(label_text(F.col("root")).alias("label"), F.when(F.col("_wide"), F.col("_k")).otherwise(F.col("_m")).alias("gx"), F.when(F.col("_wide"), F.col("_m")).otherwise(F.col("_k")).alias("gy"), kind_.alias("kind"))

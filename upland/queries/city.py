@@ -20,8 +20,8 @@ from upland.plans import route_qa as Q
 from upland.queries import query
 from upland.queries.spatial import DIST, PVEN, RING, _H, _P15, points, pven, rings
 from upland.queries.tables import (BLD, DEST, GRID, GRID_D, GRID_N, GRID_W, K, PATH, PPATH, ROAD, SEG, bilinear_sql, hav_km, height_sql, lat, lng, px_sql, py_sql, r, rnd, with_)
-from upland.operators.cellgroups import connected_cells
-from upland.operators.cover import layered
+from upland.operators.cellgroups import connected_masks
+from upland.operators.cover import layered_masks
 from upland.session import written
 
 # ------------------------------------------------------------ buildings
@@ -403,12 +403,12 @@ def _(t):
 
 @query("P6_paved_cells")
 def _(t):
-    return RD.paved_cells(road_table(t), t.bld).groupBy("paving").agg(F.count("*").alias("cells"))
+    return RD.paved_masks(road_table(t), t.bld).groupBy("paving").agg(F.sum(F.bit_count("mask").cast("long")).alias("cells"))
 
 
 @query("P6_people_sites")
 def _(t):
-    return RD.people_sites(RD.paved_cells(road_table(t), t.bld)).select("gx", "gy", "paving", r("x", 3).alias("x"), r("y", 3).alias("y"))
+    return RD.people_sites(RD.paved_masks(road_table(t), t.bld)).select("gx", "gy", "paving", r("x", 3).alias("x"), r("y", 3).alias("y"))
 
 
 def twin_roads(t):
@@ -441,13 +441,13 @@ _ISLANDS = with_(SEG, BLD, _TWIN).replace("WITH ", "WITH RECURSIVE ", 1)
 
 @query("P7_islands", _ISLANDS + "SELECT label, area, built, CAST(perimeter AS BIGINT) AS perimeter FROM island")
 def _(t):
-    return RD.islands(connected_cells(RD.island_cells(twin_roads(t)), RD.ring_cells(t.bld))).select("label", "area", "built", "perimeter")
+    return RD.islands(connected_masks(RD.island_masks(twin_roads(t)), G.cell_masks(t.bld))).select("label", "area", "built", "perimeter")
 
 
 @query("P7_island_sites", _ISLANDS + """SELECT label, CASE WHEN wide THEN k ELSE m END AS gx, CASE WHEN wide THEN m ELSE k END AS gy, CASE WHEN k % 24 = 0 THEN 'lamp' WHEN k % 12 = 0 THEN 'tree' ELSE 'shrub' END AS kind
  FROM (SELECT label, wide, CASE WHEN wide THEN gx ELSE gy END AS k, CAST(floor(avg(CASE WHEN wide THEN gy ELSE gx END)) AS BIGINT) AS m FROM (SELECT *, max(gx) OVER w - min(gx) OVER w >= max(gy) OVER w - min(gy) OVER w AS wide FROM cel JOIN island USING (label) WINDOW w AS (PARTITION BY label)) GROUP BY ALL) WHERE k % 3 = 0""")
 def _(t):
-    cells = written(connected_cells(RD.island_cells(twin_roads(t)), RD.ring_cells(t.bld)))
+    cells = connected_masks(RD.island_masks(twin_roads(t)), G.cell_masks(t.bld))
     return RD.island_sites(cells, RD.islands(cells))
 
 
@@ -467,25 +467,21 @@ _LAYERS = ("asphalt", "concrete", "median", "hex", "brick", "paving", "walk", "t
 def _(t):
     """Carriageways with their twins, centre islands, sidewalks by paving and walks, each where earlier ones left room, with
     kerbs around islands and along roads; out of buildings but for roads and islands."""
-    roads, shapes = twin_roads(t), built_cells(t)
-    lanes = written(RD.carriageway_cells(roads, "concrete"))
-    isles = written(connected_cells(RD.island_cells(roads, lanes.select("gx", "gy")), shapes))
-    medians = isles.join(RD.islands(isles).select("label"), "label", "left_semi")
-    sides = L.segments(roads.where(F.col("kind").isin(*RD.SIDE_KINDS)), "code").where("len > 0").withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
-    sides = sides.withColumn("ux", (F.col("bx") - F.col("ax")) / F.col("len")).withColumn("uy", (F.col("by") - F.col("ay")) / F.col("len"))
-    bands = written(RD.band_cells(sides, F.col("half"), F.col("half") + RD.SIDEWALK_M).groupBy("gx", "gy", "paving").agg(F.lit(1).alias("_1")))
+    roads, shapes = twin_roads(t), G.cell_masks(t.bld)
+    lanes = written(RD.carriageway_masks(roads, "concrete"))
+    isles = connected_masks(RD.island_masks(roads, lanes.groupBy("gy", "word").agg(F.bit_or("mask").alias("mask"))), shapes)
+    medians = isles.join(RD.islands(isles).select("root"), "root", "left_semi")
+    sided = roads.where(F.col("kind").isin(*RD.SIDE_KINDS)).groupBy("line", "half", "paving").agg(F.min("code").alias("code"))
+    sides = L.segments(sided, "code").where("len > 0").withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
+    bands = written(RD.paving_words(sides))
+    band = lambda p: bands.select("gy", "word", F.col(p).alias("mask")).where("mask IS NOT NULL")
     walks = road_table(t).where("code % 7 = 3").withColumn("even", F.col("code") % 2 == 0).withColumn("half", F.lit(1.2)).withColumn("line", F.transform("line", lambda p: F.struct((p["x"] + 25).alias("x"), (p["y"] - 9).alias("y"))))
-    paths = written(RD.carriageway_cells(walks, "even"))
+    paths = written(RD.carriageway_masks(walks, "even"))
     layers = [("asphalt", lanes.where("NOT concrete")), ("concrete", lanes.where("concrete")), ("median", medians),
-              *[(name, bands.where(F.col("paving") == p)) for name, p in (("hex", "hex"), ("brick", "brick"), ("paving", "concrete"))],
+              *[(name, band(p)) for name, p in (("hex", "hex"), ("brick", "brick"), ("paving", "concrete"))],
               ("walk", paths.where("even")), ("trail", paths.where("NOT even"))]
-    d = layered(layers, shapes, ("hex", "brick", "paving", "walk", "trail"), (("median kerb", ("median",), None), ("kerb", ("hex", "brick", "paving"), ("asphalt", "concrete"))))
-    tile = lambda c: F.floor(F.col(c) / 64).cast("long")
-    return d.groupBy(tile("gx").alias("tx"), tile("gy").alias("ty"), "layer").agg(F.count("*").alias("cells"))
-
-
-def built_cells(t):
-    return RD.ring_cells(t.bld)
+    d = layered_masks(layers, shapes, ("hex", "brick", "paving", "walk", "trail"), (("median kerb", ("median",), None), ("kerb", ("hex", "brick", "paving"), ("asphalt", "concrete"))))
+    return d.groupBy(F.col("word").alias("tx"), F.floor(F.col("gy") / 64).cast("long").alias("ty"), "layer").agg(F.sum(F.bit_count("mask").cast("long")).alias("cells"))
 
 
 # ---------------------------------------------- districts
