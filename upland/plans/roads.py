@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from upland.functions.geo import col, segment_distance, signed_offset
+from upland.functions.geo import col, signed_offset
 from upland.functions.ids import unit_hash
 from upland.operators import lines as L
 from upland.operators.tracks import running
