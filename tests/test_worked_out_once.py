@@ -20,6 +20,15 @@ def test_running_sums_name_their_values_once(spark):
     assert got[:3] == [[0.0, 7777.0, 3 * 7777.0, 7 * 7777.0], [0.0], [0.0]] and got[3] == [i * 0.5 * 7777 for i in range(301)]
 
 
+def test_facing_edges_name_the_ring_once(spark):
+    d = squares(spark, [(1, 0.0, 0.0, 10.0)])
+    line = F.array(F.struct(F.lit(-50.0).alias("ax"), F.lit(-20.0).alias("ay"), F.lit(50.0).alias("bx"), F.lit(-20.0).alias("by")))
+    moved = lambda edges, m: F.transform(edges, lambda e: F.struct((e["ax"] + m).alias("ax"), e["ay"].alias("ay"), e["bx"].alias("bx"), e["by"].alias("by")))
+    out = plan(d.select(G.facing_edges(moved("edges", 7777.0), moved(line, 8888.0)).alias("f")))
+    assert out.count("7777.0") == out.count("8888.0") == 1
+    assert d.select(G.facing_edges("edges", line).alias("f")).first()["f"] == [0]
+
+
 def test_backtracks_of_short_and_long_lines_agree(spark, monkeypatch):
     there = [(120.6 + 0.0004 * i, 16.4) for i in range(9)]
     rows = [(c, [(x, y + 1e-5 * (c % 3)) for x, y in there + there[-2::-1]]) for c in range(6)] + [(9, there)]
