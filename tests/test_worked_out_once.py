@@ -29,6 +29,22 @@ def test_facing_edges_name_the_ring_once(spark):
     assert d.select(G.facing_edges("edges", line).alias("f")).first()["f"] == [0]
 
 
+def test_hulls_of_many_small_keys_and_a_crowd(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, float(x), float(y)) for k in range(400) for x, y in rng.integers(0, 9, (k % 7 + 1, 2))]
+    rows += [(-1, float(x), float(y)) for x, y in rng.normal(0, 50, (30000, 2))]
+    d = spark.createDataFrame(rows, "k long, x double, y double").repartition(3)
+    out = G.convex_hulls(d, "k")
+    assert "MapInPandas" not in plan(out)                                        # no data frame for each key
+    got = {}
+    for r in out.orderBy("k", "i").collect():
+        got.setdefault(r["k"], []).append((r["x"], r["y"]))
+    own = {}
+    for k, x, y in rows:
+        own.setdefault(k, []).append((x, y))
+    assert got == {k: [tuple(p) for p in G._hull(np.array(v)).tolist()] for k, v in own.items()}
+
+
 def test_backtracks_of_short_and_long_lines_agree(spark, monkeypatch):
     there = [(120.6 + 0.0004 * i, 16.4) for i in range(9)]
     rows = [(c, [(x, y + 1e-5 * (c % 3)) for x, y in there + there[-2::-1]]) for c in range(6)] + [(9, there)]
