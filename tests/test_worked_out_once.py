@@ -52,3 +52,11 @@ def test_backtracks_of_short_and_long_lines_agree(spark, monkeypatch):
     short = sorted(tuple(r) for r in L.backtracks(d).collect())
     monkeypatch.setattr(L, "SHORT_LINE", 4)
     assert sorted(tuple(r) for r in L.backtracks(d).collect()) == short and {r[0] for r in short} == set(range(6))
+
+
+def test_landmark_counts_are_those_of_the_pairs(spark):
+    places = spark.createDataFrame([(f"p{i}", 0.01 * (i % 7), 0.01 * (i % 3)) for i in range(60)], "slug string, lng double, lat double")
+    box = lambda i: None if i % 5 == 0 else (0.01 * (i % 4) - 0.01, -0.02, 0.01 * (i % 4) + 0.01, 0.005)
+    views = spark.createDataFrame([(i, box(i), f"p{i * 3}") for i in range(40)], "vid long, view struct<west:double,south:double,east:double,north:double>, selected string")
+    want = sorted((r["vid"], r["count"]) for r in T.landmarks_in_reach(places, views, "vid").groupBy("vid").count().collect())
+    assert want and sorted(tuple(r) for r in T.landmark_counts(places, views, "vid").collect()) == want
