@@ -60,3 +60,14 @@ def test_landmark_counts_are_those_of_the_pairs(spark):
     views = spark.createDataFrame([(i, box(i), f"p{i * 3}") for i in range(40)], "vid long, view struct<west:double,south:double,east:double,north:double>, selected string")
     want = sorted((r["vid"], r["count"]) for r in T.landmarks_in_reach(places, views, "vid").groupBy("vid").count().collect())
     assert want and sorted(tuple(r) for r in T.landmark_counts(places, views, "vid").collect()) == want
+
+
+def test_prepare_measures_equal_outlines_once(spark, monkeypatch):
+    blds = [(i, 40.0 * (i % 7), 90.0 * (i % 3), 10.0) for i in range(84)]
+    b = squares(spark, blds).withColumn("oid", F.concat(F.lit("way/"), "bid"))
+    ex = squares(spark, [(0, 0.0, 0.0, 20.0)], "rid").select(F.col("edges").alias("redges"), F.col("w").alias("west"), F.col("s").alias("south"), F.col("e").alias("east"), F.col("n").alias("north"))
+    met, plain = [], G.drop_touching
+    monkeypatch.setattr(G, "drop_touching", lambda s, r, *q: met.append(s.count()) or plain(s, r, *q))
+    got = {r["bid"]: (r["area"], r["centre_m"]) for r in M.prepare(b, ex, (200.0, 0.0)).collect()}
+    assert met == [21]
+    assert got == {q[0]: (100.0, square_gap(200.0, 0.0, q)) for q in blds if (q[1], q[2]) != (0.0, 0.0)}

@@ -13,6 +13,7 @@ from upland.operators import lines as L
 from upland.operators import rings as G
 from upland.operators.quantiles import exact_quantiles
 from upland.operators.raster import sample_bilinear
+from upland.session import written
 
 # Storey height, the centre's radius, size limits, roof weights, and which kinds count as commercial.
 STOREY_M = 3.2
@@ -102,11 +103,14 @@ def footing(buildings: DataFrame, heights: DataFrame, key: str, to_lnglat) -> Da
 def prepare(buildings: DataFrame, exclusions: DataFrame, centre: tuple[float, float], key: str = "oid") -> DataFrame:
     """Buildings (planar ring, edges and box) of at least 4 m2 that touch no exclusion ring, with area and distance to the
     city centre from the outline."""
-    b = buildings.withColumn("area", G.area("ring")).where(F.col("area") >= SMALLEST_M2)
-    kept = G.drop_touching(b.select(key, "edges", "w", "s", "e", "n"), exclusions)
-    b = b.join(kept.select(key), key)
+    # what an outline alone decides is worked out once for all buildings of that outline
+    one = buildings.groupBy("edges").agg(F.min(key).alias("_same"), *[F.first(c).alias(c) for c in ("ring", *"wsen")])
+    one = written(one.select("_same", "edges", *"wsen", G.area("ring").alias("area")).where(F.col("area") >= SMALLEST_M2))
+    kept = G.drop_touching(one.select("_same", "edges", "w", "s", "e", "n"), exclusions).select("_same")
     inside = G.contains("edges", F.lit(centre[0]), F.lit(centre[1]))
-    return b.withColumn("centre_m", F.when(inside, F.lit(0.0)).otherwise(G.distance_to("edges", F.lit(centre[0]), F.lit(centre[1]))))
+    away = F.when(inside, F.lit(0.0)).otherwise(G.distance_to("edges", F.lit(centre[0]), F.lit(centre[1])))
+    one = one.join(kept, "_same").select("edges", "area", F.explode(F.array(away)).alias("centre_m"))
+    return buildings.join(one, "edges").select(*buildings.columns, "area", "centre_m")
 
 
 def massing(prepared: DataFrame, foot: DataFrame, key: str = "oid") -> DataFrame:
