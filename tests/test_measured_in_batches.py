@@ -49,3 +49,23 @@ def test_hotels_are_found_once(spark):
     got = DI.hotel_buildings(pois, areas, d, segs)
     assert sorted((r["bid"], r["hotel"], r["road"]) for r in got.collect()) == [(0, "point:7", 5), (1, "point:8", 5), (2, "area:2", 5)]
     assert "aedges" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_standing_trees_hold_their_candidates_once(spark):
+    """Heights are asked of written places, so the plan does not hold the joins behind them at each reading."""
+    from upland.functions import geo
+    from upland.plans import flora as FL
+    boxes = spark.createDataFrame([(0.0, 0.0, 290.0, 290.0)], "w double, s double, e double, n double")
+    d = spark.createDataFrame([(1, box_edges(30, 30, 40, 40), 30.0, 30.0, 40.0, 40.0)], f"bid long, edges {EDGES}, w double, s double, e double, n double")
+    segs = L.segments(spark.createDataFrame([(5, [{"x": 0.0, "y": 80.0}, {"x": 60.0, "y": 80.0}])], "code long, line array<struct<x:double,y:double>>"), "code")
+    places = FL.tree_candidates(boxes, d, segs)
+    x, y = geo.pixel_xy(*geo.planar_lnglat(F.lit(45.0), F.lit(45.0)), 14)
+    at = spark.range(1).select(F.floor(x).alias("i"), F.floor(y).alias("j")).first()
+    ground = [(14, at["i"] + a, at["j"] + b, 2000.0) for a in range(-30, 31) for b in range(-30, 31)]
+    heights = spark.createDataFrame(ground, "z int, gx long, gy long, height double")
+    got = FL.standing_trees(places, heights, geo.planar_lnglat, lowest=900.0)
+    rows = {r["site_id"]: r for r in got.collect()}
+    from upland.functions.ids import unit_hash
+    stand = {r["site_id"] for r in places.where(unit_hash(F.lit("stand"), "site_id") < 0.2).collect()}
+    assert stand and rows.keys() == stand and all(abs(r["ground"] - 2000.0) < 1e-6 and r["slope_deg"] < 1e-6 for r in rows.values())
+    assert "edges" not in got._jdf.queryExecution().optimizedPlan().toString()

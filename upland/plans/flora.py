@@ -13,6 +13,7 @@ from upland.operators import raster as R
 from upland.operators import rings as G
 from upland.operators.cells import box_join
 from upland.plans.landcover import CROP, FOREST, GRASS, LAWN, NONE, ROCK, SCRUB, WATER
+from upland.session import written
 
 # Plants per hectare (trees, shrubs, rocks) by zone or class, clearances, species heights and zone weights.
 KINDS = ("tree", "shrub", "rock")
@@ -200,6 +201,7 @@ def tree_candidates(box: DataFrame, buildings: DataFrame, segs: DataFrame) -> Da
 def standing_trees(places: DataFrame, heights: DataFrame, to_lnglat, reach: float = 6.0, lowest: float = 1200.0) -> DataFrame:
     """Candidates (site_id, x, y) that stand: above 1,200 m, with a chance that grows with the slope to 6 m east and north
     (a fifth on the flat, all at 30 degrees). Adds ground and slope_deg."""
+    places = written(places)            # read several times below: a plan that holds their joins once for each reading fills the driver
     shifts = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, a, b in (("o", 0.0, 0.0), ("e", reach, 0.0), ("n", 0.0, reach))])
     moved = places.select("site_id", "x", "y", F.explode(shifts).alias("m")).select("site_id", F.col("m.k").alias("k"), (F.col("x") + F.col("m.a")).alias("x"), (F.col("y") + F.col("m.b")).alias("y"))
     lng, lat = to_lnglat("x", "y")
