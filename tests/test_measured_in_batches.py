@@ -69,3 +69,30 @@ def test_standing_trees_hold_their_candidates_once(spark):
     stand = {r["site_id"] for r in places.where(unit_hash(F.lit("stand"), "site_id") < 0.2).collect()}
     assert stand and rows.keys() == stand and all(abs(r["ground"] - 2000.0) < 1e-6 and r["slope_deg"] < 1e-6 for r in rows.values())
     assert "edges" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lane_marks_bend_once(spark):
+    """Two-way marks are solid where the line turns, and marks are made once, not at each reading."""
+    from upland.plans import roads as RD
+    bent = [(0.0, 0.0), (60.0, 0.0), (60.0, 60.0)]
+    d = spark.createDataFrame([(1, [{"x": x, "y": y} for x, y in bent], True, 2, False, 3.1)], "code long, line array<struct<x:double,y:double>>, marked boolean, lane_count int, oneway boolean, half double")
+    joints = spark.createDataFrame([(0.0, 0.0)], "jx double, jy double")
+    got = RD.lane_marks(d, joints)
+
+    def at(t):
+        t = min(max(t, 0.0), 120.0)
+        return (t, 0.0) if t <= 60 else (60.0, t - 60)
+
+    def heading(t):
+        (bx, by), (ax, ay) = at(max(0.0, t - 1)), at(min(120.0, t + 1))
+        return math.atan2(ay - by, ax - bx)
+
+    want = []
+    for k in range(30):
+        t = 2.0 + 4 * k
+        turn = abs((heading(min(120.0, t + 14)) - heading(max(0.0, t - 10)) + math.pi) % (2 * math.pi) - math.pi)
+        style = "solid" if math.degrees(turn) > 12 else "broken" if math.floor(t / 4) % 2 == 0 else None
+        if style and t < 118 and math.hypot(*at(t)) > 12:
+            want.append((k, style))
+    assert {s for _, s in want} == {"solid", "broken"} and sorted((r["step"], r["style"]) for r in got.collect()) == want
+    assert "_arc" not in got._jdf.queryExecution().optimizedPlan().toString()

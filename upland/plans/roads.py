@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from upland.functions.geo import col, signed_offset
+from upland.functions.geo import col, once, signed_offset
 from upland.functions.ids import unit_hash
 from upland.operators import lines as L
 from upland.operators.tracks import running
@@ -15,6 +15,7 @@ from upland.operators import rings as G
 from upland.operators.cellgroups import label_text
 from upland.operators.cells import box_join, nearest
 from upland.operators.strips import band_masks, near_masks
+from upland.session import written
 
 # Lanes, widths, spacings and class rules.
 LANE_M = 3.1
@@ -122,6 +123,7 @@ def planar_ends(roads: DataFrame, line: str = "line") -> DataFrame:
 def clear_of(sites: DataFrame, points: DataFrame, site_id: str, r: float, x: str = "x", y: str = "y", px: str = "jx", py: str = "jy") -> DataFrame:
     """Sites with no point within r metres. Only the nearest point of a site is ever looked for, so a crowd of points
     in one place costs no more than one."""
+    sites = written(sites)            # read three times below, and dear to make
     pts = points.select(F.col(px).alias("_px"), F.col(py).alias("_py")).distinct()
     hit = nearest(sites.select(site_id, F.col(x).alias("_sx"), F.col(y).alias("_sy")), pts, 1, origin_id=site_id,
                   origin_at=lambda: [F.col("_sx"), F.col("_sy")], item_at=lambda: [F.col("_px"), F.col("_py")],
@@ -155,21 +157,22 @@ def lane_marks(roads: DataFrame, joints: DataFrame) -> DataFrame:
     two = L.points_along(L.segments(r.where("NOT oneway").withColumn("_line", F.col("line")), "code"), 4.0, 2.0).where(F.col("t") < F.col("total") - 2)
 
     def at(t):
-        """Place on the row's own line at arc t."""
-        t = F.greatest(F.lit(0.0), F.least(t, F.col("total")))
-        i = F.greatest(F.size(F.filter("_arc", lambda v: v <= t)) - 1, F.lit(0))
-        i = F.least(i, F.size("_line") - 2)
-        a, b = F.get("_line", i), F.get("_line", i + 1)
-        span = F.get("_arc", i + 1) - F.get("_arc", i)
-        s = F.when(span > 0, (t - F.get("_arc", i)) / span).otherwise(F.lit(0.0))
-        return a["x"] + s * (b["x"] - a["x"]), a["y"] + s * (b["y"] - a["y"])
+        """Place on the row's own line at arc t: struct(x, y). The leg it lies on is looked for once."""
+        leg = lambda t: F.struct(t.alias("t"), F.least(F.greatest(F.size(F.filter("_arc", lambda v: v <= t)) - 1, F.lit(0)), F.size("_line") - 2).alias("i"))
+
+        def place(p):
+            a, b = F.get("_line", p["i"]), F.get("_line", p["i"] + 1)
+            lo, span = F.get("_arc", p["i"]), F.get("_arc", p["i"] + 1) - F.get("_arc", p["i"])
+            return once(F.when(span > 0, (p["t"] - lo) / span).otherwise(F.lit(0.0)), lambda s: F.struct((a["x"] + s * (b["x"] - a["x"])).alias("x"), (a["y"] + s * (b["y"] - a["y"])).alias("y")))
+
+        return once(once(F.greatest(F.lit(0.0), F.least(t, F.col("total"))), leg), place)
 
     def heading(t):
-        (bx, by), (ax, ay) = at(F.greatest(F.lit(0.0), t - 1)), at(F.least(F.col("total"), t + 1))
-        return F.atan2(ay - by, ax - bx)
+        ends = F.struct(at(F.greatest(F.lit(0.0), t - 1)).alias("b"), at(F.least(F.col("total"), t + 1)).alias("a"))
+        return once(ends, lambda q: F.atan2(q["a"]["y"] - q["b"]["y"], q["a"]["x"] - q["b"]["x"]))
 
     turn = F.abs(F.pmod(heading(F.least(F.col("total"), F.col("t") + 14)) - heading(F.greatest(F.lit(0.0), F.col("t") - 10)) + math.pi, F.lit(2 * math.pi)) - math.pi)
-    two = two.withColumn("_bend", F.degrees(turn))
+    two = two.withColumn("_bend", F.explode(F.array(F.degrees(turn))))       # explode keeps it from being worked out again
     two = two.withColumn("style", F.when(F.col("_bend") > 12, "solid").when(F.floor(F.col("t") / 4) % 2 == 0, "broken"))
     two = two.where(F.col("style").isNotNull()).select("code", "style", F.lit(0).alias("lane"), "step", "t", "x", "y", F.lit(0.0).alias("shift"))
     marks = one.unionByName(two).withColumn("mark_id", F.concat_ws(":", "code", "style", "lane", "step"))
