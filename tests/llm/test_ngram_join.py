@@ -125,3 +125,58 @@ def test_group_with_a_larger_member(spark, monkeypatch):
     of = {J.fingerprint(x): 1, J.fingerprint(longer): 1, J.fingerprint(y): 2}
     monkeypatch.setattr(J, "groups_of", lambda distinct: spark.createDataFrame(list(of.items()), "fp long, grp long"))
     assert sorted((r["doc_id"], r["component_id"]) for r in J.similar(docs(spark, texts)).collect()) == [(0, 0), (1, 0), (2, 0)]
+
+
+@pytest.mark.parametrize("alone", [False, True])
+def test_alike_sets_are_not_sent_whole(spark, monkeypatch, alone):
+    """Sets that share much, but not enough, meet as sketches only, within a group and between groups."""
+    rng = np.random.default_rng(3)
+    base = [f"w{j}" for j in range(400)]
+    texts = []
+    for i in range(120):
+        texts.append(" ".join(f"own{i}_{j}" if j % 12 == i % 12 else w for j, w in enumerate(base)))
+    copied = rng.choice(120, 5, replace=False).tolist()
+    texts += [texts[i] + " and more" for i in copied]
+    sent = []
+    whole = J.sets_for
+    monkeypatch.setattr(J, "sets_for", lambda docs, route: sent.extend(route.collect()) or whole(docs, route))
+    if alone:
+        monkeypatch.setattr(J, "groups_of", lambda distinct: J.stash(distinct.select("fp", F.col("fp").alias("grp"))))
+    got = J.similar(docs(spark, texts)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(texts)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"] != r["component_id"]) == sorted((120 + k, i) for k, i in enumerate(copied))
+    assert 10 <= len(sent) <= 30
+
+
+def test_sketches_keep_all_similar_sets():
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in [1, 2, 5, 9, 31, 33, 40, 60, 64, 65, 100, 127, 129, 300, 1000]:
+        own = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)
+        for share in np.linspace(0.5, 1.2, 30):
+            more = rng.integers(0, 1 << 63, max(0, int(size * (share - 1))), dtype=np.uint64)
+            part = own[:max(1, int(size * share))] if rng.integers(0, 2) else own[-max(1, int(size * share)):]
+            sets.append(np.unique(np.concatenate([part, more])))
+    sets.sort(key=len)
+    sketches, matrix = J.Sketches([len(t) for t in sets], [J.sketch(t) for t in sets]), J.Matrix(sets)
+    found = similar = 0
+    for i, t in enumerate(sets):
+        near, exact = sketches.near(len(t), J.sketch(t)).tolist(), matrix.similar(t).tolist()
+        assert set(exact) <= set(near) and i in near
+        assert sketches.near(len(t), J.sketch(t), i + 1).tolist() == [j for j in near if j > i]
+        found, similar = found + len(near), similar + len(exact)
+    assert similar <= found < 1.3 * similar
+
+
+def test_matrix_rows_of_fitting_sizes_only(spark):
+    """A token that sets of 1 and 30 shingles hold gives no rows; with one of 31, it gives those of the two large ones."""
+    words = [f"w{j}" for j in range(34)]
+    long, short = " ".join(words), [" ".join(words[i:i + 5]) for i in range(30)]
+    none = np.zeros(0, np.uint64)
+    assert J.entries(docs(spark, [long, *short]), none, 1).count() == 0
+    rows = J.entries(docs(spark, [long, long + " more", *short]), none, 1).collect()
+    assert rows and {r["n"] for r in rows} == {30, 31}
+    held = {}
+    for r in rows:
+        held.setdefault(r["token"], []).append(r["n"])
+    assert all(sorted(n) == [30, 31] for n in held.values())

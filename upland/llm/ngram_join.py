@@ -8,6 +8,11 @@ each set enters it. Two groups that share enough of it, and are not connected th
 each query set of one is held against the union of the other's tokens, its overlap with that bounds its overlap with
 every member, and only if the bound reaches the threshold is the group opened and compared set by set. No link between
 sets that are not connected otherwise is lost.
+
+Whole sets are large, and sets that are alike but not similar grow with the square of a table. So sketches of sets meet
+first, a few bits a token: of each bit the parity of the tokens that fall on it. Two sketches differ in no more bits than
+the sets differ in tokens, so sets whose sketches lie further apart than similar sets do are told apart for certain, and
+only sets with a partner that is left are sent whole.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from math import gcd
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from upland.llm.common import bitmap, byte_view, components, in_bitmap, mix, slices, span_hashes, stash, text_of
@@ -78,6 +83,14 @@ def minima(tokens: np.ndarray) -> list[int]:
     return mix(np.array(low, np.uint64)).view(np.int64).tolist()
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """A bit for each of a power of two of places, 64 or twice the tokens at least: whether an odd number of tokens fall on
+    it. The upper 56 bits place a token, as they alone are compared."""
+    places = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    at = (tokens >> np.uint64(8) & np.uint64(places - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=places) & 1, bitorder="little").tobytes()
+
+
 def packed(tokens: np.ndarray) -> bytes:
     """Sorted tokens by their upper 56 bits, seven bytes each."""
     return tokens.view(np.uint8).reshape(-1, 8)[:, 1:].tobytes()
@@ -93,7 +106,8 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """A row (id, fp, n, cells) for each document, and rows (token, times) for tokens that a task met often."""
+    """A row (id, fp, n, cells, sketch) for each document, and rows (token, times) for tokens that a task met often. Of
+    equal sets that a task meets, not all need have a sketch."""
 
     def run(batches):
         seen: set[int] = set()
@@ -103,15 +117,16 @@ def sets_of(docs: DataFrame) -> DataFrame:
             token, times = np.unique(np.concatenate(held), return_counts=True)
             often = times >= 4
             k = int(often.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.array(token[often].view(np.int64)), pa.array(times[often], pa.int64())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.binary()), pa.array(token[often].view(np.int64)), pa.array(times[often], pa.int64())], schema=schema)
 
         for batch in batches:
-            fps, sizes, cells = [], [], []
+            fps, sizes, cells, sketches = [], [], [], []
             for _, tokens in shingle_sets(*byte_view(batch.column(1))):
                 fp = fingerprint(tokens)
                 fps.append(fp)
                 sizes.append(len(tokens))
                 cells.append(minima(tokens) if len(tokens) else [])
+                sketches.append(sketch(tokens) if len(tokens) and fp not in seen else None)
                 if len(tokens) and fp not in seen:
                     seen.add(fp)
                     held.append(tokens)
@@ -121,12 +136,12 @@ def sets_of(docs: DataFrame) -> DataFrame:
                         held, size = [], 0
                         seen.clear()
             k = len(fps)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=schema)
         if held:
             yield frequent()
 
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("cells", pa.list_(pa.int64())), ("token", pa.int64()), ("times", pa.int64())])
-    return texts(docs).mapInArrow(run, "id long, fp long, n long, cells array<long>, token long, times long")
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("cells", pa.list_(pa.int64())), ("sketch", pa.binary()), ("token", pa.int64()), ("times", pa.int64())])
+    return texts(docs).mapInArrow(run, "id long, fp long, n long, cells array<long>, sketch binary, token long, times long")
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -180,6 +195,49 @@ def sets_for(docs: DataFrame, route: DataFrame) -> DataFrame:
     return route.join(wanted_sets(docs, rows_of, "fp long, tokens binary", ["fp", "tokens"]).dropDuplicates(["fp"]), "fp")
 
 
+def sketches_for(sketches: DataFrame, route: DataFrame) -> DataFrame:
+    """The rows of a table with a column fp, each with its set's size and sketch."""
+    wanted = bitmap(route.select("fp").distinct(), F.col("fp"))
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(wanted, batch.column(0).to_numpy().view(np.uint64))))
+
+    return route.join(sketches.mapInArrow(keep, "fp long, n long, sketch binary").dropDuplicates(["fp"]), "fp")
+
+
+class Sketches:
+    """Sketches of a few sets, given by rising size."""
+
+    def __init__(self, sizes: list[int], raw: list[bytes]):
+        self.sizes = np.array(sizes, np.int64)
+        width = np.array([len(r) // 8 for r in raw])
+        cuts = np.append(np.flatnonzero(np.diff(width, prepend=0)), len(raw))
+        self.blocks = [(a, b, np.frombuffer(b"".join(raw[a:b]), np.uint64).reshape(b - a, -1)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+    def near(self, size: int, raw: bytes, after: int = 0) -> np.ndarray:
+        """Numbers, `after` at least, of the sets that a set may be similar to: all that are, and some that are not."""
+        lo = max(after, int(np.searchsorted(self.sizes * BOTTOM, size * TOP, "left")))
+        hi = int(np.searchsorted(self.sizes * TOP, size * BOTTOM, "right"))
+        found = [np.zeros(0, np.int64)]
+        for start, stop, words in self.blocks:
+            a, b = max(lo, start), min(hi, stop)
+            if a < b:
+                own, rows = np.frombuffer(raw, np.uint64)[None], words[a - start:b - start]
+                places = min(own.shape[1], rows.shape[1])
+                apart = np.bitwise_count(folded(own, places) ^ folded(rows, places)).sum(axis=1, dtype=np.int64)
+                found.append(a + np.flatnonzero(apart * (TOP + BOTTOM) <= (self.sizes[a:b] + size) * (BOTTOM - TOP)))
+        return np.concatenate(found)
+
+
+def folded(rows: np.ndarray, words: int) -> np.ndarray:
+    """Sketches with fewer places, `words` times 64."""
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
 class Matrix:
     """Which of a few sets hold which token: the union of their tokens, and for each the numbers of its holders."""
 
@@ -223,15 +281,46 @@ def edge_batch(edges) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
 
 
+def doubtful(batches):
+    """Rows (held, copy, query, fp, root, n, sketch), a group's members before its queries and by rising size: those that
+    may be similar to one of the other kind that nothing known has connected with them. Rows that hang together so have
+    a part in common."""
+    now, members, queries, sketches, joined = None, [], [], None, Joined()
+
+    def settle():
+        out = [(*now, joined.root(x), int(x < 0), *(queries[-x - 1] if x < 0 else members[x])[:2]) for x in list(joined.up)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] or [pa.nulls(0, pa.int64())] * 6, names=["held", "copy", "part", "query", "fp", "root"])
+
+    for batch in batches:
+        for held, copy, query, fp, root, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            if (held, copy) != now:
+                if joined.up:
+                    yield settle()
+                now, members, queries, sketches, joined = (held, copy), [], [], None, Joined()
+            if not query:
+                members.append((fp, root, n, raw))
+            elif members:
+                if sketches is None:
+                    sketches, roots = Sketches([m[2] for m in members], [m[3] for m in members]), np.array([m[1] for m in members])
+                found = sketches.near(n, raw)
+                found = found[roots[found] != root]
+                if len(found):
+                    queries.append((fp, root))
+                    for i in found.tolist():
+                        joined.join(i, -len(queries))
+    if joined.up:
+        yield settle()
+
+
 def answer(batches):
-    """Rows (group, copy, query, fp, root, tokens), a group's members before its queries: an edge to a similar member for
-    each query that nothing known has connected with it yet."""
+    """Rows (group, copy, part, query, fp, root, tokens), members of a part before its queries: an edge to a similar member
+    for each query that nothing known has connected with it yet."""
     now, held, matrix, known = None, [], None, Joined()
     for batch in batches:
         out = []
-        for grp, copy, query, fp, root, raw in zip(*(c.to_pylist() for c in batch.columns)):
-            if (grp, copy) != now:
-                now, held, matrix, known = (grp, copy), [], None, Joined()
+        for grp, copy, part, query, fp, root, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            if (grp, copy, part) != now:
+                now, held, matrix, known = (grp, copy, part), [], None, Joined()
             tokens = unpacked(raw)
             if not query:
                 held.append((fp, root, tokens))
@@ -244,11 +333,32 @@ def answer(batches):
         yield edge_batch(out)
 
 
-def group_edges(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect what is similar within each group: its members are its queries too."""
+def group_edges(docs: DataFrame, sketches: DataFrame, groups: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what is similar within each group: its members are its queries too. Sketches part what is
+    certainly not similar first, and members without a partner stay out."""
     several = groups.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
     members = stash(groups.join(several, "grp"))
-    rows = sets_for(docs, members)
+
+    def parted(batches):
+        now, held = None, []
+
+        def settle():
+            part = np.arange(len(held))
+            if len(held) > 1:
+                near = Sketches([n for _, n, _ in held], [raw for _, _, raw in held])
+                for i, (_, n, raw) in enumerate(held):
+                    for other in np.unique(part[near.near(n, raw, i + 1)]).tolist():
+                        part[part == other] = part[i]
+            kept = np.flatnonzero(np.bincount(part, minlength=1)[part] > 1)
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(kept), pa.int64()), pa.array(part[kept], pa.int64()), pa.array([held[i][0] for i in kept.tolist()], pa.int64())], names=["grp", "part", "fp"])
+
+        for batch in batches:
+            for grp, fp, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if grp != now:
+                    yield settle()
+                    now, held = grp, []
+                held.append((fp, n, raw))
+        yield settle()
 
     def within(batches):
         now, held = None, []
@@ -265,15 +375,17 @@ def group_edges(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
         for batch in batches:
             out = []
-            for grp, fp, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                if grp != now:
+            for grp, part, fp, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if (grp, part) != now:
                     out += settle()
-                    now, held = grp, []
+                    now, held = (grp, part), []
                 held.append((fp, unpacked(raw)))
             yield edge_batch(out)
         yield edge_batch(settle())
 
-    return rows.select("grp", "fp", "tokens").repartition("grp").sortWithinPartitions("grp", "fp").mapInArrow(within, "a long, b long")
+    near = sketches_for(sketches, members).select("grp", "fp", "n", "sketch").repartition("grp").sortWithinPartitions("grp", "n", "fp")
+    rows = sets_for(docs, stash(near.mapInArrow(parted, "grp long, part long, fp long")))
+    return rows.select("grp", "part", "fp", "tokens").repartition("grp", "part").sortWithinPartitions("grp", "part", "fp").mapInArrow(within, "a long, b long")
 
 
 # ---------------------------------------------------------------- the matrix
@@ -297,8 +409,9 @@ def least_met(a, b):
 
 
 def entries(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """(token, fp, n) rows of the matrix, of tokens that two or more different sets bring in. A task sends its
-    entries packed by bucket; each bucket is sorted on its own."""
+    """(token, fp, n) rows of the matrix, of tokens that two or more different sets of fitting sizes bring in; sets that no
+    row of fitting sizes connects have numbers of their own for a token. A task sends its entries packed by bucket; each
+    bucket is sorted on its own."""
     hot = np.sort(hot)
 
     def pack(batches):
@@ -358,13 +471,13 @@ def entries(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         x = np.frombuffer(b"".join(blobs), [("t", "<u4"), ("f", "<i8"), ("m", "<i4")])
         x = x[np.lexsort((x["f"], x["t"]))]
         x = x[np.append(True, (x["t"][1:] != x["t"][:-1]) | (x["f"][1:] != x["f"][:-1]))]
-        new = np.flatnonzero(np.append(True, x["t"][1:] != x["t"][:-1]))
-        run = np.diff(np.append(new, len(x)))
-        x = x[np.repeat(run > 1, run)]
+        x = x[np.lexsort((x["m"], x["t"]))]
+        size = x["m"].astype(np.int64)
+        fits = (x["t"][1:] == x["t"][:-1]) & (size[:-1] * BOTTOM >= size[1:] * TOP)
+        kept = np.append(False, fits) | np.append(fits, False)
+        x, size, token = x[kept], size[kept], np.cumsum(np.append(True, ~fits))[kept] + (np.int64(bucket % (1 << 31)) << np.int64(32))
         for i in range(0, len(x), 100_000):
-            y = x[i:i + 100_000]
-            token = y["t"].astype(np.int64) + (np.int64(bucket % (1 << 31)) << np.int64(32))
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(y["f"].copy()), pa.array(y["m"].astype(np.int64))], names=["token", "fp", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[i:i + 100_000]), pa.array(x["f"][i:i + 100_000].copy()), pa.array(size[i:i + 100_000])], names=["token", "fp", "n"])
 
     sent = texts(docs).mapInArrow(pack, "bucket long, blob binary")
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "token long, fp long, n long")
@@ -374,9 +487,10 @@ def candidates(rows: DataFrame, groups: DataFrame, roots: DataFrame) -> DataFram
     """(ga, gb): two groups that share enough tokens of the matrix for members of fitting sizes to be similar, and have
     members that are not connected yet."""
     rooted = rows.join(groups, "fp").join(roots.select(F.col("id").alias("fp"), "root"), "fp", "left").select("token", "n", "grp", F.coalesce("root", "fp").alias("root"))
-    held = stash(rooted.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi")))
-    mixed = held.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.count("*").alias("g")).where("l <> h and g > 1").select("token")
-    held = stash(held.join(mixed, "token", "left_semi"))
+    held = rooted.repartition("token").groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    token = Window.partitionBy("token")
+    mixed = held.withColumns({"l": F.min("lo").over(token), "h": F.max("hi").over(token), "g": F.count("*").over(token)}).where("l <> h and g > 1")
+    held = stash(mixed.drop("l", "h", "g"))
     other = held.select("token", *[F.col(c).alias(f"{c}_") for c in held.columns if c != "token"])
     both = held.join(other, "token").where("grp < grp_").where("lo <> hi or lo_ <> hi_ or lo <> lo_")
     both = both.where((F.col("most") * BOTTOM >= F.col("least_") * TOP) & (F.col("most_") * BOTTOM >= F.col("least") * TOP))
@@ -384,9 +498,10 @@ def candidates(rows: DataFrame, groups: DataFrame, roots: DataFrame) -> DataFram
     return met.where(F.col("met") >= least_met(F.col("most"), F.col("least"))).select(F.col("grp").alias("ga"), F.col("grp_").alias("gb"))
 
 
-def opened(docs: DataFrame, groups: DataFrame, roots: DataFrame, pairs: DataFrame) -> DataFrame:
+def opened(docs: DataFrame, sketches: DataFrame, groups: DataFrame, roots: DataFrame, pairs: DataFrame) -> DataFrame:
     """Edges between similar members of two groups that nothing connected before. Of a pair the larger group is held and the
-    members of the smaller one are its queries; a group with many queries is held in several copies."""
+    members of the smaller one are its queries; a group with many queries is held in several copies. They meet as sketches
+    first, and those that may be similar as whole sets."""
     members = stash(groups.join(roots.select(F.col("id").alias("fp"), "root"), "fp", "left").select("fp", "grp", F.coalesce("root", "fp").alias("root")))
     sizes = members.groupBy("grp").agg(F.count("*").alias("n"))
     side = lambda c: sizes.select(F.col("grp").alias(c), F.col("n").alias(f"n{c}"))
@@ -396,8 +511,11 @@ def opened(docs: DataFrame, groups: DataFrame, roots: DataFrame, pairs: DataFram
     copies = stash(asked.groupBy("held").agg(F.ceil(F.count("*") / QUERIES).alias("copies")))
     queries = asked.join(copies, "held").select("held", F.pmod(F.xxhash64("fp"), F.col("copies")).alias("copy"), F.lit(1).alias("query"), "fp", "root")
     holders = members.join(copies, F.col("grp") == F.col("held")).select("held", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("query"), "fp", "root")
-    rows = sets_for(docs, stash(holders.unionByName(queries))).select("held", "copy", "query", "fp", "root", "tokens")
-    return rows.repartition("held", "copy").sortWithinPartitions("held", "copy", "query", "fp").mapInArrow(answer, "a long, b long")
+    near = sketches_for(sketches, stash(holders.unionByName(queries))).select("held", "copy", "query", "fp", "root", "n", "sketch")
+    near = near.repartition("held", "copy").sortWithinPartitions("held", "copy", "query", "n", "fp")
+    left = stash(near.mapInArrow(doubtful, "held long, copy long, part long, query long, fp long, root long"))
+    rows = sets_for(docs, left).select("held", "copy", "part", "query", "fp", "root", "tokens")
+    return rows.repartition("held", "copy", "part").sortWithinPartitions("held", "copy", "part", "query", "fp").mapInArrow(answer, "a long, b long")
 
 
 # ---------------------------------------------------------------- the operator
@@ -417,11 +535,12 @@ def similar(docs: DataFrame) -> DataFrame:
     common = rows.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= HOT)
     hot = common.orderBy(F.desc("times"), "token").limit(HOT_MOST).select("token").toArrow()["token"].to_numpy().view(np.uint64)
     groups = groups_of(distinct)
-    first = stash(group_edges(docs, groups))
+    sketches = rows.where("sketch is not null").select("fp", "n", "sketch")
+    first = stash(group_edges(docs, sketches, groups))
     roots = components(first)
     total = distinct.agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
     pairs = stash(candidates(entries(docs, hot, 1 + int(total) // BUCKET), groups, roots))
-    edges = first if pairs.isEmpty() else first.unionByName(opened(docs, groups, roots, pairs))
+    edges = first if pairs.isEmpty() else first.unionByName(opened(docs, sketches, groups, roots, pairs))
     final = components(edges)
     own = stash(sets.join(final.select(F.col("id").alias("fp"), "root"), "fp", "left").select("id", "n", "fp", F.when(F.col("n") > 0, F.coalesce("root", "fp")).alias("root")))
     names = own.where("n > 0").groupBy("root").agg(F.min("id").alias("name"))
