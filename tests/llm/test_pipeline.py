@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.test_dedup_and_mix import brute as exact
 from tests.llm.test_ngram_join import brute as near
-from upland.llm import mixing, quality, sentencepieces
+from tests.llm.util import docs as table
+from upland.llm import mixing, ngram_join, quality, sentencepieces
 
 NAMES = [n for n, _ in corpus_pipeline.STAGES]
 
@@ -54,3 +55,13 @@ def test_empty_and_odd_documents(spark, data):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, table, data).count() >= 0
     assert quality.ACCEPT == 0.7
+
+
+def test_near_copies_are_found_without_sending_alike_texts_whole(spark, monkeypatch):
+    texts = [" ".join(f"own{i}_{j}" if j % 10 == i % 10 else f"w{j}" for j in range(300)) for i in range(80)]
+    texts += [texts[7] + " more", texts[30].upper()]
+    sent, whole = [], ngram_join.sets_for
+    monkeypatch.setattr(ngram_join, "sets_for", lambda docs, route: sent.extend(route.collect()) or whole(docs, route))
+    left = corpus_pipeline.near_copies(spark, table(spark, texts), "")
+    assert sorted(r["doc_id"] for r in left.collect()) == [i for i, _, c in near(texts) if i == c] == list(range(80))
+    assert len(sent) < 20
